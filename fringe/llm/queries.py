@@ -6,20 +6,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format, lang_id, mixing, pii, tokens, url_filter
 from .near_dup import near_duplicates
 
+#: The key of the pseudonyms; a deployment passes its own secret.
+PII_KEY = "fringe-example-key"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents by source weight takes of each."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data under format-preserving pseudonyms."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' token ids, from the written files."""
+    path = tokens.tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.token_digests(spark, path)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over 2-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    rows = chat_format.with_probe_conversation(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_weighted_fair_mixing,
+        op3_pii_feistel,
+        op4_token_output,
+        op6_url_filter,
+        op7_minhash_near_dedup,
+        op9_language_id,
+        op10_chat_format,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_weighted_fair_mixing": mixing.oracle(),
+    "op6_url_filter": url_filter.oracle(),
+    "op10_chat_format": chat_format.oracle(),
+}
