@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, lang_id, mixing, pii, tokens, url_filter
+from . import chat_format, decontam, lang_id, mixing, pii, tokens, url_filter, warc
 from .near_dup import near_duplicates
 
 #: The key of the pseudonyms; a deployment passes its own secret.
@@ -39,6 +39,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(spark, path)
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leak into documents."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the url of every page."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
@@ -49,6 +54,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC captures with a later revisit each, read and resolved."""
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     return lang_id.identify(table(spark, sf_dir, "documents"))
@@ -66,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_weighted_fair_mixing,
         op3_pii_feistel,
         op4_token_output,
+        op5_template_decontamination,
         op6_url_filter,
         op7_minhash_near_dedup,
+        op8_warc_revisits,
         op9_language_id,
         op10_chat_format,
     )
@@ -76,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_weighted_fair_mixing": mixing.oracle(),
     "op6_url_filter": url_filter.oracle(),
+    "op8_warc_revisits": warc.oracle(),
     "op10_chat_format": chat_format.oracle(),
 }
