@@ -7,6 +7,7 @@ batch is one byte array and every step below is a pass over it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -14,10 +15,10 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = _BYTE[_LOWER]
-_BYTE[_SPACE] = 0
+_BYTE[IS_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -29,20 +30,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=8)
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    base = int(_BASE)
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 2**64)))
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse by 2^64: a word's polynomial, whatever its place."""
+    power, inverse = _power_tables(1 << max(16, (size - 1).bit_length()))
+    return power[:size], inverse[:size]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the word at each start (its bytes up to white space or the next start), ASCII upper case as lower."""
+    power, inverse = _powers(len(data))
+    return mix(np.add.reduceat(_BYTE[data] * power, starts) * inverse[starts])
+
+
 def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (len(texts) + 1 offsets)."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    space = _SPACE[data]
+    space = IS_SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64)
-    lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.concatenate(([starts[0]], lengths)))
-    powers = np.cumprod(np.full(int(lengths.max()) + 1, _BASE))
-    hashes = mix(np.add.reduceat(_BYTE[data] * powers[np.minimum(place, len(powers) - 1)], starts))
-    return hashes, np.searchsorted(starts, np.concatenate(([0], ends)))
+    return span_hashes(data, starts), np.searchsorted(starts, np.concatenate(([0], ends)))
 
 
 def shingle_sets(texts: Sequence[str | None], width: int) -> list[np.ndarray]:

@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from .near_dup import text_slices
 from .scratch import new_path
+from .textset import IS_SPACE, span_hashes
 
 END_ID = 1
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Between words that are encoded together; a word that holds it is encoded alone.
+MARK = "\0"
+#: Words whose ids a worker remembers before it starts afresh, and how many it gathers before it sorts them in.
+REMEMBERED, RECENT = 2_000_000, 100_000
 
 FORMAT_OPTIONS = {
     "compression": "zstd",
@@ -41,12 +44,38 @@ FORMAT_OPTIONS = {
 }
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+
+
+class _Known:
+    """Word hashes in order, with where each word's ids are in the pool."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.places = np.zeros((0, 2), np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and which are known."""
+        if not len(self.keys):
+            return np.zeros((len(keys), 2), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.places[at], self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, places, axis=0)
+
+
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file whose words end at white space.
 
     Such a tokenizer drops white space and never joins across it, so a text's ids are its words' ids
-    in turn. Each distinct word is encoded by the library once and remembered; a text is then a gather.
-    ``Encoder.plain`` encodes texts as a whole, for comparison.
+    in turn. Each distinct word is encoded by the library once and remembered by its hash; a text is
+    then a gather. ``plain`` encodes texts as a whole: for comparison, and for texts with an accent
+    that joins the letter before it or with what could be a special token's string.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -58,48 +87,78 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.main, self.recent = _Known(), _Known()
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     def plain(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        ids = self.plain([w.decode("utf-8") for w in words])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum()))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.pool = np.concatenate((self.pool, flat))
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids and each one's number. The library takes many words as one text, with a mark of its own id between them."""
+        mark = self.plain([MARK])[0]
+        if len(mark) != 1:
+            ids = self.plain(words)
+            return np.array([x for one in ids for x in one], np.int32), np.array([len(one) for one in ids], np.int64)
+        joined = [f" {MARK} ".join(words[a : a + 1000]) + f" {MARK}" for a in range(0, len(words), 1000)]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.concatenate([np.array(one.ids, np.int32) for one in encoded])
+        ends = np.flatnonzero(flat == mark[0])
+        return flat[flat != mark[0]], np.diff(np.concatenate(([-1], ends))) - 1
+
+    def _places(self, keys: np.ndarray, word) -> np.ndarray:
+        """Start and size in the pool of each word by its hash; ``word(i)`` are the bytes of the i-th."""
+        if len(self.main.keys) + len(self.recent.keys) + len(keys) > self.remembered:
+            self._forget()
+        out, known = self.main.find(keys)
+        missing = np.flatnonzero(~known)
+        late, known = self.recent.find(keys[missing])
+        out[missing[known]] = late[known]
+        missing = missing[~known]
+        if not len(missing):
+            return out
+        flat, sizes = self._encode_words([word(i).decode("utf-8") for i in missing])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        out[missing] = np.stack((self.used + np.cumsum(sizes) - sizes, sizes), 1)
+        self.used += len(flat)
+        self.recent.add(keys[missing], out[missing])
+        if len(self.recent.keys) > RECENT:
+            self.main.add(self.recent.keys, self.recent.places)
+            self.recent = _Known()
+        return out
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        split = []
-        for text in texts:
-            data = (text or "").encode("utf-8")
-            # Lower-casing ASCII first spares repeats; not where it could meet a special token's string
-            # or an accent that joins the letter before it.
-            if b"<|" not in data and b"\xcc" not in data:
-                data = data.lower()
-            split.append(data.split())
-        words = [w for ws in split for w in ws]
-        new = set(words).difference(self.place)
-        if len(self.place) + len(new) > self.remembered:
-            self._forget()
-            new = set(words)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.int32)
-        last = np.cumsum([len(ws) for ws in split])
-        before = np.concatenate(([0], ends))[last] if len(split) else np.zeros(0, np.int64)
-        return flat, np.diff(np.concatenate(([0], before)))
+        parts = [(t or "").encode("utf-8") for t in texts]
+        odd = [i for i, p in enumerate(parts) if b"<|" in p or b"\xcc" in p or b"\0" in p]
+        whole = dict(zip(odd, self.plain([texts[i] or "" for i in odd]), strict=True))
+        joined = b"\n".join(b"" if i in whole else p for i, p in enumerate(parts)) + b"\n"
+        data = np.frombuffer(joined, np.uint8)
+        space = IS_SPACE[data]
+        before, after = np.concatenate(([True], space[:-1])), np.concatenate((space[1:], [True]))
+        # A full stop or comma that ends a word is a word of its own to the tokenizer as well.
+        stop = _STOP[data] & after & np.concatenate(([False], _LETTER[data[:-1]]))
+        starts = np.flatnonzero(~space & before | stop)
+        sizes = np.zeros(len(texts), np.int64)
+        flat = np.zeros(0, np.int32)
+        if len(starts):
+            ends = np.flatnonzero(space & ~before | stop)
+            keys, first, which = np.unique(span_hashes(data, starts), return_index=True, return_inverse=True)
+            places = self._places(keys, lambda i: joined[starts[first[i]] : ends[first[i]]].lower())[which]
+            counts = places[:, 1]
+            upto = np.cumsum(counts)
+            flat = self.pool[np.repeat(places[:, 0] - (upto - counts), counts) + np.arange(upto[-1])]
+            lengths = [1 + (0 if i in whole else len(p)) for i, p in enumerate(parts)]
+            words_before = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+            sizes = np.diff(np.concatenate(([0], upto))[words_before])
+        if whole:
+            pieces = np.split(flat, np.cumsum(sizes)[:-1])
+            for i, ids in whole.items():
+                pieces[i] = np.array(ids, np.int32)
+                sizes[i] = len(ids)
+            flat = np.concatenate(pieces)
+        return flat, sizes
 
 
 @lru_cache(maxsize=2)
