@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontam, lang_id, mixing, pii, tokens, url_filter, warc
+from . import ann, chat_format, decontam, lang_id, mixing, pii, tokens, url_filter, warc
 from .near_dup import near_duplicates
 
 #: The key of the pseudonyms; a deployment passes its own secret.
@@ -28,6 +29,11 @@ def op1_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data under format-preserving pseudonyms."""
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_weighted_fair_mixing,
+        op2_hilbert_neighbours,
         op3_pii_feistel,
         op4_token_output,
         op5_template_decontamination,
