@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import take, text_key
 from .scratch import materialize
 
 WEIGHTS = (1, 2, 3)
@@ -107,10 +108,15 @@ def mix_sources(
     )
 
 
-def mixed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each copy taken."""
-    out = mix_sources(docs, text_col=text_col, keep=[c for c in docs.columns if c not in ("doc_id", "source")], **options)
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each copy taken.
+
+    Only sizes go through the queue; the texts are joined to its result by id and text.
+    """
+    keyed = docs.withColumn("text_key", text_key(F.col(text_col)))
+    out = mix_sources(keyed, id_col, text_col, keep=["text_key"], **options)
+    chosen = out.groupBy(F.col(id_col).alias("id"), "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    return take(docs, chosen.where("copies > 0"), id_col, text_col)
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> str:
