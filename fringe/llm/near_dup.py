@@ -38,7 +38,7 @@ from .components import connected_components
 from .scratch import materialize
 from .textset import shingle_sets
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def near_duplicates(
     # Values of one node only rank first; they are counted, not carried.
     ranked = shared.withColumn("rank", F.row_number().over(by_node) + F.col("size") - F.count("*").over(Window.partitionBy("node")))
     listed = F.expr(f"size - least({overlap}, ({percent} * size + 99) div 100) + 1")
-    ordinary = F.sum("df").over(Window.partitionBy("node")) / F.col("size")
+    ordinary = F.sum(F.log("df")).over(Window.partitionBy("node")) / F.col("size")
     lists = ranked.withColumn("ordinary", ordinary).where(F.col("rank") <= listed).select("value", "node", "n", "df", "ordinary")
     lists = materialize(lists, "lists")
 
@@ -190,10 +190,7 @@ def near_duplicates(
     links = materialize(_compare(_both(likely, sets, "hashes"), exact), "linked")
     roots = materialize(connected_components(links), "roots")
 
-    rest = _settle(long_lists, sets, roots, percent, exact)
-    if rest is not None:
-        more = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(rest)
-        roots = materialize(connected_components(more), "roots")
+    roots = _settle(long_lists, sets, roots, percent, exact)
 
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -203,21 +200,41 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
 
 
-def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, exact) -> DataFrame | None:
-    """Links (a, b) between different components of the long lists, by exact prefix filtering of full sets."""
-    rooted = long_lists.select("value", "node").join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
-    open_lists = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-    open_nodes = materialize(rooted.join(open_lists, "value").select("node", "root").distinct(), "open")
+def _grow(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with the components joined by ``links`` (a, b)."""
+    own = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    return materialize(connected_components(own.unionByName(links)), "roots")
+
+
+def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, exact) -> DataFrame:
+    """``roots`` with all links between different components of the long lists, by exact prefix filtering of full sets.
+
+    A first round links each node to the node of a list that has the fewest shingles of its own, which
+    joins most of what belongs together; the second pairs what is still apart.
+    """
+
+    def rooted(table: DataFrame) -> DataFrame:
+        return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    listed = rooted(long_lists.select("value", "node"))
+    open_lists = listed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    open_nodes = materialize(listed.join(open_lists, "value").select("node").distinct(), "open")
     if open_nodes.isEmpty():
-        return None
-    full = open_nodes.join(sets, "node").select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+        return roots
+    full = open_nodes.join(sets, "node").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
     df = full.groupBy("value").agg(F.count("*").alias("df"))
     shared = full.join(df.where("df > 1"), "value")
     by_node = Window.partitionBy("node").orderBy("df", "value")
-    place = F.row_number().over(by_node) - 1 + F.col("n") - F.count("*").over(Window.partitionBy("node"))
-    prefix = shared.withColumn("place", place).where(f"place <= n - ({percent} * n + 99) div 100").select("value", "node", "root", "n", "place")
-    prefix = materialize(prefix, "prefix")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    prefix = shared.withColumn("own", own).withColumn("place", F.row_number().over(by_node) - 1 + F.col("own"))
+    prefix = materialize(prefix.where(f"place <= n - ({percent} * n + 99) div 100").select("value", "node", "n", "own", "place"), "prefix")
+
+    hubs = prefix.groupBy("value").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).getField("node").alias("hub"))
+    to_hub = prefix.join(hubs, "value").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    roots = _grow(roots, _compare(_both(to_hub, sets, "hashes"), exact))
+
     # Each pair of components has an end outside the list's most frequent component.
+    prefix = rooted(prefix)
     sizes = prefix.groupBy("value", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = prefix.join(main.select("value", "main"), "value")
@@ -226,4 +243,4 @@ def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     needed = f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}"
     fits = F.expr(f"root <> root2 and 1 + least(n - place - 1, n2 - place2 - 1) >= {needed}")
     pairs = few.join(other, "value").where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    return _compare(_both(pairs, sets, "hashes"), exact)
+    return _grow(roots, _compare(_both(pairs, sets, "hashes"), exact))
