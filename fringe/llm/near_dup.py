@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rows import take
 from .scratch import materialize
 from .textset import shingle_sets
 
@@ -126,21 +127,17 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(merged[1:] == merged[:-1]))
 
 
-def near_duplicates(
+def _components(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    k: int = 32,
-    overlap: int = 13,
-    small_list: int = 32,
+    id_col: str,
+    text_col: str,
+    width: int,
+    percent: int,
+    k: int,
+    overlap: int,
+    small_list: int,
 ) -> DataFrame:
-    """Rows ``<id_col>, n_shingles, component_id, kept`` for every row of ``docs`` (module docstring).
-
-    ``overlap`` belongs to ``k`` and ``percent``: of the k smallest hashes of a union, each is shared
-    with chance ``percent``/100 at least, and fewer than 13 of 32 has chance 1.6e-7 at 80 %.
-    """
+    """Rows id, text_key, n_shingles, root (null for the empty set), component (the smallest id) for every row of ``docs``."""
 
     def estimate(x: np.ndarray, y: np.ndarray) -> bool:
         merged = np.sort(np.concatenate((x, y)))
@@ -194,12 +191,34 @@ def near_duplicates(
 
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    component = rooted.join(low, "root").select("node", "component")
-    out = rows.select("id", "n_shingles", "node").join(component, "node", "left")
-    component_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
+    component = rooted.join(low, "root").select("node", "root", "component")
+    return rows.select("id", "text_key", "n_shingles", "node").join(component, "node", "left").drop("node")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 32, overlap: int = 13, small_list: int = 32
+) -> DataFrame:
+    """Rows ``<id_col>, n_shingles, component_id, kept`` for every row of ``docs`` (module docstring).
+
+    ``overlap`` belongs to ``k`` and ``percent``: of the k smallest hashes of a union, each is shared
+    with chance ``percent``/100 at least, and fewer than 13 of 32 has chance 1.6e-7 at 80 %.
+    """
+    out = _components(docs, id_col, text_col, width, percent, k, overlap, small_list)
+    component_id = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
 
 
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 32, overlap: int = 13, small_list: int = 32
+) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; rows with the empty set all stay."""
+    out = _components(docs, id_col, text_col, width, percent, k, overlap, small_list)
+    same = out.groupBy("root", "id", "text_key").agg(F.count("*").alias("rows"))
+    empty = same.where("root is null").select("id", "text_key", F.col("rows").alias("copies"), "rows")
+    first = same.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key", "rows")).alias("first"))
+    return take(docs, first.select("first.id", "first.text_key", F.lit(1).cast("long").alias("copies"), "first.rows").unionByName(empty), id_col, text_col)
+
+
 def _grow(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` with the components joined by ``links`` (a, b)."""
     own = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
