@@ -69,8 +69,9 @@ def permute_letters(text: Column, tweak: Column, key: str, hexadecimal: bool = F
             c = F.substring(half, i, F.lit(1))
             by = F.conv(F.substring(pad, (i - 1) % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
             move = lambda alphabet: F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by) % len(alphabet) + 1, F.lit(1))
-            if hexadecimal:
-                return F.when(c.rlike("[0-9a-f]"), move("0123456789abcdef")).when(c.rlike("[A-F]"), move("ABCDEF")).otherwise(c)
+            if hexadecimal:  # in one case all sixteen digits, in mixed case each class for itself
+                one_case = F.when(text.rlike("^[0-9a-f]*$"), move("0123456789abcdef")).when(text.rlike("^[0-9A-F]*$"), move("0123456789ABCDEF"))
+                return F.coalesce(one_case, F.when(c.rlike("[0-9]"), move("0123456789")).when(c.rlike("[a-f]"), move("abcdef")).otherwise(move("ABCDEF")))
             lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
             return F.when(c.rlike("[a-z]"), move(lower)).when(c.rlike("[A-Z]"), move(upper)).when(c.rlike("[0-9]"), move(digit)).otherwise(c)
 
@@ -172,7 +173,7 @@ def _pseudonym(value: Column, kind: Column, key: str) -> Column:
     # Dates: the day's number within 400 years.
     number = F.datediff(_date_of(value), F.lit(FIRST_DAY).cast("date"))
     a_size, b_size = DAY_HALVES
-    moved = _feistel(F.expr("1") * 0 + (number / b_size).cast("long"), number % b_size, F.lit(a_size), F.lit(b_size), F.lit("date"), key)
+    moved = _feistel(F.floor(number / b_size), number % b_size, F.lit(a_size), F.lit(b_size), F.lit("date"), key)
     new_day = _let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), (m["a"] * b_size + m["b"]).cast("int")))
     day_first = F.try_to_date(F.concat_ws("-", F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2)), "yyyy-MM-dd").isNotNull()
     order = F.when(value.rlike("^[0-9]{4}-"), F.date_format(new_day, "yyyyMMdd")).when(day_first, F.date_format(new_day, "ddMMyyyy")).otherwise(F.date_format(new_day, "MMddyyyy"))
