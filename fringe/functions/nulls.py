@@ -6,6 +6,8 @@ division truncates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +105,6 @@ def greatest_of(a: Column, b: Column) -> Column:
 
 def poisson(mean: Column, seed: Column) -> Column:
     """A Poisson number for each row, the same on every run for one seed column; null for a negative or null mean."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("long")
     def draw(means: pd.Series, seeds: pd.Series) -> pd.Series:
