@@ -6,6 +6,7 @@ Angles are degrees. Outside a projection's domain both results are null.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -41,6 +42,22 @@ class Projection:
         if self.kind not in PROJECTIONS:
             raise ValueError(f"unknown projection {self.kind}; known: {', '.join(PROJECTIONS)}")
 
+    @classmethod
+    def from_header(cls, header: Mapping[str, object], first: int = 1, second: int = 2) -> Projection:
+        """From image keywords (CRVAL, CRPIX, CDELT or a CD matrix, CROTA, CTYPE) of two axes; without CTYPE it is CAR."""
+        number = lambda key, default: float(header.get(key, default))
+        kind = str(header.get(f"CTYPE{first}", "")).strip()[-4:]
+        x_step, y_step, rotation = number(f"CDELT{first}", 1.0), number(f"CDELT{second}", 1.0), number(f"CROTA{second}", 0.0)
+        if f"CD{first}_{first}" in header:
+            cd = [[number(f"CD{i}_{j}", 0.0) for j in (first, second)] for i in (first, second)]
+            sign = 1.0 if cd[0][0] * cd[1][1] - cd[0][1] * cd[1][0] >= 0 else -1.0
+            x_step, y_step = sign * math.hypot(cd[0][0], cd[1][0]), math.hypot(cd[0][1], cd[1][1])
+            rotation = math.degrees(math.atan2(sign * cd[1][0], sign * cd[0][0]))
+        return cls(
+            number(f"CRVAL{first}", 0.0), number(f"CRVAL{second}", 0.0), number(f"CRPIX{first}", 0.0), number(f"CRPIX{second}", 0.0),
+            x_step, y_step, rotation, kind[1:] if kind.startswith("-") else "CAR",
+        )
+
     def to_sky(self, x: Column, y: Column) -> tuple[Column, Column]:
         """Right ascension in [0, 360) and declination of a pixel."""
         c, s = math.cos(math.radians(self.rotation)), math.sin(math.radians(self.rotation))

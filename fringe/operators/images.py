@@ -58,19 +58,41 @@ def pixels_to_cells(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.transform(ordered, lambda p: p["value"]).alias("cell"))
 
 
-def statistics(pixels: DataFrame) -> DataFrame:
-    """``n_good, low, high, mean, sigma`` of the values that aren't null, and ``noise`` from third-order differences along lines.
+#: Differences along a line, as factors of the pixels at these distances.
+DIFFERENCES = {
+    "noise1": {0: 1, 1: -1},
+    "noise2": {0: 1, 2: -1},
+    "noise3": {0: 2, -2: -1, 2: -1},
+    "noise5": {0: 6, -2: -4, 2: -4, -4: 1, 4: 1},
+}
 
-    The noise of a line is the median absolute value of ``2 a(x) - a(x-2) - a(x+2)``; the image's is the median over its lines.
+
+def noise(pixels: DataFrame, kind: str = "noise3") -> DataFrame:
+    """One row ``noise``: the standard deviation that a line's differences of some order show, as the median over all lines.
+
+    A difference takes away what changes slowly along a line; the median of its absolute values is not
+    moved by single bright pixels. Nulls are left out before distances are counted.
     """
-    basic = pixels.agg(F.count("value").alias("n_good"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"))
+    factors = DIFFERENCES[kind]
     line = Window.partitionBy("y").orderBy("x")
-    good = pixels.where(F.col("value").isNotNull())
-    third = F.abs(2 * F.col("value") - F.lag("value", 2).over(line) - F.lead("value", 2).over(line))
-    lines = good.select("y", third.alias("d")).where(F.col("d").isNotNull()).groupBy("y").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("m"))
-    noise = lines.agg((F.expr("percentile_disc(0.5) within group (order by m)") * (MAD / 6**0.5)).alias("noise"))
-    # Two tables of one row each.
-    return basic.withColumn("one", F.lit(1)).join(noise.withColumn("one", F.lit(1)), "one", "left").drop("one")
+    value = F.col("value")
+    difference = F.lit(0.0)
+    for distance, factor in factors.items():
+        at = value if distance == 0 else F.lag(value, -distance).over(line) if distance < 0 else F.lead(value, distance).over(line)
+        difference = difference + factor * at
+    good = pixels.where(value.isNotNull()).select("y", F.abs(difference).alias("d")).where("d is not null")
+    lines = good.groupBy("y").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("m"))
+    scale = MAD / sum(f * f for f in factors.values()) ** 0.5
+    return lines.agg((F.expr("percentile_disc(0.5) within group (order by m)") * scale).alias("noise"))
+
+
+def statistics(pixels: DataFrame, kinds: Sequence[str] = ("noise3",)) -> DataFrame:
+    """``n_good, low, high, mean, sigma`` of the values that aren't null, and the noise of each kind."""
+    out = pixels.agg(F.count("value").alias("n_good"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"))
+    out = out.withColumn("one", F.lit(1))
+    for kind in kinds:  # tables of one row each
+        out = out.join(noise(pixels, kind).select(F.lit(1).alias("one"), F.col("noise").alias(kind)), "one", "left")
+    return out.drop("one")
 
 
 def quantize(value: Column, scale: float, zero: float = 0.0, dither: Column | None = None) -> Column:

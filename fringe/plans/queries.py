@@ -450,12 +450,19 @@ def image_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.combine({"a": a, "b": flipped}, ["y", "x"], F.col("a") + 2 * F.col("b"))
 
 
-@query(f"""with p as {_PIXELS}, d as (select y, abs(2 * value - lag(value, 2) over w - lead(value, 2) over w) as d from p window w as (partition by y order by x)),
-l as (select y, quantile_disc(d, 0.5) as m from d where d is not null group by y)
-select count(value) as n_good, min(value) as low, max(value) as high, round(avg(value), 9) + 0.0e0 as mean, round(stddev_pop(value), 9) as sigma, round((select quantile_disc(m, 0.5) from l) * 1.4826e0 / sqrt(6), 9) as noise from p""")
+def _noise_sql(name: str, scale: str, difference: str) -> str:
+    return f"""{name}_d as (select y, abs({difference}) as d from p window w as (partition by y order by x)), {name}_l as (select y, quantile_disc(d, 0.5) as m from {name}_d where d is not null group by y),
+{name} as (select round(quantile_disc(m, 0.5) * 1.4826e0 / sqrt({scale}), 9) as {name} from {name}_l)"""
+
+
+@query(f"""with p as {_PIXELS}, {_noise_sql("noise1", "2", "value - lead(value, 1) over w")}, {_noise_sql("noise2", "2", "value - lead(value, 2) over w")}, {_noise_sql("noise3", "6", "2 * value - lag(value, 2) over w - lead(value, 2) over w")},
+{_noise_sql("noise5", "70", "6 * value - 4 * lag(value, 2) over w - 4 * lead(value, 2) over w + lag(value, 4) over w + lead(value, 4) over w")}
+select (select count(value) from p) as n_good, (select min(value) from p) as low, (select max(value) from p) as high, round((select avg(value) from p), 9) + 0.0e0 as mean, round((select stddev_pop(value) from p), 9) as sigma, noise1, noise2, noise3, noise5
+from noise1, noise2, noise3, noise5""")
 def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images.statistics(_pixels(spark, sf_dir))
-    return out.withColumns({"mean": F.round("mean", 9) + 0.0, "sigma": F.round("sigma", 9), "noise": F.round("noise", 9)})
+    kinds = tuple(images.DIFFERENCES)
+    out = images.statistics(_pixels(spark, sf_dir), kinds)
+    return out.withColumns({"mean": F.round("mean", 9) + 0.0, "sigma": F.round("sigma", 9), **{k: F.round(k, 9) for k in kinds}})
 
 
 @query("select vec_id, list_transform(embedding, lambda x: cast(x as double)) as cell from embeddings")

@@ -1,4 +1,5 @@
 import datetime
+import math
 
 import numpy as np
 import pytest
@@ -126,6 +127,10 @@ def test_sky(spark):
     assert df.limit(1).select(far[0].alias("x")).first().x is None
     with pytest.raises(ValueError):
         sky.Projection(0, 0, kind="XYZ")
+    head = {"CRVAL1": 10.0, "CRVAL2": 20.0, "CRPIX1": 5.0, "CRPIX2": 6.0, "CDELT1": -0.1, "CDELT2": 0.2, "CROTA2": 30.0, "CTYPE1": "RA---SIN"}
+    assert sky.Projection.from_header(head) == sky.Projection(10.0, 20.0, 5.0, 6.0, -0.1, 0.2, 30.0, "SIN")
+    cd = sky.Projection.from_header({"CD1_1": -0.1, "CD1_2": 0.0, "CD2_1": 0.0, "CD2_2": 0.1})
+    assert (cd.x_step, cd.y_step, cd.kind) == (-0.1, 0.1, "CAR") and abs(math.cos(math.radians(cd.rotation)) - 1) < 1e-9
 
 
 def test_images(spark):
@@ -133,7 +138,7 @@ def test_images(spark):
     cut = images.section(px, y=images.Span(2, 3), x=images.Span(1, 7, 3, flip=True))
     assert {(r.y, r.x): r.value for r in cut.collect()} == {(1, 3): 21.0, (1, 2): 24.0, (1, 1): 27.0, (2, 3): 31.0, (2, 2): 34.0, (2, 1): 37.0}
     s = images.statistics(px).first()
-    assert (s.n_good, s.low, s.high) == (20, 11.0, 37.0) and s.noise >= 0
+    assert (s.n_good, s.low, s.high) == (20, 11.0, 37.0) and s.noise3 >= 0
     twice = images.combine({"a": px, "b": px}, ["y", "x"], F.col("a") + F.col("b"))
     assert twice.where("value is not null").count() == 20
     stored = px.select("value", images.restore(images.quantize(F.col("value"), 0.5, 1.0, F.lit(0.3)), 0.5, 1.0, F.lit(0.3)).alias("r")).where("value is not null").collect()
