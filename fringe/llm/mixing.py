@@ -21,7 +21,7 @@ from .scratch import materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 _BITS = 52
 
