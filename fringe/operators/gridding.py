@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,9 +72,9 @@ def locate(samples: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def with_support(located: DataFrame, support: DataFrame) -> DataFrame:
-    """``located`` with ``support``, the half width of its kernel plane; ``support`` has one row for each plane."""
-    return located.join(F.broadcast(support) if support.count() <= BROADCAST_CELLS else support, "w")
+def with_support(located: DataFrame, support: DataFrame, grid: Grid) -> DataFrame:
+    """``located`` with ``support``, the half width of its kernel plane; ``support`` has one row for each of the grid's planes, which bounds the broadcast."""
+    return located.join(F.broadcast(support.where(F.col("w") < grid.planes).dropDuplicates(["w"])), "w")
 
 
 def inside(grid: Grid) -> Column:
@@ -158,24 +159,24 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
     leaves the grid, contribute nothing.
     """
     names = ["uu", "vv", "ww", "re", "im", "weight"]
-    supported = with_support(locate(samples.select(*names).dropna(), grid), support)
+    supported = with_support(locate(samples.select(*names).dropna(), grid), support, grid)
     kind = "double" if unit is None else "bigint"
     if engine == "join":
         rows = contributions(supported, kernel, grid)
         return rows.groupBy("v", "u").agg(F.sum(_exact(F.col("add_re"), unit)).alias("re"), F.sum(_exact(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
     if engine != "partial":
         raise ValueError(f"unknown engine {engine}")
-    if kernel.count() > BROADCAST_CELLS:
+    cells = kernel.select("w", "y", "x", "re", "im").limit(BROADCAST_CELLS + 1).toPandas()
+    if len(cells) > BROADCAST_CELLS:
         return grid_samples(samples, kernel, support, grid, "join", unit)
-    add = _partial_grid(kernel, support, grid, unit)
+    add = _partial_grid(cells, grid, unit)
     needed = supported.where(inside(grid)).select("gu", "gv", "off_u", "off_v", "w", "sign", "re", "im", "weight", "support")
     parts = needed.mapInArrow(add, f"v int, u int, re {kind}, im {kind}, hits bigint")
     return parts.groupBy("v", "u").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("hits").alias("hits"))
 
 
-def _partial_grid(kernel: DataFrame, support: DataFrame, grid: Grid, unit: float | None):
-    """A function from batches of located samples to partial grids; it holds the kernel, whose size was checked."""
-    cells = kernel.select("w", "y", "x", "re", "im").toPandas()
+def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
+    """A function from batches of located samples to partial grids; it holds the kernel's cells, whose number was checked."""
     high = cells[["w", "y", "x"]].max().fillna(-1).astype(int) + 1
     planes = np.zeros((2, *high))
     planes[:, cells["w"], cells["y"], cells["x"]] = cells[["re", "im"]].to_numpy().T
@@ -203,7 +204,8 @@ def _partial_grid(kernel: DataFrame, support: DataFrame, grid: Grid, unit: float
                 for at in np.array_split(of, max(1, len(of) * len(reach) ** 2 // 500_000)):
                     y = np.abs(c["off_v"][at, None] + reach * step)[:, :, None]
                     x = np.abs(c["off_u"][at, None] + reach * step)[:, None, :]
-                    k_re, k_im = planes[0, w][y, x], planes[1, w][y, x] * c["sign"][at, None, None]
+                    place = y * high["x"] + x
+                    k_re, k_im = planes[0, w].ravel().take(place), planes[1, w].ravel().take(place) * c["sign"][at, None, None]
                     a_re, a_im = v_re[at, None, None], v_im[at, None, None]
                     re, im = a_re * k_re - a_im * k_im, a_im * k_re + a_re * k_im
                     cell = ((c["gv"][at, None] + reach - low_v)[:, :, None] * columns + (c["gu"][at, None] + reach - low_u)[:, None, :]).ravel()
@@ -234,7 +236,7 @@ def norm(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid,
     The footprint's sum depends on plane and offsets only, so samples are first summed by those and the
     footprint is expanded once for each.
     """
-    supported = with_support(locate(samples.select("uu", "vv", "ww", "re", "im", "weight").dropna(), grid), support)
+    supported = with_support(locate(samples.select("uu", "vv", "ww", "re", "im", "weight").dropna(), grid), support, grid)
     if unit is not None:
         return contributions(supported, kernel, grid).agg(F.sum(_exact(F.col("add_norm"), unit)).alias("norm"))
     kinds = supported.where(inside(grid)).groupBy("w", "support", "off_u", "off_v").agg(F.sum("weight").alias("weight"))

@@ -63,7 +63,7 @@ def kernel(spark: SparkSession) -> DataFrame:
 
 
 def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gridding.with_support(gridding.locate(samples(spark, sf_dir), GRID), support(spark))
+    return gridding.with_support(gridding.locate(samples(spark, sf_dir), GRID), support(spark), GRID)
 
 
 _VIS = """

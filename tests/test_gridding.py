@@ -61,7 +61,7 @@ def test_grid_equals_loops(spark, engine, monkeypatch):
     got, hits = dense(gridding.grid_samples(samples, kernel, support, GRID, engine))
     assert np.allclose(got, want, rtol=1e-9, atol=1e-12) and (hits == want_hits).all()
     assert np.isclose(gridding.norm(samples, kernel, support, GRID).first().norm, norm, rtol=1e-9)
-    located = gridding.with_support(gridding.locate(samples, GRID), support)
+    located = gridding.with_support(gridding.locate(samples, GRID), support, GRID)
     assert gridding.skipped(located, GRID).first().num_skipped == skipped
     assert sum(r.num_skipped for r in gridding.skipped(located, GRID, ("block",)).collect()) == skipped
     assert {(r.v, r.u): r.hits for r in gridding.hit_intensity(located, GRID).collect()} == {(v, u): want_hits[v, u] for v, u in zip(*np.nonzero(want_hits), strict=True)}
@@ -95,7 +95,7 @@ def test_uniform_weights(spark):
 
 def test_tiles_box_and_image(spark):
     s, samples, kernel, support = setup(spark)
-    located = gridding.with_support(gridding.locate(samples, GRID), support)
+    located = gridding.with_support(gridding.locate(samples, GRID), support, GRID)
     box = gridding.bounding_box(located, GRID).first()
     u0, v0, n_u, n_v = gridding.tile_box((box.u_min, box.v_min, box.u_max, box.v_max), 8, 4, GRID)
     assert u0 <= box.u_min and v0 <= box.v_min and u0 + 8 * n_u > box.u_max and v0 + 4 * n_v > box.v_max
