@@ -176,7 +176,10 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     agrees = F.coalesce(same_etag, same_time)
     resolution = F.when(F.col("base").isNull(), "missing").when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("mismatch")
     found = found.select("record_id", "url", "date", "headers", resolution.alias("resolution"), F.col("base.record_id").alias("base_id"), F.col("base.date").alias("base_date"))
-    bases = records.where(full).select(F.col("record_id").alias("b_id"), F.col("date").alias("b_date"), F.col("headers").alias("b_headers"), "payload").dropDuplicates(["b_id", "b_date"])
+    bases = records.where(full).select(F.col("record_id").alias("b_id"), F.col("date").alias("b_date"), F.col("headers").alias("b_headers"), "payload")
+    # Ids are unique in what crawlers write. Only where they aren't, payloads are shuffled once more to take one record of each.
+    if not rows.where("full").groupBy("record_id", "date").count().where("count > 1").isEmpty():
+        bases = bases.dropDuplicates(["b_id", "b_date"])
     met = found.join(bases, (F.col("resolution") == "resolved") & (F.col("base_id") == F.col("b_id")) & F.col("base_date").eqNullSafe(F.col("b_date")), "left")
     new = F.map_filter("headers", lambda k, v: ~k.isin(*FIXED_HEADERS))
     merged = F.when(F.col("resolution") == "resolved", F.map_concat(F.map_filter("b_headers", lambda k, v: ~F.array_contains(F.map_keys(new), k)), new))
