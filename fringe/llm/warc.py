@@ -168,7 +168,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     carried = points.select("url", "slice", F.max("end").over(before).alias("carried"))
     within = Window.partitionBy("url", "slice").orderBy(F.col("date").asc_nulls_first(), "record_id", F.col("full").desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumn("near", F.last(F.when(F.col("full"), base), ignorenulls=True).over(within)).where("not full")
-    found = near.join(carried, ["url", "slice"], "left").withColumn("base", F.coalesce("near", "carried"))
+    found = near.join(carried, ["url", "slice"], "left").withColumn("base", F.when(F.col("url").isNotNull(), F.coalesce("near", "carried")))
 
     same_etag = _weak(F.col("own.etag")) == _weak(F.col("base.own.etag"))
     same_time = F.col("own.modified") == F.col("base.own.modified")
