@@ -146,7 +146,7 @@ def contributions(supported: DataFrame, kernel: DataFrame, grid: Grid) -> DataFr
     return met.withColumns({"add_re": v_re * F.col("c_re") - v_im * c_im, "add_im": v_im * F.col("c_re") + v_re * c_im, "add_norm": F.col("weight") * F.col("c_re")})
 
 
-def _exact(x: Column, unit: float | None) -> Column:
+def in_units(x: Column, unit: float | None) -> Column:
     """``x`` in whole multiples of ``unit``, so that sums don't depend on their order; unchanged without one."""
     return x if unit is None else F.round(x * F.lit(1 / unit)).cast("long")
 
@@ -163,7 +163,7 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
     kind = "double" if unit is None else "bigint"
     if engine == "join":
         rows = contributions(supported, kernel, grid)
-        return rows.groupBy("v", "u").agg(F.sum(_exact(F.col("add_re"), unit)).alias("re"), F.sum(_exact(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
+        return rows.groupBy("v", "u").agg(F.sum(in_units(F.col("add_re"), unit)).alias("re"), F.sum(in_units(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
     if engine != "partial":
         raise ValueError(f"unknown engine {engine}")
     cells = kernel.select("w", "y", "x", "re", "im").limit(BROADCAST_CELLS + 1).toPandas()
@@ -238,7 +238,7 @@ def norm(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid,
     """
     supported = with_support(locate(samples.select("uu", "vv", "ww", "re", "im", "weight").dropna(), grid), support, grid)
     if unit is not None:
-        return contributions(supported, kernel, grid).agg(F.sum(_exact(F.col("add_norm"), unit)).alias("norm"))
+        return contributions(supported, kernel, grid).agg(F.sum(in_units(F.col("add_norm"), unit)).alias("norm"))
     kinds = supported.where(inside(grid)).groupBy("w", "support", "off_u", "off_v").agg(F.sum("weight").alias("weight"))
     return contributions(kinds.withColumns({"gu": F.lit(grid.size // 2), "gv": F.lit(grid.size // 2), "re": F.lit(0.0), "im": F.lit(0.0), "sign": F.lit(1)}), kernel, grid).agg(F.sum("add_norm").alias("norm"))
 

@@ -7,12 +7,17 @@ depends on the order of a sum.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringe.functions import bits, nulls, sky, strings, vectors
+from fringe.sources import container, fits
+from fringe.streaming import blocks
 from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, regions, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows_ = table(spark, sf_dir, "lineitem")
-    return rows_.select(
+    return as_samples(table(spark, sf_dir, "lineitem"))
+
+
+def as_samples(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
         ((F.col("l_extendedprice") - 50000.0) / 100.0).alias("uu"),
         ((F.col("l_quantity") - 25.0) * 20.0).alias("vv"),
         ((F.col("l_discount") - 0.05) * 4000.0).alias("ww"),
@@ -516,3 +524,57 @@ def _checksum_oracle() -> str:
 @query(_checksum_oracle())
 def block_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksum.checksum(table(spark, sf_dir, "nation").select(F.col("n_name").cast("binary").alias("data")))
+
+
+# Streams and sources.
+
+
+@query(ORACLES["grid_wproj"])
+def streaming_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over a stream of the table's files: the state is the grid, a row for each cell."""
+    schema = table(spark, sf_dir, "lineitem").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/lineitem.parquet*")
+    grid = blocks.streaming_grid(as_samples(stream), kernel(spark), support(spark), GRID, UNIT)
+    name = f"grid_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    blocks.run_to_table(grid, name, f"{shared.rstrip('/')}/{name}").awaitTermination()
+    return spark.table(name)
+
+
+@query("select n_regionkey as group_id, n_nationkey as user_index, cast(length(n_name) + 1 as bigint) as size, true as crc_ok, n_name as text from nation")
+def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for each region, with a chunk for each nation, encoded, cut into chunks and checked."""
+
+    def encode(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
+        chunks = [(int(key[0]), 7, int(k), container.CHAR, n.encode() + b"\0") for k, n in zip(rows_["n_nationkey"], rows_["n_name"], strict=True)]
+        return pd.DataFrame({"path": [str(key[0])], "content": [container.encode(chunks)]})
+
+    files = table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(encode, "path string, content binary")
+    out = container.chunks_of(files)
+    return out.select("group_id", "user_index", "size", "crc_ok", F.expr("substring(cast(payload as string), 1, size - 1)").alias("text"))
+
+
+@query(f"select y, x, value from {_PIXELS}")
+def fits_image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of one line for each vector, encoded and read."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows_ in batches:
+            yield pd.DataFrame({"path": rows_["vec_id"].astype(str), "content": [fits.encode_image(np.asarray(v, "float32")[None, :]) for v in rows_["embedding"]]})
+
+    files = table(spark, sf_dir, "embeddings").mapInPandas(encode, "path string, content binary")
+    return fits.image_of(files).select(F.col("path").cast("long").alias("y"), "x", "value")
+
+
+@query("select p_partkey, p_name, p_size, p_retailprice, p_size > 25 as large from part")
+def fits_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary table for each brand, encoded and read."""
+    longest = 80
+
+    def encode(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
+        names = np.array([n.encode() for n in rows_["p_name"]], f"S{longest}")
+        columns = {"p_partkey": rows_["p_partkey"].to_numpy("int64"), "p_name": names, "p_size": rows_["p_size"].to_numpy("int32"), "p_retailprice": rows_["p_retailprice"].to_numpy("float64"), "large": (rows_["p_size"] > 25).to_numpy()}
+        return pd.DataFrame({"path": [key[0]], "content": [fits.encode_table(columns)]})
+
+    files = table(spark, sf_dir, "part").groupBy("p_brand").applyInPandas(encode, "path string, content binary")
+    return fits.table_of(files).drop("_row")

@@ -90,15 +90,20 @@ def _chunks(path: str, data: bytes, check: bool) -> Iterator[tuple]:
         number += 1
 
 
-def read_container(spark: SparkSession, path: str, check_crc: bool = True) -> DataFrame:
-    """A row for each chunk of the files at ``path``."""
+def chunks_of(files: DataFrame, check_crc: bool = True) -> DataFrame:
+    """A row for each chunk of files given as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, data in zip(files["path"], files["content"], strict=True):
+        for rows in batches:
+            for name, data in zip(rows["path"], rows["content"], strict=True):
                 yield pd.DataFrame(list(_chunks(name, bytes(data), check_crc)), columns=[part.split()[0] for part in SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_container(spark: SparkSession, path: str, check_crc: bool = True) -> DataFrame:
+    """A row for each chunk of the files at ``path``."""
+    return chunks_of(spark.read.format("binaryFile").load(path), check_crc)
 
 
 def find(index: DataFrame, group: int | str, tag: int | str, user_index: int, data_type: int = 0, start: int = 0) -> DataFrame:

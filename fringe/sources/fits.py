@@ -117,16 +117,20 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Every card of every file: ``path, hdu, pos, key, value, comment``."""
+def headers_of(files: DataFrame) -> DataFrame:
+    """Every card of every file, given as (path, content): ``path, hdu, pos, key, value, comment``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files["path"], files["content"], strict=True):
+        for rows in batches:
+            for name, content in zip(rows["path"], rows["content"], strict=True):
                 cards = [(name, h, p, *card) for h, unit in enumerate(units(bytes(content))) for p, card in enumerate(unit.cards, 1)]
                 yield pd.DataFrame(cards, columns=["path", "hdu", "pos", "key", "value", "comment"])
 
-    return _files(spark, path).mapInPandas(run, HEADER_SCHEMA)
+    return files.select("path", "content").mapInPandas(run, HEADER_SCHEMA)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    return headers_of(_files(spark, path))
 
 
 def _pixels(unit: Unit) -> np.ndarray:
@@ -137,12 +141,12 @@ def _pixels(unit: Unit) -> np.ndarray:
     return raw * float(unit.get("BSCALE", 1.0)) + float(unit.get("BZERO", 0.0))
 
 
-def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
-    """The pixels of an image or cube: ``path, hdu, plane, y, x, value``, all counted from 1; further axes run on in ``plane``."""
+def image_of(files: DataFrame, hdu: int = 0) -> DataFrame:
+    """The pixels of an image or cube in each file: ``path, hdu, plane, y, x, value``, all counted from 1; further axes run on in ``plane``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files["path"], files["content"], strict=True):
+        for rows in batches:
+            for name, content in zip(rows["path"], rows["content"], strict=True):
                 unit = next(u for i, u in enumerate(units(bytes(content))) if i == hdu)
                 cube = _pixels(unit)
                 for number, plane in enumerate(cube.reshape(-1, *((1,) * (2 - cube.ndim)), *cube.shape[-2:]), 1):
@@ -151,7 +155,11 @@ def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
                     values[np.isnan(plane.ravel())] = None
                     yield pd.DataFrame({"path": name, "hdu": hdu, "plane": number, "y": y.ravel() + 1, "x": x.ravel() + 1, "value": values})
 
-    return _files(spark, path).mapInPandas(run, PIXEL_SCHEMA)
+    return files.select("path", "content").mapInPandas(run, PIXEL_SCHEMA)
+
+
+def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
+    return image_of(_files(spark, path), hdu)
 
 
 def _columns(unit: Unit) -> list[dict]:
@@ -205,28 +213,58 @@ def _decode(unit: Unit, columns: Sequence[dict]) -> pd.DataFrame:
     return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
 
 
-def read_table(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
-    """The rows of a binary table, with ``_row`` from 1."""
+def table_of(files: DataFrame, hdu: int = 1) -> DataFrame:
+    """The rows of each file's binary table, with ``_row`` from 1 in its file."""
 
     def unit_of(content: bytes) -> Unit:
         return next(u for i, u in enumerate(units(content)) if i == hdu)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for content in files["content"]:
+        for rows in batches:
+            for content in rows["content"]:
                 yield pd.DataFrame({"kind": [", ".join(["_row long", *(f"`{c['name']}` {_spark_type(c)}" for c in _columns(unit_of(bytes(content))))])]})
 
-    schema = _files(spark, path).orderBy("path").limit(1).mapInPandas(first, "kind string").first().kind
+    files = files.select("path", "content")
+    schema = files.orderBy("path").limit(1).mapInPandas(first, "kind string").first().kind
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for content in files["content"]:
+        for rows in batches:
+            for content in rows["content"]:
                 unit = unit_of(bytes(content))
-                rows = _decode(unit, _columns(unit))
-                rows.insert(0, "_row", np.arange(1, len(rows) + 1))
-                yield rows
+                table = _decode(unit, _columns(unit))
+                table.insert(0, "_row", np.arange(1, len(table) + 1))
+                yield table
+
+    return files.mapInPandas(run, schema)
 
-    return _files(spark, path).mapInPandas(run, schema)
+
+def read_table(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
+    return table_of(_files(spark, path), hdu)
+
+
+def encode_table(columns: Mapping[str, np.ndarray], header: Mapping[str, object] | None = None) -> bytes:
+    """A binary table with its empty primary unit, from columns of one length (numbers, also of two dimensions, booleans and byte strings)."""
+    letters = {"u1": "B", "i2": "I", "i4": "J", "i8": "K", "f4": "E", "f8": "D", "c8": "C", "c16": "M"}
+    kinds, forms = [], []
+    for name, values in columns.items():
+        repeat = int(np.prod(values.shape[1:])) if values.ndim > 1 else 1
+        if values.dtype.kind == "b":
+            kinds.append((name, "S1"))
+            forms.append("1L")
+        elif values.dtype.kind == "S":
+            kinds.append((name, values.dtype))
+            forms.append(f"{values.dtype.itemsize}A")
+        else:
+            kinds.append((name, values.dtype.newbyteorder(">"), (repeat,)))
+            forms.append(f"{repeat}{letters[values.dtype.str[1:]]}")
+    n = len(next(iter(columns.values())))
+    rows = np.zeros(n, kinds)
+    for name, values in columns.items():
+        rows[name] = np.where(values, b"T", b"F") if values.dtype.kind == "b" else values if values.dtype.kind == "S" else values.reshape(n, -1)
+    head: dict[str, object] = {"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": rows.dtype.itemsize, "NAXIS2": n, "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": len(kinds)}
+    for i, (kind, form) in enumerate(zip(kinds, forms, strict=True), 1):
+        head |= {f"TTYPE{i}": kind[0], f"TFORM{i}": form}
+    return encode({"BITPIX": 8, "NAXIS": 0}) + encode(head | dict(header or {}), rows.tobytes(), primary=False)
 
 
 def kernel_from_cubes(spark: SparkSession, real: str, imaginary: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fringe.operators.gridding import Grid, contributions, inside, locate
+from fringe.operators.gridding import Grid, contributions, in_units, inside, locate
 
 SAMPLE_SCHEMA = "block int, uu double, vv double, ww double, re double, im double, weight double"
 
@@ -20,11 +20,11 @@ def read_blocks(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def streaming_grid(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid) -> DataFrame:
-    """The grid so far: ``v, u, re, im, hits``. Output mode update gives the cells that a batch changed, complete gives all."""
+def streaming_grid(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
+    """The grid so far: ``v, u, re, im, hits``, in multiples of ``unit`` if given. Output mode update gives the cells that a batch changed, complete gives all."""
     located = locate(samples, grid).join(F.broadcast(support), "w")
     rows = contributions(located, kernel, grid)
-    return rows.groupBy("v", "u").agg(F.sum("add_re").alias("re"), F.sum("add_im").alias("im"), F.count("*").alias("hits"))
+    return rows.groupBy("v", "u").agg(F.sum(in_units(F.col("add_re"), unit)).alias("re"), F.sum(in_units(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
 
 
 def streaming_skipped(samples: DataFrame, support: DataFrame, grid: Grid) -> DataFrame:
