@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-#: The marks of the template below. In texts each gets a backslash after its first character.
+#: The marks of the template below, which begin with < or [. In texts each gets a backslash after its first character.
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>")
 _NEEDS = re.compile(r"\\|" + "|".join(map(re.escape, MARKS)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -31,6 +31,8 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 def escape(text: str) -> str:
     """Backslashes are doubled and each mark gets one after its first character, so that a plain scan finds no mark."""
+    if "\\" not in text and "<" not in text and "[" not in text:
+        return text
     return _NEEDS.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
 
 
