@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringe.functions.nulls import SPEED_OF_LIGHT
+from fringe.session import spread
 
 #: Kernel cells up to which the kernel goes to every task; a larger one is joined by shuffle.
 BROADCAST_CELLS = 4_000_000
 #: Cells of a batch's dense window in the ``partial`` engine; wider batches are summed cell by cell.
 WINDOW_CELLS = 4_000_000
+#: Contributions that are computed at a time.
+CHUNK = 200_000
 
 
 @dataclass(frozen=True)
@@ -159,7 +162,7 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
     leaves the grid, contribute nothing.
     """
     names = ["uu", "vv", "ww", "re", "im", "weight"]
-    supported = with_support(locate(samples.select(*names).dropna(), grid), support, grid)
+    supported = with_support(locate(spread(samples.select(*names).dropna()), grid), support, grid)
     kind = "double" if unit is None else "bigint"
     if engine == "join":
         rows = contributions(supported, kernel, grid)
@@ -182,50 +185,79 @@ def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
     planes[:, cells["w"], cells["y"], cells["x"]] = cells[["re", "im"]].to_numpy().T
     step = grid.oversample
 
+    kind = float if unit is None else np.int64
+    # A grid that fits is summed for the whole task and given out once, a larger one batch by batch.
+    whole = grid.size**2 <= WINDOW_CELLS
+
+    def cells_of(keys: np.ndarray, columns: int, low_v: int, low_u: int, re: np.ndarray, im: np.ndarray, hits: np.ndarray) -> pa.RecordBatch:
+        v, u = keys // columns + low_v, keys % columns + low_u
+        return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(u.astype(np.int32)), pa.array(re), pa.array(im), pa.array(hits.astype(np.int64))], ["v", "u", "re", "im", "hits"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if whole:
+            all_sums, all_hits = np.zeros((2, grid.size, grid.size), kind), np.zeros((grid.size, grid.size), np.int64)
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
             c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
             low_v, low_u = int((c["gv"] - c["support"]).min()), int((c["gu"] - c["support"]).min())
             rows, columns = int((c["gv"] + c["support"]).max()) - low_v + 1, int((c["gu"] + c["support"]).max()) - low_u + 1
             dense = rows * columns <= WINDOW_CELLS
-            kind = float if unit is None else np.int64
             sums = np.zeros((2, rows * columns), kind) if dense else None
-            hits = np.zeros(rows * columns, np.int64) if dense else None
             pieces: list[tuple[np.ndarray, ...]] = []
             v_re, v_im = c["weight"] * c["re"], c["weight"] * c["im"]
             for w in np.unique(c["w"]):
                 of = np.flatnonzero(c["w"] == w)
                 s = int(c["support"][of[0]])
                 reach = np.arange(-s, s + 1)
-                # Samples of a plane go together, a few thousand footprints at a time.
-                for at in np.array_split(of, max(1, len(of) * len(reach) ** 2 // 500_000)):
-                    y = np.abs(c["off_v"][at, None] + reach * step)[:, :, None]
-                    x = np.abs(c["off_u"][at, None] + reach * step)[:, None, :]
-                    place = y * high["x"] + x
-                    k_re, k_im = planes[0, w].ravel().take(place), planes[1, w].ravel().take(place) * c["sign"][at, None, None]
-                    a_re, a_im = v_re[at, None, None], v_im[at, None, None]
-                    re, im = a_re * k_re - a_im * k_im, a_im * k_re + a_re * k_im
-                    cell = ((c["gv"][at, None] + reach - low_v)[:, :, None] * columns + (c["gu"][at, None] + reach - low_u)[:, None, :]).ravel()
+                # The kernel as each place within a cell sees it: samples of one place share a footprint.
+                places, which = np.unique(np.stack((c["off_v"][of], c["off_u"][of], c["sign"][of])), axis=1, return_inverse=True)
+                y, x = (np.abs(places[k][:, None] + reach * step) for k in (0, 1))
+                seen = (y[:, :, None] * high["x"] + x[:, None, :]).reshape(len(y), -1)
+                k_re, k_im = planes[0, w].ravel().take(seen), planes[1, w].ravel().take(seen) * places[2][:, None]
+                footprint = (reach[:, None] * columns + reach[None, :]).ravel()
+                centre = (c["gv"][of].astype(np.int64) - low_v) * columns + c["gu"][of] - low_u
+                for part in np.array_split(np.arange(len(of)), max(1, len(of) * len(footprint) // CHUNK)):
+                    at, p = of[part], which.ravel()[part]
+                    f_re, f_im = k_re.take(p, axis=0), k_im.take(p, axis=0)
+                    a_re, a_im = v_re[at, None], v_im[at, None]
+                    re, im = a_re * f_re, a_im * f_re
+                    re -= a_im * f_im
+                    im += a_re * f_im
+                    cell = (centre[part, None] + footprint).ravel()
                     if unit is not None:
-                        re, im = (np.trunc(z * (1 / unit) + np.copysign(0.5, z)) for z in (re, im))
+                        for z in (re, im):
+                            z *= 1 / unit
+                            z += np.copysign(0.5, z)
+                            np.trunc(z, out=z)
                     if dense:
-                        for k, z in enumerate((re, im)):
-                            # Rounded contributions are whole numbers: their sums in a batch are exact in double.
-                            sums[k] += np.bincount(cell, z.ravel(), rows * columns).astype(kind)
-                        hits += np.bincount(cell, minlength=rows * columns)
+                        # Rounded contributions are whole numbers: their sums in a batch are exact in double.
+                        for total, z in zip(sums, (re, im), strict=True):
+                            total += np.bincount(cell, z.ravel(), rows * columns).astype(kind, copy=False)
                     else:
                         keys, inverse = np.unique(cell, return_inverse=True)
                         pieces.append((keys, *(np.bincount(inverse, z.ravel()).astype(kind) for z in (re, im)), np.bincount(inverse)))
             if dense:
+                # Each footprint is a square: its corners, summed along both axes, count the hits.
+                corner = np.zeros((rows + 1, columns + 1), np.int64)
+                for v_end, u_end in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                    v = c["gv"] - low_v + (c["support"] + 1 if v_end else -c["support"])
+                    u = c["gu"] - low_u + (c["support"] + 1 if u_end else -c["support"])
+                    np.add.at(corner, (v, u), 1 if v_end == u_end else -1)
+                hits = corner.cumsum(0).cumsum(1)[:rows, :columns]
+                if whole:
+                    window = np.s_[low_v : low_v + rows, low_u : low_u + columns]
+                    all_hits[window] += hits
+                    for total, z in zip(all_sums, sums, strict=True):
+                        total[window] += z.reshape(rows, columns)
+                    continue
                 at = np.flatnonzero(hits)
-                pieces = [(at, sums[0, at], sums[1, at], hits[at])]
+                pieces = [(at, sums[0, at], sums[1, at], hits.ravel()[at])]
             for keys, re, im, count in pieces:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((keys // columns + low_v).astype(np.int32)), pa.array((keys % columns + low_u).astype(np.int32)), pa.array(re), pa.array(im), pa.array(count.astype(np.int64))], ["v", "u", "re", "im", "hits"]
-                )
+                yield cells_of(keys, columns, low_v, low_u, re, im, count)
+        if whole:
+            at = np.flatnonzero(all_hits)
+            yield cells_of(at, grid.size, 0, 0, all_sums[0].ravel()[at], all_sums[1].ravel()[at], all_hits.ravel()[at])
 
     return add
 
@@ -233,14 +265,13 @@ def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
 def norm(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
     """Sum of weight times the kernel's real part over all footprints, as ``norm``.
 
-    The footprint's sum depends on plane and offsets only, so samples are first summed by those and the
-    footprint is expanded once for each.
+    A sample's share depends on plane, offsets and weight only, so samples are first counted by those
+    and the footprint is expanded once for each.
     """
     supported = with_support(locate(samples.select("uu", "vv", "ww", "re", "im", "weight").dropna(), grid), support, grid)
-    if unit is not None:
-        return contributions(supported, kernel, grid).agg(F.sum(in_units(F.col("add_norm"), unit)).alias("norm"))
-    kinds = supported.where(inside(grid)).groupBy("w", "support", "off_u", "off_v").agg(F.sum("weight").alias("weight"))
-    return contributions(kinds.withColumns({"gu": F.lit(grid.size // 2), "gv": F.lit(grid.size // 2), "re": F.lit(0.0), "im": F.lit(0.0), "sign": F.lit(1)}), kernel, grid).agg(F.sum("add_norm").alias("norm"))
+    kinds = supported.where(inside(grid)).groupBy("w", "support", "off_u", "off_v", "weight").agg(F.count("*").alias("times"))
+    centred = kinds.withColumns({"gu": F.lit(grid.size // 2), "gv": F.lit(grid.size // 2), "re": F.lit(0.0), "im": F.lit(0.0), "sign": F.lit(1)})
+    return contributions(centred, kernel, grid).agg(F.sum(in_units(F.col("add_norm"), unit) * F.col("times")).alias("norm"))
 
 
 def hit_intensity(supported: DataFrame, grid: Grid, centre_only: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "fringe", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -21,3 +21,12 @@ def get_session(master: str | None = None, app: str = "fringe", shuffle_partitio
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions, for work that costs far more than moving its rows.
+
+    Tables of many files have partitions enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
