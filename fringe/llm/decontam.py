@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringe.session import spread
+
 from .scratch import materialize
 from .textset import mix, word_hashes
 
@@ -220,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if _small(benchmark, item_text_col, index_bytes):
         rows = items.distinct().orderBy("item_id", "item").collect()
         index = build_index([r.item_id for r in rows], [r.item for r in rows])
-        found = docs.select(F.col(id_col), leaks_column(F.col(text_col), index).alias("leak")).where(F.size("leak") > 0)
+        found = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), leaks_column(F.col(text_col), index).alias("leak")).where(F.size("leak") > 0)
         return found.select(id_col, F.inline("leak"))
     return _find_by_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items).withColumnRenamed("id", id_col)
 

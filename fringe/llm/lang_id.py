@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringe.session import spread
+
 WINDOW = 64
 HIDDEN = 8
 #: Bounds of the training sample: documents of a language, windows of a document.
@@ -257,5 +259,5 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows ``<id_col>, held_out, lang_pred, score``, learned from the rows that aren't held out."""
     net = fit(docs, ~held_out(F.col(id_col)), text_col, lang_col, id_col)
-    found = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), language(net, F.col(text_col)).alias("out"))
+    found = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), language(net, F.col(text_col)).alias("out"))
     return found.select(id_col, "held_out", F.col("out.lang").alias("lang_pred"), "out.score")

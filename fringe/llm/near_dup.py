@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringe.session import spread
+
 from .components import connected_components
 from .rows import take
 from .scratch import materialize
@@ -82,7 +84,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> D
                 )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, text_key long, n_shingles long, node binary, sketch array<bigint>")
+    return spread(slim).mapInArrow(run, "id long, text_key long, n_shingles long, node binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
