@@ -211,14 +211,15 @@ def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
                 s = int(c["support"][of[0]])
                 reach = np.arange(-s, s + 1)
                 # The kernel as each place within a cell sees it: samples of one place share a footprint.
-                places, which = np.unique(np.stack((c["off_v"][of], c["off_u"][of], c["sign"][of])), axis=1, return_inverse=True)
-                y, x = (np.abs(places[k][:, None] + reach * step) for k in (0, 1))
+                code = (c["off_v"][of].astype(np.int64) * 4 * step + c["off_u"][of]) * 4 + c["sign"][of]
+                _, first, which = np.unique(code, return_index=True, return_inverse=True)
+                y, x = (np.abs(c[k][of][first][:, None] + reach * step) for k in ("off_v", "off_u"))
                 seen = (y[:, :, None] * high["x"] + x[:, None, :]).reshape(len(y), -1)
-                k_re, k_im = planes[0, w].ravel().take(seen), planes[1, w].ravel().take(seen) * places[2][:, None]
+                k_re, k_im = planes[0, w].ravel().take(seen), planes[1, w].ravel().take(seen) * c["sign"][of][first][:, None]
                 footprint = (reach[:, None] * columns + reach[None, :]).ravel()
                 centre = (c["gv"][of].astype(np.int64) - low_v) * columns + c["gu"][of] - low_u
                 for part in np.array_split(np.arange(len(of)), max(1, len(of) * len(footprint) // CHUNK)):
-                    at, p = of[part], which.ravel()[part]
+                    at, p = of[part], which[part]
                     f_re, f_im = k_re.take(p, axis=0), k_im.take(p, axis=0)
                     a_re, a_im = v_re[at, None], v_im[at, None]
                     re, im = a_re * f_re, a_im * f_re

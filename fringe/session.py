@@ -29,4 +29,4 @@ def spread(df: DataFrame) -> DataFrame:
     Tables of many files have partitions enough and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
