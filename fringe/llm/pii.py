@@ -17,7 +17,9 @@ ROUNDS = 8
 FIRST_DAY, DAY_HALVES = "1700-01-01", (189, 773)
 
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-EMAIL = r"[\p{L}\p{N}._%+\-]*[\p{L}\p{N}]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+"
+# A local part is taken once, from its first character, and labels are bounded: a long run of letters costs one pass.
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+(?<=[\p{L}\p{N}])@" + _LABEL + r"(?:\." + _LABEL + r"){1,8}"
 SECRET = r"(?i:(?:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'])[0-9A-Fa-f]{16,128}(?=[\"'])"
 IBAN = _NO_WORD_BEFORE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _NO_WORD_AFTER
 DATE_YMD = r"(?<![\p{L}\p{N}\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}]|[\-/.][0-9])"
