@@ -16,7 +16,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,33 +120,45 @@ def format_conversations(
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     grouped = rows.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    @F.pandas_udf("formatted string, spans array<struct<start:int,end:int,text_start:int,text_end:int,loss:boolean>>, roles array<string>, problem string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for convs in batches:
-            yield pd.DataFrame([format_one([(t["role"], t["text"]) for t in turns], template, loss_roles) for turns in convs], columns=["formatted", "spans", "roles", "problem"])
+    id_type = rows.schema[id_col].dataType.simpleString()
 
-    return grouped.select(F.col(id_col), run("turns").alias("out")).select(id_col, "out.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [format_one([(t["role"], t["text"]) for t in turns], template, loss_roles) for turns in batch.column("turns").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([o[name] for o in out], kind) for name, kind in _FORMATTED.items())], ["id", *_FORMATTED])
+
+    # One pass of Python for each conversation: a function's column would be made again for each of its uses.
+    out = grouped.select(F.col(id_col).alias("id"), "turns").mapInArrow(run, f"id {id_type}, formatted string, spans array<struct<start:int,end:int,text_start:int,text_end:int,loss:boolean>>, roles array<string>, problem string")
+    return out.withColumnRenamed("id", id_col)
+
+
+_SPAN = pa.struct([*((name, pa.int32()) for name in ("start", "end", "text_start", "text_end")), ("loss", pa.bool_())])
+_FORMATTED = {"formatted": pa.string(), "spans": pa.list_(_SPAN), "roles": pa.list_(pa.string()), "problem": pa.string()}
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Digests of what the formatted strings hold: turns by their spans, and the text under the loss mask."""
 
-    @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans, roles in batches:
-            out = []
-            for text, marks, names in zip(texts, spans, roles, strict=True):
-                turns, loss = sha256(), []
-                for m, role in zip(marks, names, strict=True):
-                    own = unescape(text[m["text_start"] : m["text_end"]])
-                    turns.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
-                    if m["loss"]:
-                        loss.append(own)
-                under = "".join(loss)
-                out.append((len(marks), turns.hexdigest(), len(under), sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.select(id_col, run("formatted", "spans", "roles").alias("out"), "problem").select(id_col, "out.*", "problem")
+    def digests(text: str, spans: list[dict], roles: list[str]) -> tuple[int, str, int, str, int]:
+        turns, loss = sha256(), []
+        for m, role in zip(spans, roles, strict=True):
+            own = unescape(text[m["text_start"] : m["text_end"]])
+            turns.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
+            if m["loss"]:
+                loss.append(own)
+        under = "".join(loss)
+        return len(spans), turns.hexdigest(), len(under), sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+        for batch in batches:
+            out = [digests(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("formatted", "spans", "roles")), strict=True)]
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, batch.column("problem")], ["id", *kinds, "problem"])
+
+    id_type = formatted.schema[id_col].dataType.simpleString()
+    rows = formatted.select(F.col(id_col).alias("id"), "formatted", "spans", "roles", "problem")
+    return rows.mapInArrow(run, f"id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, problem string").withColumnRenamed("id", id_col)
 
 
 def with_probe_conversation(rows: DataFrame) -> DataFrame:
