@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,23 +186,29 @@ def leaks_of(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
     return out
 
 
-LEAKS = "array<struct<item_id:bigint,containment:double,consistency:double,form:string>>"
+LEAK = ("item_id", "containment", "consistency", "form")
 
 
-def leaks_column(text: Column, index: Index) -> Column:
-    """The items that leak into a text, by an index that every task holds."""
+def _leaks(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
+    """``leaks_of``, about ``SLICE_CHARS`` of text at a time."""
+    out: list[list[dict]] = []
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t or "")
+        if held > SLICE_CHARS:
+            out += leaks_of(group, index)
+            group, held = [], 0
+    return out + leaks_of(group, index)
 
-    @F.pandas_udf(LEAKS)
+
+def clean_column(text: Column, index: Index) -> Column:
+    """Whether no item leaks into a text, by an index that every task holds."""
+
+    @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out, group, held = [], [], 0
-            for t in texts:
-                group.append(t)
-                held += len(t or "")
-                if held > SLICE_CHARS:
-                    out += leaks_of(group, index)
-                    group, held = [], 0
-            yield pd.Series(out + leaks_of(group, index))
+            yield pd.Series([not found for found in _leaks(texts, index)], dtype=bool)
 
     return run(text)
 
@@ -222,9 +229,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if _small(benchmark, item_text_col, index_bytes):
         rows = items.distinct().orderBy("item_id", "item").collect()
         index = build_index([r.item_id for r in rows], [r.item for r in rows])
-        found = spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col), leaks_column(F.col(text_col), index).alias("leak")).where(F.size("leak") > 0)
-        return found.select(id_col, F.inline("leak"))
-    return _find_by_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items).withColumnRenamed("id", id_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaks = _leaks(batch.column("text").to_pylist(), index)
+                rows_ = [(i, *leak.values()) for i, found in zip(batch.column("id").to_pylist(), leaks, strict=True) for leak in found]
+                columns = list(zip(*rows_, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", *LEAK])
+
+        found = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, item_id long, containment double, consistency double, form string")
+        return found.withColumnRenamed("id", id_col)
+    return _find_by_join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), items).withColumnRenamed("id", id_col)
 
 
 def _find_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -261,7 +277,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if _small(benchmark, text_col, index_bytes):
         rows = benchmark.select(F.col("item_id").cast("long"), text_col).distinct().orderBy("item_id", text_col).collect()
         index = build_index([r[0] for r in rows], [r[1] for r in rows])
-        return docs.where(F.size(leaks_column(F.col(text_col), index)) == 0)
-    own = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    bad = find_leaks(own.select("row", text_col), benchmark, id_col="row", text_col=text_col, index_bytes=index_bytes).select("row").distinct()
-    return own.join(bad, "row", "left_anti").drop("row")
+        return docs.where(clean_column(F.col(text_col), index))
+    own = materialize(docs.withColumn("leak_row", F.monotonically_increasing_id()), "docs")
+    bad = find_leaks(own.select("leak_row", text_col), benchmark, id_col="leak_row", text_col=text_col, index_bytes=index_bytes).select("leak_row").distinct()
+    return own.join(bad, "leak_row", "left_anti").drop("leak_row")
