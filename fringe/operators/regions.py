@@ -9,7 +9,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -131,6 +131,25 @@ class Shape:
     component: int = 1
 
 
+#: Shapes that one predicate holds.
+MAX_SHAPES = 5_000
+
+
+def from_table(rows: DataFrame) -> list[Shape]:
+    """The shapes of a region table ``n, shape, parameters (array), include, component``, in the order of ``n``; up to ``MAX_SHAPES``.
+
+    A shape's name is taken in any case, and with a leading ``!`` it is excluded. A null component is the first.
+    """
+    found = rows.orderBy("n").select("shape", "parameters", "include", "component").limit(MAX_SHAPES + 1).collect()
+    if len(found) > MAX_SHAPES:
+        raise ValueError(f"more than {MAX_SHAPES} shapes")
+    out = []
+    for r in found:
+        name = r.shape.strip().lower()
+        out.append(Shape(name.lstrip("!"), tuple(map(float, r.parameters)), bool(r.include) and not name.startswith("!"), r.component or 1))
+    return out
+
+
 def inside(x: Column, y: Column, shapes: Sequence[Shape]) -> Column:
     """Whether a point lies in the region; false where a coordinate is null.
 

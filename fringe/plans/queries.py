@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringe.functions import bits, nulls, sky, strings, vectors
+from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, regions, rows
 from fringe.sources import container, fits
 from fringe.streaming import blocks
-from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, regions, rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,6 +407,13 @@ def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select_rows(a, regions.inside(F.col("p_size").cast("double"), F.col("p_retailprice") / 40.0, shapes)).select("p_partkey")
 
 
+@query("select p_partkey from part where p_size between 10 and 20 and not (p_size between 14 and 15)")
+def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter by a table of shapes."""
+    table_ = spark.createDataFrame([(2, "!Box", [14.5, 0.0, 1.0, 1e9], True, None), (1, "box", [15.0, 0.0, 10.0, 1e9], True, 1)], "n int, shape string, parameters array<double>, include boolean, component int")
+    return rows.select_rows(table(spark, sf_dir, "part"), regions.inside(F.col("p_size").cast("double"), F.col("p_retailprice"), regions.from_table(table_))).select("p_partkey")
+
+
 @query("""with a as (select p_partkey, p_size * 7.0e0 as ra1, p_size - 25.0e0 as dec1, p_retailprice / 10.0e0 as ra2, p_retailprice / 100.0e0 as dec2 from part),
 b as (select *, sin(radians(dec2 - dec1) / 2) as sd, sin(radians(ra2 - ra1) / 2) as sr from a), c as (select *, greatest(0, least(1, sd * sd + cos(radians(dec1)) * cos(radians(dec2)) * sr * sr)) as h from b)
 select p_partkey, round(degrees(2 * atan2(sqrt(h), sqrt(1 - h))), 6) as angle from c""")
@@ -541,6 +548,18 @@ def streaming_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+@query("select date_trunc('hour', ts) as start, cast(floor(value / 10) as bigint) as bin, count(*) as n from events group by 1, 2")
+def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event counts by hour and bin over a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = blocks.windowed_histogram(stream, "ts", "1 hour", "400 days", F.floor(F.col("value") / 10))
+    name = f"windows_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    blocks.run_to_table(counts, name, f"{shared.rstrip('/')}/{name}").awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "bin", "n")
+
+
 @query("select n_regionkey as group_id, n_nationkey as user_index, cast(length(n_name) + 1 as bigint) as size, true as crc_ok, n_name as text from nation")
 def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container for each region, with a chunk for each nation, encoded, cut into chunks and checked."""
