@@ -76,8 +76,7 @@ class Projection:
                 ra, dec = ra0 + F.atan2(el, c0 * ct - em * s0), F.asin(em * c0 + s0 * ct)
             case "TAN":
                 ra = ra0 + F.atan2(el, c0 - em * s0)
-                dec = F.atan(F.cos(ra - ra0) * (s0 + em * c0) / (c0 - em * s0))
-                # The same point by its direction, which holds on either side of the pole.
+                # By its direction, which holds on either side of the pole.
                 dec = F.atan2(s0 + em * c0, F.sqrt((c0 - em * s0) * (c0 - em * s0) + el * el))
             case "ARC":
                 r = F.sqrt(r2)
@@ -98,7 +97,8 @@ class Projection:
             case "MER":
                 ra = ra0 + el
                 dec = 2 * F.atan(F.exp(em + math.log(math.tan(d0 / 2 + math.pi / 4)))) - math.pi / 2
-            case "AIT":
+            case "AIT":  # the projection's own origin lies on the equator
+                em = em + s0 / math.sqrt((1 + c0) / 2)
                 z = 1 - el * el / 16 - em * em / 4
                 inside = z >= 0.5
                 w = F.sqrt(z)
@@ -144,7 +144,7 @@ class Projection:
                 el, em = da, F.ln(F.tan(d / 2 + math.pi / 4)) - math.log(math.tan(d0 / 2 + math.pi / 4))
             case "AIT":
                 w = F.sqrt((1 + cd * F.cos(da / 2)) / 2)
-                el, em = 2 * cd * F.sin(da / 2) / w, sd / w
+                el, em = 2 * cd * F.sin(da / 2) / w, sd / w - s0 / math.sqrt((1 + c0) / 2)
             case "STG":
                 inside, el, em = inside & (ct > -1), F.try_divide(2 * across, 1 + ct), F.try_divide(2 * along, 1 + ct)
         c, s = math.cos(math.radians(self.rotation)), math.sin(math.radians(self.rotation))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def block_sum(data: Column) -> Column:
     """Plain sum of a block's big-endian 32-bit words; the last is filled up with zero bytes."""
     full = F.floor((F.octet_length(data) + 3) / 4).cast("int")
