@@ -41,7 +41,8 @@ from .rows import take
 from .scratch import materialize
 from .textset import shingle_sets
 
-SLICE_BYTES = 2 << 20
+#: With their separators such slices stay below 2 MB, a power of two.
+SLICE_BYTES = 1_900_000
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -160,8 +161,10 @@ def _components(
 
     # Inverted lists, rarest values first.
     values = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    df = values.groupBy("value").agg(F.count("*").alias("df"))
-    shared = values.join(df.where("df > 1"), "value")
+    # Counts by value are written before they are joined: both sides of the join are then plain shuffles,
+    # whose large partitions (a value that very many nodes retain) Spark splits.
+    df = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    shared = values.join(df, "value")
     by_node = Window.partitionBy("node").orderBy("df", "value")
     # Values of one node only rank first; they are counted, not carried.
     ranked = shared.withColumn("rank", F.row_number().over(by_node) + F.col("size") - F.count("*").over(Window.partitionBy("node")))
@@ -171,7 +174,7 @@ def _components(
     lists = materialize(lists, "lists")
 
     count = lists.groupBy("value").agg(F.count("*").alias("m"), F.max(F.struct("ordinary", "node")).getField("node").alias("centre"))
-    count = count.where("m > 1")
+    count = materialize(count.where("m > 1"), "count")
     near_size = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
     small = lists.join(count.where(F.col("m") <= small_list).select("value"), "value").select("value", "node", "n")
     small = materialize(small, "small")
@@ -203,7 +206,7 @@ def near_duplicates(
     """Rows ``<id_col>, n_shingles, component_id, kept`` for every row of ``docs`` (module docstring).
 
     ``overlap`` belongs to ``k`` and ``percent``: of the k smallest hashes of a union, each is shared
-    with chance ``percent``/100 at least, and fewer than 13 of 32 has chance 1.6e-7 at 80 %.
+    with chance ``percent``/100 at least, and fewer than 13 of 32 has chance 1.9e-7 at 80 %.
     """
     out = _components(docs, id_col, text_col, width, percent, k, overlap, small_list)
     component_id = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component"))
@@ -239,18 +242,20 @@ def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
 
     listed = rooted(long_lists.select("value", "node"))
     open_lists = listed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    open_lists = materialize(open_lists, "open_lists")
     open_nodes = materialize(listed.join(open_lists, "value").select("node").distinct(), "open")
     if open_nodes.isEmpty():
         return roots
     full = open_nodes.join(sets, "node").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
-    df = full.groupBy("value").agg(F.count("*").alias("df"))
-    shared = full.join(df.where("df > 1"), "value")
+    df = materialize(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    shared = full.join(df, "value")
     by_node = Window.partitionBy("node").orderBy("df", "value")
     own = F.col("n") - F.count("*").over(Window.partitionBy("node"))
     prefix = shared.withColumn("own", own).withColumn("place", F.row_number().over(by_node) - 1 + F.col("own"))
     prefix = materialize(prefix.where(f"place <= n - ({percent} * n + 99) div 100").select("value", "node", "n", "own", "place"), "prefix")
 
     hubs = prefix.groupBy("value").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node")).getField("node").alias("hub"))
+    hubs = materialize(hubs, "hubs")
     to_hub = prefix.join(hubs, "value").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     roots = _grow(roots, _compare(_both(to_hub, sets, "hashes"), exact))
 
@@ -258,7 +263,7 @@ def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     prefix = rooted(prefix)
     sizes = prefix.groupBy("value", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = prefix.join(main.select("value", "main"), "value")
+    mixed = prefix.join(materialize(main.select("value", "main"), "main"), "value")
     few = mixed.where("root <> main").drop("main")
     other = mixed.select("value", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     needed = f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}"

@@ -7,7 +7,6 @@ batch is one byte array and every step below is a pass over it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 
@@ -30,16 +29,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(_BASE)
-    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 2**64)))
+_tables = [np.zeros(0, np.uint64)] * 2
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse by 2^64: a word's polynomial, whatever its place."""
-    power, inverse = _power_tables(1 << max(16, (size - 1).bit_length()))
-    return power[:size], inverse[:size]
+    """Powers of an odd base and of its inverse by 2^64: a word's polynomial, whatever its place. One table serves all sizes."""
+    if len(_tables[0]) < size:
+        length, base = 1 << max(16, (size - 1).bit_length()), int(_BASE)
+        _tables[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(length - 1, x, np.uint64)))) for x in (base, pow(base, -1, 2**64))]
+    return _tables[0][:size], _tables[1][:size]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
