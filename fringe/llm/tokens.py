@@ -32,6 +32,8 @@ END_ID = 1
 MARK = "\0"
 #: Words whose ids a worker remembers before it starts afresh, and how many it gathers before it sorts them in.
 REMEMBERED, RECENT = 2_000_000, 100_000
+#: Words that the library encodes at a time; its results take far more memory than the ids.
+ENCODED_WORDS = 10_000
 
 FORMAT_OPTIONS = {
     "compression": "zstd",
@@ -116,7 +118,8 @@ class Encoder:
         missing = missing[~known]
         if not len(missing):
             return out
-        flat, sizes = self._encode_words([word(i).decode("utf-8") for i in missing])
+        parts = [self._encode_words([word(i).decode("utf-8") for i in missing[a : a + ENCODED_WORDS]]) for a in range(0, len(missing), ENCODED_WORDS)]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.pool[self.used : self.used + len(flat)] = flat
