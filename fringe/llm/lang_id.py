@@ -28,11 +28,15 @@ BATCH = 256
 #: Windows that a task holds at a time.
 TASK_WINDOWS = 4096
 UNDETERMINED = "und"
+#: Length classes of a text: up to 64, 256, 1024, 4096 bytes, and longer.
+LENGTH_BOUNDS = (64, 256, 1024, 4096)
+#: A length class's floor lies ``OF_GAP`` of the way from even scores to the score that all but ``LOW_SHARE`` of its labelled texts reach, if it has ``FLOOR_ROWS`` of them.
+LOW_SHARE, OF_GAP, FLOOR_ROWS, HIGHEST_FLOOR = 0.005, 0.8, 20, 0.9
 
 
 @dataclass
 class Network:
-    """Weights of both directions: input tables (2, 256, 3H), recurrent (2, H, 3H), bias of the candidate's recurrent part (2, H), output (2H, C), (C)."""
+    """Weights of both directions: input tables (2, 256, 3H), recurrent (2, H, 3H), bias of the candidate's recurrent part (2, H), output (2H, C), (C); and which bytes the training windows hold."""
 
     languages: list[str]
     table: np.ndarray
@@ -40,6 +44,7 @@ class Network:
     inner: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray | None = None
 
     @property
     def hidden(self) -> int:
@@ -142,6 +147,7 @@ def train(windows: Sequence[bytes], labels: Sequence[str], hidden: int = HIDDEN,
     if len(languages) < 2:
         return net
     codes, mask = _lay_out(windows)
+    net.seen = np.bincount(codes[mask], minlength=256) > 0
     classes = np.array([languages.index(x) for x in labels])
     names = ("table", "recurrent", "inner", "out", "bias")
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
@@ -166,8 +172,11 @@ def _lay_out(windows: Sequence[bytes], width: int = WINDOW) -> tuple[np.ndarray,
     return np.ascontiguousarray(codes.T), np.arange(width)[:, None] < sizes[None, :]
 
 
-def document_probabilities(net: Network, texts: Sequence[str], task_windows: int = TASK_WINDOWS) -> np.ndarray:
-    """Mean position probabilities (documents, languages) over every byte of every text."""
+def document_probabilities(net: Network, texts: Sequence[str], task_windows: int = TASK_WINDOWS, unseen_even: bool = False) -> np.ndarray:
+    """Mean position probabilities (documents, languages) over every byte of every text.
+
+    With ``unseen_even`` a byte that the training windows don't hold counts evenly for all languages, as nothing was learned about it.
+    """
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
     counts = -(-sizes // WINDOW)
@@ -183,19 +192,16 @@ def document_probabilities(net: Network, texts: Sequence[str], task_windows: int
         codes = np.ascontiguousarray(data[rows].T)
         mask = np.arange(WINDOW)[:, None] < in_window[rows][None, :]
         probs = _predict(net, _forward(net, codes, mask))
+        if unseen_even and net.seen is not None and not net.seen[codes].all():
+            probs[~net.seen[codes]] = 1 / len(net.languages)
         if not mask.all():
             probs *= mask[..., None]
         np.add.at(sums, owner[rows], probs.sum(0))
     return sums / np.maximum(sizes, 1)[:, None]
 
 
-def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, **options) -> Network | None:
-    """A network from labelled rows of ``docs`` for which ``usable`` holds; None if there are none.
-
-    The sample is ``docs_per_language`` documents of each language (about; chosen by a hash of the id)
-    and ``windows_per_doc`` windows of each, spread over the whole text: a documented bound, so what
-    reaches the driver doesn't grow with the table.
-    """
+def _sample(docs: DataFrame, usable: Column | None, text_col: str, lang_col: str, id_col: str, docs_per_language: int) -> DataFrame | None:
+    """About ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     if usable is not None:
         labelled = labelled.where(usable)
@@ -207,6 +213,19 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
     for lang, n in sorted(counts.items()):
         limit = F.lit(docs_per_language / n)
         share = F.when(F.col(lang_col) == lang, limit) if share is None else share.when(F.col(lang_col) == lang, limit)
+    return labelled.where(chance < share)
+
+
+def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, **options) -> Network | None:
+    """A network from labelled rows of ``docs`` for which ``usable`` holds; None if there are none.
+
+    The sample is ``docs_per_language`` documents of each language (about; chosen by a hash of the id)
+    and ``windows_per_doc`` windows of each, spread over the whole text: a documented bound, so what
+    reaches the driver doesn't grow with the table.
+    """
+    labelled = _sample(docs, usable, text_col, lang_col, id_col, docs_per_language)
+    if labelled is None:
+        return None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -217,14 +236,14 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
                 out += [(id_, lang, data[p : p + WINDOW]) for p in places]
             yield pd.DataFrame(out, columns=["id", "lang", "window"])
 
-    chosen = labelled.where(chance < share).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = sorted((r.lang, r.id or "", bytes(r.window)) for r in chosen.mapInPandas(cut, "id string, lang string, window binary").collect())
     if not sample:
         return None
     return train([w for _, _, w in sample], [lang for lang, _, _ in sample], **options)
 
 
-def language(net: Network | None, text: Column) -> Column:
+def language(net: Network | None, text: Column, unseen_even: bool = False) -> Column:
     """struct<lang string, score double> of a text column: the language of the largest pooled probability.
 
     ``und`` with score 0 for a null text and one without a letter, and for every text without a network.
@@ -241,7 +260,7 @@ def language(net: Network | None, text: Column) -> Column:
                 held += len(texts.iloc[i])
                 if held > 4 << 20 or k == len(rows) - 1:
                     group = rows[start : k + 1]
-                    probs = document_probabilities(net, [texts.iloc[j] for j in group])
+                    probs = document_probabilities(net, [texts.iloc[j] for j in group], unseen_even=unseen_even)
                     best = probs.argmax(1)
                     lang[group] = np.array(net.languages, object)[best]
                     score[group] = np.minimum(1.0, probs[np.arange(len(group)), best])
@@ -251,6 +270,37 @@ def language(net: Network | None, text: Column) -> Column:
     return run(text)
 
 
+def score_floors(net: Network, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> list[float]:
+    """For each length class the score (with ``unseen_even``) below which a text is in none of the languages.
+
+    It is set on a bounded sample of the labelled texts so that these stay, and lies above even scores however many
+    languages there are (two at least: of one the score is always 1). Longer texts score more surely, so a class of fewer than ``FLOOR_ROWS`` rows takes the floor of the
+    next shorter one; without a shorter one it has none (0).
+    """
+    labelled = _sample(docs, None, text_col, lang_col, id_col, docs_per_language)
+    if labelled is None:
+        return [0.0] * (len(LENGTH_BOUNDS) + 1)
+    scored = spread(labelled.select(F.col(text_col).alias("text"))).select(F.octet_length("text").alias("size"), language(net, F.col("text"), unseen_even=True).alias("found"))
+    rows = scored.where(F.col("found.lang") != UNDETERMINED).select("size", "found.score").collect()
+    of_class: list[list[float]] = [[] for _ in range(len(LENGTH_BOUNDS) + 1)]
+    for size, score in rows:
+        of_class[int(np.searchsorted(LENGTH_BOUNDS, size))].append(score)
+    even = 1 / len(net.languages)
+    floors: list[float] = []
+    for scores in of_class:
+        shorter = floors[-1] if floors else 0.0
+        floors.append(min(HIGHEST_FLOOR, even + OF_GAP * (float(np.quantile(scores, LOW_SHARE, method="lower")) - even)) if len(scores) >= FLOOR_ROWS else shorter)
+    return floors
+
+
+def floor_of(text: Column, floors: Sequence[float]) -> Column:
+    """The floor of a text's length class."""
+    out = F.lit(floors[-1])
+    for bound, floor in reversed(list(zip(LENGTH_BOUNDS, floors[:-1], strict=True))):
+        out = F.when(F.octet_length(text) <= bound, floor).otherwise(out)
+    return out
+
+
 def held_out(id_: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text leaves no remainder; a null id counts as learned from."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % folds == 0, F.lit(False))
