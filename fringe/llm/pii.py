@@ -21,11 +21,41 @@ _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+(?<=[\p{L}\p{N}])@" + _LABEL + r"(?:\." + _LABEL + r"){1,8}"
 SECRET = r"(?i:(?:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'])[0-9A-Fa-f]{16,128}(?=[\"'])"
-IBAN = _NO_WORD_BEFORE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + _NO_WORD_AFTER
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(countries: str, length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}{f' [A-Z0-9]{{{rest}}}' if rest else ''})"
+
+
+# Of a country without a known length any from 15 to 34 characters may be one.
+_IBAN_OF_OTHERS = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,4}})?)"
+IBAN = _NO_WORD_BEFORE + "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join([_iban(c, n) for n, c in IBAN_LENGTHS.items()] + [_IBAN_OF_OTHERS]) + ")" + _NO_WORD_AFTER
 DATE_YMD = r"(?<![\p{L}\p{N}\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}]|[\-/.][0-9])"
 DATE_DMY = r"(?<![\p{L}\p{N}\-/.])[0-9]{2}([/.\-])[0-9]{2}\1[0-9]{4}(?![\p{L}\p{N}]|[\-/.][0-9])"
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])"
-PHONE = r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){1,4}" + _NO_WORD_AFTER
+# A phone number ends where another value begins. North American numbers have ten digits after +1. In others groups may be
+# separated by blanks and then by dots or hyphens, but no blank follows those, and a group after a blank begins no date, IP
+# address, SSN, card or decimal number. From 8 to 15 digits, as many as there are.
+_OTHER_NUMBER = (
+    r"(?![0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.|-[0-9]{2}-)[0-9]{4}(?![0-9])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
+    r"|[0-9]{4}(?:-[0-9]{4}){3}(?![0-9])|[0-9]{4}(?: [0-9]{4}){3}(?![0-9]| [0-9]{4}(?![0-9./\-]))|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![0-9])|[0-9]{13})"
+)
+_DIGIT = r"[ .\-()]{0,2}[0-9]"
+_DIGITS_MORE = f"(?:{_DIGIT}" * 7 + ")?" * 7  # written out: a look-behind may hold no repeated group
+_NORTH_AMERICA = r"1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
+_ELSEWHERE = (
+    rf"[0-9]{{1,3}}(?:[.\-]?| {_OTHER_NUMBER})(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[.\-]?| {_OTHER_NUMBER})[0-9]{{2,12}}"
+    rf"(?: {_OTHER_NUMBER}(?![0-9]+[.,:/][0-9])[0-9]{{2,12}}){{0,3}}(?:[.\-][0-9]{{2,12}}){{0,3}}(?<=\+{_DIGIT * 8}{_DIGITS_MORE})"
+)
+PHONE = rf"(?<![\p{{L}}\p{{N}}+])\+(?:{_NORTH_AMERICA}{_NO_WORD_AFTER}|{_ELSEWHERE}{_NO_WORD_AFTER})"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 CARD = r"(?<![\p{L}\p{N}.\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![\p{L}\p{N}]|[.\-][0-9])"
 ANY = "|".join(p.replace(r"\1", r"\k<sep>").replace(r"([/.\-])", r"(?<sep>[/.\-])") for p in (EMAIL, SECRET, IBAN, DATE_YMD, DATE_DMY, IP, PHONE, SSN, CARD))

@@ -73,3 +73,36 @@ def test_long_text_and_empty_table(spark):
     assert [got[i].n_found for i in (1, 2, 3)] == [0, 0, 0]
     assert got[0].n_found == 5000 and len(set(re.findall(r"[\d.]{7,}", got[0].text))) == 1
     assert pii.pseudonymize(spark.createDataFrame([], SCHEMA), KEY).count() == 0
+
+
+VALUES = {
+    "email": ["a.b9@mail.example.com"],
+    "secret": ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'],
+    "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "BE68 5390 0754 7034", "NO93 8601 1117 947"],
+    "date": ["2024-05-17", "28/02/1987", "28.02.1987"],
+    "ip": ["192.168.10.20", "10.0.255.1"],
+    "phone": ["+1 (168) 555-5254", "+1 168 555 5254", "+11685555254", "+49 30 123456", "+44 20 7946 0958", "+33 12-34-56-78-90", "+49 (30) 1234-5678"],
+    "ssn": ["123-45-6789"],
+    "card": ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"],
+}
+
+
+def test_each_kind_directly_after_each(spark):
+    one = [(k, v) for k, values in VALUES.items() for v in values]
+    pairs = [((k, v), (m, w)) for k, v in one for m, w in one]
+    texts = [v for _, v in one] + [f"{v} {w}" for (_, v), (_, w) in pairs]
+    got = run(spark, texts)
+    alone = {v: got[i].text for i, (_, v) in enumerate(one)}
+    assert [got[i].kinds for i in range(len(one))] == [k for k, _ in one]
+    wrong = [(v, w, got[len(one) + i].kinds) for i, ((k, v), (m, w)) in enumerate(pairs) if got[len(one) + i].kinds != f"{k},{m}" or got[len(one) + i].text != f"{alone[v]} {alone[w]}"]
+    assert not wrong
+
+
+def test_phone_stops_at_plain_numbers(spark):
+    phones = ["+1 (168) 555-5254", "+1-168-555-5254", "+1 168 555 5254", "+33 12-34-56-78-90", "+49 (30) 1234-5678"]
+    tails = ["12 apples", "2024", "12.5 kg", "1234 5678 9012"]
+    got = run(spark, phones + [f"{p} {t}" for p in phones for t in tails] + ["+49 30 1234 5678 9012 34", "+49 30 1234567 12.50"])
+    for i, p in enumerate(phones):
+        assert got[i].kinds == "phone" and got[i].text != p
+        assert [got[len(phones) + i * len(tails) + j].text for j in range(len(tails))] == [f"{got[i].text} {t}" for t in tails]
+    assert [r.kinds for i, r in sorted(got.items())[-2:]] == ["phone", "phone"] and got[len(got) - 1].text.endswith(" 12.50")
