@@ -3,7 +3,8 @@
 A text's template has typed placeholders for numbers, units and names; a re-parameterised question
 keeps its template. Windows of five template words are joined by hash with those of the benchmark,
 and an item leaks into a document if at least 80 % of its windows occur there close together and its
-slots are filled consistently: what one number or name of the item became, it became everywhere.
+slots are filled consistently: what one number or name of the item became, it became everywhere. Where
+a document holds the template several times, one such place is enough.
 
 Two templates are compared, as a capital may be a name or a sentence's start: with every capitalised
 word as a name slot, and with none. Windows of fewer than three literal words say too little and are
@@ -129,8 +130,51 @@ def _slots(text: str, form: str) -> list[str | None]:
     return [next(rest) if w in marks else None for w in words]
 
 
+def _leaks_in(share: float, agree: float) -> bool:
+    return 100 * share >= PERCENT and 100 * agree >= CONSISTENT_PERCENT
+
+
+def _judge(hits: Sequence[tuple[int, int, int]], n_item: int, item_slots: Sequence[str | None], text_slots: Sequence[str | None]) -> tuple[float, float]:
+    """Containment and consistency of hits (text place, item place, hash)."""
+    filled: dict[str, dict[int, str | None]] = defaultdict(dict)
+    for p, q, _ in hits:
+        for j in range(WIDTH):
+            if item_slots[q + j] is not None:
+                filled[item_slots[q + j]][q + j] = text_slots[p + j]
+    # Only a value that the item repeats can be filled inconsistently.
+    again = [Counter(f.values()) for f in filled.values() if len(f) > 1]
+    agree = sum(max(c.values()) for c in again) / sum(sum(c.values()) for c in again) if again else 1.0
+    return len({h for *_, h in hits}) / n_item, agree
+
+
+def _alignments(pairs: Sequence[tuple[int, int, int]], n_item: int, length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Of pairs (text place, item place, hash) those of each alignment (text place less item place) that may hold ``PERCENT`` of the item.
+
+    First by the alignment alone, then with what inserted or missing words have moved by less than half the item: of
+    each item place the hit that moved least.
+    """
+    ordered = sorted(pairs, key=lambda x: x[0] - x[1])
+    shifts = np.array([p - q for p, q, _ in ordered])
+    drift = length // 2
+    for shift in np.unique(shifts).tolist():
+        for reach in sorted({0, drift}):
+            near = ordered[np.searchsorted(shifts, shift - reach) : np.searchsorted(shifts, shift + reach, "right")]
+            if 100 * len(near) < PERCENT * n_item:
+                continue
+            of_place: dict[int, tuple[int, int, int]] = {}
+            for x in near:
+                old = of_place.get(x[1])
+                if old is None or abs(x[0] - x[1] - shift) < abs(old[0] - old[1] - shift):
+                    of_place[x[1]] = x
+            yield list(of_place.values())
+
+
 def compare(text: str, item: str, form: str) -> tuple[float, float]:
-    """Containment of the item's windows in the best stretch of the text, and the share of its repeated slots that are filled consistently there."""
+    """Containment of the item's windows in a stretch of the text, and the share of its repeated slots that are filled consistently there.
+
+    Of the stretches in which the item leaks, the one with the largest; only if it leaks in none, the largest of all.
+    A stretch is a run of close hits, or one alignment of the item with the text.
+    """
     h_item, _, p_item = windows([item], form)
     h_text, _, p_text = windows([text], form)
     if not len(h_item):
@@ -141,26 +185,27 @@ def compare(text: str, item: str, form: str) -> tuple[float, float]:
     hits = [(p, h) for h, p in zip(h_text.tolist(), p_text.tolist(), strict=True) if h in places]
     if not hits:
         return 0.0, 0.0
-    reach = 2 * (int(p_item.max()) + WIDTH)
+    length = int(p_item.max()) + WIDTH
+    reach = 2 * length
     runs, start = [], 0
     for k in range(1, len(hits) + 1):
         if k == len(hits) or hits[k][0] - hits[k - 1][0] > reach:
             runs.append(hits[start:k])
             start = k
     item_slots, text_slots = _slots(item, form), _slots(text, form)
-    best = (0.0, 0.0)
-    for run in runs:
-        filled: dict[str, dict[int, str | None]] = defaultdict(dict)
-        for p, h in run:
-            q = min(places[h], key=lambda q, p=p: abs((p - q) - (run[0][0] - min(places[run[0][1]]))))
-            for j in range(WIDTH):
-                if item_slots[q + j] is not None:
-                    filled[item_slots[q + j]][q + j] = text_slots[p + j]
-        # Only a value that the item repeats can be filled inconsistently.
-        again = [Counter(f.values()) for f in filled.values() if len(f) > 1]
-        agree = sum(max(c.values()) for c in again) / sum(sum(c.values()) for c in again) if again else 1.0
-        best = max(best, (len({h for _, h in run}) / len(places), agree))
-    return best
+
+    def best_of(stretches: Iterator[list[tuple[int, int, int]]]) -> tuple[bool, float, float]:
+        return max(((_leaks_in(*found), *found) for hits_ in stretches for found in [_judge(hits_, len(places), item_slots, text_slots)]), default=(False, 0.0, 0.0))
+
+    def whole(run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        first = run[0][0] - min(places[run[0][1]])
+        return [(p, min(places[h], key=lambda q, p=p: abs((p - q) - first)), h) for p, h in run]
+
+    best = best_of(whole(run) for run in runs)
+    if not best[0]:  # a run may hold the item several times, with slots filled in different ways
+        several = [[(p, q, h) for p, h in run for q in places[h]] for run in runs if 100 * len({h for _, h in run}) >= PERCENT * len(places)]
+        best = max(best, best_of(x for pairs in several for x in _alignments(pairs, len(places), length)))
+    return best[1:]
 
 
 def leaks_of(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
@@ -181,7 +226,7 @@ def leaks_of(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
             if 100 * n >= PERCENT * index.sizes[form][item]:
                 seen.setdefault((i, item), form)
                 share, agree = compare(texts[i] or "", index.texts[item], form)
-                if 100 * share >= PERCENT and 100 * agree >= CONSISTENT_PERCENT and not any(x["item_id"] == index.ids[item] for x in out[i]):
+                if _leaks_in(share, agree) and not any(x["item_id"] == index.ids[item] for x in out[i]):
                     out[i].append({"item_id": index.ids[item], "containment": share, "consistency": agree, "form": form})
     return out
 

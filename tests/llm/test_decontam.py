@@ -39,3 +39,18 @@ def test_template_and_values():
     values = []
     assert decontam.template("Anna paid $5.50 for 3 km, x4", "names", values).split() == [b"\x02", b"paid", b"\x03", b"\x01", b"for", b"\x01", b"\x03", b"x", b"\x01"]
     assert values == ["anna", "$", "5.50", "3", "km", "4"]
+
+
+def test_inconsistent_twins_do_not_hide_a_leak():
+    same = ITEM.replace("Alice", "Bob").replace("3", "7").replace("5", "12")
+    odd = ITEM.replace("Alice has", "Bob has").replace("does Alice", "does Carl").replace("has 3", "has 7").replace("wants 3", "wants 8")
+    cut = " ".join(same.split()[:-2])  # without its last words
+    longer = same.replace("red", "big red")
+    stray = "how many apples does Dora need to buy if she wants 9 more boxes"
+    far = " ".join(["filler"] * 200)
+    index = decontam.build_index([10], [ITEM])
+    leaks = lambda text: [x["item_id"] for x in decontam.leaks_of([text], index)[0]]
+    for true in (same, cut, longer):
+        for text in (true, f"{true} {odd}", f"{odd} {true}", f"{odd} {true} {odd}", f"{odd} {far} {true}", f"{true} {far} {odd}", f"{odd} {far} {true} {far} {odd}", f"{true} {stray}", f"{stray} {true}"):
+            assert leaks(text) == [10], text
+    assert leaks(f"{odd} {odd}") == leaks(f"{odd} {far} {odd}") == leaks(f"{stray} {odd}") == []
