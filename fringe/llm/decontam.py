@@ -8,7 +8,9 @@ a document holds the template several times, one such place is enough.
 
 Two templates are compared, as a capital may be a name or a sentence's start: with every capitalised
 word as a name slot, and with none. Windows of fewer than three literal words say too little and are
-not used; an item without any usable window can't be searched for and is never reported.
+not used. An item without any usable window in either is one window of all its words, with its numbers,
+names and arithmetic signs, and leaks where these follow one another (form ``verbatim``); one without a
+word holds nothing to find.
 """
 
 from __future__ import annotations
@@ -56,6 +58,12 @@ _CONTROL = re.compile(f"[{NUM}{NAME}{UNIT}]")
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 _STEP = np.random.default_rng(77).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 FORMS = ("names", "literal")
+VERBATIM = "verbatim"
+#: Words of a whole item by which it is first looked for.
+KEY_WORDS = 5
+_SIGNS = r"+*/=<>^%$€£°−×÷"
+# Numbers, signs, characters of scripts without spaces, and runs of anything else but white space and punctuation.
+_WORD = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|[{re.escape(_SIGNS)}]|(?<=[0-9])\s*-(?=\s*[0-9])|[\u3040-\u30ff\u3400-\u9fff]|[^\s0-9!-/:-@\[-`{{-~“”‘’«»„…–—¿¡。，、？！：；\u3040-\u30ff\u3400-\u9fff{re.escape(_SIGNS)}]+")
 
 
 def template(text: str, form: str, values: list[str] | None = None) -> bytes:
@@ -97,15 +105,43 @@ def windows(texts: Sequence[str | None], form: str) -> tuple[np.ndarray, np.ndar
     return mix(rolled[which] + np.uint64(FORMS.index(form))), owner[which], which - at[owner[which]]
 
 
+def all_words(text: str | None) -> list[str]:
+    return [w.strip() for w in _WORD.findall((text or "").lower())]
+
+
+def _key_hashes(texts: Sequence[str | None], widths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and place of every window of each width (up to ``KEY_WORDS``) over all words of the texts."""
+    words, at = word_hashes([" ".join(all_words(t)) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for width in widths:
+        n = len(words) - width + 1
+        if n <= 0:
+            continue
+        rolled = np.zeros(n, np.uint64)
+        for j in range(width):
+            rolled += words[j : j + n] * _STEP[j]
+        which = np.flatnonzero(owner[:n] == owner[width - 1 :])
+        found.append((mix(rolled[which] + np.uint64(len(FORMS) + width)), owner[which], which - at[owner[which]]))
+    hashes, owners, places = zip(*found, strict=True)
+    return np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+
+
 @dataclass
 class Index:
-    """Windows of the benchmark: sorted hashes, the items (by number) that have each, and each item's text and window counts."""
+    """Windows of the benchmark: sorted hashes, the items (by number) that have each, and each item's text and window counts.
+
+    ``whole`` has the words of the items without a usable window, by number, and ``keys`` those items by the hash of
+    their first ``KEY_WORDS`` words.
+    """
 
     hashes: np.ndarray
     items: dict[int, list[int]]
     ids: list
     texts: list[str]
     sizes: dict[str, list[int]]
+    whole: dict[int, list[str]]
+    keys: dict[int, list[int]]
 
 
 def build_index(ids: Sequence, texts: Sequence[str | None]) -> Index:
@@ -118,7 +154,11 @@ def build_index(ids: Sequence, texts: Sequence[str | None]) -> Index:
             items[h].append(i)
         count = Counter(i for _, i in pairs)
         sizes[form] = [count[i] for i in range(len(texts))]
-    return Index(np.array(sorted(items), np.uint64), dict(items), list(ids), [t or "" for t in texts], sizes)
+    whole = {i: found for i in range(len(texts)) if not any(sizes[form][i] for form in FORMS) and (found := all_words(texts[i]))}
+    keys: dict[int, list[int]] = defaultdict(list)
+    for i, words in whole.items():
+        keys[int(_key_hashes([texts[i]], [min(KEY_WORDS, len(words))])[0][0])].append(i)
+    return Index(np.array(sorted(items), np.uint64), dict(items), list(ids), [t or "" for t in texts], sizes, whole, dict(keys))
 
 
 def _slots(text: str, form: str) -> list[str | None]:
@@ -228,9 +268,27 @@ def leaks_of(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
                 share, agree = compare(texts[i] or "", index.texts[item], form)
                 if _leaks_in(share, agree) and not any(x["item_id"] == index.ids[item] for x in out[i]):
                     out[i].append({"item_id": index.ids[item], "containment": share, "consistency": agree, "form": form})
+    if index.whole:
+        _add_whole(texts, index, out)
     return out
 
 
+def _add_whole(texts: Sequence[str | None], index: Index, out: list[list[dict]]) -> None:
+    """Add the items without a usable window whose words all follow one another in a text."""
+    hashes, owner, place = _key_hashes(texts, sorted({min(KEY_WORDS, len(w)) for w in index.whole.values()}))
+    met = np.flatnonzero(np.isin(hashes, np.array(list(index.keys), np.uint64)))
+    words: tuple[int, list[str]] = (-1, [])
+    for k in met[np.argsort(owner[met], kind="stable")].tolist():
+        i, p = int(owner[k]), int(place[k])
+        for item in index.keys[int(hashes[k])]:
+            if any(x["item_id"] == index.ids[item] for x in out[i]):
+                continue
+            if words[0] != i:
+                words = (i, all_words(texts[i]))
+            if words[1][p : p + len(index.whole[item])] == index.whole[item]:
+                out[i].append({"item_id": index.ids[item], "containment": 1.0, "consistency": 1.0, "form": VERBATIM})
+
+
 LEAK = ("item_id", "containment", "consistency", "form")
 
 
@@ -289,20 +347,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _find_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "row long, form string, hash long"
+
+    def explode(widths: Sequence[int]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for start in range(0, len(rows), 64):
+                    part = rows.iloc[start : start + 64]
+                    for form in (*FORMS, VERBATIM):
+                        if form == VERBATIM and not widths:
+                            continue
+                        hashes, owner, _ = _key_hashes(part["text"].tolist(), widths) if form == VERBATIM else windows(part["text"].tolist(), form)
+                        yield pd.DataFrame({"row": part["row"].to_numpy()[owner], "form": form, "hash": hashes.view(np.int64)}).drop_duplicates()
+
+        return run
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for start in range(0, len(rows), 64):
-                part = rows.iloc[start : start + 64]
-                for form in FORMS:
-                    hashes, owner, _ = windows(part["text"].tolist(), form)
-                    yield pd.DataFrame({"row": part["row"].to_numpy()[owner], "form": form, "hash": hashes.view(np.int64)}).drop_duplicates()
+            index = build_index(rows["row"].tolist(), rows["text"].tolist())
+            found = [(index.ids[i], min(KEY_WORDS, len(index.whole[i])), h) for h, members in index.keys.items() for i in members]
+            out = pd.DataFrame({"row": [x[0] for x in found], "width": [x[1] for x in found], "hash": np.array([x[2] for x in found], np.uint64).view(np.int64)})
+            yield out.astype({"row": "int64", "width": "int64"})
 
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
     items = materialize(items.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
-    schema = "row long, form string, hash long"
-    of_items = items.select("row", F.col("item").alias("text")).mapInPandas(explode, schema).select(F.col("row").alias("item_row"), "form", "hash")
+    item_texts = items.select("row", F.col("item").alias("text"))
+    of_whole = materialize(item_texts.mapInPandas(whole, "row long, width long, hash long"), "whole")
+    widths = sorted(r.width for r in of_whole.select("width").distinct().collect())
+    of_items = item_texts.mapInPandas(explode([]), schema).unionByName(of_whole.select("row", F.lit(VERBATIM).alias("form"), "hash")).withColumnRenamed("row", "item_row")
+    met = docs.select("row", "text").mapInPandas(explode(widths), schema).join(of_items, ["form", "hash"])
     sizes = of_items.groupBy("item_row", "form").agg(F.count("*").alias("size"))
-    met = docs.select("row", "text").mapInPandas(explode, schema).join(of_items, ["form", "hash"])
     likely = met.groupBy("row", "item_row", "form").agg(F.count("*").alias("n")).join(sizes, ["item_row", "form"]).where(f"100 * n >= {PERCENT} * size")
     pairs = likely.select("row", "item_row").distinct().join(docs, "row").join(items.withColumnRenamed("row", "item_row"), "item_row")
 

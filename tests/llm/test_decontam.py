@@ -54,3 +54,16 @@ def test_inconsistent_twins_do_not_hide_a_leak():
         for text in (true, f"{true} {odd}", f"{odd} {true}", f"{odd} {true} {odd}", f"{odd} {far} {true}", f"{true} {far} {odd}", f"{odd} {far} {true} {far} {odd}", f"{true} {stray}", f"{stray} {true}"):
             assert leaks(text) == [10], text
     assert leaks(f"{odd} {odd}") == leaks(f"{odd} {far} {odd}") == leaks(f"{stray} {odd}") == []
+
+
+@pytest.mark.parametrize("index_bytes", [decontam.INDEX_BYTES, 0])
+def test_short_items_are_found_verbatim(spark, index_bytes):
+    benchmark = [(20, "What is 17 + 25?"), (21, "12 * 3 = 36"), (22, "Bob Anna 3 4 5 6 Carl Dora 7"), (23, "?!"), (24, None), (25, "フランスの首都は？"), (26, "1.5 kg")]
+    docs = [
+        (1, "Some text. what is  17 + 25 Answer: 42"), (2, "What is 17 - 25?"), (3, "What is 17 + 26?"), (4, "so 12*3=36, and 12 * 3 = 36 again"), (5, "bob anna 3 4 5 6 carl dora 7"),
+        (6, "Bob Anna 3 4 5 6 Carl Dora 8"), (7, "?! 23"), (8, "問題：フランスの首都はどこ"), (9, "1.5 kg or 1,5 kg"), (10, "1 5 kg"), (11, None), (12, "What is 17"),
+    ]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string")
+    got = decontam.find_leaks(docs, items, index_bytes=index_bytes).collect()
+    assert sorted((r.doc_id, r.item_id, r.form) for r in got) == [(1, 20, "verbatim"), (4, 21, "verbatim"), (5, 22, "verbatim"), (8, 25, "verbatim"), (9, 26, "verbatim")]
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs, items, index_bytes=index_bytes).collect()) == [2, 3, 6, 7, 10, 11, 12]
