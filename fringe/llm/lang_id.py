@@ -200,8 +200,8 @@ def document_probabilities(net: Network, texts: Sequence[str], task_windows: int
     return sums / np.maximum(sizes, 1)[:, None]
 
 
-def _sample(docs: DataFrame, usable: Column | None, text_col: str, lang_col: str, id_col: str, docs_per_language: int) -> DataFrame | None:
-    """About ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none."""
+def labelled_sample(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame | None:
+    """About ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none. The sample of a sample is itself."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     if usable is not None:
         labelled = labelled.where(usable)
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
     and ``windows_per_doc`` windows of each, spread over the whole text: a documented bound, so what
     reaches the driver doesn't grow with the table.
     """
-    labelled = _sample(docs, usable, text_col, lang_col, id_col, docs_per_language)
+    labelled = labelled_sample(docs, usable, text_col, lang_col, id_col, docs_per_language)
     if labelled is None:
         return None
 
@@ -277,7 +277,7 @@ def score_floors(net: Network, docs: DataFrame, text_col: str = "text", lang_col
     languages there are (two at least: of one the score is always 1). Longer texts score more surely, so a class of fewer than ``FLOOR_ROWS`` rows takes the floor of the
     next shorter one; without a shorter one it has none (0).
     """
-    labelled = _sample(docs, None, text_col, lang_col, id_col, docs_per_language)
+    labelled = labelled_sample(docs, None, text_col, lang_col, id_col, docs_per_language)
     if labelled is None:
         return [0.0] * (len(LENGTH_BOUNDS) + 1)
     scored = spread(labelled.select(F.col(text_col).alias("text"))).select(F.octet_length("text").alias("size"), language(net, F.col("text"), unseen_even=True).alias("found"))
