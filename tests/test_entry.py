@@ -19,6 +19,8 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("fringe/llm",)], ids=["neither", "pipeline", "operators"])
 def test_imports_without_the_optional_part(tmp_path, left):
     """With both folders deleted, whether the pipeline's file is still there or not, and without the pipeline alone."""
+    if not all((ROOT / name).exists() for name in left):
+        pytest.skip("the optional part is gone here as well")
     ignored = shutil.ignore_patterns("__pycache__") if "fringe/llm" in left else shutil.ignore_patterns("llm", "__pycache__")
     shutil.copytree(ROOT / "fringe", tmp_path / "fringe", ignore=ignored)
     for name in ("__spark_entry__.py", *(x for x in left if x.endswith(".py"))):
