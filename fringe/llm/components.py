@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -13,20 +13,22 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
 
     Alternates the large-star and small-star steps, which keep components and shrink their depth to
     one in a logarithmic number of rounds. Each step is a partially aggregated minimum and an
-    equi-join whose large keys AQE can split. Self links and null ends are ignored; an empty table
-    gives an empty result.
+    equi-join with it. The minima are written before they are joined, so that both sides of a join are
+    plain shuffles, whose large keys (the centre of a star) AQE can split. Self links and null ends are
+    ignored; an empty table gives an empty result.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "links")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        met = large.join(least, "u")
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        used, edges = edges, materialize(small, "links")
+        discard(used, low, large, least)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

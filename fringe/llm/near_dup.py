@@ -25,6 +25,7 @@ share a class; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -38,7 +39,7 @@ from fringe.session import spread
 
 from .components import connected_components
 from .rows import take
-from .scratch import materialize
+from .scratch import discard, materialize
 from .textset import shingle_sets
 
 #: With their separators such slices stay below 2 MB, a power of two.
@@ -191,12 +192,15 @@ def _components(
     sets = materialize(full_sets(docs, ends.join(nodes.select("node", "id", "text_key"), "node"), id_col, text_col, width), "sets")
     links = materialize(_compare(_both(likely, sets, "hashes"), exact), "linked")
     roots = materialize(connected_components(links), "roots")
+    discard(df, lists, count, small, likely, links)
 
     roots = _settle(long_lists, sets, roots, percent, exact)
 
+    # Written as the counts are: the members of one very large component are then split.
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    low = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    component = rooted.join(low, "root").select("node", "root", "component")
+    low = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component")), "low")
+    component = materialize(rooted.join(low, "root").select("node", "root", "component"), "component")
+    discard(nodes, long_lists, sets, roots, low)
     return rows.select("id", "text_key", "n_shingles", "node").join(component, "node", "left").drop("node")
 
 
@@ -227,7 +231,9 @@ def deduplicate(
 def _grow(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` with the components joined by ``links`` (a, b)."""
     own = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    return materialize(connected_components(own.unionByName(links)), "roots")
+    grown = materialize(connected_components(own.unionByName(links)), "roots")
+    discard(roots)
+    return grown
 
 
 def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, exact) -> DataFrame:
@@ -245,6 +251,7 @@ def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     open_lists = materialize(open_lists, "open_lists")
     open_nodes = materialize(listed.join(open_lists, "value").select("node").distinct(), "open")
     if open_nodes.isEmpty():
+        discard(open_lists, open_nodes)
         return roots
     full = open_nodes.join(sets, "node").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
     df = materialize(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "df")
@@ -259,14 +266,19 @@ def _settle(long_lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     to_hub = prefix.join(hubs, "value").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     roots = _grow(roots, _compare(_both(to_hub, sets, "hashes"), exact))
 
-    # Each pair of components has an end outside the list's most frequent component.
-    prefix = rooted(prefix)
-    sizes = prefix.groupBy("value", "root").agg(F.count("*").alias("m"))
+    # Each pair of components has an end outside the list's most frequent component. Similar sets lie in
+    # the same or in neighbouring bands of sizes, so a list that many nodes share is joined band by band.
+    placed = rooted(prefix)
+    sizes = placed.groupBy("value", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("value").agg(F.max(F.struct("m", "root")).getField("root").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = prefix.join(materialize(main.select("value", "main"), "main"), "value")
-    few = mixed.where("root <> main").drop("main")
-    other = mixed.select("value", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    main = materialize(main.select("value", "main"), "main")
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent))) if percent < 100 else F.col("n").cast("long")
+    mixed = placed.join(main, "value").withColumn("band", band)
+    few = mixed.where("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    other = mixed.select("value", "band", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     needed = f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}"
-    fits = F.expr(f"root <> root2 and 1 + least(n - place - 1, n2 - place2 - 1) >= {needed}")
-    pairs = few.join(other, "value").where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    return _grow(roots, _compare(_both(pairs, sets, "hashes"), exact))
+    fits = F.expr(f"root <> root2 and (root < root2 or root2 = main) and 1 + least(n - place - 1, n2 - place2 - 1) >= {needed}")
+    pairs = few.join(other, ["value", "band"]).where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    roots = _grow(roots, _compare(_both(pairs, sets, "hashes"), exact))
+    discard(open_lists, open_nodes, df, prefix, hubs, main)
+    return roots
