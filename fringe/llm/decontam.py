@@ -3,8 +3,16 @@
 A text's template has typed placeholders for numbers, units and names; a re-parameterised question
 keeps its template. Windows of five template words are joined by hash with those of the benchmark,
 and an item leaks into a document if at least 80 % of its windows occur there close together and its
-slots are filled consistently: what one number or name of the item became, it became everywhere. Where
-a document holds the template several times, one such place is enough.
+slots are filled consistently: what one number or name of the item became, it became everywhere, and
+no two of them became the same. Where a document holds the template several times, one such place is enough.
+
+1. Items of one template whose slots repeat in the same places are one class.
+2. Documents are read once. A bitmap of all window hashes of the benchmark, whose size is fixed, passes on the
+   windows that may be among them, with their places and what their slots hold; a larger benchmark lets
+   more through, and changes nothing in the result.
+3. A class is listed under its rarest windows only, so many that a document with 80 % of its windows
+   has one of them. Hash join: documents' windows with these lists.
+4. The pairs of document and class are judged on all their windows and slots.
 
 Two templates are compared, as a capital may be a name or a sentence's start: with every capitalised
 word as a name slot, and with none. Windows of fewer than three literal words say too little and are
@@ -18,16 +26,17 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringe.session import spread
 
+from .near_dup import text_slices
 from .scratch import materialize
 from .textset import mix, word_hashes
 
@@ -36,9 +45,10 @@ LITERAL_WORDS = 3
 PERCENT = 80
 #: Share of slots that must agree, in percent.
 CONSISTENT_PERCENT = 80
-#: Text of the benchmark, in bytes, up to which its index is sent to every task; above, windows are joined in shuffles.
-INDEX_BYTES = 64 << 20
-SLICE_CHARS = 1 << 20
+#: Bits of a window's hash by which the bitmap of the benchmark's windows is addressed: 8 MB, however many there are.
+BITMAP_BITS = 26
+#: Between the slots of a window; no text's template holds it.
+BETWEEN = "\x1f"
 
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 UNITS = (
@@ -127,64 +137,98 @@ def _key_hashes(texts: Sequence[str | None], widths: Sequence[int]) -> tuple[np.
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
 
 
+def _slots(text: str, form: str) -> list[str]:
+    """For each template word its slot's kind and value, empty for a literal word."""
+    values: list[str] = []
+    words = template(text, form, values).split()
+    rest = iter(values)
+    marks = {m.encode(): m for m in (NUM, NAME, UNIT)}
+    return [marks[w] + next(rest) if w in marks else "" for w in words]
+
+
 @dataclass
-class Index:
-    """Windows of the benchmark: sorted hashes, the items (by number) that have each, and each item's text and window counts.
+class Item:
+    """A class of items: its form, window hashes and their places, and for each template word which slot it is (empty for a literal one). A ``verbatim`` one has its words there."""
 
-    ``whole`` has the words of the items without a usable window, by number, and ``keys`` those items by the hash of
-    their first ``KEY_WORDS`` words.
-    """
+    form: str
+    hashes: list[int] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
+    slots: list[str] = field(default_factory=list)
 
-    hashes: np.ndarray
-    items: dict[int, list[int]]
-    ids: list
-    texts: list[str]
-    sizes: dict[str, list[int]]
-    whole: dict[int, list[str]]
-    keys: dict[int, list[int]]
+    @property
+    def node(self) -> bytes:
+        return blake2b(repr((self.form, self.hashes, self.places, self.slots)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def build_index(ids: Sequence, texts: Sequence[str | None]) -> Index:
-    items: dict[int, list[int]] = defaultdict(list)
-    sizes = {}
+def describe(texts: Sequence[str | None]) -> list[list[Item]]:
+    """For each item's text its class in every form in which it has a usable window; else the verbatim one; none for an item without a word."""
+    out: list[list[Item]] = [[] for _ in texts]
     for form in FORMS:
-        hashes, owner, _ = windows(texts, form)
-        pairs = sorted(set(zip(hashes.tolist(), owner.tolist(), strict=True)))
-        for h, i in pairs:
-            items[h].append(i)
-        count = Counter(i for _, i in pairs)
-        sizes[form] = [count[i] for i in range(len(texts))]
-    whole = {i: found for i in range(len(texts)) if not any(sizes[form][i] for form in FORMS) and (found := all_words(texts[i]))}
-    keys: dict[int, list[int]] = defaultdict(list)
-    for i, words in whole.items():
-        keys[int(_key_hashes([texts[i]], [min(KEY_WORDS, len(words))])[0][0])].append(i)
-    return Index(np.array(sorted(items), np.uint64), dict(items), list(ids), [t or "" for t in texts], sizes, whole, dict(keys))
-
-
-def _slots(text: str, form: str) -> list[str | None]:
-    """For each template word the value of its slot, null for a literal word."""
-    values: list[str] = []
-    words = template(text, form, values).split()
-    rest = iter(values)
-    marks = {NUM.encode(), NAME.encode(), UNIT.encode()}
-    return [next(rest) if w in marks else None for w in words]
+        hashes, owner, places = windows(texts, form)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            # Slots of one value bear one number, so that items which differ in values alone are one class.
+            seen: dict[str, str] = {"": ""}
+            slots = [seen.setdefault(s, f"{s[0]}{len(seen)}") if s else "" for s in _slots(texts[i] or "", form)]
+            part = slice(bounds[i], bounds[i + 1])
+            out[i].append(Item(form, hashes[part].tolist(), places[part].tolist(), slots))
+    for i, text in enumerate(texts):
+        if not out[i] and (words := all_words(text)):
+            out[i].append(Item(VERBATIM, _key_hashes([text], [min(KEY_WORDS, len(words))])[0][:1].tolist(), [0], words))
+    return out
+
+
+@dataclass
+class Hits:
+    """The windows of a text that may be the benchmark's: place, hash and, between ``BETWEEN``, the slots of each. A ``verbatim`` one has all the text's words as slots."""
+
+    form: str
+    places: list[int]
+    hashes: list[int]
+    slots: list[str]
+
+
+def find_hits(texts: Sequence[str | None], member, widths: Sequence[int]) -> list[list[Hits]]:
+    """For each text its hits in every form; ``member`` tells which of an array of hashes may be the benchmark's, ``widths`` are those of the verbatim keys."""
+    out: list[list[Hits]] = [[] for _ in texts]
+    for form in (*FORMS, VERBATIM) if widths else FORMS:
+        hashes, owner, places = _key_hashes(texts, widths) if form == VERBATIM else windows(texts, form)
+        met = np.flatnonzero(member(hashes))
+        met = met[np.argsort(owner[met], kind="stable")]
+        bounds = np.searchsorted(owner[met], np.arange(len(texts) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            of = met[bounds[i] : bounds[i + 1]]
+            at = places[of].tolist()
+            if form == VERBATIM:
+                slots = all_words(texts[i])
+            else:
+                all_slots = _slots(texts[i] or "", form)
+                slots = [BETWEEN.join(all_slots[p : p + WIDTH]) for p in at]
+            out[i].append(Hits(form, at, hashes[of].tolist(), slots))
+    return out
 
 
 def _leaks_in(share: float, agree: float) -> bool:
     return 100 * share >= PERCENT and 100 * agree >= CONSISTENT_PERCENT
 
 
-def _judge(hits: Sequence[tuple[int, int, int]], n_item: int, item_slots: Sequence[str | None], text_slots: Sequence[str | None]) -> tuple[float, float]:
-    """Containment and consistency of hits (text place, item place, hash)."""
-    filled: dict[str, dict[int, str | None]] = defaultdict(dict)
-    for p, q, _ in hits:
-        for j in range(WIDTH):
-            if item_slots[q + j] is not None:
-                filled[item_slots[q + j]][q + j] = text_slots[p + j]
-    # Only a value that the item repeats can be filled inconsistently.
-    again = [Counter(f.values()) for f in filled.values() if len(f) > 1]
-    agree = sum(max(c.values()) for c in again) / sum(sum(c.values()) for c in again) if again else 1.0
-    return len({h for *_, h in hits}) / n_item, agree
+def _judge(hits: Sequence[tuple[int, int, int]], n_item: int, item_slots: Sequence[str], text_slots: dict[int, str]) -> tuple[float, float]:
+    """Containment and consistency of hits (text place, item place, hash).
+
+    Slots of the item and what fills them are paired one to one, the most frequent pairs first; the share of
+    slots that these pairs cover is the consistency.
+    """
+    filled = {q + j: text_slots[p + j] for p, q, _ in hits for j in range(WIDTH) if item_slots[q + j]}
+    count = Counter((item_slots[q], value) for q, value in filled.items())
+    slots: set[str] = set()
+    values: set[str] = set()
+    held = 0
+    for (slot, value), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        if slot not in slots and value not in values:
+            slots.add(slot)
+            values.add(value)
+            held += n
+    return len({h for *_, h in hits}) / n_item, held / len(filled) if filled else 1.0
 
 
 def _alignments(pairs: Sequence[tuple[int, int, int]], n_item: int, length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -209,33 +253,34 @@ def _alignments(pairs: Sequence[tuple[int, int, int]], n_item: int, length: int)
             yield list(of_place.values())
 
 
-def compare(text: str, item: str, form: str) -> tuple[float, float]:
-    """Containment of the item's windows in a stretch of the text, and the share of its repeated slots that are filled consistently there.
+def compare(found: Hits, item: Item) -> tuple[float, float]:
+    """Containment of the item's windows in a stretch of the text, and how consistently its slots are filled there.
 
     Of the stretches in which the item leaks, the one with the largest; only if it leaks in none, the largest of all.
-    A stretch is a run of close hits, or one alignment of the item with the text.
+    A stretch is a run of close hits, or one alignment of the item with the text. A verbatim item is there or isn't.
     """
-    h_item, _, p_item = windows([item], form)
-    h_text, _, p_text = windows([text], form)
-    if not len(h_item):
-        return 0.0, 0.0
+    if item.form == VERBATIM:
+        size = len(item.slots)
+        there = any(h == item.hashes[0] and found.slots[p : p + size] == item.slots for p, h in zip(found.places, found.hashes, strict=True))
+        return float(there), float(there)
     places = defaultdict(list)
-    for h, p in zip(h_item.tolist(), p_item.tolist(), strict=True):
+    for h, p in zip(item.hashes, item.places, strict=True):
         places[h].append(p)
-    hits = [(p, h) for h, p in zip(h_text.tolist(), p_text.tolist(), strict=True) if h in places]
-    if not hits:
-        return 0.0, 0.0
-    length = int(p_item.max()) + WIDTH
+    near = [k for k, h in enumerate(found.hashes) if h in places]
+    hits = [(found.places[k], found.hashes[k]) for k in near]
+    if 100 * len({h for _, h in hits}) < PERCENT * len(places):
+        return len({h for _, h in hits}) / len(places), 0.0
+    text_slots = {found.places[k] + j: x for k in near for j, x in enumerate(found.slots[k].split(BETWEEN))}
+    length = max(item.places) + WIDTH
     reach = 2 * length
     runs, start = [], 0
     for k in range(1, len(hits) + 1):
         if k == len(hits) or hits[k][0] - hits[k - 1][0] > reach:
             runs.append(hits[start:k])
             start = k
-    item_slots, text_slots = _slots(item, form), _slots(text, form)
 
     def best_of(stretches: Iterator[list[tuple[int, int, int]]]) -> tuple[bool, float, float]:
-        return max(((_leaks_in(*found), *found) for hits_ in stretches for found in [_judge(hits_, len(places), item_slots, text_slots)]), default=(False, 0.0, 0.0))
+        return max(((_leaks_in(*x), *x) for hits_ in stretches for x in [_judge(hits_, len(places), item.slots, text_slots)]), default=(False, 0.0, 0.0))
 
     def whole(run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         first = run[0][0] - min(places[run[0][1]])
@@ -248,155 +293,106 @@ def compare(text: str, item: str, form: str) -> tuple[float, float]:
     return best[1:]
 
 
-def leaks_of(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
-    """For each text the items that leak into it."""
-    out: list[list[dict]] = [[] for _ in texts]
-    seen: dict[tuple[int, int], str] = {}
-    for form in FORMS:
-        hashes, owner, _ = windows(texts, form)
-        if not len(hashes) or not len(index.hashes):
-            continue
-        at = np.minimum(np.searchsorted(index.hashes, hashes), len(index.hashes) - 1)
-        met = np.flatnonzero(index.hashes[at] == hashes)
-        count: Counter = Counter()
-        for h, i in set(zip(hashes[met].tolist(), owner[met].tolist(), strict=True)):
-            for item in index.items[h]:
-                count[i, item] += 1
-        for (i, item), n in sorted(count.items()):
-            if 100 * n >= PERCENT * index.sizes[form][item]:
-                seen.setdefault((i, item), form)
-                share, agree = compare(texts[i] or "", index.texts[item], form)
-                if _leaks_in(share, agree) and not any(x["item_id"] == index.ids[item] for x in out[i]):
-                    out[i].append({"item_id": index.ids[item], "containment": share, "consistency": agree, "form": form})
-    if index.whole:
-        _add_whole(texts, index, out)
-    return out
-
-
-def _add_whole(texts: Sequence[str | None], index: Index, out: list[list[dict]]) -> None:
-    """Add the items without a usable window whose words all follow one another in a text."""
-    hashes, owner, place = _key_hashes(texts, sorted({min(KEY_WORDS, len(w)) for w in index.whole.values()}))
-    met = np.flatnonzero(np.isin(hashes, np.array(list(index.keys), np.uint64)))
-    words: tuple[int, list[str]] = (-1, [])
-    for k in met[np.argsort(owner[met], kind="stable")].tolist():
-        i, p = int(owner[k]), int(place[k])
-        for item in index.keys[int(hashes[k])]:
-            if any(x["item_id"] == index.ids[item] for x in out[i]):
-                continue
-            if words[0] != i:
-                words = (i, all_words(texts[i]))
-            if words[1][p : p + len(index.whole[item])] == index.whole[item]:
-                out[i].append({"item_id": index.ids[item], "containment": 1.0, "consistency": 1.0, "form": VERBATIM})
-
-
-LEAK = ("item_id", "containment", "consistency", "form")
-
-
-def _leaks(texts: Sequence[str | None], index: Index) -> list[list[dict]]:
-    """``leaks_of``, about ``SLICE_CHARS`` of text at a time."""
-    out: list[list[dict]] = []
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t or "")
-        if held > SLICE_CHARS:
-            out += leaks_of(group, index)
-            group, held = [], 0
-    return out + leaks_of(group, index)
-
-
-def clean_column(text: Column, index: Index) -> Column:
-    """Whether no item leaks into a text, by an index that every task holds."""
-
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([not found for found in _leaks(texts, index)], dtype=bool)
-
-    return run(text)
-
-
-def _small(benchmark: DataFrame, text_col: str, index_bytes: int) -> bool:
-    return (benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]) <= index_bytes
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+_LIST = {"hashes": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "slots": pa.list_(pa.string())}
+_LIST_SCHEMA = "hashes array<long>, places array<int>, slots array<string>"
+
+
+def _signed(hashes: Sequence[int]) -> list[int]:
+    return np.array(hashes, np.uint64).view(np.int64).tolist()
+
+
+def _classes(benchmark: DataFrame) -> DataFrame:
+    """A row for each item (item_id, item) and form: item_id, node, form, hashes, places, slots."""
+    names = ["item_id", "node", "form", *_LIST]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "item"):
+                found = [(i, x) for i, own in zip(batch.column("item_id").to_pylist(), describe(batch.column("item").to_pylist()), strict=True) for x in own]
+                kinds = (pa.int64(), pa.binary(), pa.string(), *_LIST.values())
+                rows = [(i, x.node, x.form, _signed(x.hashes), x.places, x.slots) for i, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return benchmark.distinct().mapInArrow(run, f"item_id long, node binary, form string, {_LIST_SCHEMA}")
+
+
+def _bitmap(spark: SparkSession, windows_: DataFrame):
+    """A broadcast bitmap of the hashes' first ``BITMAP_BITS`` bits: at most 2^BITMAP_BITS / 64 rows of 64 bits reach the driver."""
+    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+    words = windows_.select((place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITMAP_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """id, item_id, containment, consistency, form of every leak into ``docs`` (id, text) of ``benchmark`` (item_id, item)."""
+    members = materialize(_classes(benchmark), "members")
+    classes = materialize(members.drop("item_id").dropDuplicates(["node"]), "classes")
+    windows_ = materialize(classes.select("node", "form", F.explode(F.array_distinct("hashes")).alias("hash")), "windows")
+    # A class's windows, the rarest first: one more than a document may lack.
+    counted = windows_.join(windows_.groupBy("form", "hash").agg(F.count("*").alias("df")), ["form", "hash"])
+    by_node = Window.partitionBy("node")
+    ranked = counted.select("node", "form", "hash", F.row_number().over(by_node.orderBy("df", "hash")).alias("rank"), F.count("*").over(by_node).alias("size"))
+    lists = materialize(ranked.where(f"rank <= size - ({PERCENT} * size + 99) div 100 + 1").select("form", "hash", "node"), "lists")
+    widths = sorted(r[0] for r in classes.where(F.col("form") == VERBATIM).select(F.least(F.size("slots"), F.lit(KEY_WORDS))).distinct().collect())
+    bitmap = _bitmap(docs.sparkSession, windows_)
+    id_type = docs.schema["id"].dataType.simpleString()
+    names = ["doc", "id", "form", *_LIST]
+
+    def member(hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - BITMAP_BITS)
+        return (bitmap.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        doc = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            id_kind = whole.schema.field("id").type
+            for batch in text_slices(whole, "text"):
+                found = [(doc + k, i, x) for k, (i, own) in enumerate(zip(batch.column("id").to_pylist(), find_hits(batch.column("text").to_pylist(), member, widths), strict=True)) for x in own]
+                doc += batch.num_rows
+                rows = [(d, i, x.form, _signed(x.hashes), x.places, x.slots) for d, i, x in found]
+                kinds = (pa.int64(), id_kind, pa.string(), *_LIST.values())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    found = materialize(spread(docs).mapInArrow(hits, f"doc long, id {id_type}, form string, {_LIST_SCHEMA}"), "hits")
+    probes = found.select("doc", "form", F.explode(F.array_distinct("hashes")).alias("hash"))
+    pairs = probes.join(lists, ["form", "hash"]).select("doc", "node").distinct()
+    of_class = classes.select("node", F.col("form"), *[F.col(c).alias(f"item_{c}") for c in _LIST])
+    pairs = pairs.join(of_class, "node").join(found, ["doc", "form"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                share, agree = compare(Hits(r["form"], r["places"], r["hashes"], r["slots"]), Item(r["form"], r["item_hashes"], r["item_places"], r["item_slots"]))
+                if _leaks_in(share, agree):
+                    rows.append((r["doc"], r["id"], r["node"], share, agree, r["form"]))
+            kinds = (pa.int64(), batch.schema.field("id").type, pa.binary(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc", "id", "node", "containment", "consistency", "form"])
+
+    leaks = pairs.mapInArrow(confirm, f"doc long, id {id_type}, node binary, containment double, consistency double, form string")
+    order = F.struct(F.array_position(F.array(*map(F.lit, (*FORMS, VERBATIM))), F.col("form")).alias("at"), (-F.col("containment")).alias("less"), "containment", "consistency", "form")
+    best = leaks.join(members.select("node", "item_id"), "node").groupBy("doc", "id", "item_id").agg(F.min(order).alias("best"))
+    return best.select("id", "item_id", "best.containment", "best.consistency", "best.form")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows ``<id_col>, item_id, containment, consistency, form``: every item that leaks into a document.
 
-    A benchmark of up to ``index_bytes`` of text goes to every task as an index; a larger one is
-    joined by window hash in shuffles, with the same result. Null and empty texts leak nothing and hold nothing; a
-    null id is reported as null; repeated documents and items each report their own rows; other columns are
-    ignored; an empty table gives no rows.
+    An item of several forms is reported in the first in which it leaks. Null and empty texts leak nothing and
+    hold nothing; a null id is reported as null; repeated documents each report their own rows, repeated items one; other
+    columns are ignored; an empty table gives no rows.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
-    if _small(benchmark, item_text_col, index_bytes):
-        rows = items.distinct().orderBy("item_id", "item").collect()
-        index = build_index([r.item_id for r in rows], [r.item for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                leaks = _leaks(batch.column("text").to_pylist(), index)
-                rows_ = [(i, *leak.values()) for i, found in zip(batch.column("id").to_pylist(), leaks, strict=True) for leak in found]
-                columns = list(zip(*rows_, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", *LEAK])
-
-        found = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, item_id long, containment double, consistency double, form string")
-        return found.withColumnRenamed("id", id_col)
-    return _find_by_join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), items).withColumnRenamed("id", id_col)
-
-
-def _find_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    schema = "row long, form string, hash long"
-
-    def explode(widths: Sequence[int]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                for start in range(0, len(rows), 64):
-                    part = rows.iloc[start : start + 64]
-                    for form in (*FORMS, VERBATIM):
-                        if form == VERBATIM and not widths:
-                            continue
-                        hashes, owner, _ = _key_hashes(part["text"].tolist(), widths) if form == VERBATIM else windows(part["text"].tolist(), form)
-                        yield pd.DataFrame({"row": part["row"].to_numpy()[owner], "form": form, "hash": hashes.view(np.int64)}).drop_duplicates()
-
-        return run
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            index = build_index(rows["row"].tolist(), rows["text"].tolist())
-            found = [(index.ids[i], min(KEY_WORDS, len(index.whole[i])), h) for h, members in index.keys.items() for i in members]
-            out = pd.DataFrame({"row": [x[0] for x in found], "width": [x[1] for x in found], "hash": np.array([x[2] for x in found], np.uint64).view(np.int64)})
-            yield out.astype({"row": "int64", "width": "int64"})
-
-    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    items = materialize(items.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
-    item_texts = items.select("row", F.col("item").alias("text"))
-    of_whole = materialize(item_texts.mapInPandas(whole, "row long, width long, hash long"), "whole")
-    widths = sorted(r.width for r in of_whole.select("width").distinct().collect())
-    of_items = item_texts.mapInPandas(explode([]), schema).unionByName(of_whole.select("row", F.lit(VERBATIM).alias("form"), "hash")).withColumnRenamed("row", "item_row")
-    met = docs.select("row", "text").mapInPandas(explode(widths), schema).join(of_items, ["form", "hash"])
-    sizes = of_items.groupBy("item_row", "form").agg(F.count("*").alias("size"))
-    likely = met.groupBy("row", "item_row", "form").agg(F.count("*").alias("n")).join(sizes, ["item_row", "form"]).where(f"100 * n >= {PERCENT} * size")
-    pairs = likely.select("row", "item_row").distinct().join(docs, "row").join(items.withColumnRenamed("row", "item_row"), "item_row")
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for row, item_id, text, item in zip(rows["row"], rows["item_id"], rows["text"], rows["item"], strict=True):
-                out += [(row, x["item_id"], x["containment"], x["consistency"], x["form"]) for x in leaks_of([text], build_index([item_id], [item]))[0]]
-            yield pd.DataFrame(out, columns=["row", "item_id", "containment", "consistency", "form"])
-
-    kept = pairs.select("row", "item_id", "text", "item").mapInPandas(confirm, "row long, item_id long, containment double, consistency double, form string")
-    return docs.select("row", "id").join(kept, "row").select("id", "item_id", "containment", "consistency", "form")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``docs`` without the documents into which an item leaks."""
-    if _small(benchmark, text_col, index_bytes):
-        rows = benchmark.select(F.col("item_id").cast("long"), text_col).distinct().orderBy("item_id", text_col).collect()
-        index = build_index([r[0] for r in rows], [r[1] for r in rows])
-        return docs.where(clean_column(F.col(text_col), index))
-    own = materialize(docs.withColumn("leak_row", F.monotonically_increasing_id()), "docs")
-    bad = find_leaks(own.select("leak_row", text_col), benchmark, id_col="leak_row", text_col=text_col, index_bytes=index_bytes).select("leak_row").distinct()
-    return own.join(bad, "leak_row", "left_anti").drop("leak_row")
+    return _find(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), items).withColumnRenamed("id", id_col)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents into which an item leaks, found by their texts' digests; a null text stays."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
+    bad = _find(docs.select(F.md5(text_col).alias("id"), F.col(text_col).alias("text")), items)
+    bad = materialize(bad.select(F.col("id").alias("leak_digest")).distinct(), "leaks")
+    return docs.join(bad, F.md5(docs[text_col]) == bad["leak_digest"], "left_anti")
