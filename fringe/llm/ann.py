@@ -2,19 +2,23 @@
 
 Vectors are projected to a few dimensions, once for each of several rotations, shifted and put in
 the order of a Hilbert curve through that space; Spark range-partitions each ordering. A query takes
-the blocks of rows within a window around its own place in every ordering, reranks all of them by the
-exact inner product, and the orderings' lists are merged.
+the rows within a window around its own place in every ordering and reranks them by the exact inner
+product; what an earlier ordering's window holds is not taken again. The orderings' lists are merged.
 
 How wide the window must be depends on the data: neighbours of vectors without structure are spread
-over the whole curve. So it is measured. A bounded set of sample queries is answered by brute force,
-and the window is the smallest in which the orderings together hold the wanted share of their
+over the whole curve. So it is measured, in rows. A bounded set of sample queries is answered by brute
+force, and the window is the smallest in which the orderings together hold the wanted share of their
 neighbours.
 
+An ordering is cut into blocks of rows, and a query goes to the blocks that its window meets. A task
+holds one block and a bounded number of queries; only a block that more queries reach is read by several.
 Equal vectors are one entry with its smallest ids, so a vector that many rows share costs one row.
+Vectors of each dimension are searched by themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 CURVES, DIMS, BITS = 3, 8, 7
 BLOCK_ROWS = 4096
 #: Vectors that scale the projections, queries that set the window, and the share of neighbours they must find.
-FIT_ROWS, SAMPLE_QUERIES, RECALL = 4000, 128, 0.97
-#: Distinct queries that one task holds beside a block.
-QUERY_CHUNK = 8192
+FIT_ROWS, SAMPLE_QUERIES, RECALL = 4000, 128, 0.95
+#: Distinct queries that one task holds beside a block, and how many of them are scored at a time.
+QUERY_CHUNK, QUERY_STEP = 8192, 256
 SALTS = 32
 
 
@@ -88,7 +92,7 @@ class Curves:
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
@@ -98,35 +102,45 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores, each id once, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
-    return ids[first], scores[first]
+def _rank_block(q: np.ndarray, q_at: np.ndarray, rows: np.ndarray, at: np.ndarray, ids: pa.ListArray, curve: int, reach: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of each query's k best among the rows within ``reach`` of its place on the curve and on no earlier one.
 
-
-def _rank_block(queries: np.ndarray, rows: np.ndarray, ids: pa.ListArray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each query its k best (ids, scores) of a block's entries."""
-    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    rough = queries @ rows.T
-    out_ids, out_scores = [], []
-    for q, row in zip(queries, rough, strict=True):
+    ``q_at`` and ``at`` are the places on all curves of the queries and of the block's rows.
+    """
+    own = np.argsort(at[:, curve], kind="stable")
+    rows, at = rows[own], at[own]
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    asking = np.argsort(q_at[:, curve], kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(asking), QUERY_STEP):
+        some = asking[start : start + QUERY_STEP]
+        first = np.searchsorted(at[:, curve], q_at[some[0], curve] - reach)
+        last = np.searchsorted(at[:, curve], q_at[some[-1], curve] + reach, "right")
+        if first == last:
+            continue
+        part, places = rows[first:last], at[first:last]
+        rough = q[some] @ part.T
+        out = np.abs(q_at[some, curve][:, None] - places[:, curve]) > reach
+        for earlier in range(curve):
+            out |= np.abs(q_at[some, earlier][:, None] - places[:, earlier]) <= reach
+        rough[out] = -np.inf
         # The product of matrices chooses, with room for its rounding; scores are summed in one fixed order.
-        limit = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        chosen = np.flatnonzero(row >= limit - 1e-9 * (1 + abs(limit)) if np.isfinite(limit) else np.ones(len(row), bool))
-        exact = (rows[chosen] * q).sum(1)
-        counts = at[chosen + 1] - at[chosen]
-        members = np.concatenate([flat[at[c] : at[c + 1]] for c in chosen]) if len(chosen) else np.zeros(0, np.int64)
-        best = _best(members, np.repeat(exact, counts), k)
-        out_ids.append(best[0])
-        out_scores.append(best[1])
-    return out_ids, out_scores
-
-
-def _list_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
+        limit = np.partition(rough, part.shape[0] - k, axis=1)[:, part.shape[0] - k] if part.shape[0] > k else np.full(len(some), -np.inf)
+        room = np.where(np.isfinite(limit), limit - 1e-9 * (1 + np.abs(limit)), np.finfo(float).min)
+        who, what = np.nonzero(rough >= room[:, None])
+        exact = (part[what] * q[some[who]]).sum(1)
+        entry = own[first + what]
+        counts = offsets[entry + 1] - offsets[entry]
+        members = flat[np.repeat(offsets[entry], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+        who, exact = np.repeat(some[who], counts), np.repeat(exact, counts)
+        order = np.lexsort((members, -exact, who))
+        who, members, exact = who[order], members[order], exact[order]
+        begins = np.flatnonzero(np.diff(who, prepend=-1))
+        keep = np.arange(len(who)) - np.repeat(begins, np.diff(np.append(begins, len(who)))) < k
+        found.append((who[keep], members[keep], exact[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest(
@@ -141,122 +155,120 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query row's k nearest other rows, nearest first, ties to the smaller id.
 
-    ``is_query`` is a condition on the id column. Vectors that aren't ``usable``, rows without an id, and vectors of another
-    than the most frequent dimension take no part. Repeated rows are one row; a query never returns its own id. Fewer than k
-    candidates give all of them; an empty table gives no rows. Other columns are ignored.
+    ``is_query`` is a condition on the id column. Vectors that aren't ``usable`` and rows without an id take no part.
+    Vectors of another dimension are no candidates, so each dimension (a few: every one costs its own jobs) is searched by itself.
+    Repeated rows are one row; a query never returns its own id. Fewer than k candidates give all of them; an empty table gives no rows.
+    Other columns are ignored.
     """
-    spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    valid = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    vector = F.col(vector_col)
+    if not rows.schema[vector_col].dataType.simpleString() == "array<float>":
+        vector = vector.cast("array<double>")
+    valid = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), is_query.alias("asks"))
     valid = valid.where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    valid = valid.where(F.size("v") == sizes.d)
+    out = None
+    for d, n in sorted((r.d, r.n) for r in valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
+        found = _nearest_of(valid.where(F.size("v") == d), d, k, curves, block_rows, recall)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _nearest_of(valid: DataFrame, dimension: int, k: int, curves: int, block_rows: int, recall: float) -> DataFrame:
+    """``nearest`` for rows id, v, asks of one dimension."""
+    kind = valid.schema["v"].dataType.simpleString()
 
     # Equal vectors: one entry with the k + 1 smallest ids, chosen in two steps.
     salted = Window.partitionBy("v", "salt").orderBy("id")
     every = Window.partitionBy("v").orderBy("id")
     few = valid.select("id", "v").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
     few = few.withColumn("n", F.row_number().over(every)).where(F.col("n") <= k + 1)
-    entries = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = few.groupBy("v").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
     entries = materialize(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     asked = valid.where("asks").select("id", "v").join(entries.select("v", "entry"), "v").select(F.col("id").alias("query_id"), "entry").distinct()
     asked = materialize(asked, "asked")
     total = entries.count()
 
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     longest = entries.agg(F.max(norm)).first()[0]
     share = F.pmod(F.xxhash64("entry"), F.lit(1 << 30)) / float(1 << 30)
-    sample = np.array([r.v for r in entries.where(share < FIT_ROWS / total).select("v").limit(2 * FIT_ROWS).collect()] or [entries.first().v])
+    sample = np.array([r.v for r in entries.where(share < FIT_ROWS / total).select("v").limit(2 * FIT_ROWS).collect()] or [entries.first().v], float)
     fitted = Curves(sample, longest, curves)
 
-    def key(curve: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.keys(_matrix(batch.column("v")), curve), pa.int64())], ["entry", "v", "ids", "key"])
-
-        return run
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), *(pa.array(fitted.keys(x, c), pa.int64()) for c in range(curves))], ["entry", *(f"key_{c}" for c in range(curves))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("entry"), batch.column("v"), batch.column("ids"), pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(done + np.arange(batch.num_rows), pa.int64())], ["entry", "v", "ids", "part", "nth"])
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(np.full(batch.num_rows, part), pa.int32()), pa.array(done + np.arange(batch.num_rows), pa.int64())], ["entry", "part", "nth"])
             done += batch.num_rows
 
-    shape = "entry long, v array<double>, ids array<bigint>"
-    ordered = []
+    # Only keys are sorted. A place is a row's number in the whole ordering.
+    keyed = materialize(entries.select("entry", "v").mapInArrow(keys, "entry long, " + ", ".join(f"key_{c} long" for c in range(curves))), "keys")
+    placed = entries.select("entry", "v", "ids")
+    used = [keyed]
     for c in range(curves):
-        keyed = entries.select("entry", "v", "ids").mapInArrow(key(c), f"{shape}, key long")
-        spread = keyed.repartitionByRange("key", "entry").sortWithinPartitions("key", "entry").select("entry", "v", "ids").mapInArrow(number, f"{shape}, part int, nth long")
-        spread = materialize(spread, "ordered")
-        parts = spread.groupBy("part").agg(F.count("*").alias("n"))
+        ordered = keyed.select("entry", F.col(f"key_{c}").alias("key")).repartitionByRange("key", "entry").sortWithinPartitions("key", "entry").select("entry")
+        ordered = materialize(ordered.mapInArrow(number, "entry long, part int, nth long"), "ordered")
+        parts = ordered.groupBy("part").agg(F.count("*").alias("n"))  # one row for each written part
         before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = spread.join(parts.select("part", before.alias("before")), "part")
-        ordered.append(placed.select(F.lit(c).alias("curve"), F.expr(f"cast((before + nth) div {block_rows} as int)").alias("block"), "entry", "v", "ids"))
-    table = ordered[0]
-    for more in ordered[1:]:
-        table = table.unionByName(more)
-    table = materialize(table, "blocks")
-    places = table.select("curve", "block", "entry")
-    last_block = (total - 1) // block_rows
+        placed = placed.join(ordered.join(parts.select("part", before.alias("before")), "part").select("entry", (F.col("before") + F.col("nth")).alias(f"at_{c}")), "entry")
+        used.append(ordered)
+    placed = materialize(placed.select("entry", "v", "ids", F.array(*[F.col(f"at_{c}") for c in range(curves)]).alias("at")), "placed")
+    discard(*used)
     wanted = asked.select("entry").distinct()
+    questions = materialize(placed.join(wanted, "entry").select("entry", "v", "at"), "questions")
+    # At least k + 1 entries to either side, so that a query has k candidates if there are as many.
+    reach = max(k + 1, _window(placed, questions, k, recall, total))
 
-    reach = last_block
-    if last_block:
-        reach = _window(entries, places, wanted, k, recall, last_block)
-
-    chunks = max(1, -(-wanted.count() // QUERY_CHUNK))
-    chunk = F.pmod(F.xxhash64("entry"), F.lit(chunks)).cast("int")
-    near = F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(last_block)))
-    questions = table.join(wanted, "entry").select("curve", F.explode(near).alias("block"), chunk.alias("chunk"), "entry", "v")
-    # Columns of their own, as both sides of the cogroup come from one table.
-    answers = table.select(*[F.col(c).alias(c) for c in table.columns]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def rank_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores = ([], [])
+    last_block = (total - 1) // block_rows
+    blocks = F.sequence(F.greatest(F.expr(f"(place - {reach}) div {block_rows}"), F.lit(0)), F.least(F.expr(f"(place + {reach}) div {block_rows}"), F.lit(last_block)))
+    spread = questions.select("entry", F.posexplode("at").alias("curve", "place")).select("entry", "curve", F.explode(blocks).alias("block"))
+    # Of each block by how many tasks it is read: one, but for blocks that more queries reach than one task holds.
+    chunks = materialize(spread.groupBy("curve", "block").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks")), "chunks")
+    asking = spread.join(chunks, ["curve", "block"]).select("entry", "curve", "block", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int").alias("chunk"))
+    asking = asking.join(questions, "entry").select("curve", "block", "chunk", "entry", "v", "at")
+    answers = placed.select("v", "ids", "at", F.posexplode("at").alias("curve", "place")).withColumn("block", F.expr(f"place div {block_rows}"))
+    answers = answers.join(chunks, ["curve", "block"]).select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "ids", "at")
+
+    def rank_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        who, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
-            ids, scores = _rank_block(_matrix(left["v"]), _matrix(right["v"]), right["ids"].combine_chunks(), k + 1)
-        asking = left["entry"].combine_chunks() if ids else pa.array([], pa.int64())
-        return pa.table([asking, _list_of(ids, pa.int64()), _list_of(scores, pa.float64())], ["entry", "ids", "scores"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        ids, scores = _best(group["ids"].combine_chunks().flatten().to_numpy(), group["scores"].combine_chunks().flatten().to_numpy(), k + 1)
-        return pa.table([pa.array(np.full(len(ids), group["entry"][0].as_py()), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["entry", "vec_id", "score"])
-
-    keys = ["curve", "block", "chunk"]
-    ranked = questions.groupBy(*keys).cogroup(answers.groupBy(*keys)).applyInArrow(rank_block, "entry long, ids array<bigint>, scores array<double>")
-    merged = ranked.groupBy("entry").applyInArrow(merge, "entry long, vec_id long, score double")
+            places = [_matrix(side["at"]).astype(np.int64) for side in (left, right)]
+            who, ids, scores = _rank_block(_matrix(left["v"]), places[0], _matrix(right["v"]), places[1], right["ids"].combine_chunks(), key[0].as_py(), reach, k + 1)
+        asked_ = left["entry"].to_numpy() if left.num_rows else np.zeros(0, np.int64)
+        return pa.table([pa.array(asked_[who]), pa.array(ids), pa.array(scores)], ["entry", "vec_id", "score"])
+
+    by = ["curve", "block", "chunk"]
+    ranked = asking.groupBy(*by).cogroup(answers.groupBy(*by)).applyInArrow(rank_block, "entry long, vec_id long, score double")
+    best = Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
+    merged = ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = asked.join(merged, "entry").where("query_id <> vec_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
-def _window(entries: DataFrame, places: DataFrame, wanted: DataFrame, k: int, recall: float, last_block: int) -> int:
-    """Blocks to either side that a query must take, by brute force on a bounded sample of queries."""
-    picked = entries.join(wanted, "entry").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_QUERIES).select("entry", "v").collect()
-    asking, vectors = np.array([r.entry for r in picked]), np.array([r.v for r in picked])
+def _window(placed: DataFrame, questions: DataFrame, k: int, recall: float, total: int) -> int:
+    """Rows to either side that a query must take, by brute force on a bounded sample of queries."""
+    picked = questions.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_QUERIES).select("entry", "v", "at").collect()
+    if not picked:
+        return 0
+    names, vectors, at = np.array([r.entry for r in picked]), np.array([r.v for r in picked], float), np.array([r.at for r in picked])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("entry").to_numpy()
+            other = batch.column("entry").to_numpy()
             scores = vectors @ _matrix(batch.column("v")).T
-            m = min(k + 1, len(names))
+            places = _matrix(batch.column("at")).astype(np.int64)
+            m = min(k + 1, len(other))
             best = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking, m)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["asking", "entry", "score"])
+            distance = np.abs(places[best] - at[:, None, :]).min(2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m)), pa.array(other[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel()), pa.array(distance.ravel())], ["asking", "entry", "score", "distance"])
 
-    found = entries.select("entry", "v").mapInArrow(scan, "asking long, entry long, score double").where("asking <> entry")
+    found = placed.select("entry", "v", "at").mapInArrow(scan, "asking long, entry long, score double, distance long").where("asking <> entry")
     order = Window.partitionBy("asking").orderBy(F.desc("score"), "entry")
-    true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("asking", "entry")
-    own = places.select("curve", F.col("entry").alias("asking"), F.col("block").alias("own"))
-    met = true.join(places, "entry").join(own, ["curve", "asking"])
-    distance = met.groupBy("asking", "entry").agg(F.min(F.abs(F.col("block") - F.col("own"))).alias("distance"))
-    counts = sorted(distance.groupBy("distance").count().collect())
-    total, held = sum(r["count"] for r in counts), 0
-    for r in counts:
-        held += r["count"]
-        if held >= recall * total:
-            return r.distance
-    return last_block
+    distances = sorted(r.distance for r in found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("distance").collect())
+    return distances[max(0, math.ceil(recall * len(distances)) - 1)] if distances else total
