@@ -13,6 +13,7 @@ the lengths of all of them, is read without the rest of the ids.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator, Sequence
@@ -25,15 +26,19 @@ from pyspark.sql import functions as F
 
 from .near_dup import text_slices
 from .scratch import new_path
-from .textset import IS_SPACE, span_hashes
+from .textset import IS_SPACE, lowered, span_hashes
 
 END_ID = 1
 #: Between words that are encoded together; a word that holds it is encoded alone.
 MARK = "\0"
 #: Words whose ids a worker remembers before it starts afresh, and how many it gathers before it sorts them in.
-REMEMBERED, RECENT = 2_000_000, 100_000
+REMEMBERED, RECENT = 1_000_000, 100_000
 #: Words that the library encodes at a time; its results take far more memory than the ids.
 ENCODED_WORDS = 10_000
+#: Words whose bytes are compared at a time.
+COMPARED_WORDS = 100_000
+#: Fixed value: the words that a tokenizer may look at one by one, none of which holds or crosses white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 FORMAT_OPTIONS = {
     "compression": "zstd",
@@ -52,17 +57,42 @@ _STOP = np.zeros(256, bool)
 _STOP[[44, 46]] = True
 
 
+def _parts(step: dict | None, name: str) -> list[dict]:
+    if step is None:
+        return []
+    return [x for part in step[name] for x in _parts(part, name)] if step["type"] == "Sequence" else [step]
+
+
+def encodes_words(settings: dict) -> bool:
+    """Whether a tokenizer of these settings reads upper case as lower and gives a text the ids of its white-space separated words in turn.
+
+    Anything that isn't known to do so isn't taken to.
+    """
+    fine = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+    normal = _parts(settings.get("normalizer"), "normalizers")
+    first = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    then = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    special = all(a["content"].startswith("<|") for a in settings.get("added_tokens", []))
+    return all(n in fine for n in normal) and {"type": "Lowercase"} in normal and _parts(settings.get("pre_tokenizer"), "pretokenizers") in ([first], [first, then]) and special and not settings.get("truncation") and not settings.get("padding")
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all elements of spans, one span after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class _Known:
-    """Word hashes in order, with where each word's ids are in the pool."""
+    """Word hashes in order, with where each word's ids are in the pool, and its bytes in theirs."""
 
     def __init__(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.places = np.zeros((0, 2), np.int64)
+        self.places = np.zeros((0, 4), np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each key, and which are known."""
         if not len(self.keys):
-            return np.zeros((len(keys), 2), np.int64), np.zeros(len(keys), bool)
+            return np.zeros((len(keys), 4), np.int64), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.places[at], self.keys[at] == keys
 
@@ -72,12 +102,12 @@ class _Known:
 
 
 class Encoder:
-    """Whole texts to ids with a ``tokenizers`` file whose words end at white space.
+    """Whole texts to ids with a ``tokenizers`` file.
 
-    Such a tokenizer drops white space and never joins across it, so a text's ids are its words' ids
-    in turn. Each distinct word is encoded by the library once and remembered by its hash; a text is
-    then a gather. ``plain`` encodes texts as a whole: for comparison, and for texts with an accent
-    that joins the letter before it or with what could be a special token's string.
+    Where the file's settings say that words end at white space and case doesn't matter, a text's ids are its words' ids
+    in turn. Each distinct word is then encoded by the library once and found again by its hash and its bytes; a text is
+    a gather. With any other settings, for texts with an accent that joins the letter before it or with what could be
+    a special token's string, and where two words have one hash, the library encodes the texts as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -85,12 +115,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = encodes_words(json.loads(self.tokenizer.to_str()))
         self.remembered = remembered
         self._forget()
 
     def _forget(self) -> None:
         self.main, self.recent = _Known(), _Known()
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.words, self.words_used = np.zeros(1 << 16, np.uint8), 0
 
     def plain(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
@@ -107,8 +139,18 @@ class Encoder:
         ends = np.flatnonzero(flat == mark[0])
         return flat[flat != mark[0]], np.diff(np.concatenate(([-1], ends))) - 1
 
-    def _places(self, keys: np.ndarray, word) -> np.ndarray:
-        """Start and size in the pool of each word by its hash; ``word(i)`` are the bytes of the i-th."""
+    def _keep(self, flat: np.ndarray, pool: str, used: str) -> int:
+        """Put values behind those of a pool; where they begin."""
+        values, start = getattr(self, pool), getattr(self, used)
+        while start + len(flat) > len(values):
+            values = np.concatenate((values, np.zeros_like(values)))
+        values[start : start + len(flat)] = flat
+        setattr(self, pool, values)
+        setattr(self, used, start + len(flat))
+        return start
+
+    def _places(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray | None:
+        """Start and size in the pool of each word (a hash, and a span of lower-case ``data``); None if a word has another's hash."""
         if len(self.main.keys) + len(self.recent.keys) + len(keys) > self.remembered:
             self._forget()
         out, known = self.main.find(keys)
@@ -116,28 +158,37 @@ class Encoder:
         late, known = self.recent.find(keys[missing])
         out[missing[known]] = late[known]
         missing = missing[~known]
+        old = np.ones(len(keys), bool)
+        old[missing] = False
+        if not np.array_equal(lengths[old], out[old, 3]) or not np.array_equal(data[_spans(starts[old], lengths[old])], self.words[_spans(out[old, 2], lengths[old])]):
+            return None
         if not len(missing):
             return out
-        parts = [self._encode_words([word(i).decode("utf-8") for i in missing[a : a + ENCODED_WORDS]]) for a in range(0, len(missing), ENCODED_WORDS)]
+        word = lambda i: data[starts[i] : starts[i] + lengths[i]].tobytes().decode("utf-8")
+        parts = [self._encode_words([word(i) for i in missing[a : a + ENCODED_WORDS]]) for a in range(0, len(missing), ENCODED_WORDS)]
         flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        out[missing] = np.stack((self.used + np.cumsum(sizes) - sizes, sizes), 1)
-        self.used += len(flat)
+        first = self._keep(flat, "pool", "used")
+        first_word = self._keep(data[_spans(starts[missing], lengths[missing])], "words", "words_used")
+        own = lengths[missing]
+        out[missing] = np.stack((first + np.cumsum(sizes) - sizes, sizes, first_word + np.cumsum(own) - own, own), 1)
         self.recent.add(keys[missing], out[missing])
         if len(self.recent.keys) > RECENT:
             self.main.add(self.recent.keys, self.recent.places)
             self.recent = _Known()
         return out
 
+    def _as_they_are(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.plain([t or "" for t in texts])
+        return np.array([x for one in ids for x in one], np.int32), np.array([len(one) for one in ids], np.int64)
+
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
+        if not self.by_words:
+            return self._as_they_are(texts)
         parts = [(t or "").encode("utf-8") for t in texts]
         odd = [i for i, p in enumerate(parts) if b"<|" in p or b"\xcc" in p or b"\0" in p]
         whole = dict(zip(odd, self.plain([texts[i] or "" for i in odd]), strict=True))
-        joined = b"\n".join(b"" if i in whole else p for i, p in enumerate(parts)) + b"\n"
-        data = np.frombuffer(joined, np.uint8)
+        data = np.frombuffer(b"\n".join(b"" if i in whole else p for i, p in enumerate(parts)) + b"\n", np.uint8)
         space = IS_SPACE[data]
         before, after = np.concatenate(([True], space[:-1])), np.concatenate((space[1:], [True]))
         # A full stop or comma that ends a word is a word of its own to the tokenizer as well.
@@ -146,14 +197,19 @@ class Encoder:
         sizes = np.zeros(len(texts), np.int64)
         flat = np.zeros(0, np.int32)
         if len(starts):
-            ends = np.flatnonzero(space & ~before | stop)
+            lengths = np.flatnonzero(space & ~before | stop) - starts
             keys, first, which = np.unique(span_hashes(data, starts), return_index=True, return_inverse=True)
-            places = self._places(keys, lambda i: joined[starts[first[i]] : ends[first[i]]].lower())[which]
-            counts = places[:, 1]
-            upto = np.cumsum(counts)
-            flat = self.pool[np.repeat(places[:, 0] - (upto - counts), counts) + np.arange(upto[-1])]
-            lengths = [1 + (0 if i in whole else len(p)) for i, p in enumerate(parts)]
-            words_before = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+            data = lowered(data)
+            if not self._same_words(data, starts, lengths, first[which]):
+                return self._as_they_are(texts)
+            places = self._places(keys, data, starts[first], lengths[first])
+            if places is None:
+                return self._as_they_are(texts)
+            places = places[which, :2]
+            flat = self.pool[_spans(places[:, 0], places[:, 1])]
+            upto = np.cumsum(places[:, 1])
+            text_lengths = [1 + (0 if i in whole else len(p)) for i, p in enumerate(parts)]
+            words_before = np.searchsorted(starts, np.concatenate(([0], np.cumsum(text_lengths))))
             sizes = np.diff(np.concatenate(([0], upto))[words_before])
         if whole:
             pieces = np.split(flat, np.cumsum(sizes)[:-1])
@@ -163,6 +219,15 @@ class Encoder:
             flat = np.concatenate(pieces)
         return flat, sizes
 
+    @staticmethod
+    def _same_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> bool:
+        """Whether each word has the bytes of the word of its hash that came first."""
+        for a in range(0, len(starts), COMPARED_WORDS):
+            part = slice(a, a + COMPARED_WORDS)
+            if not np.array_equal(lengths[part], lengths[like[part]]) or not np.array_equal(data[_spans(starts[part], lengths[part])], data[_spans(starts[like[part]], lengths[part])]):
+                return False
+        return True
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

@@ -23,6 +23,25 @@ def test_encoder_equals_library(encoder):
     assert len(flat) == len(sizes) == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_tokenizer_gives_the_librarys_ids(name):
+    """A tokenizer whose words depend on case or on white space is not taken apart into words."""
+    encode = tokens.Encoder(tokenizer_path(name))
+    texts = [*TEXTS[:7], "Apple apple  Hello World. It's", "APPLE\n\napple"]
+    flat, sizes = encode(texts)
+    want = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    assert encode.by_words == (name == "word_bpe_49k.json")
+
+
+def test_words_of_one_hash_are_told_apart(encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts: np.full(len(starts), 5, np.uint64))
+    fresh = tokens.Encoder(tokenizer_path())
+    for texts in (["one"], ["two"], ["one two one"], ["two"]):
+        flat, _ = fresh(texts)
+        assert flat.tolist() == [i for x in encoder.plain(texts) for i in x]
+
+
 def test_round_trip_through_files(spark, encoder):
     rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, "null id"), (7, "same id"), (7, "same id")]
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, start int")
