@@ -1,4 +1,7 @@
-from fringe.llm.url_filter import judge_urls, vocabulary_hits
+import random
+import re
+
+from fringe.llm.url_filter import SOFT, STRICT, judge_urls, vocabulary_hits
 
 
 def test_rules_and_vocabulary(spark):
@@ -24,6 +27,27 @@ def test_rules_and_vocabulary(spark):
 
 def test_boundaries():
     terms = (("ads", False, 1.0), ("casino", True, 0.0))
-    assert vocabulary_hits("xads ads9 ads", terms) == (0, 1, 1.0)
-    assert vocabulary_hits("casinocasino", terms) == (0, 0, 0.0)
-    assert vocabulary_hits("-casino-casino-", terms) == (1, 0, 0.0)
+    assert vocabulary_hits(["xads ads9 ads", "casinocasino", None, "-casino-casino-", "ads\nads"], terms) == [(0, 1, 1.0), (0, 0, 0.0), (0, 0, 0.0), (1, 0, 0.0), (0, 1, 1.0)]
+    assert vocabulary_hits([], terms) == [] and vocabulary_hits(["a"], ()) == [(0, 0, 0.0)]
+
+
+def test_many_rules_and_terms_give_the_same_as_few(spark):
+    """Rules by the plan and by the join, one automaton and many, against each url's rules and terms one by one."""
+    rng = random.Random(6)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net", "c"]
+    rules = [(rng.choice(["allow", "block"]), h, p) for h in hosts for p in ("/", "/en/", "/en/x", "") if rng.random() < 0.6]
+    urls = [f"http://{rng.choice(['', 'www.', 'b.', 'za.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/xy', '/de', '?/en/'])}" for _ in range(300)] + [None, "x", "http://c/" + "y" * 100_000 + "/win-free"]
+    urls += [f"http://org/{'-'.join(rng.choice(['win', 'free', 'spam', 'pills', 'casino', 'good', 'windy']) for _ in range(3))}" for _ in range(50)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules + rules, "verdict string, host string, path string")
+    words = spark.createDataFrame([(t, True, None) for t in STRICT] + [(t.upper(), False, w) for t, w in SOFT.items()] + [("", True, 1.0), (None, True, 1.0)], "term string, strict boolean, weight double")
+    few = sorted(judge_urls(pages, rules=rules).collect())
+    assert few == sorted(judge_urls(pages, rules=table, plan_rules=2).collect()) == sorted(judge_urls(pages, rules=rules, vocabulary=words, automaton_chars=9).collect())
+    assert {r.verdict for r in few if r.rule is None} == {"allow", "block"}
+    for r in few:
+        fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == max(fits)[3:] if fits else r.rule is None
+        if not fits:
+            found = {t for t in re.split("[^a-z0-9]+", urls[r.page_id] or "")}
+            soft = [w for t, w in SOFT.items() if t in found]
+            assert r.verdict == ("block" if found & set(STRICT) or (len(soft) > 1 and sum(soft) >= 2) else "allow")
