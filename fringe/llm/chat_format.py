@@ -4,10 +4,11 @@ A template is any function from a list of (role, text) turns to one string. Noth
 its inside: the conversation is rendered turn by turn, and what each longer prefix adds to the one
 before it is that turn's span. Rendering the turn once more with its text replaced by a probe finds
 where the text lies inside the span. A template whose longer output does not begin with the shorter
-one has rewritten history; its conversations are reported as such, with no spans.
+one has rewritten history; its conversations are reported as such, with no spans. A template may refuse
+a prefix, such as no turn or a lone system turn: that prefix adds nothing, and its turns are found in the next one.
 
-The output is one string with spans (start, end, text_start, text_end, loss), and reading it back
-takes texts only from there.
+The output is one string with spans (start, end, text_start, text_end, loss). Reading it back takes roles
+and texts from the string's marks alone, and what is learned from by the spans.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _name(role: str) -> str:
+    """A role on one line: its line ends get a backslash, which ``unescape`` takes off again."""
+    return escape(role).replace("\n", "\\\n")
+
+
 def inst_template(turns: Sequence[Turn]) -> str:
     """``<s>[INST] user [/INST]`` and ``assistant </s>``; a system turn in its own marks, any other role named."""
     out = []
@@ -52,50 +58,96 @@ def inst_template(turns: Sequence[Turn]) -> str:
         elif role == "system":
             out.append(f"<<SYS>>{body}<</SYS>>")
         else:
-            out.append(f"<<ROLE>>{escape(role)}\n{body}<</ROLE>>")
+            out.append(f"<<ROLE>>{_name(role)}\n{body}<</ROLE>>")
     return "".join(out)
 
 
+_TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?) </s>|<<SYS>>(?P<system>.*?)<</SYS>>|<<ROLE>>(?P<role>(?:\\.|[^\\\n])*)\n(?P<text>.*?)<</ROLE>>", re.DOTALL)
+
+
+def parse_inst(formatted: str) -> list[Turn]:
+    """The turns of an ``inst_template`` string, by its marks alone."""
+    out, at = [], 0
+    while at < len(formatted):
+        found = _TURN.match(formatted, at)
+        if not found:
+            raise ValueError(f"no turn begins at {at}")
+        if found["role"] is not None:
+            out.append((unescape(found["role"]), unescape(found["text"])))
+        else:
+            out.append((found.lastgroup, unescape(found[found.lastgroup])))
+        at = found.end()
+    return out
+
+
 #: Stands in for a text while its place is looked for; no mark and nothing that needs escaping.
-PROBE = "⁣probe⁣"
+PROBE = "\u2063probe\u2063"
 
 
 class HistoryRewritten(ValueError):
     """A longer conversation does not begin with the shorter one's output."""
 
 
+def _place(template: Template, turns: Sequence[Turn], k: int, before: str, now: str) -> tuple[int, int]:
+    """Where the text of turn ``k`` lies in ``now``, the output of ``turns``."""
+    probed = template([*turns[:k], (turns[k][0], PROBE), *turns[k + 1 :]])
+    if not probed.startswith(before) or probed.count(PROBE, len(before)) != 1:
+        raise HistoryRewritten(f"turn {k + 1}: its text has no single place")
+    head = probed.index(PROBE, len(before))
+    tail = len(probed) - head - len(PROBE)
+    if now[:head] != probed[:head] or now[len(now) - tail :] != probed[len(probed) - tail :] or head + tail > len(now):
+        raise HistoryRewritten(f"turn {k + 1}: what surrounds its text depends on it")
+    return head, len(now) - tail
+
+
 def render_incrementally(turns: Sequence[Turn], template: Template = inst_template) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The formatted string, and for each turn (start, end, text_start, text_end) in it.
 
     Raises ``HistoryRewritten`` if a prefix's output changes once a turn is added, or if a turn's text
-    can't be told from what the template puts around it.
+    can't be told from what the template puts around it. A prefix that the template refuses is passed over; what it
+    raises for all turns or for a probe is raised. Of turns that only come out together all but the last end with their text.
     """
-    spans, before = [], template([])
-    for k, (role, _) in enumerate(turns, 1):
-        now = template(turns[:k])
+    spans: list[tuple[int, int, int, int]] = []
+    try:
+        before = template([])
+    except Exception:  # the template is any function: it may refuse no turns in whatever way
+        before = ""
+    waiting: list[int] = []
+    for k in range(1, len(turns) + 1):
+        waiting.append(k - 1)
+        try:
+            now = template(turns[:k])
+        except Exception:
+            if k == len(turns):
+                raise
+            continue
         if not now.startswith(before):
             raise HistoryRewritten(f"turn {k} changes what came before it")
-        probed = template([*turns[: k - 1], (role, PROBE)])
-        if not probed.startswith(before) or probed.count(PROBE, len(before)) != 1:
-            raise HistoryRewritten(f"turn {k}: its text has no single place")
-        head = probed.index(PROBE, len(before))
-        tail = len(probed) - head - len(PROBE)
-        if now[:head] != probed[:head] or now[len(now) - tail :] != probed[len(probed) - tail :] or head + tail > len(now):
-            raise HistoryRewritten(f"turn {k}: what surrounds its text depends on it")
-        spans.append((len(before), len(now), head, len(now) - tail))
-        before = now
+        start = len(before)
+        for i in waiting:
+            head, tail = _place(template, turns[:k], i, before, now)
+            if head < start:
+                raise HistoryRewritten(f"turn {i + 1}: its text stands before an earlier turn's")
+            end = len(now) if i == k - 1 else tail
+            spans.append((start, end, head, tail))
+            start = end
+        before, waiting = now, []
     return before, spans
 
 
 def format_one(turns: Sequence[Turn], template: Template, loss_roles: Sequence[str]) -> dict:
+    """A conversation's output and spans; with ``problem`` no spans, and no output if the template raises for all turns."""
     try:
         text, spans = render_incrementally(turns, template)
-    except HistoryRewritten as e:
-        return {"formatted": template(turns), "spans": [], "roles": [], "problem": str(e)}
+    except Exception as e:  # a template is a black box: what it raises is this conversation's problem, not the job's
+        try:
+            whole = template(turns)
+        except Exception:
+            whole = None
+        return {"formatted": whole, "spans": [], "problem": str(e) if isinstance(e, HistoryRewritten) else f"template raised {type(e).__name__}: {e}"}
     return {
         "formatted": text,
         "spans": [{"start": a, "end": b, "text_start": c, "text_end": d, "loss": role in loss_roles} for (a, b, c, d), (role, _) in zip(spans, turns, strict=True)],
-        "roles": [role for role, _ in turns],
         "problem": None,
     }
 
@@ -109,7 +161,7 @@ def format_conversations(
     template: Template = inst_template,
     loss_roles: Sequence[str] = ("assistant",),
 ) -> DataFrame:
-    """A row for each conversation: ``<id_col>, formatted, spans, roles, problem``.
+    """A row for each conversation: ``<id_col>, formatted, spans, problem``.
 
     Turns are ordered by turn (null first), then role and text, so ties give the same output on every
     run; repeated rows are repeated turns. A null role or text counts as empty; a null id is a
@@ -128,36 +180,40 @@ def format_conversations(
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([o[name] for o in out], kind) for name, kind in _FORMATTED.items())], ["id", *_FORMATTED])
 
     # One pass of Python for each conversation: a function's column would be made again for each of its uses.
-    out = grouped.select(F.col(id_col).alias("id"), "turns").mapInArrow(run, f"id {id_type}, formatted string, spans array<struct<start:int,end:int,text_start:int,text_end:int,loss:boolean>>, roles array<string>, problem string")
+    out = grouped.select(F.col(id_col).alias("id"), "turns").mapInArrow(run, f"id {id_type}, formatted string, spans array<struct<start:int,end:int,text_start:int,text_end:int,loss:boolean>>, problem string")
     return out.withColumnRenamed("id", id_col)
 
 
 _SPAN = pa.struct([*((name, pa.int32()) for name in ("start", "end", "text_start", "text_end")), ("loss", pa.bool_())])
-_FORMATTED = {"formatted": pa.string(), "spans": pa.list_(_SPAN), "roles": pa.list_(pa.string()), "problem": pa.string()}
+_FORMATTED = {"formatted": pa.string(), "spans": pa.list_(_SPAN), "problem": pa.string()}
+
 
+def read_back(formatted: DataFrame, id_col: str = "conv_id", parse: Callable[[str], list[Turn]] = parse_inst) -> DataFrame:
+    """Digests of what the formatted strings hold: turns by ``parse``, and the text under the loss mask by the spans.
 
-def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of what the formatted strings hold: turns by their spans, and the text under the loss mask."""
+    A null string holds no turns; one that can't be parsed is a ``problem``.
+    """
 
-    def digests(text: str, spans: list[dict], roles: list[str]) -> tuple[int, str, int, str, int]:
-        turns, loss = sha256(), []
-        for m, role in zip(spans, roles, strict=True):
-            own = unescape(text[m["text_start"] : m["text_end"]])
-            turns.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
-            if m["loss"]:
-                loss.append(own)
-        under = "".join(loss)
-        return len(spans), turns.hexdigest(), len(under), sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)
+    def digests(text: str | None, spans: list[dict], problem: str | None) -> tuple[int, str, int, str, int, str | None]:
+        turns, text = [], text or ""
+        try:
+            turns = parse(text)
+        except ValueError as e:
+            problem = problem or str(e)
+        digest = sha256()
+        for role, own in turns:
+            digest.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
+        under = "".join(unescape(text[m["text_start"] : m["text_end"]]) for m in spans if m["loss"])
+        return len(turns), digest.hexdigest(), len(under), sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text), problem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+        kinds = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "problem": pa.string()}
         for batch in batches:
-            out = [digests(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("formatted", "spans", "roles")), strict=True)]
-            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, batch.column("problem")], ["id", *kinds, "problem"])
+            out = [digests(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("formatted", "spans", "problem")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values()))], ["id", *kinds])
 
     id_type = formatted.schema[id_col].dataType.simpleString()
-    rows = formatted.select(F.col(id_col).alias("id"), "formatted", "spans", "roles", "problem")
+    rows = formatted.select(F.col(id_col).alias("id"), "formatted", "spans", "problem")
     return rows.mapInArrow(run, f"id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, problem string").withColumnRenamed("id", id_col)
 
 
