@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringe.session import spread
@@ -201,31 +201,29 @@ def document_probabilities(net: Network, texts: Sequence[str], task_windows: int
 
 
 def labelled_sample(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame | None:
-    """About ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none. The sample of a sample is itself."""
+    """Rows id, lang, text: up to ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none. The sample of a sample is itself.
+
+    Those of the smallest hash of id and text, and no more however often a row is repeated or an id is null.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     if usable is not None:
         labelled = labelled.where(usable)
     counts = dict(labelled.groupBy(lang_col).count().collect())
     if not counts:
         return None
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chance = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
     share = None
-    for lang, n in sorted(counts.items()):
-        limit = F.lit(docs_per_language / n)
-        share = F.when(F.col(lang_col) == lang, limit) if share is None else share.when(F.col(lang_col) == lang, limit)
-    return labelled.where(chance < share)
-
+    for lang, n in sorted(counts.items()):  # half as many again are ranked, so that enough are
+        limit = F.lit(1.5 * docs_per_language / n + 1e-3)
+        share = F.when(F.col("lang") == lang, limit) if share is None else share.when(F.col("lang") == lang, limit)
+    few = labelled.withColumn("chance", chance).where(F.col("chance") < share)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "id", "text"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= docs_per_language).select("id", "lang", "text")
 
-def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, **options) -> Network | None:
-    """A network from labelled rows of ``docs`` for which ``usable`` holds; None if there are none.
 
-    The sample is ``docs_per_language`` documents of each language (about; chosen by a hash of the id)
-    and ``windows_per_doc`` windows of each, spread over the whole text: a documented bound, so what
-    reaches the driver doesn't grow with the table.
-    """
-    labelled = labelled_sample(docs, usable, text_col, lang_col, id_col, docs_per_language)
-    if labelled is None:
-        return None
+def fit_sample(labelled: DataFrame, windows_per_doc: int = WINDOWS_PER_DOC, **options) -> Network | None:
+    """A network from a ``labelled_sample``: ``windows_per_doc`` windows of each text reach the driver."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -236,13 +234,23 @@ def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", l
                 out += [(id_, lang, data[p : p + WINDOW]) for p in places]
             yield pd.DataFrame(out, columns=["id", "lang", "window"])
 
-    chosen = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sorted((r.lang, r.id or "", bytes(r.window)) for r in chosen.mapInPandas(cut, "id string, lang string, window binary").collect())
+    sample = sorted((r.lang, r.id or "", bytes(r.window)) for r in labelled.mapInPandas(cut, "id string, lang string, window binary").collect())
     if not sample:
         return None
     return train([w for _, _, w in sample], [lang for lang, _, _ in sample], **options)
 
 
+def fit(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC, **options) -> Network | None:
+    """A network from labelled rows of ``docs`` for which ``usable`` holds; None if there are none.
+
+    The sample is ``docs_per_language`` documents of each language at most (chosen by a hash of id and text)
+    and ``windows_per_doc`` windows of each, spread over the whole text: a documented bound, so what
+    reaches the driver doesn't grow with the table.
+    """
+    labelled = labelled_sample(docs, usable, text_col, lang_col, id_col, docs_per_language)
+    return None if labelled is None else fit_sample(labelled, windows_per_doc, **options)
+
+
 def language(net: Network | None, text: Column, unseen_even: bool = False) -> Column:
     """struct<lang string, score double> of a text column: the language of the largest pooled probability.
 
@@ -270,17 +278,14 @@ def language(net: Network | None, text: Column, unseen_even: bool = False) -> Co
     return run(text)
 
 
-def score_floors(net: Network, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> list[float]:
+def score_floors(net: Network, sample: DataFrame) -> list[float]:
     """For each length class the score (with ``unseen_even``) below which a text is in none of the languages.
 
-    It is set on a bounded sample of the labelled texts so that these stay, and lies above even scores however many
+    It is set on a ``labelled_sample``, so that these texts stay, and lies above even scores however many
     languages there are (two at least: of one the score is always 1). Longer texts score more surely, so a class of fewer than ``FLOOR_ROWS`` rows takes the floor of the
     next shorter one; without a shorter one it has none (0).
     """
-    labelled = labelled_sample(docs, None, text_col, lang_col, id_col, docs_per_language)
-    if labelled is None:
-        return [0.0] * (len(LENGTH_BOUNDS) + 1)
-    scored = spread(labelled.select(F.col(text_col).alias("text"))).select(F.octet_length("text").alias("size"), language(net, F.col("text"), unseen_even=True).alias("found"))
+    scored = spread(sample.select("text")).select(F.octet_length("text").alias("size"), language(net, F.col("text"), unseen_even=True).alias("found"))
     rows = scored.where(F.col("found.lang") != UNDETERMINED).select("size", "found.score").collect()
     of_class: list[list[float]] = [[] for _ in range(len(LENGTH_BOUNDS) + 1)]
     for size, score in rows:

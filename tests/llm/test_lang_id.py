@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from fringe.llm import lang_id
 
@@ -65,3 +67,20 @@ def test_nothing_to_learn_from(spark):
     assert lang_id.identify(df.limit(0)).count() == 0
     one = spark.createDataFrame([(i, "abc", "aa") for i in range(9)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in lang_id.identify(one).collect()} == {"aa"}
+
+
+def test_sample_is_bounded_and_learns_from_null_ids(spark):
+    rng = random.Random(2)
+    rows = [(None, text(lang, rng), lang) for lang in ["aa", "bb"] * 100] + [(None, "repeated text of aa", "aa")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = lang_id.labelled_sample(df, docs_per_language=20)
+    counts = dict(sample.groupBy("lang").count().collect())
+    assert counts == {"aa": 20, "bb": 20}
+    assert sorted(lang_id.labelled_sample(sample, id_col="id", docs_per_language=20).collect(), key=str) == sorted(sample.collect(), key=str)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="needs the test tables")
+def test_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    met = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(met) > 100 and np.mean([r.lang == r.lang_pred for r in met]) > 0.97
