@@ -28,7 +28,8 @@ def safe_div(a: Column, b: Column) -> Column:
 def int_div(a: Column, b: Column) -> Column:
     """Integer quotient, truncated towards zero; null for a zero divisor."""
     a, b = a.cast("long"), b.cast("long")
-    return F.when(b != 0, (a - F.try_mod(a, b)) / b).cast("long")
+    # The least whole number has no opposite: its quotient by -1 is null.
+    return F.when(b == -1, F.try_subtract(F.lit(0).cast("long"), a)).when(b != 0, F.call_function("div", a, b))
 
 
 def int_mod(a: Column, b: Column) -> Column:

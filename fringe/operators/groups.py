@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of nesting after which a hierarchy is given up.
-MAX_DEPTH = 64
+from fringe.session import checkpointed
 
 
 def members(edges: DataFrame, group_id=None) -> DataFrame:
@@ -42,21 +43,23 @@ def copy_group(edges: DataFrame, source, target) -> DataFrame:
     return edges.unionByName(own).distinct()
 
 
-def reachable(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def reachable(edges: DataFrame, checkpoint_every: int = 8) -> DataFrame:
     """``group_id, member_id, depth``: everything in a group or in groups within it, by its shortest path; cycles end where they close.
 
-    A level is a join with the edges and an anti-join with what was found; the loop ends when a level finds nothing new.
+    A level is a join with the edges and an anti-join with what was found; the loop ends when a level finds nothing new,
+    however deep that is. Every few levels what was found is written, so that the plan doesn't grow with the depth.
     """
-    edges = members(edges).cache()
+    edges = checkpointed(members(edges))
+    onward = edges.select(F.col("group_id").alias("member_id"), F.col("member_id").alias("next"))
     found = level = edges.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        onward = edges.select(F.col("group_id").alias("member_id"), F.col("member_id").alias("next"))
+    for depth in itertools.count(2):
         new = level.join(onward, "member_id").select("group_id", F.col("next").alias("member_id")).distinct()
-        level = new.join(found, ["group_id", "member_id"], "left_anti").withColumn("depth", F.lit(depth)).cache()
+        level = checkpointed(new.join(found, ["group_id", "member_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+        if depth % checkpoint_every == 0:
+            found = checkpointed(found)
 
 
 def compact(edges: DataFrame, top) -> DataFrame:

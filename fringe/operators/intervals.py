@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringe.session import fresh
+
 #: Buckets in which the intervals' whole span is cut.
 BUCKETS = 10_000
 
@@ -33,8 +35,8 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, time: Column, start: str
     how = "left_semi" if inside else "left_anti"
     width = ((high or 0.0) - (low or 0.0)) / buckets or 1.0
     place = lambda t: F.floor((t - F.lit(low or 0.0)) / F.lit(width))
-    cut = spans.withColumn("gti_bucket", F.explode(F.sequence(place(F.col("start")), place(F.col("stop"))))).select(F.col("start").alias("gti_start"), F.col("stop").alias("gti_stop"), "gti_bucket")
-    at = time.cast("double")
-    met = rows.withColumns({"row_time": at, "row_bucket": place(at)})
-    condition = (F.col("row_bucket") == F.col("gti_bucket")) & (F.col("row_time") >= F.col("gti_start")) & (F.col("row_time") <= F.col("gti_stop"))
-    return met.join(cut, condition, how).drop("row_time", "row_bucket")
+    at, row_bucket, first, last, bucket = fresh(rows.columns, "row_time", "row_bucket", "gti_start", "gti_stop", "gti_bucket")
+    cut = spans.withColumn(bucket, F.explode(F.sequence(place(F.col("start")), place(F.col("stop"))))).select(F.col("start").alias(first), F.col("stop").alias(last), bucket)
+    met = rows.withColumns({at: time.cast("double"), row_bucket: place(time.cast("double"))})
+    condition = (F.col(row_bucket) == F.col(bucket)) & (F.col(at) >= F.col(first)) & (F.col(at) <= F.col(last))
+    return met.join(cut, condition, how).drop(at, row_bucket)

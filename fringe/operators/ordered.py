@@ -1,63 +1,88 @@
 """Running totals, differences and offsets over a total order of rows, without a window over all rows.
 
-The order column's quantiles cut the table into buckets. Windows run inside a bucket, and what a bucket
-hands on to the next (its total, its last value, its row count) is one row for each bucket.
+Rows are range-partitioned by the order, over as many partitions as shuffles have, and written to the checkpoint folder: the
+bounds of ranges are sampled, and must not be drawn again. Windows run inside a partition, and what a partition hands on to the
+next (its total, its last value, its row count) is one row for each.
+
+Rows that are equal in the order follow one another by a hash of all their columns, which gives the same result on every run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets; enough for some hundred cores, few enough for literals in the plan.
-BUCKETS = 200
+from fringe.session import checkpointed, fresh
+
 
+class _Ranged:
+    """Rows in ranges: ``rows`` with columns ``part`` and ``tie``, and windows within a range."""
 
-def with_bucket(rows: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with ``bucket``, which rises with the numeric column ``order``."""
-    cuts = rows.stat.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.5 / buckets) if buckets > 1 else []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return rows.withColumn("bucket", F.lit(0))
-    return rows.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))))
+    def __init__(self, rows: DataFrame, order: str | Sequence[str], **values: Column) -> None:
+        self.columns = rows.columns
+        self.order = [order] if isinstance(order, str) else list(order)
+        names = fresh(self.columns, "part", "tie", "carried", "own", *values)
+        self.part, self.tie, self.carried, self.own, *rest = names
+        self.names = dict(zip(values, rest, strict=True))
+        made = rows.withColumns({self.names[k]: v for k, v in values.items()} | {self.tie: F.xxhash64(*[F.col(c) for c in self.columns])})
+        # The tie is part of the range, so that equal rows don't gather in one partition.
+        self.rows = checkpointed(made.repartitionByRange(*self.order, self.tie).withColumn(self.part, F.spark_partition_id()))
+        self.within = Window.partitionBy(self.part).orderBy(*self.order, self.tie)
+        self.between = Window.orderBy(self.part)
 
+    def carry(self, value: Column, empty) -> DataFrame:
+        """``rows`` with the sum of ``value`` over all earlier ranges, as ``carried``: one row for each range goes through one task."""
+        sums = self.rows.groupBy(self.part).agg(F.sum(value).alias(self.own))
+        before = F.sum(self.own).over(self.between.rowsBetween(Window.unboundedPreceding, -1))
+        return self.rows.join(F.broadcast(sums.select(self.part, F.coalesce(before, F.lit(empty)).alias(self.carried))), self.part)
 
-def _carry(bucketed: DataFrame, value: Column, name: str, empty) -> DataFrame:
-    """For each bucket the sum of ``value`` over all earlier ones."""
-    sums = bucketed.groupBy("bucket").agg(F.sum(value).alias("own"))
-    before = F.sum("own").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    return F.broadcast(sums.select("bucket", F.coalesce(before, F.lit(empty)).alias(name)))
+    def result(self, rows: DataFrame, alias: str, value: Column) -> DataFrame:
+        return rows.select(*[F.col(c) for c in self.columns if c != alias], value.alias(alias))
 
 
-def accumulate(rows: DataFrame, value: Column, order: str, alias: str = "accum", buckets: int = BUCKETS) -> DataFrame:
+def accumulate(rows: DataFrame, value: Column, order: str | Sequence[str], alias: str = "accum") -> DataFrame:
     """``rows`` with the running sum of ``value`` up to and with each row; a null adds nothing."""
-    bucketed = with_bucket(rows, order, buckets).withColumn("own_value", value)
-    within = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    met = bucketed.join(_carry(bucketed, F.col("own_value"), "carried", 0), "bucket")
-    return met.withColumn(alias, F.col("carried") + F.coalesce(F.sum("own_value").over(within), F.lit(0))).drop("bucket", "own_value", "carried")
+    ranged = _Ranged(rows, order, value=value)
+    own = F.col(ranged.names["value"])
+    upto = F.sum(own).over(ranged.within.rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.result(ranged.carry(own, 0), alias, F.col(ranged.carried) + F.coalesce(upto, F.lit(0)))
+
+
+def accumulate_vectors(rows: DataFrame, vector: Column, order: str | Sequence[str], alias: str = "accum") -> DataFrame:
+    """``rows`` with, in each place of an array of numbers, the running sum over all elements before it: within its row and in all earlier rows. A null element adds nothing."""
+    ranged = _Ranged(rows, order, vector=vector)
+    own = F.col(ranged.names["vector"])
+    total = F.aggregate(F.coalesce(own, F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    before = F.coalesce(F.sum(total).over(ranged.within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col(ranged.carried)
+    met = ranged.carry(total, 0.0).withColumn(ranged.own, before)
+    upto = F.transform(own, lambda x, i: F.col(ranged.own) + F.aggregate(F.slice(own, F.lit(1), i + 1), F.lit(0.0), lambda s, y: s + F.coalesce(y.cast("double"), F.lit(0.0))))
+    return ranged.result(met, alias, upto)
 
 
-def number_rows(rows: DataFrame, order: str, alias: str = "row", buckets: int = BUCKETS) -> DataFrame:
+def number_rows(rows: DataFrame, order: str | Sequence[str], alias: str = "row") -> DataFrame:
     """``rows`` with their number from 1 in the order of ``order``."""
-    bucketed = with_bucket(rows, order, buckets)
-    met = bucketed.join(_carry(bucketed, F.lit(1), "carried", 0), "bucket")
-    return met.withColumn(alias, F.col("carried") + F.row_number().over(Window.partitionBy("bucket").orderBy(order))).drop("bucket", "carried")
+    ranged = _Ranged(rows, order)
+    return ranged.result(ranged.carry(F.lit(1), 0), alias, F.col(ranged.carried) + F.row_number().over(ranged.within))
 
 
-def sequence_difference(rows: DataFrame, value: Column, order: str, alias: str = "seqdiff", buckets: int = BUCKETS) -> DataFrame:
+def sequence_difference(rows: DataFrame, value: Column, order: str | Sequence[str], alias: str = "seqdiff") -> DataFrame:
     """``rows`` with ``value`` minus that of the row before; the first row's own value; null where either is null."""
-    bucketed = with_bucket(rows, order, buckets).withColumn("own_value", value)
-    last = bucketed.groupBy("bucket").agg(F.max_by(F.struct("own_value"), order).alias("last"))
-    before = last.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("from_before"))
-    within = Window.partitionBy("bucket").orderBy(order)
-    met = bucketed.join(F.broadcast(before), "bucket")
-    own_lag = F.lag(F.struct("own_value")).over(within)
-    previous = F.coalesce(own_lag, F.col("from_before"))
-    return met.withColumn("previous", previous).withColumn(alias, F.when(F.col("previous").isNull(), F.col("own_value")).otherwise(F.col("own_value") - F.col("previous.own_value"))).drop("bucket", "own_value", "from_before", "previous")
+    ranged = _Ranged(rows, order, value=value)
+    own = F.struct(F.col(ranged.names["value"]).alias("value"))
+    last = ranged.rows.groupBy(ranged.part).agg(F.max_by(own, F.struct(*ranged.order, ranged.tie)).alias(ranged.own))
+    before = last.select(ranged.part, F.lag(ranged.own).over(ranged.between).alias(ranged.carried))
+    met = ranged.rows.join(F.broadcast(before), ranged.part)
+    met = met.withColumn(ranged.own, F.coalesce(F.lag(own).over(ranged.within), F.col(ranged.carried)))
+    mine = F.col(ranged.names["value"])
+    return ranged.result(met, alias, F.when(F.col(ranged.own).isNull(), mine).otherwise(mine - F.col(ranged.own)["value"]))
 
 
-def row_offset(rows: DataFrame, column: str, offset: int, order: str, alias: str = "shifted", buckets: int = BUCKETS) -> DataFrame:
+def row_offset(rows: DataFrame, column: str, offset: int, order: str | Sequence[str], alias: str = "shifted") -> DataFrame:
     """``rows`` with the value that ``column`` has ``offset`` rows further; null beyond the table's ends."""
-    numbered = number_rows(rows, order, "row", buckets)
-    other = numbered.select((F.col("row") - offset).alias("row"), F.col(column).alias(alias))
-    return numbered.join(other, "row", "left").drop("row")
+    row, other_row, value = fresh([*rows.columns, alias], "row", "other_row", "other_value")
+    numbered = checkpointed(number_rows(rows, order, row))
+    other = numbered.select((F.col(row) - offset).alias(other_row), F.col(column).alias(value))
+    met = numbered.join(other, F.col(row) == F.col(other_row), "left")
+    return met.select(*[F.col(c) for c in rows.columns if c != alias], F.col(value).alias(alias))

@@ -7,6 +7,7 @@ depends on the order of a sum.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -158,11 +159,21 @@ def grid_plane_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridding.plane_histogram(gridding.locate(samples(spark, sf_dir), GRID))
 
 
-@query("select cast(null as int) as v, cast(null as int) as u, cast(null as double) as error where false")
+@query(f"""with {_VIS}, h as (select gv as v, gu as u, count(*) as n from sup where fits group by 1, 2)
+select cast(v as int) as v, cast(u as int) as u, case when v % 7 = 0 then 0.5e0 else 1.0e0 end as error from h where v % 7 = 0 or u % 11 = 0""")
 def grid_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of both engines that differ once one grid's are doubled in some rows and missing in some columns."""
+    centres = gridding.hit_intensity(supported(spark, sf_dir), GRID, centre_only=True)
+    a = centres.select("v", "u", F.col("hits").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    b = a.where("u % 11 <> 0 or v % 7 = 0").withColumn("re", F.when(F.col("v") % 7 == 0, F.col("re") * 2).otherwise(F.col("re")))
+    return gridding.compare_grids(a, b)
+
+
+@query("select 0 as cells")
+def grid_engines_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both engines in double precision: no cell differs."""
     args = (samples(spark, sf_dir), kernel(spark), support(spark), GRID)
-    return gridding.compare_grids(gridding.grid_samples(*args), gridding.grid_samples(*args, engine="join"))
+    return gridding.compare_grids(gridding.grid_samples(*args), gridding.grid_samples(*args, engine="join")).agg(F.count("*").cast("int").alias("cells"))
 
 
 @query("select l_orderkey, l_linenumber, round(l_quantity * (150e6 / 299792458.0e0), 9) as uu from lineitem")
@@ -536,16 +547,23 @@ def block_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams and sources.
 
 
+def _stream_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share; only a local session without one takes its own disk."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='fringe-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(ORACLES["grid_wproj"])
 def streaming_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship over a stream of the table's files: the state is the grid, a row for each cell."""
     schema = table(spark, sf_dir, "lineitem").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/lineitem.parquet*")
     grid = blocks.streaming_grid(as_samples(stream), kernel(spark), support(spark), GRID, UNIT)
-    name = f"grid_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    blocks.run_to_table(grid, name, f"{shared.rstrip('/')}/{name}").awaitTermination()
-    return spark.table(name)
+    path = _stream_path(spark, "grid")
+    blocks.run_to_files(grid, path, ["v", "u"]).awaitTermination()
+    return blocks.latest(spark, path, grid.schema, ["v", "u"])
 
 
 @query("select date_trunc('hour', ts) as start, cast(floor(value / 10) as bigint) as bin, count(*) as n from events group by 1, 2")
@@ -554,10 +572,10 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = blocks.windowed_histogram(stream, "ts", "1 hour", "400 days", F.floor(F.col("value") / 10))
-    name = f"windows_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    blocks.run_to_table(counts, name, f"{shared.rstrip('/')}/{name}").awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "bin", "n")
+    flat = counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "bin", "n")
+    path = _stream_path(spark, "windows")
+    blocks.run_to_files(flat, path, ["start", "bin"]).awaitTermination()
+    return blocks.latest(spark, path, flat.schema, ["start", "bin"])
 
 
 @query("select n_regionkey as group_id, n_nationkey as user_index, cast(length(n_name) + 1 as bigint) as size, true as crc_ok, n_name as text from nation")
@@ -597,3 +615,169 @@ def fits_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = table(spark, sf_dir, "part").groupBy("p_brand").applyInPandas(encode, "path string, content binary")
     return fits.table_of(files).drop("_row")
+
+
+# Further cases of the operators above.
+
+
+@query("select l_orderkey, l_linenumber, (9007199254740993 + l_orderkey) // l_linenumber as whole, -(9007199254740993 + l_orderkey) // 1 as negative, cast(l_linenumber * l_linenumber * l_linenumber as bigint) as cube from lineitem")
+def integer_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers above 2^53 stay exact."""
+    large = F.lit(9007199254740993) + F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", nulls.int_div(large, F.col("l_linenumber")).alias("whole"), nulls.int_div(-large, F.lit(1)).alias("negative"), nulls.int_power(F.col("l_linenumber"), F.lit(3)).alias("cube")
+    )
+
+
+@query(f"""with e as (select event_id, value as row_time, user_id as row_bucket, event_id * 2 as part from events),
+f as (select *, cast(sum(row_bucket) over (order by event_id) as bigint) as tie from e) select * from f where exists (select 1 from ({_GTI}) where row_time between start and stop)""")
+def clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose columns bear the names that the operators use inside stay whole."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("row_time"), F.col("user_id").alias("row_bucket"), (F.col("event_id") * 2).alias("part"))
+    return intervals.in_intervals(ordered.accumulate(e, F.col("row_bucket"), "event_id", "tie"), _gti(spark, sf_dir), F.col("row_time"))
+
+
+@query(f"{_DOUBLES}, b as (select vec_id, generate_subscripts(v, 1) as k, unnest(v) as x from a), c as (select vec_id, k, sum(cast(round(x * 1000000) as bigint)) over (order by vec_id, k) as upto from b) select vec_id, list(cast(upto as double) order by k) as accum from c group by vec_id")
+def accum_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum over all elements of all rows, in millionths."""
+    a = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ordered.accumulate_vectors(a, F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000)), "vec_id").select("vec_id", "accum")
+
+
+@query("select n_regionkey as group_id, n_nationkey as user_index, n_name as text from nation where n_nationkey % 3 = 0")
+def container_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks looked up by extended names and index in big-endian and in other files; no row for a name that isn't there."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows_ in batches:
+            content = [container.encode([(0, 1, 0, container.CHAR, b"x"), ("names", "nation", int(k), container.CHAR, n.encode())], big_endian=k % 2 == 0) for k, n in zip(rows_["n_nationkey"], rows_["n_name"], strict=True)]
+            yield pd.DataFrame({"path": rows_["n_regionkey"].astype(str), "content": content})
+
+    index = container.chunks_of(table(spark, sf_dir, "nation").mapInPandas(encode, "path string, content binary"))
+    out = None
+    for key in [*range(0, 25, 3), 99]:
+        one = container.find(index, "names", "nation", key)
+        out = one if out is None else out.unionByName(one)
+    return out.select(F.col("path").cast("int").alias("group_id"), "user_index", F.col("payload").cast("string").alias("text"))
+
+
+@query("select c_nationkey as nation, count(*) as n, cast(sum(c_custkey) as double) as total, max(c_custkey)::double as last from customer group by 1")
+def container_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles of containers in both byte orders, a file of up to 500 customers of a nation each, as typed arrays."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows_ in batches:
+            payload = [np.array(keys, "<f8").tobytes() for keys in rows_["keys"]]
+            yield pd.DataFrame({"path": rows_["c_nationkey"].astype(str), "content": [container.encode([(1, 2, 0, container.DOUBLE, x)], big_endian=len(x) % 16 == 0) for x in payload]})
+
+    blocks_ = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500).alias("block")).agg(F.collect_list("c_custkey").alias("keys"))
+    chunks = container.chunks_of(blocks_.select("c_nationkey", "keys").mapInPandas(encode, "path string, content binary")).where("crc_ok")
+    v = chunks.select(F.col("path").cast("int").alias("nation"), F.explode(container.values(F.col("payload"), container.DOUBLE)).alias("x"))
+    return v.groupBy("nation").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.max("x").alias("last"))
+
+
+@query("""with a as (select p_partkey, p_size::double as x, p_retailprice / 40.0e0 as y from part), b as (select *, x - 25 as dx, y - 35 as dy, fmod(degrees(atan2(y - 35, x - 25)) + 360, 360) as turn, power((x - 25) / 8, 2) + power((y - 35) / 4, 2) as e1, power((x - 25) / 20, 2) + power((y - 35) / 9, 2) as e2 from a)
+select p_partkey, turn between 20 and 130 as sector, turn >= 300 or turn <= 40 as pie_over_zero, e1 >= 1 and e2 <= 1 as elliptannulus, abs(dx) <= 15 and abs(dy) <= 8 and not (abs(dx) <= 5 and abs(dy) <= 3) as boxannulus,
+  turn between 20 and 130 and dx * dx + dy * dy between 16 and 144 as panda, abs(x - 20) < 0.5 and abs(y - 30) < 0.5 as point, x between 10 and 40 and abs(y - 30) < 0.5 or (x >= 9.5 and x <= 40.5 and abs(y - 30) < 0.5) as line,
+  y >= 20 and y < 40 and x < 5 + (y - 20) * 2 and x >= 5 as polygon from b""")
+def region_more_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 40.0).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return a.select(
+        "p_partkey", regions.sector(x, y, 25, 35, 20, 130).alias("sector"), regions.sector(x, y, 25, 35, 300, 40).alias("pie_over_zero"), regions.elliptannulus(x, y, 25, 35, 8, 4, 20, 9).alias("elliptannulus"),
+        regions.boxannulus(x, y, 25, 35, 10, 6, 30, 16).alias("boxannulus"), regions.panda(x, y, 25, 35, 20, 130, 4, 12).alias("panda"), regions.point(x, y, 20, 30).alias("point"), regions.line(x, y, 10, 30, 40, 30).alias("line"),
+        regions.polygon(x, y, 5, 20, 5, 40, 45, 40).alias("polygon"),
+    )
+
+
+_SKY_POINTS = "select p_partkey, (p_size - 25.0e0) as x, p_retailprice / 100.0e0 as y from part"
+
+
+@query(f"""with a as ({_SKY_POINTS}), b as (select p_partkey, radians((x - 1.5e0) * -0.1e0) as el, radians((y + 2.5e0) * 0.1e0) as em, radians(40.0e0) as d0 from a),
+c as (select *, sqrt(1 + el * el + em * em) as r, sqrt(1 - el * el - em * em) as z from b),
+d as (select p_partkey, el, em, el / r as tx, (cos(d0) - em * sin(d0)) / r as ty, (sin(d0) + em * cos(d0)) / r as tz, z * cos(d0) - em * sin(d0) as sy, z * sin(d0) + em * cos(d0) as sz from c)
+select p_partkey, round(fmod(degrees(atan2(tx, ty)) + 480, 360), 8) as tan_ra, round(degrees(asin(tz)), 8) as tan_dec, round(fmod(degrees(atan2(el, sy)) + 480, 360), 8) as sin_ra, round(degrees(asin(sz)), 8) as sin_dec,
+  round(fmod(degrees(el) + 480, 360), 8) as car_ra, round(40 + degrees(em), 8) as car_dec from d""")
+def wcs_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sky positions by three projections, in SQL by unit vectors: an error made in both directions shows."""
+    a = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25.0).alias("x"), (F.col("p_retailprice") / 100.0).alias("y"))
+    names = []
+    for kind in ("TAN", "SIN", "CAR"):
+        ra, dec = sky.Projection(120.0, 40.0, 1.5, -2.5, -0.1, 0.1, 0.0, kind).to_sky(F.col("x"), F.col("y"))
+        names += [F.round(ra, 8).alias(f"{kind.lower()}_ra"), F.round(dec, 8).alias(f"{kind.lower()}_dec")]
+    return a.select("p_partkey", *names)
+
+
+@query("with k as (select w, y, x from range(8) a(w), range(35) b(y), range(35) c(x)) select cast(w as int) as w, count(*) as n, cast(max(x) as int) as reach from k where y <= (w + 1) * 4 + 2 and x <= (w + 1) * 4 + 2 group by w")
+def kernel_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridding.compact_kernel(kernel(spark), support(spark), GRID.oversample).groupBy("w").agg(F.count("*").alias("n"), F.max("x").alias("reach"))
+
+
+@query(f"with {_TILES} select pu, pv, count(*) as n, 1 as runs from tiles group by 1, 2")
+def grid_bucket_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples gathered by tile: within a partition each tile is one run of rows."""
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows_ = pd.concat([b[["pu", "pv"]] for b in batches] or [pd.DataFrame({"pu": [], "pv": []})])
+        starts = (rows_ != rows_.shift()).any(axis=1).astype("int64")
+        yield rows_.assign(starts=starts, n=1).groupby(["pu", "pv"], as_index=False).agg(n=("n", "sum"), runs=("starts", "sum"))
+
+    sorted_ = gridding.bucket_by_tile(gridding.tiles(supported(spark, sf_dir), GRID)).select("pu", "pv").mapInPandas(runs, "pu int, pv int, n long, runs long")
+    return sorted_.groupBy("pu", "pv").agg(F.sum("n").alias("n"), F.max("runs").cast("int").alias("runs"))
+
+
+_TOP = "select 100 + n_regionkey as group_id, n_nationkey as member_id from nation"
+
+
+@query(f"""with e as ({_TOP}) select 'add' as what, group_id, member_id from e union all select 'add', 100, 77 union all select 'remove', group_id, member_id from e where not (group_id = 101 and member_id = 1)
+union all select 'merge', case when group_id = 102 then 103 else group_id end, member_id from e union all select 'copy', group_id, member_id from e union all select 'copy', 500, member_id from e where group_id = 104
+union all select 'drop', group_id, member_id from e where group_id <> 100 union all select 'broken', group_id, member_id from e where member_id >= 20
+union all select 'holders', member_id, 1 from e""")
+def group_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members added and removed, groups merged, copied and removed, links to missing tables, and how many groups hold a member."""
+    e = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 100).alias("group_id"), F.col("n_nationkey").alias("member_id"))
+    tables = e.where("member_id < 20").select(F.col("member_id").alias("table_id"))
+    parts = {
+        "add": groups.add_member(e, 100, 77), "remove": groups.remove_member(e, 101, 1), "merge": groups.merge(e, 102, 103), "copy": groups.copy_group(e, 104, 500), "drop": groups.remove_group(e, 100), "broken": groups.broken_links(e, tables),
+        "holders": groups.count_groups(e).select(F.col("member_id").alias("group_id"), F.col("n_groups").cast("int").alias("member_id")),
+    }
+    out = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("what"), "group_id", "member_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select 999 as group_id, n_nationkey as member_id from nation union all select n_regionkey + 100, n_nationkey from nation")
+def group_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top of a hierarchy holding its tables directly."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 100).alias("group_id"), F.col("n_nationkey").alias("member_id"))
+    r = table(spark, sf_dir, "region").select(F.lit(999).alias("group_id"), (F.col("r_regionkey") + 100).alias("member_id"))
+    return groups.compact(n.unionByName(r), 999)
+
+
+@query("select vec_id, list_resize(list_transform(embedding, lambda x: cast(x as double)), 70)[65:70] as tail, list_transform(embedding, lambda x: cast(x as double))[1:3] as head from embeddings")
+def vector_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.slice(vectors.resize(v, 70), 65, 6).alias("tail"), vectors.resize(v, 3).alias("head"))
+
+
+@query(f"with p as (select *, ((y * 64 + x) % 97) / 97.0e0 as dither from {_PIXELS}), q as (select *, cast(floor(value / 0.05e0 + (dither - 0.5e0) + 0.5) as int) as stored from p) select y, x, stored, round((stored - (dither - 0.5e0)) * 0.05e0, 9) + 0.0e0 as restored from q")
+def image_quantize_dithered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pixels(spark, sf_dir).withColumn("dither", ((F.col("y") * 64 + F.col("x")) % 97) / F.lit(97.0))
+    p = p.withColumn("stored", images.quantize(F.col("value"), 0.05, dither=F.col("dither")))
+    return p.select("y", "x", "stored", (F.round(images.restore(F.col("stored"), 0.05, dither=F.col("dither")), 9) + 0.0).alias("restored"))
+
+
+@query(f"select y % 10 as y, x, round(sum(value), 5) + 0.0e0 as total, count(*) as n from {_PIXELS} group by 1, 2")
+def image_of_known_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of images whose bytes numpy wrote by itself, in big-endian order behind a header of plain text."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows_ in batches:
+            cards = ["SIMPLE  =                    T", "BITPIX  =                  -64", "NAXIS   =                    1", "NAXIS1  =                   64", "END"]
+            head = "".join(c.ljust(80) for c in cards).ljust(2880).encode()
+            yield pd.DataFrame({"path": rows_["vec_id"].astype(str), "content": [head + np.asarray(v).astype(">f8").tobytes().ljust(2880, b"\0") for v in rows_["embedding"]]})
+
+    pixels = fits.image_of(table(spark, sf_dir, "embeddings").mapInPandas(encode, "path string, content binary"))
+    return pixels.groupBy((F.col("path").cast("long") % 10).alias("y"), "x").agg((F.round(F.sum("value"), 5) + 0.0).alias("total"), F.count("*").alias("n"))

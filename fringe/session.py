@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +33,26 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Each name, or with underscores behind it until no column has it (in any case): for columns that come and go within an operator."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir``; only where none is set and the master is local a folder is made."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fringe-"))
+    return df.checkpoint()

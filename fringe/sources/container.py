@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,28 +23,69 @@ CRC_FLAG, EXTENDED_FLAG, BIG_ENDIAN_FLAG = 0x40, 0x80, 0x20
 CHAR, INT, SINGLE, DOUBLE, COMPLEX, MATRIX = 0x01, 0x02, 0x04, 0x08, 0x20, 0x40
 CRC_POLYNOMIAL = 0x82F63B78
 
-SCHEMA = "path string, chunk int, extended boolean, data_type int, group_id int, tag_id int, group_name string, tag_name string, user_index int, size long, crc_ok boolean, payload binary"
+SCHEMA = "path string, chunk int, extended boolean, data_type int, group_id int, tag_id int, group_name string, tag_name string, user_index int, size long, crc_ok boolean, payload binary, problem string"
 
 
 @cache
-def _crc_tables() -> np.ndarray:
+def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         table = np.where(table & 1, (table >> 1) ^ np.uint32(CRC_POLYNOMIAL), table >> 1)
     return table
 
 
+@cache
+def _zeros_table(length: int) -> np.ndarray:
+    """What ``length`` zero bytes make of a checksum's state: tables (4, 256) for its bytes, as the step is linear."""
+    if length == 1:
+        states = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        bits = (states >> np.uint32(8)) ^ _crc_table()[states & np.uint32(255)]
+    else:
+        half = _zeros_table(length // 2)
+        bits = _through(half, _through(half, np.uint32(1) << np.arange(32, dtype=np.uint32)))
+        if length % 2:
+            bits = _through(_zeros_table(1), bits)
+    out = np.zeros((4, 256), np.uint32)
+    for k in range(4):
+        for i in range(8):
+            out[k] ^= np.where(np.arange(256) >> i & 1, bits[8 * k + i], np.uint32(0))
+    return out
+
+
+def _through(table: np.ndarray, states: np.ndarray) -> np.ndarray:
+    return table[0][states & 255] ^ table[1][states >> 8 & 255] ^ table[2][states >> 16 & 255] ^ table[3][states >> 24]
+
+
+#: Pieces of a payload whose checksums run side by side.
+LANES = 512
+
+
 def crc32c(data: bytes, start: int = 0) -> int:
-    """The CRC-32C (Castagnoli) of bytes, going on from ``start``."""
-    table = _crc_tables().tolist()
-    crc = start ^ 0xFFFFFFFF
+    """The CRC-32C (Castagnoli) of bytes, going on from ``start``.
+
+    Long data is cut into pieces whose states go on together, byte by byte; a tree of steps then puts them one behind the other.
+    """
+    table = _crc_table()
+    state = start ^ 0xFFFFFFFF
+    length = len(data) // LANES
+    if length >= 16:
+        pieces = np.ascontiguousarray(np.frombuffer(data, np.uint8, LANES * length).reshape(LANES, length).T)
+        states = np.zeros(LANES, np.uint32)
+        states[0] = state
+        for row in pieces:
+            states = (states >> np.uint32(8)) ^ table[(states ^ row) & np.uint32(255)]
+        while len(states) > 1:
+            states = _through(_zeros_table(length), states[::2]) ^ states[1::2]
+            length *= 2
+        state, data = int(states[0]), data[LANES * (len(data) // LANES) :]
+    plain = table.tolist()
     for byte in data:
-        crc = table[(crc ^ byte) & 255] ^ (crc >> 8)
-    return crc ^ 0xFFFFFFFF
+        state = plain[(state ^ byte) & 255] ^ (state >> 8)
+    return state ^ 0xFFFFFFFF
 
 
 def element_type(data_type: int) -> np.dtype | None:
-    """The little-endian numpy type of a payload's elements; null for characters."""
+    """The little-endian numpy type of a payload's elements, which is how chunks are given out; null for characters."""
     base = {INT: np.dtype("<i4"), SINGLE: np.dtype("<f4"), DOUBLE: np.dtype("<f8")}.get(data_type & 0x0F)
     if base is not None and data_type & COMPLEX:
         base = np.dtype("<c8" if base == np.dtype("<f4") else "<c16")
@@ -55,50 +97,86 @@ def element_bytes(data_type: int) -> int:
     return base * (2 if data_type & COMPLEX else 1) * (4 if data_type & MATRIX else 1)
 
 
-def encode(chunks: Sequence[tuple[int | str, int | str, int, int, bytes]], name: bytes = b"") -> bytes:
-    """A file of (group, tag, user index, data type, payload); text names make an extended tag. ``name`` is the format's name at its start."""
+def _swapped(payload: bytes, data_type: int) -> bytes:
+    """A payload's numbers in the other byte order; characters and what is left of a number stay."""
+    size = {INT: 4, SINGLE: 4, DOUBLE: 8}.get(data_type & 0x0F, 1)
+    whole = len(payload) // size * size
+    return np.frombuffer(payload[:whole], f"u{size}").byteswap().tobytes() + payload[whole:]
+
+
+def encode(chunks: Sequence[tuple[int | str, int | str, int, int, bytes]], name: bytes = b"", big_endian: bool = False) -> bytes:
+    """A file of (group, tag, user index, data type, payload); text names make an extended tag. ``name`` is the format's name at its start.
+
+    With ``big_endian`` the little-endian payloads are swapped and their chunks marked so.
+    """
     out = bytearray(name.ljust(NAME_BYTES, b"\0")[:NAME_BYTES] + bytes([VERSION]) + bytes(HEADER_BYTES - NAME_BYTES - 1))
     for group, tag, index, data_type, payload in chunks:
         extended = isinstance(group, str)
         names = group.encode() + b"\0" + tag.encode() + b"\0" if extended else b""
         ids = (len(group.encode()) + 1, len(tag.encode()) + 1) if extended else (group, tag)
-        flags = CRC_FLAG | (EXTENDED_FLAG if extended else 0)
+        flags = CRC_FLAG | (EXTENDED_FLAG if extended else 0) | (BIG_ENDIAN_FLAG if big_endian else 0)
+        payload = _swapped(payload, data_type) if big_endian else payload
         body = struct.pack(TAG, ord("T"), 0x40 + VERSION, ord("G"), element_bytes(data_type), flags, data_type, *ids, index, len(names) + len(payload) + 4) + names + payload
         out += body + struct.pack("<I", crc32c(body))
     return bytes(out)
 
 
+def header(data: bytes) -> dict[str, object]:
+    """Name and version at the start of a file."""
+    return {"name": data[:NAME_BYTES].rstrip(b"\0").decode("ascii", "replace"), "version": data[NAME_BYTES] if len(data) > NAME_BYTES else None}
+
+
 def _chunks(path: str, data: bytes, check: bool) -> Iterator[tuple]:
-    """The chunks of a file; bytes after the last whole tag are left alone."""
+    """The chunks of a file; where no tag follows, one row with the problem ends it. Fewer bytes than a tag at the end are left alone."""
     at, number = HEADER_BYTES, 0
+    if 0 < len(data) < HEADER_BYTES:
+        yield path, 0, *[None] * 9, None, f"a file of {len(data)} bytes holds no header"
     while at + TAG_BYTES <= len(data):
         t, _, g, _, flags, data_type, group, tag, index, block = struct.unpack_from(TAG, data, at)
-        if (t, g) != (ord("T"), ord("G")) or flags & 0x1F:
-            raise ValueError(f"{path}: no tag at byte {at}")
-        if flags & BIG_ENDIAN_FLAG:
-            raise ValueError(f"{path}: chunk {number} is big-endian")
+        if (t, g) != (ord("T"), ord("G")) or flags & 0x1F or block < 0:
+            yield path, number, *[None] * 9, None, f"no tag at byte {at}"
+            return
         extended, has_crc = bool(flags & EXTENDED_FLAG), bool(flags & CRC_FLAG)
         body = data[at + TAG_BYTES : at + TAG_BYTES + block]
         names = group + tag if extended else 0
         payload = body[names : block - (4 if has_crc else 0)]
         ok = None
         if check and has_crc:
-            ok = len(body) == block and crc32c(data[at : at + TAG_BYTES] + body[:-4]) == struct.unpack("<I", body[-4:])[0]
-        text = [body[:group].rstrip(b"\0").decode(), body[group:names].rstrip(b"\0").decode()] if extended else [None, None]
-        yield path, number, extended, data_type, None if extended else group, None if extended else tag, *text, index, len(payload), ok, bytes(payload)
+            ok = len(body) == block and crc32c(body[:-4], crc32c(data[at : at + TAG_BYTES])) == struct.unpack("<I", body[-4:])[0]
+        problem = None if len(body) == block else f"chunk of {block} bytes is cut short to {len(body)}"
+        text = [body[:group].rstrip(b"\0").decode("utf-8", "replace"), body[group:names].rstrip(b"\0").decode("utf-8", "replace")] if extended else [None, None]
+        given = _swapped(bytes(payload), data_type) if flags & BIG_ENDIAN_FLAG else bytes(payload)
+        yield path, number, extended, data_type, None if extended else group, None if extended else tag, *text, index, len(payload), ok, given, problem
         at += TAG_BYTES + block
         number += 1
 
 
-def chunks_of(files: DataFrame, check_crc: bool = True) -> DataFrame:
-    """A row for each chunk of files given as (path, content)."""
+_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
+#: Bytes of payloads in a batch of chunks.
+BATCH_BYTES = 16 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for name, data in zip(rows["path"], rows["content"], strict=True):
-                yield pd.DataFrame(list(_chunks(name, bytes(data), check_crc)), columns=[part.split()[0] for part in SCHEMA.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+def chunks_of(files: DataFrame, check_crc: bool = True) -> DataFrame:
+    """A row for each chunk of files given as (path, content); a damaged file's last row has a ``problem``. A null or empty file holds none."""
+    kinds = {part.split()[0]: _KINDS[part.split()[1]] for part in SCHEMA.split(", ")}
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for files_ in batches:
+            for name, data in zip(files_.column("path"), files_.column("content"), strict=True):
+                rows, held = [], 0
+                for chunk in _chunks(name.as_py(), data.as_py() or b"", check_crc):
+                    rows.append(chunk)
+                    held += chunk[9] or 0
+                    if held > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def read_container(spark: SparkSession, path: str, check_crc: bool = True) -> DataFrame:

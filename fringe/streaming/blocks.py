@@ -6,11 +6,14 @@ and each micro-batch adds to it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fringe.operators.gridding import Grid, contributions, in_units, inside, locate
+from fringe.operators.gridding import Grid, contributions, in_units, inside, locate, with_support
 
 SAMPLE_SCHEMA = "block int, uu double, vv double, ww double, re double, im double, weight double"
 
@@ -22,14 +25,14 @@ def read_blocks(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA, fil
 
 def streaming_grid(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
     """The grid so far: ``v, u, re, im, hits``, in multiples of ``unit`` if given. Output mode update gives the cells that a batch changed, complete gives all."""
-    located = locate(samples, grid).join(F.broadcast(support), "w")
+    located = with_support(locate(samples, grid), support, grid)
     rows = contributions(located, kernel, grid)
     return rows.groupBy("v", "u").agg(F.sum(in_units(F.col("add_re"), unit)).alias("re"), F.sum(in_units(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
 
 
 def streaming_skipped(samples: DataFrame, support: DataFrame, grid: Grid) -> DataFrame:
     """Samples without a place on the grid, for each block and so in all."""
-    located = locate(samples, grid).join(F.broadcast(support), "w")
+    located = with_support(locate(samples, grid), support, grid)
     return located.groupBy("block").agg(F.sum(F.when(inside(grid), 0).otherwise(1)).alias("num_skipped"), F.count("*").alias("num_samples"))
 
 
@@ -38,6 +41,29 @@ def windowed_histogram(events: DataFrame, time: str, width: str, late: str, bin_
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process what is there and stop; the result is the in-memory table ``name``. For tests and small results."""
-    return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, keys: Sequence[str], trigger: Mapping[str, object] | None = None) -> StreamingQuery:
+    """Write each micro-batch's changed rows below ``path``; by default what is there is processed and the query ends.
+
+    Every batch has a folder of its own, which a batch that is run again overwrites. ``latest`` reads the result.
+    """
+    if missing := set(keys) - set(stream.columns):
+        raise ValueError(f"no columns {sorted(missing)}")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress")
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+
+
+def latest(spark: SparkSession, path: str, schema: str | StructType, keys: Sequence[str]) -> DataFrame:
+    """The last state of each key that ``run_to_files`` has written; empty where no batch has been."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    values = [c for c in schema.names if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("state"))
+    return best.select(*[F.col(c) if c in keys else F.col("state")[c].alias(c) for c in schema.names])

@@ -122,9 +122,28 @@ def test_streaming_blocks_equal_batch(spark, tmp_path):
     for b in range(3):
         samples.where(f"block = {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = blocks.read_blocks(spark, str(tmp_path / "in"), files_per_batch=1)
-    q = blocks.run_to_table(blocks.streaming_grid(stream, kernel, support, GRID), "grid_so_far", str(tmp_path / "state"))
-    q.awaitTermination()
-    assert np.allclose(dense(spark.table("grid_so_far"))[0], brute(s)[0])
-    q = blocks.run_to_table(blocks.streaming_skipped(stream, support, GRID), "skipped_so_far", str(tmp_path / "state2"))
-    q.awaitTermination()
-    assert sum(r.num_skipped for r in spark.table("skipped_so_far").collect()) == brute(s)[3]
+    grid, skipped = blocks.streaming_grid(stream, kernel, support, GRID), blocks.streaming_skipped(stream, support, GRID)
+    assert blocks.latest(spark, str(tmp_path / "grid"), grid.schema, ["v", "u"]).isEmpty()
+    blocks.run_to_files(grid, str(tmp_path / "grid"), ["v", "u"]).awaitTermination()
+    assert np.allclose(dense(blocks.latest(spark, str(tmp_path / "grid"), grid.schema, ["v", "u"]))[0], brute(s)[0])
+    blocks.run_to_files(skipped, str(tmp_path / "skipped"), ["block"]).awaitTermination()
+    assert sum(r.num_skipped for r in blocks.latest(spark, str(tmp_path / "skipped"), skipped.schema, ["block"]).collect()) == brute(s)[3]
+    # A later start goes on where the progress ended.
+    samples.where("block = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    blocks.run_to_files(grid, str(tmp_path / "grid"), ["v", "u"]).awaitTermination()
+    more = blocks.latest(spark, str(tmp_path / "grid"), grid.schema, ["v", "u"]).agg(F.sum("hits")).first()[0]
+    first = blocks.streaming_grid(samples.where("block = 0"), kernel, support, GRID).agg(F.sum("hits")).first()[0]
+    assert more == gridding.grid_samples(samples, kernel, support, GRID).agg(F.sum("hits")).first()[0] + first
+
+
+def test_late_rows_are_dropped_once_their_window_is_final(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", 1), ("2024-01-01 05:00:00", 1)], [("2024-01-01 00:20:00", 1), ("2024-01-01 04:30:00", 1)], [("2024-01-01 05:10:00", 2)]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp, bin int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = blocks.windowed_histogram(stream.select("ts", F.col("bin").alias("b")), "ts", "1 hour", "1 hour", F.col("b"))
+    flat = counts.select(F.col("window.start").alias("start"), "bin", "n")
+    for part in rows:  # each file arrives after the one before it has been processed
+        spark.createDataFrame(part, "ts string, bin int").select(F.col("ts").cast("timestamp"), "bin").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        blocks.run_to_files(flat, str(tmp_path / "out"), ["start", "bin"]).awaitTermination()
+    got = {(r.start.hour, r.bin): r.n for r in blocks.latest(spark, str(tmp_path / "out"), flat.schema, ["start", "bin"]).collect()}
+    assert got == {(0, 1): 1, (5, 1): 1, (4, 1): 1, (5, 2): 1}

@@ -9,21 +9,54 @@ from fringe.functions import bits, nulls, sky, strings, vectors
 from fringe.operators import checksum, groups, headers, histogram, images, intervals, ordered, regions, rows
 
 
-def test_ordered_over_buckets(spark):
+def test_ordered_over_ranges(spark):
     values = [(i * 7 % 101, None if i % 9 == 0 else i) for i in range(101)]
     df = spark.createDataFrame(values, "k int, x int")
     plain = [x for _, x in sorted(values)]
-    for buckets in (1, 5):
-        acc = [r.accum for r in ordered.accumulate(df, F.col("x"), "k", buckets=buckets).orderBy("k").collect()]
-        assert acc == np.cumsum([x or 0 for x in plain]).tolist()
-        diff = [r.seqdiff for r in ordered.sequence_difference(df, F.col("x"), "k", buckets=buckets).orderBy("k").collect()]
-        assert diff == [None if a is None or b is None else b - a for a, b in zip([0, *plain], plain, strict=False)]
-        assert [r.row for r in ordered.number_rows(df, "k", buckets=buckets).orderBy("k").collect()] == list(range(1, 102))
-        off = [r.shifted for r in ordered.row_offset(df, "x", -2, "k", buckets=buckets).orderBy("k").collect()]
-        assert off == [None, None, *plain[:-2]]
+    acc = [r.accum for r in ordered.accumulate(df, F.col("x"), "k").orderBy("k").collect()]
+    assert acc == np.cumsum([x or 0 for x in plain]).tolist()
+    diff = [r.seqdiff for r in ordered.sequence_difference(df, F.col("x"), "k").orderBy("k").collect()]
+    assert diff == [None if a is None or b is None else b - a for a, b in zip([0, *plain], plain, strict=False)]
+    assert [r.row for r in ordered.number_rows(df, "k").orderBy("k").collect()] == list(range(1, 102))
+    off = [r.shifted for r in ordered.row_offset(df, "x", -2, "k").orderBy("k").collect()]
+    assert off == [None, None, *plain[:-2]]
     assert ordered.accumulate(df.limit(0), F.col("x"), "k").count() == 0
 
 
+def test_ordered_with_ties_and_clashing_names(spark):
+    rows_ = [(k % 3, k, f"p{k}", 1) for k in range(40)] + [(None, 99, "n", 1)]
+    df = spark.createDataFrame(rows_, "k int, x int, part string, tie int")
+    runs = [ordered.number_rows(df, "k").select("k", "x", "part", "tie", "row").collect() for df in (df, df.repartition(3))]
+    assert sorted(runs[0], key=str) == sorted(runs[1], key=str) and sorted(r.row for r in runs[0]) == list(range(1, 42))
+    assert [r.k for r in sorted(runs[0], key=lambda r: r.row)] == [None] + [0] * 14 + [1] * 13 + [2] * 13
+    again = ordered.accumulate(df, F.col("x"), ["k", "x"], "x")  # an alias that replaces a column
+    assert again.columns == ["k", "part", "tie", "x"] and max(r.x for r in again.collect()) == sum(r[1] for r in rows_)
+
+
+def test_running_sum_over_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, None, 2.0]), (2, []), (3, None), (4, [5.0])], "k int, v array<double>")
+    got = [r.accum for r in ordered.accumulate_vectors(df, F.col("v"), "k").orderBy("k").collect()]
+    assert got == [[1.0, 1.0, 3.0], [], None, [8.0]]
+
+
+def test_integer_division_is_exact(spark):
+    cases = [(2**53 + 1, 1), (-(2**53) - 1, 1), (7, -2), (-7, 2), (5, 0), (-(2**63), -1), (2**63 - 1, -1), (None, 3)]
+    got = [r[0] for r in spark.createDataFrame(cases, "a long, b long").select(nulls.int_div(F.col("a"), F.col("b"))).collect()]
+    assert got == [2**53 + 1, -(2**53) - 1, -3, -3, None, None, -(2**63) + 1, None]
+
+
+def test_deeply_nested_groups(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(12, 0)], "group_id long, member_id long")
+    assert groups.reachable(edges, checkpoint_every=3).count() == 13 * 13
+
+
+def test_intervals_keep_columns_of_their_own_names(spark):
+    df = spark.createDataFrame([(1.0, 2, 3), (5.0, 2, 3)], "row_time double, row_bucket int, gti_bucket int")
+    spans = spark.createDataFrame([(0.0, 2.0)], "start double, stop double")
+    got = intervals.in_intervals(df, spans, F.col("row_time"))
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1.0, 2, 3)]
+
+
 def test_intervals_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     gti = [(float(a), float(a + d)) for a, d in zip(rng.uniform(0, 100, 30), rng.uniform(0, 4, 30), strict=True)] + [(5.0, 5.0), (9.0, 8.0), (None, 1.0), (50.0, 60.0), (60.0, 61.0)]

@@ -9,6 +9,13 @@ from fringe.sources import container, fits
 def test_crc32c_known_value():
     assert container.crc32c(b"123456789") == 0xE3069283
     assert container.crc32c(b"6789", container.crc32c(b"12345")) == 0xE3069283
+    table = container._crc_table().tolist()
+    for size in (8191, 8192, 20_000, 54_321):
+        data = np.random.default_rng(size).bytes(size)
+        state = 0xFFFFFFFF
+        for byte in data:
+            state = table[(state ^ byte) & 255] ^ (state >> 8)
+        assert container.crc32c(data) == state ^ 0xFFFFFFFF == container.crc32c(data[777:], container.crc32c(data[:777]))
 
 
 def test_container_round_trip(spark, tmp_path):
@@ -66,3 +73,16 @@ def test_fits_binary_table(spark, tmp_path):
 @pytest.mark.parametrize("content", [b"", b"no file at all"])
 def test_other_bytes_have_no_units(content):
     assert list(fits.units(content)) == []
+
+
+def test_damaged_and_big_endian_containers(spark):
+    numbers = np.arange(5, dtype="<f8")
+    chunks = [(1, 2, 0, container.DOUBLE, numbers.tobytes()), (1, 3, 0, container.CHAR, b"text")]
+    good, swapped = container.encode(chunks), container.encode(chunks, big_endian=True)
+    files = [("good", good), ("swapped", swapped), ("cut", good[:-3]), ("junk", good + b"x" * 40), ("short", b"abc"), ("empty", b""), ("null", None)]
+    rows = container.chunks_of(spark.createDataFrame(files, "path string, content binary")).collect()
+    of = lambda name: [(bytes(r.payload) if r.payload is not None else None, r.crc_ok, r.problem is None) for r in rows if r.path == name]
+    whole = [(numbers.tobytes(), True, True), (b"text", True, True)]
+    assert of("good") == of("swapped") == whole and of("cut")[1][1:] == (False, False)
+    assert of("junk") == [*whole, (None, None, False)] and [x[2] for x in of("short")] == [False] and of("empty") == of("null") == []
+    assert container.header(good)["version"] == container.VERSION and swapped != good
