@@ -10,6 +10,9 @@ over the whole curve. So it is measured, in rows. A bounded set of sample querie
 force, and the window is the smallest in which the orderings together hold the wanted share of their
 neighbours.
 
+A bounded random sample of rows, the pivots, is ranked for every query beforehand. The score of its k-th best
+pivot is a floor: what lies below it can't be among the k nearest, and a block passes on only what is above.
+
 An ordering is cut into blocks of rows, and a query goes to the blocks that its window meets. A task
 holds one block and a bounded number of queries; only a block that more queries reach is read by several.
 Equal vectors are one entry with its smallest ids, so a vector that many rows share costs one row.
@@ -32,6 +35,8 @@ CURVES, DIMS, BITS = 3, 8, 7
 BLOCK_ROWS = 4096
 #: Vectors that scale the projections, queries that set the window, and the share of neighbours they must find.
 FIT_ROWS, SAMPLE_QUERIES, RECALL = 4000, 128, 0.95
+#: Rows that every query is ranked against first: this share of all, up to so many.
+PIVOT_SHARE, PIVOTS = 1 / 16, 16_384
 #: Distinct queries that one task holds beside a block, and how many of them are scored at a time.
 QUERY_CHUNK, QUERY_STEP = 8192, 256
 SALTS = 32
@@ -102,8 +107,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0)
 
 
-def _rank_block(q: np.ndarray, q_at: np.ndarray, rows: np.ndarray, at: np.ndarray, ids: pa.ListArray, curve: int, reach: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, id, score) of each query's k best among the rows within ``reach`` of its place on the curve and on no earlier one.
+def _rank_block(q: np.ndarray, q_at: np.ndarray, rows: np.ndarray, at: np.ndarray, ids: pa.ListArray, curve: int, reach: int, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of each query's k best among the rows within ``reach`` of its place on the curve and on no earlier one, if not below its ``floor``.
 
     ``q_at`` and ``at`` are the places on all curves of the queries and of the block's rows.
     """
@@ -126,6 +131,8 @@ def _rank_block(q: np.ndarray, q_at: np.ndarray, rows: np.ndarray, at: np.ndarra
         rough[out] = -np.inf
         # The product of matrices chooses, with room for its rounding; scores are summed in one fixed order.
         limit = np.partition(rough, part.shape[0] - k, axis=1)[:, part.shape[0] - k] if part.shape[0] > k else np.full(len(some), -np.inf)
+        if floor is not None:
+            limit = np.maximum(limit, floor[some])
         room = np.where(np.isfinite(limit), limit - 1e-9 * (1 + np.abs(limit)), np.finfo(float).min)
         who, what = np.nonzero(rough >= room[:, None])
         exact = (part[what] * q[some[who]]).sum(1)
@@ -210,6 +217,7 @@ def _nearest_of(valid: DataFrame, dimension: int, k: int, curves: int, block_row
     keyed = materialize(entries.select("entry", "v").mapInArrow(keys, "entry long, " + ", ".join(f"key_{c} long" for c in range(curves))), "keys")
     placed = entries.select("entry", "v", "ids")
     used = [keyed]
+    pivot = F.pmod(F.xxhash64("entry", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30) < min(PIVOT_SHARE, PIVOTS / total)
     for c in range(curves):
         ordered = keyed.select("entry", F.col(f"key_{c}").alias("key")).repartitionByRange("key", "entry").sortWithinPartitions("key", "entry").select("entry")
         ordered = materialize(ordered.mapInArrow(number, "entry long, part int, nth long"), "ordered")
@@ -220,7 +228,21 @@ def _nearest_of(valid: DataFrame, dimension: int, k: int, curves: int, block_row
     placed = materialize(placed.select("entry", "v", "ids", F.array(*[F.col(f"at_{c}") for c in range(curves)]).alias("at")), "placed")
     discard(*used)
     wanted = asked.select("entry").distinct()
-    questions = materialize(placed.join(wanted, "entry").select("entry", "v", "at"), "questions")
+    pivots = placed.where(pivot).select("v", "ids").orderBy("entry").limit(2 * PIVOTS).collect()
+    pivot_rows, pivot_ids = np.array([r.v for r in pivots], float).reshape(len(pivots), dimension), pa.array([r.ids for r in pivots], pa.list_(pa.int64()))
+    nowhere = np.zeros((len(pivots), 1), np.int64)
+
+    def rank_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, ids, scores = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if len(pivots) and batch.num_rows:
+                who, ids, scores = _rank_block(_matrix(batch.column("v")), np.zeros((batch.num_rows, 1), np.int64), pivot_rows, nowhere, pivot_ids, 0, 0, k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("entry").to_numpy()[who]), pa.array(ids), pa.array(scores)], ["entry", "vec_id", "score"])
+
+    first = materialize(placed.join(wanted, "entry").select("entry", "v").mapInArrow(rank_pivots, "entry long, vec_id long, score double"), "pivots")
+    floors = first.groupBy("entry").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k + 1).select("entry", "floor")
+    questions = placed.join(wanted, "entry").join(floors, "entry", "left").select("entry", "v", "at", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    questions = materialize(questions, "questions")
     # At least k + 1 entries to either side, so that a query has k candidates if there are as many.
     reach = max(k + 1, _window(placed, questions, k, recall, total))
 
@@ -230,22 +252,22 @@ def _nearest_of(valid: DataFrame, dimension: int, k: int, curves: int, block_row
     # Of each block by how many tasks it is read: one, but for blocks that more queries reach than one task holds.
     chunks = materialize(spread.groupBy("curve", "block").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks")), "chunks")
     asking = spread.join(chunks, ["curve", "block"]).select("entry", "curve", "block", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int").alias("chunk"))
-    asking = asking.join(questions, "entry").select("curve", "block", "chunk", "entry", "v", "at")
-    answers = placed.select("v", "ids", "at", F.posexplode("at").alias("curve", "place")).withColumn("block", F.expr(f"place div {block_rows}"))
+    asking = asking.join(questions, "entry").select("curve", "block", "chunk", "entry", "v", "at", "floor")
+    answers = placed.where(~pivot).select("v", "ids", "at", F.posexplode("at").alias("curve", "place")).withColumn("block", F.expr(f"place div {block_rows}"))
     answers = answers.join(chunks, ["curve", "block"]).select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "ids", "at")
 
     def rank_block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         who, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
             places = [_matrix(side["at"]).astype(np.int64) for side in (left, right)]
-            who, ids, scores = _rank_block(_matrix(left["v"]), places[0], _matrix(right["v"]), places[1], right["ids"].combine_chunks(), key[0].as_py(), reach, k + 1)
+            who, ids, scores = _rank_block(_matrix(left["v"]), places[0], _matrix(right["v"]), places[1], right["ids"].combine_chunks(), key[0].as_py(), reach, k + 1, left["floor"].to_numpy())
         asked_ = left["entry"].to_numpy() if left.num_rows else np.zeros(0, np.int64)
         return pa.table([pa.array(asked_[who]), pa.array(ids), pa.array(scores)], ["entry", "vec_id", "score"])
 
     by = ["curve", "block", "chunk"]
     ranked = asking.groupBy(*by).cogroup(answers.groupBy(*by)).applyInArrow(rank_block, "entry long, vec_id long, score double")
     best = Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
-    merged = ranked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    merged = ranked.unionByName(first).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = asked.join(merged, "entry").where("query_id <> vec_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
