@@ -32,11 +32,9 @@ END_ID = 1
 #: Between words that are encoded together; a word that holds it is encoded alone.
 MARK = "\0"
 #: Words whose ids a worker remembers before it starts afresh, and how many it gathers before it sorts them in.
-REMEMBERED, RECENT = 1_000_000, 100_000
+REMEMBERED, RECENT = 2_000_000, 100_000
 #: Words that the library encodes at a time; its results take far more memory than the ids.
 ENCODED_WORDS = 10_000
-#: Words whose bytes are compared at a time.
-COMPARED_WORDS = 100_000
 #: Fixed value: the words that a tokenizer may look at one by one, none of which holds or crosses white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -57,6 +55,10 @@ _STOP = np.zeros(256, bool)
 _STOP[[44, 46]] = True
 
 
+#: The lowest 0 to 8 bytes of a number.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def _parts(step: dict | None, name: str) -> list[dict]:
     if step is None:
         return []
@@ -221,11 +223,18 @@ class Encoder:
 
     @staticmethod
     def _same_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> bool:
-        """Whether each word has the bytes of the word of its hash that came first."""
-        for a in range(0, len(starts), COMPARED_WORDS):
-            part = slice(a, a + COMPARED_WORDS)
-            if not np.array_equal(lengths[part], lengths[like[part]]) or not np.array_equal(data[_spans(starts[part], lengths[part])], data[_spans(starts[like[part]], lengths[part])]):
+        """Whether each word has the bytes of the word of its hash that came first: eight at a time, as one number."""
+        if not np.array_equal(lengths, lengths[like]):
+            return False
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        place, of, left = starts, starts[like], lengths
+        while len(place):
+            kept = _KEPT[np.minimum(left, 8)]
+            if not np.array_equal(eight[place] & kept, eight[of] & kept):
                 return False
+            longer = left > 8
+            place, of, left = place[longer] + 8, of[longer] + 8, left[longer] - 8
         return True
 
 
