@@ -203,12 +203,12 @@ def document_probabilities(net: Network, texts: Sequence[str], task_windows: int
 def labelled_sample(docs: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame | None:
     """Rows id, lang, text: up to ``docs_per_language`` labelled rows of each language with a text, for which ``usable`` holds; None if there are none. The sample of a sample is itself.
 
-    Those of the smallest hash of id and text, and no more however often a row is repeated or an id is null.
+    Those of the smallest hash of id and text, a repeated row once, and no more however many ids are null.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     if usable is not None:
         labelled = labelled.where(usable)
-    counts = dict(labelled.groupBy(lang_col).count().collect())
+    counts = dict(labelled.groupBy(lang_col).agg(F.approx_count_distinct(F.xxhash64(F.col(id_col).cast("string"), text_col))).collect())
     if not counts:
         return None
     labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -217,7 +217,7 @@ def labelled_sample(docs: DataFrame, usable: Column | None = None, text_col: str
     for lang, n in sorted(counts.items()):  # half as many again are ranked, so that enough are
         limit = F.lit(1.5 * docs_per_language / n + 1e-3)
         share = F.when(F.col("lang") == lang, limit) if share is None else share.when(F.col("lang") == lang, limit)
-    few = labelled.withColumn("chance", chance).where(F.col("chance") < share)
+    few = labelled.withColumn("chance", chance).where(F.col("chance") < share).dropDuplicates(["lang", "id", "text"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "id", "text"))
     return few.withColumn("nth", nth).where(F.col("nth") <= docs_per_language).select("id", "lang", "text")
 
