@@ -63,39 +63,52 @@ def new_network(languages: Sequence[str], hidden: int, rng: np.random.Generator)
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _forward(net: Network, codes: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """States (T, B, 2H) for codes and mask (T, B); a masked position passes the state on unchanged."""
+    """States (T, 2H, B) for codes and mask (T, B); a masked position passes the state on unchanged.
+
+    Features come before the batch, so that each gate is one run of memory.
+    """
     steps, batch = codes.shape
     h = net.hidden
-    states = np.empty((steps, batch, 2 * h), np.float32)
+    codes = codes.astype(np.intp)
+    states = np.empty((steps, 2 * h, batch), net.table.dtype)
     whole = bool(mask.all())
     for d in (0, 1):
-        state = np.zeros((batch, h), np.float32)
+        table, recurrent, shift = np.ascontiguousarray(net.table[d].T), np.ascontiguousarray(net.recurrent[d].T), net.inner[d][:, None]
+        state = np.zeros((h, batch), net.table.dtype)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            x = net.table[d].take(codes[t], axis=0)
-            u = state @ net.recurrent[d]
-            gates = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-            reset, update = gates[:, :h], gates[:, h:]
-            inner = u[:, 2 * h :] + net.inner[d]
-            candidate = np.tanh(x[:, 2 * h :] + reset * inner)
-            new = candidate + update * (state - candidate)
+            x = table.take(codes[t], axis=1)
+            u = recurrent @ state
+            gates = x[: 2 * h]
+            gates += u[: 2 * h]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            reset, update = gates[:h], gates[h:]
+            inner = u[2 * h :]
+            inner += shift
+            candidate = reset * inner
+            candidate += x[2 * h :]
+            np.tanh(candidate, out=candidate)
+            new = state - candidate
+            new *= update
+            new += candidate
             if not whole:
-                new = np.where(mask[t][:, None], new, state)
+                new = np.where(mask[t], new, state)
             if trace is not None:
                 trace.append((d, t, state, gates, inner, candidate))
-            states[t, :, d * h : (d + 1) * h] = state = new
+            states[t, d * h : (d + 1) * h] = state = new
     return states
 
 
 def _predict(net: Network, states: np.ndarray) -> np.ndarray:
-    logits = states @ net.out + net.bias
-    logits -= logits.max(-1, keepdims=True)
+    """Probabilities (T, C, B)."""
+    logits = net.out.T @ states
+    logits += net.bias[:, None]
+    logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
+    logits /= logits.sum(1, keepdims=True)
     return logits
 
 
@@ -103,39 +116,46 @@ def _gradients(net: Network, codes: np.ndarray, mask: np.ndarray, labels: np.nda
     """Backpropagation through time of the mean cross entropy over all positions."""
     trace: list = []
     states = _forward(net, codes, mask, trace)
-    probs = _predict(net, states)
-    weight = mask[..., None] / mask.sum()
-    loss = -float((np.log(np.take_along_axis(probs, np.broadcast_to(labels[None, :, None], (*codes.shape, 1)), 2) + 1e-9) * weight).sum())
-    delta = probs.copy()
-    delta[:, np.arange(codes.shape[1]), labels] -= 1
-    delta = (delta * weight).astype(np.float32)
+    delta = _predict(net, states)
+    weight = (mask / mask.sum()).astype(delta.dtype)
+    each = np.arange(codes.shape[1])
+    loss = -float((np.log(delta[:, labels, each] + 1e-9) * weight).sum())
+    delta[:, labels, each] -= 1
+    delta *= weight[:, None]
     h = net.hidden
     grads = {
-        "out": np.einsum("tbh,tbc->hc", states, delta, optimize=True),
-        "bias": delta.sum((0, 1)),
+        "out": np.einsum("thb,tcb->hc", states, delta, optimize=True),
+        "bias": delta.sum((0, 2)),
         "table": np.zeros_like(net.table),
         "recurrent": np.zeros_like(net.recurrent),
         "inner": np.zeros_like(net.inner),
     }
-    from_out = delta @ net.out.T
-    carried = np.zeros((codes.shape[1], h), np.float32)
+    from_out = net.out @ delta
+    carried = np.zeros((h, codes.shape[1]), delta.dtype)
+    to_table = np.empty((2, len(codes), 3 * h, codes.shape[1]), delta.dtype)
     for i in range(len(trace) - 1, -1, -1):
         d, t, state, gates, inner, candidate = trace[i]
         if i == len(trace) // 2 - 1:
             carried = np.zeros_like(carried)
-        live = mask[t][:, None]
-        total = carried + from_out[t][:, d * h : (d + 1) * h]
-        reset, update = gates[:, :h], gates[:, h:]
+        live = mask[t]
+        total = carried + from_out[t, d * h : (d + 1) * h]
+        reset, update = gates[:h], gates[h:]
         d_candidate = total * (1 - update) * (1 - candidate**2) * live
         d_update = total * (state - candidate) * update * (1 - update) * live
         d_reset = d_candidate * inner * reset * (1 - reset)
-        d_x = np.concatenate((d_reset, d_update, d_candidate), 1)
         d_inner = d_candidate * reset
-        d_u = np.concatenate((d_reset, d_update, d_inner), 1)
-        np.add.at(grads["table"][d], codes[t], d_x)
-        grads["recurrent"][d] += state.T @ d_u
-        grads["inner"][d] += d_inner.sum(0)
-        carried = np.where(live, total * update + d_u @ net.recurrent[d].T, total)
+        d_u = np.concatenate((d_reset, d_update, d_inner))
+        np.concatenate((d_reset, d_update, d_candidate), out=to_table[d, t])
+        grads["recurrent"][d] += state @ d_u.T
+        grads["inner"][d] += d_inner.sum(1)
+        carried = np.where(live, total * update + net.recurrent[d] @ d_u, total)
+    # Positions of a byte are brought together, so that its gradient is one sum.
+    flat = codes.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.diff(flat[order].astype(np.int16), prepend=-1))
+    for d in (0, 1):
+        by_position = to_table[d].transpose(0, 2, 1).reshape(-1, 3 * h)
+        grads["table"][d, flat[order[starts]]] = np.add.reduceat(by_position[order], starts)
     return grads, loss
 
 
@@ -193,10 +213,10 @@ def document_probabilities(net: Network, texts: Sequence[str], task_windows: int
         mask = np.arange(WINDOW)[:, None] < in_window[rows][None, :]
         probs = _predict(net, _forward(net, codes, mask))
         if unseen_even and net.seen is not None and not net.seen[codes].all():
-            probs[~net.seen[codes]] = 1 / len(net.languages)
+            probs = np.where(net.seen[codes][:, None], probs, np.float32(1 / len(net.languages)))
         if not mask.all():
-            probs *= mask[..., None]
-        np.add.at(sums, owner[rows], probs.sum(0))
+            probs *= mask[:, None]
+        np.add.at(sums, owner[rows], probs.sum(0).T)
     return sums / np.maximum(sizes, 1)[:, None]
 
 
