@@ -29,10 +29,14 @@ def get_session(master: str | None = None, app: str = "fringe", shuffle_partitio
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files make fewer partitions, for work that costs far more than moving its rows.
 
-    Tables of many files have partitions enough and are left as they are.
+    Tables of many files have partitions enough and are left as they are, and so is what isn't read from files.
+    Nothing is executed: the optimizer's size of the plan and the names of its files decide.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= cores * split or len(df.inputFiles()) >= cores else df.repartition(2 * cores)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
