@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
-A text's template has typed placeholders for numbers, units and names; a re-parameterised question
-keeps its template. Windows of five template words are joined by hash with those of the benchmark,
+A text's template has typed placeholders for numbers (in digits or in English words), units (in any
+case) and names; a re-parameterised question keeps its template. Windows of five template words are joined by hash with those of the benchmark,
 and an item leaks into a document if at least 80 % of its windows occur there close together and its
 slots are filled consistently: what one number or name of the item became, it became everywhere, and
 no two of them became the same. Where a document holds the template several times, one such place is enough.
@@ -56,7 +56,7 @@ UNITS = (
     "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "mph", "kmh", "hz", "khz", "mhz", "ghz", "v", "w", "kw",
     "dollars", "cents", "euros", "pounds", "percent", "degrees",
 )
-_UNIT = rf"(?P<unit> ?(?:(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})\b|[%°€£]))?"
+_UNIT = rf"(?P<unit> ?(?:(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})\b|[%°€£]))?"
 _UPPER = "A-ZÀ-ÖØ-Þ"
 # Each pattern begins with one set of characters, which the regular expression engine scans for.
 _NUMBERS = rf"(?<=[0-9])(?P<num>[0-9]*(?:[.,][0-9]+)*){_UNIT}|(?<=[$€£])(?= *[0-9])(?P<currency>)"
@@ -64,6 +64,13 @@ _SLOT = {
     "literal": re.compile(rf"[0-9$€£](?:{_NUMBERS})"),
     "names": re.compile(rf"[{_UPPER}0-9$€£](?:(?<=[{_UPPER}])(?<!\w[{_UPPER}])(?P<name>[\w'’-]*)|{_NUMBERS})"),
 }
+# English numbers in words; "one" is left out, as it is a pronoun as often as a number.
+_ONES = ("two", "three", "four", "five", "six", "seven", "eight", "nine")
+_TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+_SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
+_IN_WORDS = {"one": 1} | {w: i for i, w in enumerate(_ONES, 2)} | {w: i for i, w in enumerate(_TEENS, 10)} | {w: 10 * i for i, w in enumerate(_TENS, 2)}
+_SPELLED = re.compile(rf"(?i)\b[tfsen](?:{'|'.join(w[1:] for w in (*_TENS, *_TEENS, *_ONES))})(?:[- ](?:one|{'|'.join(_ONES)}|{'|'.join(_SCALES)})\b|\b)(?:[- ](?:{'|'.join(_SCALES)})\b)?")
 _CONTROL = re.compile(f"[{NUM}{NAME}{UNIT}]")
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 _STEP = np.random.default_rng(77).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -76,6 +83,13 @@ _SIGNS = r"+*/=<>^%$€£°−×÷"
 _WORD = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|[{re.escape(_SIGNS)}]|(?<=[0-9])\s*-(?=\s*[0-9])|[\u3040-\u30ff\u3400-\u9fff]|[^\s0-9!-/:-@\[-`{{-~“”‘’«»„…–—¿¡。，、？！：；\u3040-\u30ff\u3400-\u9fff{re.escape(_SIGNS)}]+")
 
 
+def _in_digits(m: re.Match) -> str:
+    value = 0
+    for word in re.split("[- ]", m[0].lower()):
+        value = value * _SCALES[word] if word in _SCALES else value + _IN_WORDS[word]
+    return str(value)
+
+
 def template(text: str, form: str, values: list[str] | None = None) -> bytes:
     """The template as words between spaces; ``values`` receives what its placeholders stand for, in order."""
 
@@ -92,6 +106,7 @@ def template(text: str, form: str, values: list[str] | None = None) -> bytes:
 
     if NUM in text or NAME in text or UNIT in text:
         text = _CONTROL.sub(" ", text)
+    text = _SPELLED.sub(_in_digits, text)
     return _SLOT[form].sub(slot, text).lower().encode("utf-8", "surrogatepass").translate(_PUNCTUATION)
 
 

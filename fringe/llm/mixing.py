@@ -62,15 +62,16 @@ def mix_sources(
     bucket_rows: int = BUCKET_ROWS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """A row for each document: id, source, size, source_size, target, copies, taken, and the ``keep`` columns.
+    """A row for each document: id, size, source_size, target, taken, source, copies, and the ``keep`` columns.
 
-    ``copies`` is how often the mix holds the document, ``taken`` the words in those copies; over all
+    Rows of one id fall in different hash buckets unless their texts are equal too. ``copies`` is how often the mix holds the document, ``taken`` the words in those copies; over all
     they fill the budget to less than a document of each source. The order, and so the result, depends on ids
     and sizes alone. A null text has size 0; documents of size 0 are never taken; a null source is a
     source; rows that share an id are queued one after the other, repeated rows each for themselves; an empty
     table gives no rows.
     """
-    shuffled = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, _BITS // 4), 16, 10).cast("long")
+    own = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    shuffled = F.conv(F.substring(F.md5(own), 1, _BITS // 4), 16, 10).cast("long")
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffled.alias("r"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     sized = materialize(sized, "sized")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, max_repeats)
@@ -104,14 +105,16 @@ def mix_sources(
     out = placed.join(cut.withColumnRenamed("rank", "c_rank"), F.col("rank") == F.col("c_rank"), "left")
     copies = F.when((F.col("size") > 0) & (F.col("cut") >= F.col("upto")), F.least(F.lit(max_repeats), F.expr("(cut - upto) div source_size + 1"))).otherwise(0).cast("int")
     return out.withColumn("copies", copies).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep]
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("source").alias(source_col), "copies", *[F.col(f"keep_{c}").alias(c) for c in keep]
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each copy taken.
 
-    Only sizes go through the queue; the texts are joined to its result by id and text.
+    Only sizes go through the queue; the texts are joined to its result by id and text. Null texts and those
+    of size 0 are never taken; rows of one id and text are taken together, the first of them by all columns
+    as often as all of them were; other columns may have any name; an empty table gives no rows.
     """
     keyed = docs.withColumn("text_key", text_key(F.col(text_col)))
     out = mix_sources(keyed, id_col, text_col, keep=["text_key"], **options)
@@ -124,7 +127,7 @@ def oracle(weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) ->
     chosen = f"list_extract({list(map(int, weights))}, cast(rank % {len(weights)} + 1 as int))::double"
     return rf"""
     with a as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, {_BITS // 4}) as bigint) as r from documents),
+        cast('0x' || substr(md5(concat(coalesce(cast(doc_id as varchar), ''), '/', md5(coalesce(text, '')))), 1, {_BITS // 4}) as bigint) as r from documents),
     s as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) - 1 as rank from a group by source),
     t as (select *, {chosen} as weight, {max_repeats} * source_size::double as cap from s),
     u as (select *, sum(source_size::double) over () as budget,
@@ -137,4 +140,4 @@ def oracle(weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) ->
     q as (select rank, size, budget, e * source_size + upto as place, (e * source_size + upto) / target as finish from d, range({max_repeats}) g(e) where size > 0 and target > 0),
     c as (select rank, max(place) as cut from (select *, sum(size) over (order by finish, rank, place rows unbounded preceding) as running from q) where running <= budget group by rank),
     o as (select d.*, case when size > 0 and cut >= upto then least({max_repeats}, (cut - upto) // source_size + 1) else 0 end as copies from d left join c using (rank))
-    select doc_id, source, size, source_size, target, cast(copies as int) as copies, cast(copies * size as bigint) as taken from o"""
+    select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, source, cast(copies as int) as copies from o"""

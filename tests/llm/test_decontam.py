@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from fringe.llm import decontam
 
 ITEM = "Alice has 3 red apples and 5 km of rope. How many apples does Alice need to buy if she wants 3 more boxes for the trip?"
@@ -101,3 +103,30 @@ def test_as_every_document_against_every_item(spark):
     clash = table.withColumns({"id": table.doc_id, "leak_digest": table.doc_id})
     left = decontam.without_leaks(clash, benchmark)
     assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, _ in docs if i not in bad)
+
+
+UNITED = "A train leaves the station at 60 miles per hour and another leaves forty minutes later, how many hours until they meet"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        UNITED.upper(),
+        UNITED.title(),
+        UNITED.replace("miles", "Miles").replace("minutes", "Minutes").replace("hours", "Hours"),
+        UNITED.replace("60", "ninety").replace("forty", "25"),
+        UNITED.replace("60", "seventy-five").replace("forty", "two hundred"),
+    ],
+    ids=["capitals", "title", "units", "in words", "compound words"],
+)
+def test_units_in_any_case_and_numbers_in_words(spark, text):
+    docs = spark.createDataFrame([(1, f"before it {text} and after"), (2, "A train is late again and nobody at the station knows how many minutes it will be")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, UNITED)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()] == [(1, 7)]
+
+
+def test_clean_rows_keep_clashing_names(spark):
+    docs = spark.createDataFrame([(1, UNITED, 1, 2), (2, None, 3, 4), (None, "nothing of it", 5, 6), (None, UNITED, 7, 8)], "doc_id long, text string, leak_digest int, item_id int")
+    items = spark.createDataFrame([(7, UNITED)], "item_id long, text string")
+    out = decontam.without_leaks(docs, items)
+    assert out.columns == docs.columns and sorted(r.leak_digest for r in out.collect()) == [3, 5]

@@ -49,3 +49,17 @@ def test_empty_and_wordless(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     one = mixing.mix_sources(spark.createDataFrame([(1, None, "a", 0, 0), (2, "", None, 0, 0)], SCHEMA)).collect()
     assert [r.taken for r in one] == [0, 0]
+
+
+def test_clashing_names_and_null_ids(spark):
+    """The operators' own column names may be the caller's; a hot null id spreads over the buckets."""
+    schema = "doc_id long, text string, source string, take_id int, TAKE_KEY int, take_text string, take_nth int, kept int, text_key int"
+    df = spark.createDataFrame([(None, f"w{i} " * 3, "hot", i, 1, "t", 1, 1, 5) for i in range(100)] + [(1, "x", None, 1, 1, "t", 1, 1, 5)] * 2, schema)
+    out = mixing.mixed(df, bucket_rows=8)
+    assert out.columns == df.columns and out.count() == mixing.mix_sources(df, bucket_rows=8).agg({"copies": "sum"}).first()[0]
+    assert {r.text_key for r in out.collect()} == {5}
+
+
+def test_very_long_text(spark):
+    out = mixing.mix_sources(spark.createDataFrame([(1, "word " * 400_000, "a", 1, 1), (2, "b c", "a", 1, 1)], SCHEMA)).collect()
+    assert {r.doc_id: r.size for r in out} == {1: 400_000, 2: 2}

@@ -87,3 +87,10 @@ def test_long_text_and_hash_sets():
     text = "a b " * 50_000
     (one, two) = shingle_sets([text, "A\x0bB\x0ca"], 2)
     assert len(one) == 2 and set(two) == set(one)
+
+
+def test_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6), (None, None, 7, 8, 9)], "doc_id long, text string, take_text int, take_id int, node int")
+    out = deduplicate(df)
+    assert out.columns == df.columns and sorted(out.collect(), key=str) == sorted([r for r in df.collect() if r.doc_id != 2], key=str)
