@@ -70,7 +70,7 @@ _TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen
 _TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 _SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
 _IN_WORDS = {"one": 1} | {w: i for i, w in enumerate(_ONES, 2)} | {w: i for i, w in enumerate(_TEENS, 10)} | {w: 10 * i for i, w in enumerate(_TENS, 2)}
-_SPELLED = re.compile(rf"(?i)\b[tfsen](?:{'|'.join(w[1:] for w in (*_TENS, *_TEENS, *_ONES))})(?:[- ](?:one|{'|'.join(_ONES)}|{'|'.join(_SCALES)})\b|\b)(?:[- ](?:{'|'.join(_SCALES)})\b)?")
+_SPELLED = re.compile(rf"(?i)\b(?=[tfsen])(?:{'|'.join((*_TENS, *_TEENS, *_ONES))})(?:[- ](?:one|{'|'.join(_ONES)}|{'|'.join(_SCALES)})\b|\b)(?:[- ](?:{'|'.join(_SCALES)})\b)?")
 _CONTROL = re.compile(f"[{NUM}{NAME}{UNIT}]")
 _PUNCTUATION = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 _STEP = np.random.default_rng(77).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)

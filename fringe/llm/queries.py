@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontam, lang_id, mixing, pii, tokens, url_filter, warc
+from . import ann, chat_format, decontam, exact_dup, filter_audit, lang_id, lexical, mixing, pii, tokens, url_filter, warc
 from .near_dup import near_duplicates
 
 #: The key of the pseudonyms; a deployment passes its own secret.
@@ -76,6 +76,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows))
 
 
+def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for each benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    return exact_dup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_language_id,
         op10_chat_format,
+        op11_treap_search,
+        op12_heavy_hitter_dedup,
+        op13_filter_audit,
     )
 }
 
@@ -97,4 +115,7 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.oracle(),
     "op8_warc_revisits": warc.oracle(),
     "op10_chat_format": chat_format.oracle(),
+    "op11_treap_search": lexical.oracle(),
+    "op12_heavy_hitter_dedup": exact_dup.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
 }

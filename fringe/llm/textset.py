@@ -16,7 +16,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Characters of search terms: ASCII letters and digits, and every byte of a character beyond ASCII.
+IS_TERM = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 _BYTE = _BYTE[_LOWER]
+_TERM_BYTE = np.where(IS_TERM, _BYTE, np.uint64(0))
 _BYTE[IS_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -45,22 +48,27 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0][:size], _tables[1][:size]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of the word at each start (its bytes up to white space or the next start), ASCII upper case as lower."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A hash of the word at each start (its bytes up to a separator, whose value in ``table`` is 0, or the next start), ASCII upper case as lower."""
     power, inverse = _powers(len(data))
-    return mix(np.add.reduceat(_BYTE[data] * power, starts) * inverse[starts])
+    return mix(np.add.reduceat(table[data] * power, starts) * inverse[starts])
 
 
-def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def term_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for maximal runs of ``IS_TERM`` bytes."""
+    return word_hashes(texts, ~IS_TERM, _TERM_BYTE)
+
+
+def word_hashes(texts: Sequence[str | None], separator: np.ndarray = IS_SPACE, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (len(texts) + 1 offsets)."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
-    space = IS_SPACE[data]
+    space = separator[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64)
-    return span_hashes(data, starts), np.searchsorted(starts, np.concatenate(([0], ends)))
+    return span_hashes(data, starts, table), np.searchsorted(starts, np.concatenate(([0], ends)))
 
 
 def shingle_sets(texts: Sequence[str | None], width: int) -> list[np.ndarray]:

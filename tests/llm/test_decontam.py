@@ -130,3 +130,11 @@ def test_clean_rows_keep_clashing_names(spark):
     items = spark.createDataFrame([(7, UNITED)], "item_id long, text string")
     out = decontam.without_leaks(docs, items)
     assert out.columns == docs.columns and sorted(r.leak_digest for r in out.collect()) == [3, 5]
+
+
+def test_numbers_in_words():
+    words = (*decontam._ONES, *decontam._TEENS, *decontam._TENS)
+    assert all(decontam._SPELLED.sub(decontam._in_digits, f"x {w} y") == f"x {decontam._IN_WORDS[w]} y" for w in words)
+    for other in ("eine", "fen", "sen", "often", "tent", "one", "twotwo", "nein", "sine", "hundred"):
+        assert decontam._SPELLED.sub(decontam._in_digits, f"x {other} y") == f"x {other} y"
+    assert decontam._SPELLED.sub(decontam._in_digits, "Forty-Five or SIX hundred or twenty two thousand") == "45 or 600 or 22000"
