@@ -163,7 +163,6 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
     """
     names = ["uu", "vv", "ww", "re", "im", "weight"]
     supported = with_support(locate(spread(samples.select(*names).dropna()), grid), support, grid)
-    kind = "double" if unit is None else "bigint"
     if engine == "join":
         rows = contributions(supported, kernel, grid)
         return rows.groupBy("v", "u").agg(F.sum(in_units(F.col("add_re"), unit)).alias("re"), F.sum(in_units(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
@@ -172,12 +171,17 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
     cells = kernel.select("w", "y", "x", "re", "im").limit(BROADCAST_CELLS + 1).toPandas()
     if len(cells) > BROADCAST_CELLS:
         return grid_samples(samples, kernel, support, grid, "join", unit)
-    add = _partial_grid(cells, grid, unit)
-    needed = supported.where(inside(grid)).select("gu", "gv", "off_u", "off_v", "w", "sign", "re", "im", "weight", "support")
-    parts = needed.mapInArrow(add, f"v int, u int, re {kind}, im {kind}, hits bigint")
+    parts = partial_grids(supported, cells, grid, unit)
     return parts.groupBy("v", "u").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("hits").alias("hits"))
 
 
+def partial_grids(supported: DataFrame, cells: pd.DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
+    """Cells ``v, u, re, im, hits`` of the partial grids of tasks (or batches), which are still to be summed; also of a stream."""
+    kind = "double" if unit is None else "bigint"
+    needed = supported.where(inside(grid)).select("gu", "gv", "off_u", "off_v", "w", "sign", "re", "im", "weight", "support")
+    return needed.mapInArrow(_partial_grid(cells, grid, unit), f"v int, u int, re {kind}, im {kind}, hits bigint")
+
+
 def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
     """A function from batches of located samples to partial grids; it holds the kernel's cells, whose number was checked."""
     high = cells[["w", "y", "x"]].max().fillna(-1).astype(int) + 1

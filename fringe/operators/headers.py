@@ -41,14 +41,27 @@ def find(header: DataFrame, pattern: str) -> DataFrame:
 
 
 def upsert(header: DataFrame, changes: DataFrame) -> DataFrame:
-    """``header`` with the values and comments of ``changes`` (key, value, comment): in place where a key is there, else after the last card."""
-    new = changes.select("key", F.col("value").alias("new_value"), F.col("comment").alias("new_comment"))
-    met = header.join(new, "key", "full")
-    last = header.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("last")).first()[0]
-    order = F.row_number().over(Window.partitionBy(F.col("pos").isNull()).orderBy("key"))
-    return met.select(
-        F.coalesce("pos", F.lit(last) + order).alias("pos"), "key", F.coalesce("new_value", "value").alias("value"), F.coalesce("new_comment", "comment").alias("comment")
-    )
+    """``header`` with the values and comments of ``changes`` (key, value, comment): in place of the first card of a key, or after the last card where there is none.
+
+    Headers of many files and units (columns ``path`` and ``hdu``) are each changed on their own, by the changes that
+    name it in the same columns. Further cards of a key, as COMMENT has them, stay. Of several changes for one key
+    that with the largest value and comment counts.
+    """
+    own = [c for c in ("path", "hdu") if c in header.columns]
+    if lacking := [c for c in own if c not in changes.columns]:
+        raise ValueError(f"changes of many headers need columns {lacking}")
+    new = changes.groupBy(*own, "key").agg(F.max(F.struct(F.col("value").alias("new_value"), F.col("comment").alias("new_comment"))).alias("new")).select(*own, "key", "new.*")
+    met = new.join(header.groupBy(*own, "key").agg(F.min("pos").alias("pos")), [*own, "key"], "left")
+    if own:
+        met = met.join(header.groupBy(*own).agg(F.max("pos").alias("last")), own, "left")
+    else:
+        met = met.withColumn("last", F.lit(header.agg(F.max("pos")).first()[0]))
+    order = F.row_number().over(Window.partitionBy(*own, F.col("pos").isNull()).orderBy("key"))
+    place = F.coalesce("pos", F.coalesce("last", F.lit(0)) + order).cast(header.schema["pos"].dataType)
+    placed = met.select(*own, "key", "new_value", "new_comment", place.alias("pos"))
+    out = header.join(placed, [*own, "key", "pos"], "full")
+    columns = {"value": F.coalesce("new_value", "value"), "comment": F.coalesce("new_comment", "comment")}
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in header.columns])
 
 
 def delete(header: DataFrame, *keys: str) -> DataFrame:

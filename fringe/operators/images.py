@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringe.operators.quantiles import exact_quantile
+
 #: Consistent estimate of a standard deviation from a median absolute difference.
 MAD = 1.4826
 
@@ -67,32 +69,48 @@ DIFFERENCES = {
 }
 
 
-def noise(pixels: DataFrame, kind: str = "noise3") -> DataFrame:
-    """One row ``noise``: the standard deviation that a line's differences of some order show, as the median over all lines.
+def _noises(pixels: DataFrame, kinds: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``keys, kind, noise`` of each kind, from one pass over the lines."""
+    keys = list(keys)
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    value = F.col("value")
+    differences = []
+    for kind in kinds:
+        difference = F.lit(0.0)
+        for distance, factor in DIFFERENCES[kind].items():
+            at = value if distance == 0 else F.lag(value, -distance).over(line) if distance < 0 else F.lead(value, distance).over(line)
+            difference = difference + factor * at
+        differences.append(F.struct(F.lit(kind).alias("kind"), F.abs(difference).alias("d")))
+    each = pixels.where(value.isNotNull()).select(*keys, "y", F.array(*differences).alias("each"))
+    good = each.select(*keys, "y", F.explode("each").alias("this")).select(*keys, "y", "this.kind", "this.d")
+    lines = exact_quantile(good, [*keys, "kind", "y"], "d", alias="m")
+    scale = None
+    for kind in kinds:
+        own = MAD / sum(f * f for f in DIFFERENCES[kind].values()) ** 0.5
+        scale = F.when(F.col("kind") == kind, own) if scale is None else scale.when(F.col("kind") == kind, own)
+    return exact_quantile(lines, [*keys, "kind"], "m", alias="m").select(*keys, "kind", (F.col("m") * scale).alias("noise"))
+
+
+def noise(pixels: DataFrame, kind: str = "noise3", keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, noise``: the standard deviation that a line's differences of some order show, as the median over all lines of an image.
 
     A difference takes away what changes slowly along a line; the median of its absolute values is not
-    moved by single bright pixels. Nulls are left out before distances are counted.
+    moved by single bright pixels. Nulls are left out before distances are counted. Images are told apart
+    by ``keys``; without, all pixels are one image, which has no row if no line is long enough.
     """
-    factors = DIFFERENCES[kind]
-    line = Window.partitionBy("y").orderBy("x")
-    value = F.col("value")
-    difference = F.lit(0.0)
-    for distance, factor in factors.items():
-        at = value if distance == 0 else F.lag(value, -distance).over(line) if distance < 0 else F.lead(value, distance).over(line)
-        difference = difference + factor * at
-    good = pixels.where(value.isNotNull()).select("y", F.abs(difference).alias("d")).where("d is not null")
-    lines = good.groupBy("y").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("m"))
-    scale = MAD / sum(f * f for f in factors.values()) ** 0.5
-    return lines.agg((F.expr("percentile_disc(0.5) within group (order by m)") * scale).alias("noise"))
-
-
-def statistics(pixels: DataFrame, kinds: Sequence[str] = ("noise3",)) -> DataFrame:
-    """``n_good, low, high, mean, sigma`` of the values that aren't null, and the noise of each kind."""
-    out = pixels.agg(F.count("value").alias("n_good"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma"))
-    out = out.withColumn("one", F.lit(1))
-    for kind in kinds:  # tables of one row each
-        out = out.join(noise(pixels, kind).select(F.lit(1).alias("one"), F.col("noise").alias(kind)), "one", "left")
-    return out.drop("one")
+    return _noises(pixels, [kind], keys).select(*keys, "noise")
+
+
+def statistics(pixels: DataFrame, kinds: Sequence[str] = ("noise3",), keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, n_good, low, high, mean, sigma`` of the values that aren't null, and the noise of each kind, null where no line is long enough."""
+    keys = list(keys)
+    own = [F.count("value").alias("n_good"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sigma")]
+    out = pixels.groupBy(*keys).agg(*own) if keys else pixels.agg(*own).withColumn("one", F.lit(1))
+    if not kinds:
+        return out.select(*keys, "n_good", "low", "high", "mean", "sigma")
+    found = _noises(pixels if keys else pixels.withColumn("one", F.lit(1)), kinds, keys or ["one"])  # one image
+    wide = found.groupBy(*(keys or ["one"])).pivot("kind", list(kinds)).agg(F.first("noise"))
+    return out.join(wide, keys or ["one"], "left").select(*keys, "n_good", "low", "high", "mean", "sigma", *kinds)
 
 
 def quantize(value: Column, scale: float, zero: float = 0.0, dither: Column | None = None) -> Column:

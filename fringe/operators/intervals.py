@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringe.operators.ordered import group_overlapping
 from fringe.session import fresh
 
 #: Buckets in which the intervals' whole span is cut.
@@ -14,14 +15,11 @@ BUCKETS = 10_000
 def merge_intervals(intervals: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:
     """Overlapping and touching intervals as one; nulls and reversed ends drop out.
 
-    An interval begins a new one if it starts after all before it have stopped. Interval tables are
-    small beside the events they select; they pass through one task.
+    An interval begins a new one if it starts after all before it have stopped; intervals are looked at in ranges,
+    and what a range hands on is how far it reaches.
     """
     rows = intervals.select(F.col(start).alias("start"), F.col(stop).alias("stop")).where("start <= stop")
-    reach = F.max("stop").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("opens", F.when(F.coalesce(F.col("start") <= reach, F.lit(False)), 0).otherwise(1))
-    grouped = opened.withColumn("run", F.sum("opens").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("run").agg(F.min("start").alias(start), F.max("stop").alias(stop)).drop("run")
+    return group_overlapping(rows, "start", "stop").groupBy("run").agg(F.min("start").alias(start), F.max("stop").alias(stop)).drop("run")
 
 
 def in_intervals(rows: DataFrame, intervals: DataFrame, time: Column, start: str = "start", stop: str = "stop", shift: float = 0.0, inside: bool = True, buckets: int = BUCKETS) -> DataFrame:

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +29,20 @@ class _Ranged:
         names = fresh(self.columns, "part", "tie", "carried", "own", *values)
         self.part, self.tie, self.carried, self.own, *rest = names
         self.names = dict(zip(values, rest, strict=True))
-        made = rows.withColumns({self.names[k]: v for k, v in values.items()} | {self.tie: F.xxhash64(*[F.col(c) for c in self.columns])})
+        # Maps can't be hashed, nor what holds them.
+        hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rows.schema]
+        made = rows.withColumns({self.names[k]: v for k, v in values.items()} | {self.tie: F.xxhash64(*hashed)})
         # The tie is part of the range, so that equal rows don't gather in one partition.
         self.rows = checkpointed(made.repartitionByRange(*self.order, self.tie).withColumn(self.part, F.spark_partition_id()))
         self.within = Window.partitionBy(self.part).orderBy(*self.order, self.tie)
         self.between = Window.orderBy(self.part)
 
-    def carry(self, value: Column, empty) -> DataFrame:
-        """``rows`` with the sum of ``value`` over all earlier ranges, as ``carried``: one row for each range goes through one task."""
-        sums = self.rows.groupBy(self.part).agg(F.sum(value).alias(self.own))
-        before = F.sum(self.own).over(self.between.rowsBetween(Window.unboundedPreceding, -1))
-        return self.rows.join(F.broadcast(sums.select(self.part, F.coalesce(before, F.lit(empty)).alias(self.carried))), self.part)
+    def carry(self, value: Column, empty, rows: DataFrame | None = None, fold=F.sum) -> DataFrame:
+        """``rows`` with the sum (or other ``fold``) of ``value`` over all earlier ranges, as ``carried``: one row for each range goes through one task."""
+        rows = self.rows if rows is None else rows
+        sums = rows.groupBy(self.part).agg(fold(value).alias(self.own))
+        before = fold(F.col(self.own)).over(self.between.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.join(F.broadcast(sums.select(self.part, F.coalesce(before, F.lit(empty)).alias(self.carried))), self.part)
 
     def result(self, rows: DataFrame, alias: str, value: Column) -> DataFrame:
         return rows.select(*[F.col(c) for c in self.columns if c != alias], value.alias(alias))
@@ -57,8 +63,43 @@ def accumulate_vectors(rows: DataFrame, vector: Column, order: str | Sequence[st
     total = F.aggregate(F.coalesce(own, F.array().cast("array<double>")), F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
     before = F.coalesce(F.sum(total).over(ranged.within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col(ranged.carried)
     met = ranged.carry(total, 0.0).withColumn(ranged.own, before)
-    upto = F.transform(own, lambda x, i: F.col(ranged.own) + F.aggregate(F.slice(own, F.lit(1), i + 1), F.lit(0.0), lambda s, y: s + F.coalesce(y.cast("double"), F.lit(0.0))))
-    return ranged.result(met, alias, upto)
+
+    @F.arrow_udf("array<double>")
+    def running(vectors: pa.Array, starts: pa.Array) -> pa.Array:
+        """Each vector's running sums, all in one pass over the batch."""
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        upto = np.concatenate(([0.0], np.cumsum(pc.fill_null(vectors.flatten(), 0.0).to_numpy(zero_copy_only=False))))
+        first = ends - sizes
+        # Small vectors of small numbers keep their digits: a row's sums begin anew from its own start.
+        flat = upto[1:] - np.repeat(upto[first], sizes) + np.repeat(starts.to_numpy(zero_copy_only=False), sizes)
+        return pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(flat), mask=vectors.is_null())
+
+    return ranged.result(met, alias, running(own.cast("array<double>"), F.col(ranged.own)))
+
+
+def last_values(rows: DataFrame, columns: Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """``rows`` with the nulls of ``columns`` filled by the last value before them."""
+    ranged = _Ranged(rows, order)
+    within = ranged.within.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*ranged.order, ranged.tie)
+    lasts = ranged.rows.groupBy(ranged.part).agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
+    earlier = ranged.between.rowsBetween(Window.unboundedPreceding, -1)
+    carried = dict(zip(columns, fresh([*ranged.rows.columns], *[f"last_{c}" for c in columns]), strict=True))
+    before = lasts.select(ranged.part, *[F.last(c, ignorenulls=True).over(earlier).alias(carried[c]) for c in columns])
+    filled = ranged.rows.join(F.broadcast(before), ranged.part)
+    return filled.select(*[F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(carried[c])).alias(c) if c in carried else F.col(c) for c in ranged.columns])
+
+
+def group_overlapping(rows: DataFrame, start: str, stop: str, alias: str = "run") -> DataFrame:
+    """``rows`` with the number of the run that an interval is in: one that starts after all before it have stopped begins a new run."""
+    ranged = _Ranged(rows, [start, stop])
+    met = ranged.carry(F.col(stop), None, fold=F.max)
+    reach = F.greatest(F.col(ranged.carried), F.max(stop).over(ranged.within.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.when(F.coalesce(F.col(start) <= reach, F.lit(False)), 0).otherwise(1)
+    opened = checkpointed(met.withColumn(ranged.own, opens).drop(ranged.carried).withColumnRenamed(ranged.own, alias))
+    numbered = ranged.carry(F.col(alias), 0, opened)
+    return ranged.result(numbered, alias, F.col(ranged.carried) + F.sum(alias).over(ranged.within.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def number_rows(rows: DataFrame, order: str | Sequence[str], alias: str = "row") -> DataFrame:

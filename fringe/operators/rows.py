@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringe.operators.ordered import last_values
+
 Ranges = Sequence[tuple[int, int]]
 
 
@@ -92,12 +94,10 @@ def scale_column(x: Column, scale: float = 1.0, zero: float = 0.0, null_value: f
 def housekeeping(rows: DataFrame, time: str, name: str, value: str, names: Sequence[str], condition: Column | None = None) -> DataFrame:
     """Long (time, name, value) rows as one row for each time with a column for each name, each name's last value carried on.
 
-    The last value before a time is carried within all of the table's times, which are as many as the table's
-    distinct times and pass through one task.
+    Times are looked at in ranges, and what a range hands on is its last values.
     """
     wide = rows.where(F.col(name).isin(*names)).groupBy(time).pivot(name, list(names)).agg(F.last(value, ignorenulls=True))
-    upto = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    filled = wide.select(time, *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names])
+    filled = last_values(wide, names, time)
     return filled if condition is None else filled.where(condition)
 
 

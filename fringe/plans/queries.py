@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringe.functions import bits, nulls, sky, strings, vectors
-from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, regions, rows
-from fringe.sources import container, fits
+from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, quantiles, regions, rows
+from fringe.sources import container, container_source, fits, fits_source
 from fringe.streaming import blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,7 +424,7 @@ def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter by a table of shapes."""
     table_ = spark.createDataFrame([(2, "!Box", [14.5, 0.0, 1.0, 1e9], True, None), (1, "box", [15.0, 0.0, 10.0, 1e9], True, 1)], "n int, shape string, parameters array<double>, include boolean, component int")
-    return rows.select_rows(table(spark, sf_dir, "part"), regions.inside(F.col("p_size").cast("double"), F.col("p_retailprice"), regions.from_table(table_))).select("p_partkey")
+    return regions.in_region(table(spark, sf_dir, "part"), table_, F.col("p_size").cast("double"), F.col("p_retailprice")).select("p_partkey")
 
 
 @query("""with a as (select p_partkey, p_size * 7.0e0 as ra1, p_size - 25.0e0 as dec1, p_retailprice / 10.0e0 as ra2, p_retailprice / 100.0e0 as dec2 from part),
@@ -491,6 +493,21 @@ def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"mean": F.round("mean", 9) + 0.0, "sigma": F.round("sigma", 9), **{k: F.round(k, 9) for k in kinds}})
 
 
+@query(f"""with p as (select y % 7 as image, y, x, value from {_PIXELS}), d as (select image, y, abs(2 * value - lag(value, 2) over w - lead(value, 2) over w) as d from p window w as (partition by image, y order by x)),
+l as (select image, y, quantile_disc(d, 0.5) as m from d where d is not null group by 1, 2), n as (select image, quantile_disc(m, 0.5) * 1.4826e0 / sqrt(6) as noise3 from l group by 1)
+select p.image, count(value) as n_good, min(value) as low, max(value) as high, round(avg(value), 9) + 0.0e0 as mean, round(stddev_pop(value), 9) as sigma, round(any_value(noise3), 9) as noise3 from p join n on p.image = n.image group by 1""")
+def image_statistics_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and noise of seven images at once."""
+    out = images.statistics(_pixels(spark, sf_dir).withColumn("image", F.col("y") % 7), ("noise3",), ["image"])
+    return out.withColumns({"mean": F.round("mean", 9) + 0.0, "sigma": F.round("sigma", 9), "noise3": F.round("noise3", 9)})
+
+
+@query("select l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.9) as q90 from lineitem group by 1, 2")
+def quantile_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of large groups: narrowed in passes, with few values sorted at the end."""
+    return quantiles.exact_quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.9, "q90", few=1_000)
+
+
 @query("select vec_id, list_transform(embedding, lambda x: cast(x as double)) as cell from embeddings")
 def image_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells to pixels and back."""
@@ -580,15 +597,50 @@ def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select n_regionkey as group_id, n_nationkey as user_index, cast(length(n_name) + 1 as bigint) as size, true as crc_ok, n_name as text from nation")
 def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A container for each region, with a chunk for each nation, encoded, cut into chunks and checked."""
+    """A chunk for each nation, written to containers by all tasks at once, read by byte ranges and checked."""
+    container_source.register(spark)
+    path = _stream_path(spark, "containers")
+    chunks = table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").cast("int").alias("group_id"), F.lit(7).alias("tag_id"), F.col("n_nationkey").cast("int").alias("user_index"), F.lit(container.CHAR).alias("data_type"),
+        F.concat(F.col("n_name").cast("binary"), F.lit(b"\0")).alias("payload"),
+    )
+    chunks.repartition(3).write.format("container").option("max_bytes", 512).mode("append").save(path)
+    out = spark.read.format("container").option("split_bytes", 200).load(path)
+    return out.select("group_id", "user_index", "size", "crc_ok", F.expr("substring(cast(payload as string), 1, size - 1)").alias("text"))
 
-    def encode(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
-        chunks = [(int(key[0]), 7, int(k), container.CHAR, n.encode() + b"\0") for k, n in zip(rows_["n_nationkey"], rows_["n_name"], strict=True)]
-        return pd.DataFrame({"path": [str(key[0])], "content": [container.encode(chunks)]})
 
-    files = table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(encode, "path string, content binary")
-    out = container.chunks_of(files)
-    return out.select("group_id", "user_index", "size", "crc_ok", F.expr("substring(cast(payload as string), 1, size - 1)").alias("text"))
+@query(ORACLES["grid_wproj"])
+def grid_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship from visibility blocks: samples written as blocks of containers and read back, some times at a time."""
+    container_source.register(spark)
+    path = _stream_path(spark, "blocks")
+    _as_blocks(samples(spark, sf_dir).select("uu", "vv", "ww", "re", "im")).write.format("container").option("max_bytes", 1 << 20).mode("append").save(path)
+    read = spark.read.format("visibility_blocks").option("split_bytes", 1 << 19).load(path)
+    return gridding.grid_samples(read.where("problem is null").withColumn("weight", F.lit(1.0)), kernel(spark), support(spark), GRID, unit=UNIT)
+
+
+def _as_blocks(rows_: DataFrame, baselines: int = 16) -> DataFrame:
+    """Chunks of blocks of samples, one block or two for each batch of rows: whole times of ``baselines`` samples, and what is left as times of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 16
+        for batch in batches:
+            c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+            whole = batch.num_rows // baselines * baselines
+            for first, n, width in ((0, whole, baselines), (whole, batch.num_rows - whole, 1)):
+                if not n:
+                    continue
+                part = slice(first, first + n)
+                amplitudes = (c["re"][part] + 1j * c["im"][part]).astype("<c16")
+                dims = np.array([0, 0, n // width, 1, width, 2], "<i4")
+                rows = [(1, container.INT, dims), (3, container.DOUBLE | container.COMPLEX, amplitudes), *((4 + i, container.DOUBLE, c[name][part].astype("<f8")) for i, name in enumerate(("uu", "vv", "ww")))]
+                yield pa.RecordBatch.from_pylist([{"group_id": 12, "tag_id": tag, "user_index": block, "data_type": kind, "payload": x.tobytes()} for tag, kind, x in rows], _CHUNKS)
+                block += 1
+
+    return rows_.mapInArrow(run, "group_id int, tag_id int, user_index int, data_type int, payload binary")
+
+
+_CHUNKS = pa.schema([("group_id", pa.int32()), ("tag_id", pa.int32()), ("user_index", pa.int32()), ("data_type", pa.int32()), ("payload", pa.binary())])
 
 
 @query(f"select y, x, value from {_PIXELS}")
@@ -605,16 +657,23 @@ def fits_image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, p_name, p_size, p_retailprice, p_size > 25 as large from part")
 def fits_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A binary table for each brand, encoded and read."""
-    longest = 80
+    """Binary tables of bounded size, written by all tasks at once and read by byte ranges."""
+    fits_source.register(spark)
+    path = _stream_path(spark, "tables")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("large"))
+    parts.repartition(4).write.format("fits_table").option("max_bytes", 1 << 16).mode("append").save(path)
+    return spark.read.format("fits_table").option("split_bytes", 1 << 15).load(path).where("_problem is null").drop("_row", "_problem")
 
-    def encode(key: tuple, rows_: pd.DataFrame) -> pd.DataFrame:
-        names = np.array([n.encode() for n in rows_["p_name"]], f"S{longest}")
-        columns = {"p_partkey": rows_["p_partkey"].to_numpy("int64"), "p_name": names, "p_size": rows_["p_size"].to_numpy("int32"), "p_retailprice": rows_["p_retailprice"].to_numpy("float64"), "large": (rows_["p_size"] > 25).to_numpy()}
-        return pd.DataFrame({"path": [key[0]], "content": [fits.encode_table(columns)]})
 
-    files = table(spark, sf_dir, "part").groupBy("p_brand").applyInPandas(encode, "path string, content binary")
-    return fits.table_of(files).drop("_row")
+@query("select p_partkey, p_retailprice from part where p_partkey between 200 and 700")
+def fits_table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of some rows of a table: other rows aren't read."""
+    fits_source.register(spark)
+    path = _stream_path(spark, "rows")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").repartitionByRange(2, "p_partkey").sortWithinPartitions("p_partkey")
+    parts.write.format("fits_table").mode("append").save(path)
+    rows_ = spark.read.format("fits_table").options(columns="p_partkey,p_retailprice").load(path)
+    return rows_.where("p_partkey between 200 and 700").select("p_partkey", "p_retailprice")
 
 
 # Further cases of the operators above.
@@ -654,11 +713,8 @@ def container_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": rows_["n_regionkey"].astype(str), "content": content})
 
     index = container.chunks_of(table(spark, sf_dir, "nation").mapInPandas(encode, "path string, content binary"))
-    out = None
-    for key in [*range(0, 25, 3), 99]:
-        one = container.find(index, "names", "nation", key)
-        out = one if out is None else out.unionByName(one)
-    return out.select(F.col("path").cast("int").alias("group_id"), "user_index", F.col("payload").cast("string").alias("text"))
+    wanted = spark.createDataFrame([("names", "nation", key) for key in [*range(0, 25, 3), 99]], "group_name string, tag_name string, user_index int")
+    return container.find_each(index, wanted).select(F.col("path").cast("int").alias("group_id"), "user_index", F.col("payload").cast("string").alias("text"))
 
 
 @query("select c_nationkey as nation, count(*) as n, cast(sum(c_custkey) as double) as total, max(c_custkey)::double as last from customer group by 1")
@@ -690,6 +746,29 @@ def region_more_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_REGION_SHAPES = """select o_orderkey as n, o_orderkey % 4 as kind, (o_custkey % 500) * 1.0e0 as cx, (o_orderkey % 390) * 2.5e0 as cy, 1 + (o_custkey % 7) * 0.5e0 as r, o_orderkey % 5 <> 0 as include, 1 + o_orderkey % 3 as component from orders"""
+
+
+@query(f"""with s as ({_REGION_SHAPES}), p as (select distinct p_partkey, (p_partkey * 7 % 500) + p_size / 100.0e0 as x, p_retailprice / 2.0e0 as y from part),
+h as (select p_partkey, component, arg_max(include, n) as held from p join s on case kind when 0 then (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r when 1 then abs(x - cx) <= r and abs(y - cy) <= r / 2
+  when 2 then (x - cx) * (x - cx) / (r * r) + (y - cy) * (y - cy) / (4 * r * r) <= 1 else abs(2 * (x - cx) / (2 * r)) + abs(2 * (y - cy) / (3 * r)) <= 1 end group by 1, 2),
+o as (select component from s group by component having not arg_min(include, n)),
+v as (select p_partkey, bool_or(held) or count(*) filter (component in (select component from o)) < (select count(*) from o) as inside from h group by 1)
+select p_partkey from p left join v using (p_partkey) where coalesce(inside, (select count(*) from o) > 0)""")
+def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in a region of as many shapes as there are orders, in three components, of which some begin with an exclusion."""
+    o = table(spark, sf_dir, "orders")
+    n, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    cx, cy, r = (F.col("o_custkey") % 500) * 1.0, (n % 390) * 2.5, 1 + (F.col("o_custkey") % 7) * 0.5
+    sizes = F.when(kind == 0, F.array(r)).when(kind == 1, F.array(2 * r, r)).when(kind == 2, F.array(r, 2 * r)).otherwise(F.array(2 * r, 3 * r))
+    shapes = o.select(
+        n.alias("n"), F.element_at(F.array(*map(F.lit, ("circle", "box", "ellipse", "diamond"))), (kind + 1).cast("int")).alias("shape"), F.concat(F.array(cx, cy), sizes).alias("parameters"),
+        (n % 5 != 0).alias("include"), (1 + n % 3).alias("component"),
+    )
+    points = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7 % 500) + F.col("p_size") / 100.0).alias("x"), (F.col("p_retailprice") / 2.0).alias("y"))
+    return regions.in_region(points, shapes, F.col("x"), F.col("y")).select("p_partkey")
+
+
 _SKY_POINTS = "select p_partkey, (p_size - 25.0e0) as x, p_retailprice / 100.0e0 as y from part"
 
 

@@ -16,6 +16,7 @@ def get_session(master: str | None = None, app: str = "fringe", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -52,7 +53,10 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir``; only where none is set and the master is local a folder is made."""
+    """``df`` written below ``spark.checkpoint.dir``; only where none is set and the master is local a folder is made.
+
+    Spark deletes it once nothing refers to it any more, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``get_session`` does.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -104,21 +104,25 @@ def _swapped(payload: bytes, data_type: int) -> bytes:
     return np.frombuffer(payload[:whole], f"u{size}").byteswap().tobytes() + payload[whole:]
 
 
-def encode(chunks: Sequence[tuple[int | str, int | str, int, int, bytes]], name: bytes = b"", big_endian: bool = False) -> bytes:
-    """A file of (group, tag, user index, data type, payload); text names make an extended tag. ``name`` is the format's name at its start.
+def file_header(name: bytes = b"") -> bytes:
+    """The start of a file; ``name`` is the format's name."""
+    return name.ljust(NAME_BYTES, b"\0")[:NAME_BYTES] + bytes([VERSION]) + bytes(HEADER_BYTES - NAME_BYTES - 1)
 
-    With ``big_endian`` the little-endian payloads are swapped and their chunks marked so.
-    """
-    out = bytearray(name.ljust(NAME_BYTES, b"\0")[:NAME_BYTES] + bytes([VERSION]) + bytes(HEADER_BYTES - NAME_BYTES - 1))
-    for group, tag, index, data_type, payload in chunks:
-        extended = isinstance(group, str)
-        names = group.encode() + b"\0" + tag.encode() + b"\0" if extended else b""
-        ids = (len(group.encode()) + 1, len(tag.encode()) + 1) if extended else (group, tag)
-        flags = CRC_FLAG | (EXTENDED_FLAG if extended else 0) | (BIG_ENDIAN_FLAG if big_endian else 0)
-        payload = _swapped(payload, data_type) if big_endian else payload
-        body = struct.pack(TAG, ord("T"), 0x40 + VERSION, ord("G"), element_bytes(data_type), flags, data_type, *ids, index, len(names) + len(payload) + 4) + names + payload
-        out += body + struct.pack("<I", crc32c(body))
-    return bytes(out)
+
+def encode_chunk(group: int | str, tag: int | str, index: int, data_type: int, payload: bytes, big_endian: bool = False) -> bytes:
+    """A chunk's bytes; text names make an extended tag. With ``big_endian`` the little-endian payload is swapped and the chunk marked so."""
+    extended = isinstance(group, str)
+    names = group.encode() + b"\0" + tag.encode() + b"\0" if extended else b""
+    ids = (len(group.encode()) + 1, len(tag.encode()) + 1) if extended else (group, tag)
+    flags = CRC_FLAG | (EXTENDED_FLAG if extended else 0) | (BIG_ENDIAN_FLAG if big_endian else 0)
+    payload = _swapped(payload, data_type) if big_endian else payload
+    body = struct.pack(TAG, ord("T"), 0x40 + VERSION, ord("G"), element_bytes(data_type), flags, data_type, *ids, index, len(names) + len(payload) + 4) + names + payload
+    return body + struct.pack("<I", crc32c(body))
+
+
+def encode(chunks: Sequence[tuple[int | str, int | str, int, int, bytes]], name: bytes = b"", big_endian: bool = False) -> bytes:
+    """A file of (group, tag, user index, data type, payload), as ``encode_chunk`` takes them."""
+    return file_header(name) + b"".join(encode_chunk(*c, big_endian=big_endian) for c in chunks)
 
 
 def header(data: bytes) -> dict[str, object]:
@@ -191,6 +195,18 @@ def find(index: DataFrame, group: int | str, tag: int | str, user_index: int, da
     return (met.where(F.col("data_type") == data_type) if data_type else met).orderBy("chunk").limit(1)
 
 
+def find_each(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each row of ``wanted`` the first chunk with its tag, by one join: ``wanted`` has ``group_id, tag_id`` or ``group_name, tag_name``, and ``user_index``, and may have ``data_type`` and ``start``.
+
+    Rows without such a chunk have no result; null and 0 stand for any type.
+    """
+    keys = [c for c in ("group_id", "tag_id", "group_name", "tag_name", "user_index") if c in wanted.columns]
+    asked = wanted.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(f"wanted_{c}") if c in wanted.columns else F.lit(0).alias(f"wanted_{c}") for c in ("data_type", "start")]).distinct()
+    met = index.join(asked, keys).where("(wanted_data_type = 0 or data_type = wanted_data_type) and chunk >= wanted_start")
+    first = met.groupBy(*keys, "wanted_data_type", "wanted_start").agg(F.min_by(F.struct(*index.columns), F.struct("chunk", "path")).alias("found"))
+    return first.select("found.*")
+
+
 def values(payload: Column, data_type: int) -> Column:
     """A payload's elements as an array of doubles (real and imaginary parts in turn for complex ones)."""
     kind = element_type(data_type)

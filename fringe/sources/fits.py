@@ -1,19 +1,31 @@
 """FITS files: headers, images and binary tables as DataFrames.
 
-Files are read as bytes by Spark's ``binaryFile`` source, one task for each file (of up to 2 GB), and
-cut into header units. A table's schema comes from the first file's header; all files of a path have to
-have it. Undefined values (TNULL, BLANK, NaN) are null; TSCAL and TZERO are applied.
+Here files are read as bytes by Spark's ``binaryFile`` source, one task for each file (of up to 2 GB), from any
+store that Spark reads, and cut into header units; ``fits_source`` reads byte ranges instead. A table's schema comes
+from the first file's header. Undefined values (TNULL, BLANK, NaN) are null; TSCAL and TZERO are applied. A
+file that can't be read so (no such unit, damaged, other columns) is one row that says so in its problem column.
+Files may be compressed with gzip.
+
+A unit is named by its number from 0, as ``"image"`` or ``"table"`` (the first that holds one), or as ``"NAME"`` or
+``"NAME,version"`` by its EXTNAME (in any case) and EXTVER.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BLOCK, CARD = 2880, 80
 #: Pixel types by BITPIX, and column types by letter with the bytes of an element.
@@ -21,15 +33,22 @@ PIXELS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 COLUMNS = {"L": ("S1", 1), "X": (">u1", 1), "B": (">u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8), "A": ("S", 1), "E": (">f4", 4), "D": (">f8", 8), "C": (">c8", 8), "M": (">c16", 16), "P": (">i4", 8), "Q": (">i8", 16)}
 SPARK_TYPES = {"L": "boolean", "X": "string", "B": "short", "I": "short", "J": "int", "K": "long", "A": "string", "E": "float", "D": "double", "C": "struct<re:double,im:double>", "M": "struct<re:double,im:double>"}
 HEADER_SCHEMA = "path string, hdu int, pos int, key string, value string, comment string"
-PIXEL_SCHEMA = "path string, hdu int, plane int, y int, x int, value double"
+PIXEL_SCHEMA = "path string, hdu int, plane int, y int, x int, value double, problem string"
+#: Columns of a table besides its own.
+ROW, PROBLEM = "_row", "_problem"
+#: Values of a batch of rows.
+BATCH_VALUES = 1 << 20
 
 
 @dataclass
 class Unit:
-    """One header unit: its cards (key, value, comment) and data."""
+    """One header unit: its number, its cards (key, value, comment), where its data begins in the file, how long it is, and the data where it has been read."""
 
     cards: list[tuple[str, str, str]]
-    data: bytes
+    data: bytes = b""
+    number: int = 0
+    start: int = 0
+    size: int = 0
 
     def get(self, key: str, default=None):
         for k, v, _ in self.cards:
@@ -41,6 +60,17 @@ class Unit:
     def axes(self) -> list[int]:
         return [int(self.get(f"NAXIS{i}")) for i in range(1, int(self.get("NAXIS", 0)) + 1)]
 
+    @property
+    def kind(self) -> str:
+        """``image``, ``table``, ``ascii`` (a table of characters) or ``empty``."""
+        extension = str(self.get("XTENSION", "IMAGE")).strip()
+        return {"BINTABLE": "table", "A3DTABLE": "table", "TABLE": "ascii"}.get(extension, "image" if self.axes and all(self.axes) else "empty")
+
+    @property
+    def row_bytes(self) -> int:
+        """Bytes of a table's row or an image's line."""
+        return self.axes[0] * (1 if self.kind != "image" else abs(int(self.get("BITPIX"))) // 8)
+
 
 def _value(text: str):
     text = text.strip()
@@ -64,14 +94,16 @@ def _card(card: str) -> tuple[str, str, str]:
     return key, found[1].strip(), (found[2] or "").strip()
 
 
-def units(data: bytes) -> Iterator[Unit]:
-    """The header units of a file's bytes."""
-    at = 0
-    while at + BLOCK <= len(data):
+def scan(file: BinaryIO) -> Iterator[Unit]:
+    """The header units of an open file; of their data not a byte is read."""
+    at, number = 0, 0
+    end = file.seek(0, io.SEEK_END)
+    while at + BLOCK <= end:
         cards: list[tuple[str, str, str]] = []
         ended = False
-        while not ended and at + BLOCK <= len(data):
-            text = data[at : at + BLOCK].decode("ascii", "replace")
+        file.seek(at)
+        while not ended and at + BLOCK <= end:
+            text = file.read(BLOCK).decode("ascii", "replace")
             for i in range(0, BLOCK, CARD):
                 card = _card(text[i : i + CARD])
                 if card[0] == "END" and not card[1]:
@@ -86,11 +118,41 @@ def units(data: bytes) -> Iterator[Unit]:
                 if card[0] or card[2]:
                     cards.append(card)
             at += BLOCK
-        unit = Unit(cards, b"")
-        size = abs(int(unit.get("BITPIX", 8))) // 8 * int(unit.get("GCOUNT", 1)) * (int(unit.get("PCOUNT", 0)) + int(np.prod(unit.axes))) if unit.axes else 0
-        unit.data = data[at : at + size]
-        at += -(-size // BLOCK) * BLOCK
+        unit = Unit(cards, b"", number, at)
+        unit.size = abs(int(unit.get("BITPIX", 8))) // 8 * int(unit.get("GCOUNT", 1)) * (int(unit.get("PCOUNT", 0)) + int(np.prod(unit.axes))) if unit.axes else 0
+        at += -(-unit.size // BLOCK) * BLOCK
         yield unit
+        number += 1
+
+
+def plain_bytes(data: bytes) -> bytes:
+    """A file's bytes, unpacked where they are compressed with gzip."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def units(data: bytes) -> Iterator[Unit]:
+    """The header units of a file's bytes, with their data."""
+    data = plain_bytes(data)
+    for unit in scan(io.BytesIO(data)):
+        unit.data = data[unit.start : unit.start + unit.size]
+        yield unit
+
+
+def choose(all_units: Iterator[Unit], hdu: int | str) -> Unit:
+    """The unit that ``hdu`` names (module docstring); ``ValueError`` if there is none."""
+    wanted = int(hdu) if isinstance(hdu, int) or str(hdu).lstrip("-").isdigit() else str(hdu)
+    name, _, version = str(wanted).partition(",")
+    for unit in all_units:
+        if isinstance(wanted, int):
+            found = unit.number == wanted
+        elif wanted in ("image", "table"):
+            found = unit.kind == wanted or (wanted == "table" and unit.kind == "ascii")
+        else:
+            own = str(unit.get("EXTNAME", unit.get("HDUNAME", ""))).strip()
+            found = own.upper() == name.strip().upper() and (not version or int(unit.get("EXTVER", unit.get("HDUVER", 1))) == int(version))
+        if found:
+            return unit
+    raise ValueError(f"no unit {hdu!r}")
 
 
 def encode(header: Mapping[str, object], data: bytes = b"", primary: bool = True) -> bytes:
@@ -123,8 +185,8 @@ def headers_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, content in zip(rows["path"], rows["content"], strict=True):
-                cards = [(name, h, p, *card) for h, unit in enumerate(units(bytes(content))) for p, card in enumerate(unit.cards, 1)]
-                yield pd.DataFrame(cards, columns=["path", "hdu", "pos", "key", "value", "comment"])
+                found = scan(io.BytesIO(plain_bytes(bytes(content or b""))))
+                yield pd.DataFrame([(name, unit.number, p, *card) for unit in found for p, card in enumerate(unit.cards, 1)], columns=["path", "hdu", "pos", "key", "value", "comment"])
 
     return files.select("path", "content").mapInPandas(run, HEADER_SCHEMA)
 
@@ -133,112 +195,265 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return headers_of(_files(spark, path))
 
 
-def _pixels(unit: Unit) -> np.ndarray:
-    raw = np.frombuffer(unit.data, PIXELS[int(unit.get("BITPIX"))]).astype(float).reshape(unit.axes[::-1])
-    blank = unit.get("BLANK")
-    if blank is not None and int(unit.get("BITPIX")) > 0:
-        raw = np.where(raw == blank, np.nan, raw)
-    return raw * float(unit.get("BSCALE", 1.0)) + float(unit.get("BZERO", 0.0))
+def _with_nulls(values: np.ndarray, bad: np.ndarray | None) -> pa.Array:
+    return pa.array(values, mask=bad if bad is not None and bad.any() else None)
 
 
-def image_of(files: DataFrame, hdu: int = 0) -> DataFrame:
-    """The pixels of an image or cube in each file: ``path, hdu, plane, y, x, value``, all counted from 1; further axes run on in ``plane``."""
+def pixel_values(raw: np.ndarray, unit: Unit) -> pa.Array:
+    """Raw pixels of an image as doubles, scaled, undefined ones null."""
+    whole = raw.dtype.kind in "iu"
+    blank = unit.get("BLANK") if whole else None
+    bad = raw == blank if blank is not None else np.isnan(raw) if not whole else None
+    return _with_nulls(raw.astype(float) * float(unit.get("BSCALE", 1.0)) + float(unit.get("BZERO", 0.0)), bad)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for name, content in zip(rows["path"], rows["content"], strict=True):
-                unit = next(u for i, u in enumerate(units(bytes(content))) if i == hdu)
-                cube = _pixels(unit)
-                for number, plane in enumerate(cube.reshape(-1, *((1,) * (2 - cube.ndim)), *cube.shape[-2:]), 1):
-                    y, x = np.indices(plane.shape)
-                    values = plane.ravel().astype(object)
-                    values[np.isnan(plane.ravel())] = None
-                    yield pd.DataFrame({"path": name, "hdu": hdu, "plane": number, "y": y.ravel() + 1, "x": x.ravel() + 1, "value": values})
 
-    return files.select("path", "content").mapInPandas(run, PIXEL_SCHEMA)
+def image_shape(unit: Unit) -> tuple[int, int]:
+    """Pixels of a line and lines of a plane."""
+    if unit.kind != "image":
+        raise ValueError(f"unit {unit.number} holds no image")
+    return unit.axes[0], unit.axes[1] if len(unit.axes) > 1 else 1
+
+
+def image_batch(path: str, unit: Unit, raw: np.ndarray, lines: np.ndarray, xs: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``PIXEL_SCHEMA`` of raw pixels (lines, xs); lines count from 0 over all planes."""
+    n, height = raw.size, image_shape(unit)[1]
+    each = lambda v: pa.array(np.repeat(v, len(xs)).astype(np.int32))
+    columns = [pa.repeat(pa.scalar(path), n), pa.repeat(pa.scalar(unit.number, pa.int32()), n), each(lines // height + 1), each(lines % height + 1), pa.array(np.tile(xs + 1, len(lines)).astype(np.int32)), pixel_values(raw.ravel(), unit), pa.nulls(n, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["path", "hdu", "plane", "y", "x", "value", "problem"])
+
+
+def problem_batch(schema: pa.Schema, **values: object) -> pa.RecordBatch:
+    """One row with these values and nulls."""
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
 
+_PIXEL_ARROW = pa.schema([("path", pa.string()), ("hdu", pa.int32()), ("plane", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("value", pa.float64()), ("problem", pa.string())])
 
-def read_image(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
+
+def image_of(files: DataFrame, hdu: int | str = 0) -> DataFrame:
+    """The pixels of an image or cube in each file: ``path, hdu, plane, y, x, value, problem``, all counted from 1; further axes run on in ``plane``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name, content in zip(rows.column("path"), rows.column("content"), strict=True):
+                try:
+                    unit = choose(units(content.as_py() or b""), hdu)
+                    width = image_shape(unit)[0]
+                    raw = np.frombuffer(unit.data, PIXELS[int(unit.get("BITPIX"))]).reshape(-1, width)
+                    step = max(1, BATCH_VALUES // width)
+                    for at in range(0, len(raw), step):
+                        part = raw[at : at + step]
+                        yield image_batch(name.as_py(), unit, part, np.arange(at, at + len(part)), np.arange(width))
+                except (ValueError, KeyError, TypeError, OSError, EOFError) as problem:
+                    yield problem_batch(_PIXEL_ARROW, path=name.as_py(), problem=str(problem))
+
+    return files.select("path", "content").mapInArrow(run, PIXEL_SCHEMA)
+
+
+def read_image(spark: SparkSession, path: str, hdu: int | str = 0) -> DataFrame:
     return image_of(_files(spark, path), hdu)
 
 
-def _columns(unit: Unit) -> list[dict]:
-    out = []
-    for i in range(1, int(unit.get("TFIELDS", 0)) + 1):
-        repeat, letter, rest = re.match(r"(\d*)([A-Z])(.*)", str(unit.get(f"TFORM{i}")).strip()).groups()
-        element = rest.lstrip("(")[:1] if letter in "PQ" else letter
-        out.append({"name": str(unit.get(f"TTYPE{i}", f"col{i}")).strip(), "repeat": int(repeat or 1), "letter": letter, "element": element, "scale": unit.get(f"TSCAL{i}", 1), "zero": unit.get(f"TZERO{i}", 0), "null": unit.get(f"TNULL{i}")})
-    return out
+@dataclass(frozen=True)
+class TableColumn:
+    """A table's column: name, elements of a row, letter of its form, letter of its elements, scale, zero and null, and in a table of characters its place and width."""
 
+    name: str
+    repeat: int
+    letter: str
+    element: str
+    scale: float
+    zero: float
+    null: object
+    at: int
+    width: int
 
-def _spark_type(c: dict) -> str:
-    kind = SPARK_TYPES[c["element"]]
-    if (c["scale"], c["zero"]) != (1, 0):
-        kind = "long" if c["scale"] == 1 and float(c["zero"]).is_integer() and c["element"] in "BIJK" else "double"
-    return kind if c["letter"] in "AX" or (c["repeat"] == 1 and c["letter"] not in "PQ") else f"array<{kind}>"
+    @property
+    def scaled(self) -> bool:
+        return (self.scale, self.zero) != (1, 0)
 
+    @property
+    def whole(self) -> bool:
+        """Whether scaled numbers stay whole, as unsigned ones do."""
+        return self.scale == 1 and float(self.zero).is_integer() and self.element in "BIJK"
 
-def _plain(values: np.ndarray, c: dict) -> list:
-    """Python values of a flat array of elements."""
-    if c["element"] == "L":
-        return [{b"T": True, b"F": False}.get(v) for v in values.tolist()]
-    if c["element"] in "CM":
-        return [{"re": v.real, "im": v.imag} for v in values.tolist()]
-    bad = np.isnan(values) if values.dtype.kind == "f" else (values == c["null"] if c["null"] is not None else np.zeros(len(values), bool))
-    if (c["scale"], c["zero"]) != (1, 0):
-        values = values.astype(np.int64) + int(c["zero"]) if _spark_type(c).strip("array<>") == "long" else values * float(c["scale"]) + float(c["zero"])
-    return [None if b else v for v, b in zip(values.tolist(), bad, strict=True)]
+    @property
+    def single(self) -> bool:
+        return self.letter in "AX" or (self.repeat == 1 and self.letter not in "PQ")
+
+    @property
+    def spark_type(self) -> str:
+        kind = SPARK_TYPES[self.element]
+        if self.scaled:
+            kind = "long" if self.whole else "double"
+        return kind if self.single else f"array<{kind}>"
+
+
+#: Element letters of a table of characters by the first of their form.
+_CHARACTER_FORMS = {"A": "A", "I": "K", "F": "D", "E": "D", "D": "D"}
+
+
+def table_columns(unit: Unit) -> list[TableColumn]:
+    if unit.kind not in ("table", "ascii"):
+        raise ValueError(f"unit {unit.number} holds no table")
+    out, at = [], 0
+    for i in range(1, int(unit.get("TFIELDS", 0)) + 1):
+        form = str(unit.get(f"TFORM{i}")).strip()
+        name = str(unit.get(f"TTYPE{i}", f"col{i}")).strip()
+        rest = (unit.get(f"TSCAL{i}", 1), unit.get(f"TZERO{i}", 0), unit.get(f"TNULL{i}"))
+        if unit.kind == "ascii":
+            letter, width = re.match(r"([A-Z])(\d+)", form).groups()
+            out.append(TableColumn(name, 1, _CHARACTER_FORMS[letter], _CHARACTER_FORMS[letter], *rest, int(unit.get(f"TBCOL{i}")) - 1, int(width)))
+            continue
+        repeat, letter, more = re.match(r"(\d*)([A-Z])(.*)", form).groups()
+        repeat = int(repeat or 1)
+        element = more.lstrip("(")[:1] if letter in "PQ" else letter
+        width = COLUMNS[letter][1] * (-(-repeat // 8) if letter == "X" else repeat)
+        out.append(TableColumn(name, repeat, letter, element, *rest, at, width))
+        at += width
+    return out
 
 
-def _decode(unit: Unit, columns: Sequence[dict]) -> pd.DataFrame:
-    width, n = unit.axes[0], unit.axes[1]
-    heap = unit.data[int(unit.get("THEAP", width * n)) :]
-    rows = np.frombuffer(unit.data[: width * n], np.uint8).reshape(n, width)
-    out, at = {}, 0
+def _texts(raw: np.ndarray) -> pa.Array:
+    """Strings of rows of characters: up to a zero byte, without blanks at the end."""
+    n, width = raw.shape
+    if not width:
+        return pa.array([""] * n, pa.string())
+    ends = np.where((raw == 0).any(1), (raw == 0).argmax(1), width)
+    raw = np.where(np.arange(width)[None, :] < ends[:, None], raw, 32).astype(np.uint8)
+    raw[raw > 127] = ord("?")
+    offsets = pa.py_buffer((np.arange(n + 1) * width).astype(np.int32))
+    return pc.ascii_rtrim(pa.Array.from_buffers(pa.string(), n, [None, offsets, pa.py_buffer(raw.tobytes())]), " ")
+
+
+def _numbers(values: np.ndarray, c: TableColumn) -> pa.Array:
+    """Elements of a column, scaled, undefined ones null."""
+    if c.element == "L":
+        return pa.array(values == b"T", mask=(values != b"T") & (values != b"F"))
+    if c.element in "CM":
+        parts = [pa.array(np.ascontiguousarray(x).astype(x.dtype.newbyteorder("="))) for x in (values.real, values.imag)]
+        return pa.StructArray.from_arrays(parts, ["re", "im"])
+    bad = np.isnan(values) if values.dtype.kind == "f" else values == c.null if c.null is not None else None
+    if c.scaled:
+        values = values.astype(np.int64) + int(c.zero) if c.whole else values * float(c.scale) + float(c.zero)
+    elif c.element == "B":
+        values = values.astype(np.int16)
+    return _with_nulls(values.astype(values.dtype.newbyteorder("=")), bad)
+
+
+def _characters(raw: np.ndarray, c: TableColumn) -> pa.Array:
+    """A column of a table of characters."""
+    texts = _texts(raw)
+    if c.element == "A":
+        return texts if c.null is None else pc.if_else(pc.equal(texts, str(c.null).rstrip()), pa.scalar(None, pa.string()), texts)
+    texts = pc.ascii_trim_whitespace(texts)
+    missing = pc.or_(pc.equal(texts, ""), pc.equal(texts, str(c.null).strip()))
+    numbers = pc.cast(pc.replace_substring(pc.if_else(missing, pa.scalar(None, pa.string()), texts), "D", "E"), pa.int64() if c.element == "K" else pa.float64())
+    return numbers if not c.scaled else pc.add(pc.multiply(numbers.cast(pa.float64()), float(c.scale)), float(c.zero)).cast(pa.int64() if c.whole else pa.float64())
+
+
+def table_arrays(unit: Unit, columns: Sequence[TableColumn], rows: np.ndarray, heap: Callable[[int, int], bytes]) -> list[pa.Array]:
+    """Columns of raw rows (n, bytes of a row); ``heap`` gives a stretch of what lies behind the table, for arrays of variable length."""
+    out: list[pa.Array] = []
+    n = len(rows)
     for c in columns:
-        kind, size = COLUMNS[c["letter"]]
-        count = -(-c["repeat"] // 8) if c["letter"] == "X" else c["repeat"]
-        own = np.ascontiguousarray(rows[:, at : at + size * count])
-        at += size * count
-        if c["letter"] == "A":
-            out[c["name"]] = [bytes(r).split(b"\0")[0].decode("ascii", "replace").rstrip() for r in own]
-        elif c["letter"] == "X":
-            out[c["name"]] = ["".join(f"{b:08b}" for b in r)[: c["repeat"]] for r in own.tolist()]
-        elif c["letter"] in "PQ":
-            e_kind, e_size = COLUMNS[c["element"]]
-            out[c["name"]] = [_plain(np.frombuffer(heap[o : o + m * e_size], e_kind), c) for m, o in own.view(kind).reshape(n, 2).tolist()]
+        own = np.ascontiguousarray(rows[:, c.at : c.at + c.width])
+        if unit.kind == "ascii":
+            out.append(_characters(own, c))
+        elif c.letter == "A":
+            out.append(_texts(own))
+        elif c.letter == "X":
+            out.append(_texts((np.unpackbits(own, axis=1)[:, : c.repeat] + 48).astype(np.uint8)))
+        elif c.letter in "PQ":
+            kind, size = COLUMNS[c.element]
+            counts, places = own.view(COLUMNS[c.letter][0]).reshape(n, 2).astype(np.int64).T
+            used = counts > 0
+            low = int(places[used].min()) if used.any() else 0
+            data = heap(low, int((places + counts * size)[used].max()) - low) if used.any() else b""
+            parts = [np.frombuffer(data, kind, m, at - low) for m, at in zip(counts.tolist(), places.tolist(), strict=True) if m]
+            flat = np.concatenate(parts) if parts else np.zeros(0, kind)
+            out.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), _numbers(flat, c)))
+        elif c.single:
+            out.append(_numbers(own.view(COLUMNS[c.letter][0]).ravel(), c))
         else:
-            flat = _plain(own.view(kind).ravel(), c)
-            out[c["name"]] = flat if count == 1 else [flat[r * count : (r + 1) * count] for r in range(n)]
-    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
+            out.append(pa.ListArray.from_arrays((np.arange(n + 1) * c.repeat).astype(np.int32), _numbers(own.view(COLUMNS[c.letter][0]).ravel(), c)))
+    return out
+
+
+def table_schema(columns: Sequence[TableColumn]) -> str:
+    """Schema of a table's rows."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in [(ROW, "long"), *((c.name, c.spark_type) for c in columns), (PROBLEM, "string")])
+
 
+_ARROW = {"boolean": pa.bool_(), "string": pa.string(), "short": pa.int16(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary()}
 
-def table_of(files: DataFrame, hdu: int = 1) -> DataFrame:
-    """The rows of each file's binary table, with ``_row`` from 1 in its file."""
 
-    def unit_of(content: bytes) -> Unit:
-        return next(u for i, u in enumerate(units(content)) if i == hdu)
+def _arrow_type(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(pa.field("element", _arrow_type(kind[6:-1])))
+    if kind.startswith("struct<"):
+        return pa.struct([tuple((n, _arrow_type(k)) for n, k in [part.split(":")])[0] for part in kind[7:-1].split(",")])
+    return _ARROW[kind]
+
+
+def arrow_of(ddl: str) -> pa.Schema:
+    """A schema text of this module for Arrow, in tasks as well."""
+    return pa.schema([(name.strip("`"), _arrow_type(kind)) for name, kind in re.findall(r"(`[^`]*`|\w+) ([^ ]+?)(?:, |$)", ddl)])
+
+
+def table_batch(schema: pa.Schema, unit: Unit, columns: Sequence[TableColumn], first: int, rows: np.ndarray, heap: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    """Rows of ``schema``: row numbers from ``first`` on, and columns by their names."""
+    by_name = {c.name: c for c in columns}
+    chosen = [by_name[f.name] for f in schema if f.name not in (ROW, PROBLEM)]
+    arrays = dict(zip([c.name for c in chosen], table_arrays(unit, chosen, rows, heap), strict=True))
+    arrays |= {ROW: pa.array(np.arange(first, first + len(rows))), PROBLEM: pa.nulls(len(rows), pa.string())}
+    return pa.RecordBatch.from_arrays([arrays[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def differing(schema: pa.Schema, columns: Sequence[TableColumn]) -> str | None:
+    """What a file's columns lack of ``schema``."""
+    own = {f.name: f.type for f in arrow_of(table_schema(columns))}
+    lacking = [f.name for f in schema if f.name not in (ROW, PROBLEM) and own.get(f.name) != f.type]
+    return f"no columns {lacking} of the types of the first file" if lacking else None
+
+
+def table_of(files: DataFrame, hdu: int | str = 1) -> DataFrame:
+    """The rows of each file's table, with ``_row`` from 1 in its file, and ``_problem``; without files no rows and no other columns."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for content in rows["content"]:
-                yield pd.DataFrame({"kind": [", ".join(["_row long", *(f"`{c['name']}` {_spark_type(c)}" for c in _columns(unit_of(bytes(content))))])]})
+                try:
+                    found = table_schema(table_columns(choose(scan(io.BytesIO(plain_bytes(bytes(content or b"")))), hdu)))
+                except (ValueError, KeyError, TypeError, AttributeError, OSError, EOFError):
+                    continue
+                yield pd.DataFrame({"kind": [found]})
 
     files = files.select("path", "content")
-    schema = files.orderBy("path").limit(1).mapInPandas(first, "kind string").first().kind
+    schema = next((r.kind for r in files.orderBy("path").mapInPandas(first, "kind string").take(1)), table_schema([]))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for content in rows["content"]:
-                unit = unit_of(bytes(content))
-                table = _decode(unit, _columns(unit))
-                table.insert(0, "_row", np.arange(1, len(table) + 1))
-                yield table
-
-    return files.mapInPandas(run, schema)
-
-
-def read_table(spark: SparkSession, path: str, hdu: int = 1) -> DataFrame:
+            for content in rows.column("content"):
+                try:
+                    unit = choose(units(content.as_py() or b""), hdu)
+                    columns = table_columns(unit)
+                    if problem := differing(arrow, columns):
+                        raise ValueError(problem)
+                    width, n = unit.axes
+                    heap_at = int(unit.get("THEAP", width * n))
+                    raw = np.frombuffer(unit.data, np.uint8, width * n).reshape(n, width)
+                    step = max(1, BATCH_VALUES // max(1, width))
+                    for at in range(0, n, step):
+                        yield table_batch(arrow, unit, columns, at + 1, raw[at : at + step], lambda place, size, unit=unit, heap_at=heap_at: unit.data[heap_at + place : heap_at + place + size])
+                except (ValueError, KeyError, TypeError, AttributeError, OSError, EOFError) as problem:
+                    yield problem_batch(arrow, **{PROBLEM: str(problem)})
+
+    return files.mapInArrow(run, schema)
+
+
+def read_table(spark: SparkSession, path: str, hdu: int | str = 1) -> DataFrame:
     return table_of(_files(spark, path), hdu)
 
 

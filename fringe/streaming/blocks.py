@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fringe.operators.gridding import Grid, contributions, in_units, inside, locate, with_support
+from fringe.operators.gridding import BROADCAST_CELLS, Grid, contributions, in_units, inside, locate, partial_grids, with_support
 
 SAMPLE_SCHEMA = "block int, uu double, vv double, ww double, re double, im double, weight double"
 
@@ -24,8 +24,18 @@ def read_blocks(spark: SparkSession, path: str, schema: str = SAMPLE_SCHEMA, fil
 
 
 def streaming_grid(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
-    """The grid so far: ``v, u, re, im, hits``, in multiples of ``unit`` if given. Output mode update gives the cells that a batch changed, complete gives all."""
-    located = with_support(locate(samples, grid), support, grid)
+    """The grid so far: ``v, u, re, im, hits``, in multiples of ``unit`` if given. Output mode update gives the cells that a batch changed, complete gives all.
+
+    Samples of a batch are dealt to all cores, gridded by the ``partial`` engine there, and only touched cells reach the
+    state. With a kernel that is too large for it footprints are joined.
+    """
+    names = ["uu", "vv", "ww", "re", "im", "weight"]
+    dealt = samples.select(*names).dropna().repartition(2 * samples.sparkSession.sparkContext.defaultParallelism)
+    located = with_support(locate(dealt, grid), support, grid)
+    cells = kernel.select("w", "y", "x", "re", "im").limit(BROADCAST_CELLS + 1).toPandas()
+    if len(cells) <= BROADCAST_CELLS:
+        parts = partial_grids(located, cells, grid, unit)
+        return parts.groupBy("v", "u").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("hits").alias("hits"))
     rows = contributions(located, kernel, grid)
     return rows.groupBy("v", "u").agg(F.sum(in_units(F.col("add_re"), unit)).alias("re"), F.sum(in_units(F.col("add_im"), unit)).alias("im"), F.count("*").alias("hits"))
 

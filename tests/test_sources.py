@@ -63,7 +63,7 @@ def test_fits_binary_table(spark, tmp_path):
     head |= {"TNULL2": -99, "TZERO3": 32768}
     (tmp_path / "t.fits").write_bytes(fits.encode({"BITPIX": 8, "NAXIS": 0}) + fits.encode(head, rows.tobytes() + heap, primary=False))
     df = fits.read_table(spark, str(tmp_path / "t.fits"))
-    assert dict(df.dtypes) == {"_row": "bigint", "t": "double", "n": "smallint", "u": "bigint", "v": "array<float>", "s": "string", "f": "boolean", "b": "string", "p": "array<int>", "c": "struct<re:double,im:double>"}
+    assert dict(df.dtypes) == {"_row": "bigint", "t": "double", "n": "smallint", "u": "bigint", "v": "array<float>", "s": "string", "f": "boolean", "b": "string", "p": "array<int>", "c": "struct<re:double,im:double>", "_problem": "string"}
     got = df.orderBy("_row").collect()
     assert [r.t for r in got] == [1.5, None, 3.0] and [r.n for r in got] == [1, None, 3] and [r.u for r in got] == [0, 32768, 32769]
     assert got[1].v == [3.0, 4.0, 5.0] and [r.s for r in got] == ["ab", "", "hello"] and [r.f for r in got] == [True, False, None]
