@@ -42,7 +42,8 @@ def frequent(rows: DataFrame, item: str, counters: int = COUNTERS, merged: int =
     """Rows ``<item>``: the candidates of a Misra-Gries summary, at most ``counters`` of them."""
     parts = rows.select(item, F.floor(F.spark_partition_id() / merged).alias("part"))
     first = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(`{item}`, {counters})").alias("summary"))
-    whole = first.agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
+    # Grouped, though there is one group: summaries of partitions without rows can't be combined.
+    whole = first.groupBy(F.floor(F.col("part") / 2**40)).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {counters})")).alias("found"))
     return found.select(F.col("found.item").alias(item))
 
@@ -57,7 +58,7 @@ def _answers(digests: DataFrame, counters: int, heavy_parts: int) -> DataFrame:
     """``digests`` with ``first`` (unnamed, id, row: the row that stays) and ``size`` of each row's group."""
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
     total = digests.count()
-    candidates = frequent(digests, "item", counters) if total else digests.select("item")  # there is no summary of no rows
+    candidates = frequent(digests, "item", counters)
     met = digests.join(F.broadcast(candidates), "item", "left_semi")
     verified = met.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("size"))
     winners = materialize(verified.where((F.col("size") > 1) & (F.col("size") * heavy_parts > total)), "winners")

@@ -54,3 +54,15 @@ def test_no_python_and_no_rows(spark):
 def test_frequent_items_are_candidates(spark):
     df = spark.range(20_000).selectExpr("case when id % 3 = 0 then 7L when id % 50 = 1 then 9L else id end as item").repartition(9)
     assert {7, 9} <= {r.item for r in exact_dup.frequent(df, "item", 256, merged=2).collect()}
+
+
+def test_more_partitions_than_summaries(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
+        assert exact_dup.exact_duplicates(df).where("kept").count() == exact_dup.deduplicate(df).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
