@@ -25,9 +25,17 @@ def angular_separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) ->
     return F.degrees(2 * F.atan2(F.sqrt(a), F.sqrt(1 - a)))
 
 
+#: Projections about a point, whose maps turn with the native longitude of the celestial pole.
+ABOUT_A_POINT = ("SIN", "TAN", "ARC", "STG")
+
+
 @dataclass(frozen=True)
 class Projection:
-    """Reference sky position and pixel, pixel size, rotation (all degrees) and kind."""
+    """Reference sky position and pixel, pixel size, rotation (all degrees) and kind.
+
+    ``matrix`` (degrees a pixel, row by row) stands for sizes and rotation where it is given, and may be skewed.
+    ``pole`` is the native longitude of the celestial pole; other than 180 only for projections about a point.
+    """
 
     ra: float
     dec: float
@@ -37,32 +45,70 @@ class Projection:
     y_step: float = 1.0
     rotation: float = 0.0
     kind: str = "TAN"
+    matrix: tuple[float, float, float, float] | None = None
+    pole: float = 180.0
 
     def __post_init__(self) -> None:
+        if self.pole % 360 != 180 and self.kind not in ABOUT_A_POINT:
+            raise ValueError(f"{self.kind} with the pole at {self.pole}")
+        a, b, c, d = self._linear()
+        if not a * d - b * c:
+            raise ValueError("pixels have no area")
         if self.kind not in PROJECTIONS:
             raise ValueError(f"unknown projection {self.kind}; known: {', '.join(PROJECTIONS)}")
 
+    def _linear(self) -> tuple[float, float, float, float]:
+        """The matrix from pixels to degrees in the plane of the map, row by row."""
+        c, s = math.cos(math.radians(self.rotation)), math.sin(math.radians(self.rotation))
+        a, b, d, e = self.matrix or (self.x_step * c, -self.y_step * s, self.x_step * s, self.y_step * c)
+        turn = math.radians(180.0 - self.pole)
+        c, s = (1.0, 0.0) if self.pole % 360 == 180 else (math.cos(turn), math.sin(turn))
+        return a * c - d * s, b * c - e * s, d * c + a * s, e * c + b * s
+
     @classmethod
     def from_header(cls, header: Mapping[str, object], first: int = 1, second: int = 2) -> Projection:
-        """From image keywords (CRVAL, CRPIX, CDELT or a CD matrix, CROTA, CTYPE) of two axes; without CTYPE it is CAR."""
-        number = lambda key, default: float(header.get(key, default))
-        kind = str(header.get(f"CTYPE{first}", "")).strip()[-4:]
-        x_step, y_step, rotation = number(f"CDELT{first}", 1.0), number(f"CDELT{second}", 1.0), number(f"CROTA{second}", 0.0)
-        if f"CD{first}_{first}" in header:
-            cd = [[number(f"CD{i}_{j}", 0.0) for j in (first, second)] for i in (first, second)]
-            sign = 1.0 if cd[0][0] * cd[1][1] - cd[0][1] * cd[1][0] >= 0 else -1.0
-            x_step, y_step = sign * math.hypot(cd[0][0], cd[1][0]), math.hypot(cd[0][1], cd[1][1])
-            rotation = math.degrees(math.atan2(sign * cd[1][0], sign * cd[0][0]))
+        """From image keywords (CRVAL, CRPIX, CDELT with CROTA or a PC matrix, or a CD matrix, CTYPE, LONPOLE) of two axes; without CTYPE it is CAR.
+
+        A declination axis that comes first is taken as the second.
+        """
+        if str(header.get(f"CTYPE{first}", "")).strip().upper()[:4] in ("DEC-", "GLAT", "ELAT"):
+            first, second = second, first
+        names = {"value": "CRVAL{}", "pixel": "CRPIX{}", "step": "CDELT{}", "turn": "CROTA{}", "type": "CTYPE{}", "cd": "CD{}_{}", "pc": "PC{}_{}"}
+        return cls._from_keys(header, names, first, second)
+
+    @classmethod
+    def from_table_header(cls, header: Mapping[str, object], x: str, y: str) -> Projection:
+        """From the keywords of two columns of a table, by their names (TCRVLn, TCRPXn, TCDLTn with TCROTn or a TPn_m matrix, or a TCn_m matrix, TCTYPn)."""
+        columns = {str(v).strip().upper(): int(k[5:]) for k, v in header.items() if k.startswith("TTYPE") and k[5:].isdigit()}
+        names = {"value": "TCRVL{}", "pixel": "TCRPX{}", "step": "TCDLT{}", "turn": "TCROT{}", "type": "TCTYP{}", "cd": "TC{}_{}", "pc": "TP{}_{}"}
+        if lacking := [c for c in (x, y) if c.upper() not in columns]:
+            raise ValueError(f"no columns {lacking}")
+        return cls._from_keys(header, names, columns[x.upper()], columns[y.upper()])
+
+    @classmethod
+    def _from_keys(cls, header: Mapping[str, object], names: Mapping[str, str], first: int, second: int) -> Projection:
+        def number(name: str, *axes: int, default: float = 0.0) -> float:
+            return float(header.get(names[name].format(*axes), default))
+
+        axes = (first, second)
+        steps = [number("step", i, default=1.0) for i in axes]
+        places = [(i, j) for i in axes for j in axes]
+        matrix = None
+        if any(names["cd"].format(*p) in header for p in places):
+            matrix = tuple(number("cd", *p) for p in places)
+        elif any(names["pc"].format(*p) in header for p in places):
+            matrix = tuple(steps[axes.index(i)] * number("pc", i, j, default=float(i == j)) for i, j in places)
+        kind = str(header.get(names["type"].format(first), "")).strip()[-4:]
         return cls(
-            number(f"CRVAL{first}", 0.0), number(f"CRVAL{second}", 0.0), number(f"CRPIX{first}", 0.0), number(f"CRPIX{second}", 0.0),
-            x_step, y_step, rotation, kind[1:] if kind.startswith("-") else "CAR",
+            number("value", first), number("value", second), number("pixel", first), number("pixel", second), *steps, number("turn", second), kind[1:] if kind.startswith("-") else "CAR",
+            matrix, float(header.get("LONPOLE", 180.0)),
         )
 
     def to_sky(self, x: Column, y: Column) -> tuple[Column, Column]:
         """Right ascension in [0, 360) and declination of a pixel."""
-        c, s = math.cos(math.radians(self.rotation)), math.sin(math.radians(self.rotation))
-        dx, dy = (x - self.x_pixel) * self.x_step, (y - self.y_pixel) * self.y_step
-        el, em = F.radians(dx * c - dy * s), F.radians(dy * c + dx * s)
+        a, b, c, d = self._linear()
+        dx, dy = x - self.x_pixel, y - self.y_pixel
+        el, em = F.radians(dx * a + dy * b), F.radians(dx * c + dy * d)
         r2 = el * el + em * em
         ra0, d0 = math.radians(self.ra), math.radians(self.dec)
         s0, c0 = math.sin(d0), math.cos(d0)
@@ -147,8 +193,9 @@ class Projection:
                 el, em = 2 * cd * F.sin(da / 2) / w, sd / w - s0 / math.sqrt((1 + c0) / 2)
             case "STG":
                 inside, el, em = inside & (ct > -1), F.try_divide(2 * across, 1 + ct), F.try_divide(2 * along, 1 + ct)
-        c, s = math.cos(math.radians(self.rotation)), math.sin(math.radians(self.rotation))
+        a, b, c, d = self._linear()
+        area = a * d - b * c
         dx, dy = F.degrees(el), F.degrees(em)
-        x, y = (dx * c + dy * s) / self.x_step + self.x_pixel, (dy * c - dx * s) / self.y_step + self.y_pixel
+        x, y = dx * (d / area) - dy * (b / area) + self.x_pixel, dy * (a / area) - dx * (c / area) + self.y_pixel
         good = inside & el.isNotNull() & em.isNotNull()
         return F.when(good, null_if_nan(x)), F.when(good, null_if_nan(y))

@@ -122,7 +122,16 @@ def zip_complex(real: DataFrame, imaginary: DataFrame) -> DataFrame:
 def compact_kernel(kernel: DataFrame, support: DataFrame, oversample: int) -> DataFrame:
     """The kernel cells that a plane's support can reach."""
     reach = F.col("support") * oversample + oversample // 2
-    return kernel.join(F.broadcast(support), "w").where((F.col("y") <= reach) & (F.col("x") <= reach)).drop("support")
+    planes = support.groupBy("w").agg(F.max("support").alias("support"))
+    return kernel.join(planes, "w").where((F.col("y") <= reach) & (F.col("x") <= reach)).drop("support")
+
+
+def mirror_differences(kernel: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``w, y, x, error`` of kernel cells that differ from their mirror on the diagonal; a kernel that holds one quadrant is to be the same in both directions."""
+    other = kernel.select("w", F.col("y").alias("x"), F.col("x").alias("y"), F.col("re").alias("o_re"), F.col("im").alias("o_im"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    error = F.greatest(F.abs(zero("re") - zero("o_re")), F.abs(zero("im") - zero("o_im")))
+    return kernel.join(other, ["w", "y", "x"], "full").select("w", "y", "x", error.alias("error")).where(F.col("error") > tolerance)
 
 
 def footprints(supported: DataFrame, grid: Grid) -> DataFrame:
@@ -316,6 +325,17 @@ def tiles(supported: DataFrame, grid: Grid, tile_u: int = 32, tile_v: int = 16,
     return rows.withColumn("pv", F.explode(F.sequence(first(F.col("gv"), v0, tile_v), last(F.col("gv"), v0, tile_v)))).withColumns({"pu": F.col("pu").cast("int"), "pv": F.col("pv").cast("int")})
 
 
+def tiles_in_box(supported: DataFrame, grid: Grid, box: tuple[int, int, int, int], tile_u: int = 32, tile_v: int = 16) -> DataFrame:
+    """As ``tiles``, for the tiles of a ``tile_box`` (u0, v0, n_u, n_v), whose first is (0, 0); a sample whose footprint also lies outside of the box has one more row, in the bucket (-1, -1)."""
+    u0, v0, n_u, n_v = box
+    met = tiles(supported, grid, tile_u, tile_v, u0, v0)
+    within = F.col("pu").between(0, n_u - 1) & F.col("pv").between(0, n_v - 1)
+    s = F.col("support")
+    beyond = (F.col("gu") - s < u0) | (F.col("gu") + s >= u0 + n_u * tile_u) | (F.col("gv") - s < v0) | (F.col("gv") + s >= v0 + n_v * tile_v)
+    rest = supported.where(inside(grid) & beyond).withColumns({"pu": F.lit(-1), "pv": F.lit(-1)})
+    return met.where(within).unionByName(rest)
+
+
 def tile_counts(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("pu", "pv").agg(F.count("*").alias("n"))
 
@@ -352,9 +372,23 @@ def baselines(stations: DataFrame, id_col: str = "station") -> DataFrame:
     return stations.select(F.col(id_col).alias("a")).join(stations.select(F.col(id_col).alias("b")), F.col("a") < F.col("b"))
 
 
-def dirty_image(grid_cells: DataFrame, grid: Grid) -> np.ndarray:
-    """The image of a grid by inverse Fourier transform; for grids that one machine holds."""
-    cells = grid_cells.select("v", "u", "re", "im").toPandas()
-    dense = np.zeros((grid.size, grid.size), complex)
-    dense[cells["v"], cells["u"]] = cells["re"] + 1j * cells["im"]
-    return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(dense))).real
+def dirty_image(grid_cells: DataFrame, grid: Grid) -> DataFrame:
+    """``y, x, value``: the image of a grid by inverse Fourier transform, line by line along u and then along v, each line in a task of its own."""
+    size = grid.size
+
+    def transformed(line: np.ndarray) -> np.ndarray:
+        return np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(line)))
+
+    def along_u(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(size, complex)
+        line[cells["u"]] = cells["re"] + 1j * cells["im"]
+        line = transformed(line)
+        return pd.DataFrame({"v": np.full(size, key[0]), "x": np.arange(size), "re": line.real, "im": line.imag})
+
+    def along_v(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros(size, complex)
+        line[cells["v"]] = cells["re"] + 1j * cells["im"]
+        return pd.DataFrame({"y": np.arange(size), "x": np.full(size, key[0]), "value": transformed(line).real})
+
+    lines = grid_cells.select("v", "u", "re", "im").groupBy("v").applyInPandas(along_u, "v int, x int, re double, im double")
+    return lines.groupBy("x").applyInPandas(along_v, "y int, x int, value double")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fringe.session import checkpointed
+from fringe.session import checkpointed, fresh
 
 
 def members(edges: DataFrame, group_id=None) -> DataFrame:
@@ -81,3 +81,42 @@ def remove_group(edges: DataFrame, group_id, recursive: bool = False) -> DataFra
 def broken_links(edges: DataFrame, tables: DataFrame, id_col: str = "table_id") -> DataFrame:
     """Edges whose member isn't there."""
     return edges.join(tables.select(F.col(id_col).alias("member_id")).distinct(), "member_id", "left_anti")
+
+
+def resolved(location: Column, group_location: Column) -> Column:
+    """Where a member is: in the group's own file without a location, beside it with a relative one, ``.`` and ``..`` taken out."""
+    absolute = location.rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?/")
+    beside = F.concat(F.regexp_replace(group_location, "[^/]*$", ""), location)
+    path = F.when(F.coalesce(location, F.lit("")) == "", group_location).when(absolute, location).otherwise(beside)
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda kept, x: F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x))))
+    return F.array_join(steps, "/")
+
+
+def find_members(members_: DataFrame, tables: DataFrame, table_id: str = "table_id") -> DataFrame:
+    """``members_`` with ``table_id`` and ``matched_by``, the table that each refers to: ``name``, ``position`` or null.
+
+    A member (group_location, member_location, type, name, version, position, and columns of its own) refers to a
+    table (table_id, location, type, name, version, position) in the file of its resolved location: by type and name, in any
+    case, and version (1 where there is none), of several the one at its position, else the first; what isn't found by name
+    is by position, of its type if it has one. Each table is matched once in a group, by its first member row in the order of
+    position, of the others none. Both steps are equi-joins, so a file of many tables and many members makes no pairs of all.
+    """
+    m_id, place, kind, name, version, at, found, first = fresh([*members_.columns, *tables.columns, "matched_by"], "member_row", "m_place", "m_kind", "m_name", "m_version", "m_at", "found", "first")
+    text = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    asked = members_.withColumns({m_id: F.monotonically_increasing_id(), place: resolved(F.col("member_location"), F.col("group_location")), kind: text("type"), name: text("name"), version: F.coalesce("version", F.lit(1)), at: F.col("position")})
+    asked = checkpointed(asked)  # row numbers must not be drawn again
+    there = tables.select(F.col(table_id).alias(found), resolved(F.col("location"), F.col("location")).alias(place), text("type").alias(kind), text("name").alias(name), F.coalesce("version", F.lit(1)).alias(version), F.col("position").alias(at))
+    nearest = lambda: F.min_by(found, F.struct((F.coalesce(F.col("asked_at") != F.col(at), F.lit(True))).alias("elsewhere"), at, found)).alias(found)
+    slim = asked.select(m_id, place, kind, name, version, F.col(at).alias("asked_at"))
+    by_name = slim.where(F.col(name) != "").join(there, [place, kind, name, version]).groupBy(m_id).agg(nearest())
+    rest = slim.join(by_name, m_id, "left_anti").withColumnRenamed(kind, "asked_kind")
+    by_position = rest.join(there, (rest[place] == there[place]) & (F.col("asked_at") == there[at]) & ((F.col("asked_kind") == "") | (F.col("asked_kind") == there[kind])))
+    by_position = by_position.groupBy(m_id).agg(F.min(found).alias(found))
+    hits = by_name.withColumn("matched_by", F.lit("name")).unionByName(by_position.withColumn("matched_by", F.lit("position")))
+    met = asked.join(hits, m_id, "left")
+    chosen = met.where(F.col(found).isNotNull()).groupBy("group_location", found).agg(F.min(F.struct((F.col("matched_by") != "name").alias("later"), F.col(at), F.col(m_id))).getField(m_id).alias(first))
+    chosen = chosen.select(F.col(first).alias(m_id), F.lit(True).alias(first))
+    once = met.join(chosen, m_id, "left")
+    keep = F.coalesce(F.col(first), F.lit(False))
+    return once.select(*[F.col(c) for c in members_.columns], F.when(keep, F.col(found)).alias(table_id), F.when(keep, F.col("matched_by")).alias("matched_by"))

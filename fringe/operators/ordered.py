@@ -9,13 +9,18 @@ Rows that are equal in the order follow one another by a hash of all their colum
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fringe.session import checkpointed, fresh
 
@@ -127,3 +132,86 @@ def row_offset(rows: DataFrame, column: str, offset: int, order: str | Sequence[
     other = numbered.select((F.col(row) - offset).alias(other_row), F.col(column).alias(value))
     met = numbered.join(other, F.col(row) == F.col(other_row), "left")
     return met.select(*[F.col(c) for c in rows.columns if c != alias], F.col(value).alias(alias))
+
+
+@dataclass(frozen=True)
+class Carried:
+    """State that goes from chunk to chunk: of no rows, of a chunk's rows alone, and of two stretches one behind the other."""
+
+    empty: Any
+    of_chunk: Callable[[pd.DataFrame], Any]
+    merge: Callable[[Any, Any], Any]
+
+
+def work_in_chunks(
+    rows: DataFrame, order: str | Sequence[str], work: Callable[[pd.DataFrame, int, int, Any], tuple[pd.DataFrame, bool]], schema: str, chunk_rows: int = 10_000, carried: Carried | None = None
+) -> DataFrame:
+    """What ``work`` makes of the rows in chunks of consecutive ones: rows of ``schema``, up to the chunk in which it asks to stop.
+
+    ``work(chunk, first, total, state)`` gets a chunk's rows in order, the number (from 0) of its first row in the whole table,
+    the number of all rows, and the state of all rows before it; it gives its result and whether to stop. Chunks are
+    worked on in all ranges at once: a range's first number and state are those of the ranges before it, of which one
+    row each reaches the driver, as many as shuffles have partitions. What was made behind the first stop is
+    dropped, so the result is that of a loop from the first row on. Rows that are equal in the order follow one another by a hash.
+    """
+    ranged = _Ranged(rows, order)
+    columns, part = ranged.columns, ranged.part
+    sorted_ = ranged.rows.sortWithinPartitions(part, *ranged.order, ranged.tie)
+
+    def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+        """Each range's rows in chunks of ``chunk_rows``."""
+        held: list[pd.DataFrame] = []
+        size, own = 0, None
+        for frame in frames:
+            for number, rows_ in frame.groupby(part, sort=True):
+                while len(rows_):
+                    if own != number and held:
+                        yield own, pd.concat(held)[columns]
+                        held, size = [], 0
+                    own, take = number, rows_.iloc[: chunk_rows - size]
+                    held, size, rows_ = [*held, take], size + len(take), rows_.iloc[len(take) :]
+                    if size == chunk_rows:
+                        yield own, pd.concat(held)[columns]
+                        held, size = [], 0
+        if held:
+            yield own, pd.concat(held)[columns]
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, list] = {}
+        for number, chunk in chunks(frames):
+            total = totals.setdefault(number, [0, carried.empty if carried else None])
+            total[0] += len(chunk)
+            if carried:
+                total[1] = carried.merge(total[1], carried.of_chunk(chunk))
+        yield pd.DataFrame([(number, n, pickle.dumps(state)) for number, (n, state) in totals.items()], columns=["part", "n", "state"])
+
+    starts: dict[int, tuple[int, Any]] = {}
+    total, state = 0, carried.empty if carried else None
+    for r in sorted(sorted_.mapInPandas(summed, "part int, n long, state binary").collect(), key=lambda r: r.part):
+        starts[r.part] = (total, state)
+        total += r.n
+        if carried:
+            state = carried.merge(state, pickle.loads(r.state))
+    sent = rows.sparkSession.sparkContext.broadcast((starts, total))
+    first_, stop_ = fresh([f.name for f in StructType.fromDDL(schema)], "chunk_first", "chunk_stop")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[int, tuple[int, Any]] = {}
+        begun, all_rows = sent.value
+        stopped: set[int] = set()
+        for number, chunk in chunks(frames):
+            first, before = at.get(number, begun[number])
+            if number in stopped:
+                continue
+            out, stop = work(chunk, first, all_rows, before)
+            if stop:
+                stopped.add(number)
+            yield out.assign(**{first_: first, stop_: False})
+            if stop:
+                yield pd.DataFrame({first_: [first], stop_: [True]}).reindex(columns=[*out.columns, first_, stop_])
+            at[number] = (first + len(chunk), carried.merge(before, carried.of_chunk(chunk)) if carried else None)
+
+    made = checkpointed(sorted_.mapInPandas(run, f"{schema}, {first_} long, {stop_} boolean"))
+    last = made.where(F.col(stop_)).agg(F.min(first_)).first()[0]
+    kept = made.where(~F.col(stop_))
+    return (kept if last is None else kept.where(F.col(first_) <= last)).drop(first_, stop_)

@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fringe.functions import bits, nulls, sky, strings, vectors
+from fringe.functions import bits, masked_bits, nulls, sky, strings, vectors
 from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, quantiles, regions, rows
 from fringe.sources import container, container_source, fits, fits_source
 from fringe.streaming import blocks
@@ -797,12 +797,19 @@ def grid_bucket_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples gathered by tile: within a partition each tile is one run of rows."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows_ = pd.concat([b[["pu", "pv"]] for b in batches] or [pd.DataFrame({"pu": [], "pv": []})])
-        starts = (rows_ != rows_.shift()).any(axis=1).astype("int64")
-        yield rows_.assign(starts=starts, n=1).groupby(["pu", "pv"], as_index=False).agg(n=("n", "sum"), runs=("starts", "sum"))
+        last = None  # of the batch before
+        for rows_ in batches:
+            pairs = rows_[["pu", "pv"]]
+            if not len(pairs):
+                continue
+            starts = (pairs != pairs.shift()).any(axis=1).astype("int64")
+            starts.iloc[0] = int(tuple(pairs.iloc[0]) != last)
+            last = tuple(pairs.iloc[-1])
+            yield pairs.assign(runs=starts, n=1).groupby(["pu", "pv"], as_index=False).agg(n=("n", "sum"), runs=("runs", "sum"))
 
     sorted_ = gridding.bucket_by_tile(gridding.tiles(supported(spark, sf_dir), GRID)).select("pu", "pv").mapInPandas(runs, "pu int, pv int, n long, runs long")
-    return sorted_.groupBy("pu", "pv").agg(F.sum("n").alias("n"), F.max("runs").cast("int").alias("runs"))
+    by_task = sorted_.withColumn("task", F.spark_partition_id()).groupBy("pu", "pv", "task").agg(F.sum("n").alias("n"), F.sum("runs").alias("runs"))
+    return by_task.groupBy("pu", "pv").agg(F.sum("n").alias("n"), F.max("runs").cast("int").alias("runs"))
 
 
 _TOP = "select 100 + n_regionkey as group_id, n_nationkey as member_id from nation"
@@ -860,3 +867,147 @@ def image_of_known_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pixels = fits.image_of(table(spark, sf_dir, "embeddings").mapInPandas(encode, "path string, content binary"))
     return pixels.groupBy((F.col("path").cast("long") % 10).alias("y"), "x").agg((F.round(F.sum("value"), 5) + 0.0).alias("total"), F.count("*").alias("n"))
+
+
+_SAMPLE_BYTES = """t as (select p_brand, p_partkey % 4 as place, case when p_partkey % 10 = 0 then upper(p_name) else p_name end as t from part),
+b as (select p_brand, ascii(substr(t, k::int, 1)) * case (place + k - 1) % 4 when 0 then 16777216 when 1 then 65536 when 2 then 256 else 1 end as v from t, range(1, 200) g(k) where k <= length(t)),
+s as (select p_brand, sum(v)::hugeint as s from b group by 1)"""
+
+
+@query(f"with {_SAMPLE_BYTES} select p_brand, (s % 4294967295)::bigint as checksum from s")
+def checksum_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of all names of a brand, at odd places, after a tenth of them has changed: from the changes alone, in SQL from everything."""
+    names = table(spark, sf_dir, "part").select("p_brand", (F.col("p_partkey") % 4).alias("place"), "p_partkey", F.col("p_name").cast("binary").alias("old"))
+    changes = names.where("p_partkey % 10 = 0").withColumn("new", F.upper(F.col("old").cast("string")).cast("binary"))
+    sums = checksum.checksum(names, "old", ["p_brand"], "place")
+    return checksum.updated(sums, changes, ["p_brand"]).select("p_brand", (F.col("checksum") % checksum.ONES).alias("checksum"))
+
+
+@query("select p_partkey, true as ok, p_partkey % 2 <> 0 as whole from part")
+def checksum_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that carry their checksum's text verify, and don't with one bit flipped, which every second has."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("'"), F.lit("0" * 16), F.lit("' "), "p_name").alias("text"))
+    p = p.withColumn("sum", checksum.block_sum(F.col("text").cast("binary"), 3))
+    signed = p.withColumn("sign", checksum.to_text(F.col("sum")))
+    turned = F.concat(F.substring("sign", 2, 15), F.substring("sign", 1, 1))
+    signed = signed.withColumn("text", F.concat(F.lit("'"), turned, F.expr("substring(text, 18)")))
+    flipped = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.expr("substring(text, 1, 20)"), F.lit("~"), F.expr("substring(text, 22)"))).otherwise(F.col("text"))
+    good = lambda text: checksum.block_sum(text.cast("binary"), 3) % checksum.ONES == 0
+    return signed.select("p_partkey", good(F.col("text")).alias("ok"), good(flipped).alias("whole"))
+
+
+@query("""with a as (select event_id, replace(lpad(bin(event_id * 7919), 66, '0'), '11', '1x') as a, replace(lpad(bin(user_id * 37 + 5), 61, '0'), '101', 'x0x') as b from events),
+p as (select event_id, a, b, list_transform(range(1, 67), lambda i: substr(a, i::int, 1) || substr(lpad(b, 66, '0'), i::int, 1)) as p from a),
+k as (select *, list_filter(p, lambda q: not contains(q, 'x')) as known from p)
+select event_id, array_to_string(list_transform(p, lambda q: case when contains(q, 'x') then 'x' when q = '11' then '1' else '0' end), '') as both, array_to_string(list_transform(p, lambda q: case when contains(q, '1') then '1' when contains(q, '0') then '0' else 'x' end), '') as either,
+  translate(a, '01', '10') as inverse, a || b as joined, not (list_contains(p, '01') or list_contains(p, '10')) as equal, array_to_string(list_transform(known, lambda q: q[1]), '') < array_to_string(list_transform(known, lambda q: q[2]), '') as less,
+  array_to_string(list_transform(known, lambda q: q[1]), '') >= array_to_string(list_transform(known, lambda q: q[2]), '') as at_least, (length(a) - length(replace(a, '1', '')))::int as ones from k""")
+def bit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit strings of 66 and 61 places, some of them unknown, under every operator."""
+    e = table(spark, sf_dir, "events")
+    texts = e.select("event_id", F.regexp_replace(F.lpad(F.bin(F.col("event_id") * 7919), 66, "0"), "11", "1x").alias("a"), F.regexp_replace(F.lpad(F.bin(F.col("user_id") * 37 + 5), 61, "0"), "101", "x0x").alias("b"))
+    p = texts.withColumns({"a": masked_bits.parse(F.col("a")), "b": masked_bits.parse(F.col("b"))})
+    a, b = F.col("a"), F.col("b")
+    return p.select(
+        "event_id", masked_bits.both(a, b).alias("both"), masked_bits.either(a, b).alias("either"), masked_bits.inverse(a).alias("inverse"), masked_bits.join(a, b).alias("joined"),
+        masked_bits.equal(a, b).alias("equal"), masked_bits.less(a, b).alias("less"), masked_bits.less_or_equal(b, a).alias("at_least"), masked_bits.count_ones(a).alias("ones"),
+    )
+
+
+_HDUS = """h as (select c_custkey as table_id, '/n/' || c_nationkey || '.fits' as location, case when c_custkey % 3 = 0 then 'IMAGE' else 'BINTABLE' end as type, 'T' || (c_custkey % 20) as name, 1 + c_custkey % 2 as version, cast(row_number() over (partition by c_nationkey order by c_custkey) as int) as position from customer)"""
+
+
+@query(f"""with {_HDUS}, m as (select s_suppkey, '/n/' || s_nationkey || '.fits' as g, case when s_suppkey % 4 = 0 then './' || (s_suppkey % 25) || '.fits' when s_suppkey % 4 = 1 then '../n/' || (s_suppkey % 25) || '.fits' end as l,
+  case when s_suppkey % 2 = 0 then 'bintable' else 'image' end as type, case when s_suppkey % 5 <> 0 then 't' || (s_suppkey % 23) end as name, cast(1 + s_suppkey % 30 as int) as position from supplier),
+r as (select *, case when s_suppkey % 4 <= 1 then '/n/' || (s_suppkey % 25) || '.fits' else g end as location from m),
+n as (select s_suppkey, table_id, row_number() over (partition by s_suppkey order by h.position <> r.position, h.position, table_id) as nth from r join h on h.location = r.location and upper(r.type) = h.type and upper(r.name) = h.name and h.version = 1),
+b as (select s_suppkey, table_id, 'name' as matched_by from n where nth = 1 union all select s_suppkey, min(table_id), 'position' from r join h on h.location = r.location and upper(r.type) = h.type and h.position = r.position where s_suppkey not in (select s_suppkey from n) group by 1),
+o as (select b.*, row_number() over (partition by r.g, table_id order by matched_by <> 'name', r.position, s_suppkey) as nth from b join r using (s_suppkey))
+select r.s_suppkey, o.table_id, o.matched_by from r left join o on r.s_suppkey = o.s_suppkey and o.nth = 1""")
+def group_member_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups found by reference: ambiguous names, moved tables, relative locations, missing ones."""
+    c = table(spark, sf_dir, "customer")
+    location = lambda n: F.concat(F.lit("/n/"), n.cast("string"), F.lit(".fits"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    tables = c.select(F.col("c_custkey").alias("table_id"), location(F.col("c_nationkey")).alias("location"), F.when(F.col("c_custkey") % 3 == 0, "IMAGE").otherwise("BINTABLE").alias("type"),
+                      F.concat(F.lit("T"), F.col("c_custkey") % 20).alias("name"), (1 + F.col("c_custkey") % 2).cast("int").alias("version"), place.alias("position"))
+    k = F.col("s_suppkey")
+    file = F.concat((k % 25).cast("string"), F.lit(".fits"))
+    asked = table(spark, sf_dir, "supplier").repartition(1).sortWithinPartitions("s_suppkey").select(
+        "s_suppkey", location(F.col("s_nationkey")).alias("group_location"), F.when(k % 4 == 0, F.concat(F.lit("./"), file)).when(k % 4 == 1, F.concat(F.lit("../n/"), file)).alias("member_location"),
+        F.when(k % 2 == 0, "bintable").otherwise("image").alias("type"), F.when(k % 5 != 0, F.concat(F.lit("t"), k % 23)).alias("name"), F.lit(1).alias("version"), (1 + k % 30).cast("int").alias("position"),
+    )
+    return groups.find_members(asked, tables).select("s_suppkey", "table_id", "matched_by")
+
+
+@query("""with a as (select event_id, user_id, cast(sum(user_id) over (order by event_id) as bigint) as upto, row_number() over (order by event_id) - 1 as nth, (select sum(user_id) from events) as whole, (select count(*) from events) as total from events)
+select event_id, upto, nth, total from a where upto - user_id <= whole / 2""")
+def work_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work function over chunks of 500 rows with a running sum as its state, which stops where half of the whole is passed."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    half = e.agg(F.sum("user_id")).first()[0] / 2
+
+    def work(chunk: pd.DataFrame, first: int, total: int, before: int) -> tuple[pd.DataFrame, bool]:
+        upto = before + chunk["user_id"].cumsum()
+        wanted = upto - chunk["user_id"] <= half
+        return pd.DataFrame({"event_id": chunk["event_id"], "upto": upto, "nth": first + np.arange(len(chunk)), "total": total})[wanted], not wanted.all()
+
+    total_of = ordered.Carried(0, lambda chunk: int(chunk["user_id"].sum()), lambda a, b: a + b)
+    return ordered.work_in_chunks(e, "event_id", work, "event_id long, upto long, nth long, total long", 500, total_of)
+
+
+_PLANE = f"a as ({_SKY_POINTS}), b as (select p_partkey, radians((x - 1.5e0) * -0.1e0) as el, radians((y + 2.5e0) * 0.1e0) as em, radians(40.0e0) as d0 from a)"
+
+
+def _by_direction(name: str, distance: str) -> str:
+    """SQL of a sky position by the direction at an angular distance from the middle."""
+    return f"""{name} as (select *, sin({distance}) * el / greatest(sqrt(el * el + em * em), 1e-30) as tx, sin({distance}) * em / greatest(sqrt(el * el + em * em), 1e-30) as tn, cos({distance}) as tr from b)"""
+
+
+@query(f"""with {_PLANE}, {_by_direction("arc", "sqrt(el * el + em * em)")}, {_by_direction("stg", "2 * atan(sqrt(el * el + em * em) / 2)")},
+other as (select p_partkey, d0 + em as gls_dec, el / cos(d0 + em) as gls_ra, asin(tanh(em + atanh(sin(d0)))) as mer_dec, el as mer_ra, cos(d0) - em * sin(d0) as nx, el as ny from b)
+select arc.p_partkey, round(fmod(degrees(atan2(arc.tx, arc.tr * cos(arc.d0) - arc.tn * sin(arc.d0))) + 480, 360), 8) as arc_ra, round(degrees(asin(arc.tr * sin(arc.d0) + arc.tn * cos(arc.d0))), 8) as arc_dec,
+  round(fmod(degrees(atan2(stg.tx, stg.tr * cos(stg.d0) - stg.tn * sin(stg.d0))) + 480, 360), 8) as stg_ra, round(degrees(asin(stg.tr * sin(stg.d0) + stg.tn * cos(stg.d0))), 8) as stg_dec,
+  round(fmod(degrees(gls_ra) + 480, 360), 8) as gls_ra, round(degrees(gls_dec), 8) as gls_dec, round(fmod(degrees(mer_ra) + 480, 360), 8) as mer_ra, round(degrees(mer_dec), 8) as mer_dec,
+  round(fmod(degrees(atan2(ny, nx)) + 480, 360), 8) as ncp_ra, round(degrees(acos(sqrt(nx * nx + ny * ny))), 8) as ncp_dec
+from arc join stg using (p_partkey) join other using (p_partkey)""")
+def wcs_more_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sky positions by five further projections, in SQL by directions and closed forms of another kind."""
+    a = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25.0).alias("x"), (F.col("p_retailprice") / 100.0).alias("y"))
+    names = []
+    for kind in ("ARC", "STG", "GLS", "MER", "NCP"):
+        ra, dec = sky.Projection(120.0, 40.0, 1.5, -2.5, -0.1, 0.1, 0.0, kind).to_sky(F.col("x"), F.col("y"))
+        names += [F.round(ra, 8).alias(f"{kind.lower()}_ra"), F.round(dec, 8).alias(f"{kind.lower()}_dec")]
+    return a.select("p_partkey", *names)
+
+
+@query(f"""with a as ({_SKY_POINTS}), b as (select p_partkey, x - 1.5e0 as dx, y + 2.5e0 as dy from a), c as (select p_partkey, radians(-0.1e0 * dx + 0.02e0 * dy) as p, radians(0.03e0 * dx + 0.12e0 * dy) as q from b),
+t as (select p_partkey, p * cos(radians(30e0)) - q * sin(radians(30e0)) as el, q * cos(radians(30e0)) + p * sin(radians(30e0)) as em from c),
+d as (select p_partkey, el / sqrt(1 + el * el + em * em) as tx, (cos(radians(40e0)) - em * sin(radians(40e0))) / sqrt(1 + el * el + em * em) as ty, (sin(radians(40e0)) + em * cos(radians(40e0))) / sqrt(1 + el * el + em * em) as tz from t),
+e as (select p_partkey, (el_ait - 0) as l, em_ait as m from (select p_partkey, radians(dx * -0.1e0) as el_ait, radians(dy * 0.1e0) as em_ait from b))
+select d.p_partkey, round(fmod(degrees(atan2(tx, ty)) + 480, 360), 8) as ra, round(degrees(asin(tz)), 8) as dec, round(fmod(degrees(2 * atan(l * sqrt(1 - l * l / 16 - m * m / 4) / (2 * (2 * (1 - l * l / 16 - m * m / 4) - 1)))) + 480, 360), 8) as ait_ra,
+  round(degrees(asin(m * sqrt(1 - l * l / 16 - m * m / 4))), 8) as ait_dec from d join e using (p_partkey)""")
+def wcs_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of two columns of a table by a skewed matrix with the pole turned, as its header says, and by the ninth projection."""
+    a = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25.0).alias("x"), (F.col("p_retailprice") / 100.0).alias("y"))
+    keys = {"TTYPE1": "T", "TTYPE2": "X", "TTYPE3": "Y", "TCRVL2": 120.0, "TCRVL3": 40.0, "TCRPX2": 1.5, "TCRPX3": -2.5, "TC2_2": -0.1, "TC2_3": 0.02, "TC3_2": 0.03, "TC3_3": 0.12, "TCTYP2": "RA---TAN", "LONPOLE": 150.0}
+    ra, dec = sky.Projection.from_table_header(keys, "x", "y").to_sky(F.col("x"), F.col("y"))
+    ait_ra, ait_dec = sky.Projection(120.0, 0.0, 1.5, -2.5, -0.1, 0.1, 0.0, "AIT").to_sky(F.col("x"), F.col("y"))
+    return a.select("p_partkey", F.round(ra, 8).alias("ra"), F.round(dec, 8).alias("dec"), F.round(ait_ra, 8).alias("ait_ra"), F.round(ait_dec, 8).alias("ait_dec"))
+
+
+@query(f"""with {_VIS}, t as (select gu, gv, support, cast(floor((gu - support - 32) / 32.0e0) as int) as u1, cast(ceil((gu + support + 1 - 32) / 32.0e0) as int) - 1 as u2, cast(floor((gv - support - 16) / 16.0e0) as int) as v1, cast(ceil((gv + support + 1 - 16) / 16.0e0) as int) - 1 as v2 from sup where fits),
+met as (select cast(pu as int) as pu, cast(pv as int) as pv from t, range(0, 5) a(pu), range(0, 12) b(pv) where pu between u1 and u2 and pv between v1 and v2 union all select -1, -1 from t where gu - support < 32 or gu + support >= 192 or gv - support < 16 or gv + support >= 208)
+select pu, pv, count(*) as n from met group by 1, 2""")
+def grid_tiles_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by the tiles of a box, and those that also lie outside of it."""
+    return gridding.tile_counts(gridding.tiles_in_box(supported(spark, sf_dir), GRID, (32, 16, 5, 12)))
+
+
+@query(f"""with s as (select p_partkey % 8 as w, p_size % 9 as y, p_partkey % 7 as x, avg(p_size) as re, 0.0e0 as im from part group by 1, 2, 3),
+b as (select coalesce(a.w, b.w) as w, coalesce(a.y, b.x) as y, coalesce(a.x, b.y) as x, greatest(abs(coalesce(a.re, 0) - coalesce(b.re, 0)), 0) as error from s a full join s b on a.w = b.w and a.y = b.x and a.x = b.y)
+select cast(w as int) as w, cast(y as int) as y, cast(x as int) as x, round(error, 9) as error from b where error > 1e-9""")
+def kernel_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a table of kernels that differ from their mirror."""
+    k = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 8).cast("int").alias("w"), (F.col("p_size") % 9).cast("int").alias("y"), (F.col("p_partkey") % 7).cast("int").alias("x")).agg(F.avg("p_size").alias("re"), F.lit(0.0).alias("im"))
+    return gridding.mirror_differences(k).withColumn("error", F.round("error", 9))

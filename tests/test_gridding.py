@@ -107,7 +107,11 @@ def test_tiles_box_and_image(spark):
                 want[pu, pv] = want.get((pu, pv), 0) + 1
     assert {(r.pu, r.pv): r.n for r in gridding.tile_counts(tiled).collect()} == want
     assert gridding.bucket_by_tile(tiled).count() == sum(want.values())
-    assert gridding.dirty_image(gridding.grid_samples(samples, kernel, support, GRID), GRID).shape == (64, 64)
+    cells = gridding.grid_samples(samples, kernel, support, GRID)
+    got, table = gridding.dirty_image(cells, GRID).toPandas(), cells.toPandas()
+    image, dense = np.zeros((64, 64)), np.zeros((64, 64), complex)
+    image[got["y"], got["x"]], dense[table["v"], table["u"]] = got["value"], table["re"] + 1j * table["im"]
+    assert len(got) == 64 * 64 and np.allclose(image, np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(dense))).real)
 
 
 def test_nulls_and_empty(spark):
