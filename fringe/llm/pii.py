@@ -54,17 +54,19 @@ IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:{_GROUP}(?::{_GROUP}){{7}}|(?=[A-Fa-f:]*[0-9]
 COUNTRY_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # A phone number ends where another value begins. North American numbers have ten digits after +1. In others groups may be
 # separated by blanks and then by dots or hyphens, but no blank follows those, and a group after a blank begins no date, IP
-# address, SSN, card or decimal number. From 8 to 15 digits, as many as there are.
+# address, SSN, card or decimal number. From 8 to 15 digits. With eleven a number is whole at the next blank, so that a number that
+# happens to follow neither joins it nor changes its pseudonym; a shorter one takes the groups that follow.
 _OTHER_NUMBER = (
     r"(?![0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])|[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.|-[0-9]{2}-)[0-9]{4}(?![0-9])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"
     r"|[0-9]{4}(?:-[0-9]{4}){3}(?![0-9])|[0-9]{4}(?: [0-9]{4}){3}(?![0-9]| [0-9]{4}(?![0-9./\-]))|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![0-9])|[0-9]{13})"
 )
 _DIGIT = r"[ .\-()]{0,2}[0-9]"
 _DIGITS_MORE = f"(?:{_DIGIT}" * 7 + ")?" * 7  # written out: a look-behind may hold no repeated group
+_WHOLE = rf"(?<!\+{_DIGIT * 11}{f'(?:{_DIGIT}' * 4 + ')?' * 4})"
 _NORTH_AMERICA = r"1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
 _ELSEWHERE = (
     rf"[0-9]{{1,3}}(?:[.\-]?| {_OTHER_NUMBER})(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:[.\-]?| {_OTHER_NUMBER})[0-9]{{2,12}}"
-    rf"(?: {_OTHER_NUMBER}(?![0-9]+(?:[.,/][0-9]|:[0-9A-Fa-f:]))[0-9]{{2,12}}){{0,3}}(?:[.\-][0-9]{{2,12}}){{0,3}}(?<=\+{_DIGIT * 8}{_DIGITS_MORE})"
+    rf"(?:{_WHOLE} {_OTHER_NUMBER}(?![0-9]+(?:[.,/][0-9]|:[0-9A-Fa-f:]))[0-9]{{2,12}}){{0,3}}(?:[.\-][0-9]{{2,12}}){{0,3}}(?<=\+{_DIGIT * 8}{_DIGITS_MORE})"
 )
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])\+(?:{_NORTH_AMERICA}{_NO_WORD_AFTER}|{_ELSEWHERE}{_NO_WORD_AFTER})"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"

@@ -220,3 +220,15 @@ def test_clashing_columns_and_repeated_rows(spark):
     out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, key string, pieces string, new string"), KEY)
     got = out.collect()
     assert out.columns == ["doc_id", "text", "n_found", "kinds"] and len(got) == 3 and len({r.text for r in got}) == 2
+
+
+@pytest.mark.parametrize(
+    "number",
+    ["+49 170 1234567", "+49 170 123 45 67", "+44 7700 900123", "+86 138 1234 5678", "+351 912 345 678", "+91 98765 43210", "+55 11 91234-5678"],
+)
+def test_what_follows_a_phone_number_leaves_it_alone(spark, number):
+    """A number behind it neither joins a whole phone number nor changes its pseudonym."""
+    texts = [number, f"call {number} 12 apples", f"{number} 2024", f"{number} 3 4 5", f"at {number}, 17 times"]
+    out = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "key").orderBy("doc_id").collect()]
+    assert out[0] != number
+    assert out[1:] == [t.replace(number, out[0]) for t in texts[1:]]
