@@ -93,14 +93,17 @@ class Projection:
         axes = (first, second)
         steps = [number("step", i, default=1.0) for i in axes]
         places = [(i, j) for i in axes for j in axes]
-        matrix = None
+        matrix, rotation = None, number("turn", second)
         if any(names["cd"].format(*p) in header for p in places):
-            matrix = tuple(number("cd", *p) for p in places)
+            a, b, c, d = matrix = tuple(number("cd", *p) for p in places)
+            sign = 1.0 if a * d - b * c >= 0 else -1.0  # sizes and rotation of a matrix that isn't skewed
+            steps = [sign * math.hypot(a, c), math.hypot(b, d)]
+            rotation = math.degrees(math.atan2(sign * c, sign * a))
         elif any(names["pc"].format(*p) in header for p in places):
             matrix = tuple(steps[axes.index(i)] * number("pc", i, j, default=float(i == j)) for i, j in places)
         kind = str(header.get(names["type"].format(first), "")).strip()[-4:]
         return cls(
-            number("value", first), number("value", second), number("pixel", first), number("pixel", second), *steps, number("turn", second), kind[1:] if kind.startswith("-") else "CAR",
+            number("value", first), number("value", second), number("pixel", first), number("pixel", second), *steps, rotation, kind[1:] if kind.startswith("-") else "CAR",
             matrix, float(header.get("LONPOLE", 180.0)),
         )
 

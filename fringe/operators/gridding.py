@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,15 +188,15 @@ def grid_samples(samples: DataFrame, kernel: DataFrame, support: DataFrame, grid
 def partial_grids(supported: DataFrame, cells: pd.DataFrame, grid: Grid, unit: float | None = None) -> DataFrame:
     """Cells ``v, u, re, im, hits`` of the partial grids of tasks (or batches), which are still to be summed; also of a stream."""
     kind = "double" if unit is None else "bigint"
+    planes = np.zeros((2, *(cells[["w", "y", "x"]].max().fillna(-1).astype(int) + 1)))
+    planes[:, cells["w"], cells["y"], cells["x"]] = cells[["re", "im"]].to_numpy().T
+    sent = supported.sparkSession.sparkContext.broadcast(planes)  # its size was checked; once to each executor
     needed = supported.where(inside(grid)).select("gu", "gv", "off_u", "off_v", "w", "sign", "re", "im", "weight", "support")
-    return needed.mapInArrow(_partial_grid(cells, grid, unit), f"v int, u int, re {kind}, im {kind}, hits bigint")
+    return needed.mapInArrow(_partial_grid(sent, grid, unit), f"v int, u int, re {kind}, im {kind}, hits bigint")
 
 
-def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
-    """A function from batches of located samples to partial grids; it holds the kernel's cells, whose number was checked."""
-    high = cells[["w", "y", "x"]].max().fillna(-1).astype(int) + 1
-    planes = np.zeros((2, *high))
-    planes[:, cells["w"], cells["y"], cells["x"]] = cells[["re", "im"]].to_numpy().T
+def _partial_grid(sent: Broadcast[np.ndarray], grid: Grid, unit: float | None):
+    """A function from batches of located samples to partial grids, with the kernel's planes (real and imaginary, w, y, x)."""
     step = grid.oversample
 
     kind = float if unit is None else np.int64
@@ -207,6 +208,7 @@ def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
         return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)), pa.array(u.astype(np.int32)), pa.array(re), pa.array(im), pa.array(hits.astype(np.int64))], ["v", "u", "re", "im", "hits"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = sent.value
         if whole:
             all_sums, all_hits = np.zeros((2, grid.size, grid.size), kind), np.zeros((grid.size, grid.size), np.int64)
         for batch in batches:
@@ -227,7 +229,7 @@ def _partial_grid(cells: pd.DataFrame, grid: Grid, unit: float | None):
                 code = (c["off_v"][of].astype(np.int64) * 4 * step + c["off_u"][of]) * 4 + c["sign"][of]
                 _, first, which = np.unique(code, return_index=True, return_inverse=True)
                 y, x = (np.abs(c[k][of][first][:, None] + reach * step) for k in ("off_v", "off_u"))
-                seen = (y[:, :, None] * high["x"] + x[:, None, :]).reshape(len(y), -1)
+                seen = (y[:, :, None] * planes.shape[-1] + x[:, None, :]).reshape(len(y), -1)
                 k_re, k_im = planes[0, w].ravel().take(seen), planes[1, w].ravel().take(seen) * c["sign"][of][first][:, None]
                 footprint = (reach[:, None] * columns + reach[None, :]).ravel()
                 centre = (c["gv"][of].astype(np.int64) - low_v) * columns + c["gu"][of] - low_u

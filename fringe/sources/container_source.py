@@ -72,6 +72,8 @@ class Tag:
 def scan_tags(file: Ranges) -> Iterator[Tag]:
     """The tags of a file, of whose payloads not a byte is read; ``ValueError`` where no tag follows."""
     at, end, number = container.HEADER_BYTES, file.seek(0, 2), 0
+    if 0 < end < container.HEADER_BYTES:
+        raise ValueError(f"a file of {end} bytes holds no header")
     while at + container.TAG_BYTES <= end:
         t, _, g, _, flags, data_type, group, tag, index, block = struct.unpack(container.TAG, file.at(at, container.TAG_BYTES))
         if (t, g) != (ord("T"), ord("G")) or flags & 0x1F or block < 0:

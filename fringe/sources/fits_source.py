@@ -23,14 +23,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
 
 from . import fits
-from .store import Output, Ranges, files_of
+from .store import Output, Ranges, files_of, place_of
 
 SPLIT_BYTES = 64 << 20
 MAX_BYTES = 256 << 20
@@ -371,3 +373,66 @@ def register(spark: SparkSession) -> None:
     for source in (FitsImage, FitsTable):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def _raw_pixels(values: list, unit: fits.Unit) -> bytes:
+    """Pixels as an image stores them: scaled back, nulls as BLANK or NaN, whole numbers rounded."""
+    kind = np.dtype(fits.PIXELS[int(unit.get("BITPIX"))])
+    own = np.array([np.nan if v is None else v for v in values], float)
+    raw = (own - float(unit.get("BZERO", 0.0))) / float(unit.get("BSCALE", 1.0))
+    if kind.kind in "iu":
+        blank = unit.get("BLANK")
+        if np.isnan(own).any() and blank is None:
+            raise ValueError("nulls in an image of whole numbers without BLANK")
+        bounds = np.iinfo(kind)
+        raw = np.where(np.isnan(own), 0 if blank is None else blank, np.round(raw))
+        if ((raw < bounds.min) | (raw > bounds.max)).any():
+            raise ValueError("pixels beyond the image's numbers")
+    return raw.astype(kind).tobytes()
+
+
+def rewrite_planes(spark: SparkSession, planes: DataFrame, hdu: int | str = "image") -> DataFrame:
+    """``path, planes, problem``: files whose planes are replaced by those of ``planes`` (path, plane from 1, values line after line).
+
+    Each file is copied by one task, a piece at a time, with its new planes in place (as many as it is given, which are at most
+    all of its own), and takes the old one's place by a rename when all tasks are done. A file that can't be
+    changed so is left as it is and says why; nothing changes if a task fails. Of several rows for one plane the
+    first by its values counts.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, given in zip(frame["path"], frame["given"], strict=True):
+                new, name, problem = {}, None, None
+                for g in sorted(given, key=lambda g: (g["plane"], str(g["values"])), reverse=True):
+                    new[g["plane"]] = list(g["values"])
+                try:
+                    output = Output(path.rpartition("/")[0], False)
+                    with Ranges(path, path) as file, output.create("") as (name, stream):
+                        unit = fits.choose(fits.scan(file), hdu)
+                        width, height = fits.image_shape(unit)
+                        size, count = width * height * abs(int(unit.get("BITPIX"))) // 8, int(np.prod(unit.axes[2:], dtype=np.int64))
+                        if wrong := [k for k, v in new.items() if not 1 <= k <= count or len(v) != width * height]:
+                            raise ValueError(f"no planes {wrong} of {width} by {height} pixels")
+                        at = 0
+                        for k in sorted(new):
+                            for place in range(at, unit.start + (k - 1) * size, READ_BYTES):
+                                stream.write(file.at(place, min(READ_BYTES, unit.start + (k - 1) * size - place)))
+                            stream.write(_raw_pixels(new[k], unit))
+                            at = unit.start + k * size
+                        end = file.seek(0, 2)
+                        for place in range(at, end, READ_BYTES):
+                            stream.write(file.at(place, min(READ_BYTES, end - place)))
+                except _ERRORS as e:
+                    problem = str(e)
+                    output.abort()
+                yield pd.DataFrame({"path": [path], "planes": [len(new)], "temporary": [None if problem else f"{output.temporary}/{name}"], "problem": [problem]})
+
+    given = planes.groupBy("path").agg(F.collect_list(F.struct("plane", "values")).alias("given"))
+    done = given.mapInPandas(run, "path string, planes int, temporary string, problem string").collect()  # a row for each file
+    for r in done:
+        if r.temporary:
+            system, place = place_of(r.path)
+            system.move(r.temporary, place)
+            system.delete_dir(r.temporary.rpartition("/")[0])
+    return spark.createDataFrame([(r.path, r.planes, r.problem) for r in done], "path string, planes int, problem string")

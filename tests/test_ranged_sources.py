@@ -199,3 +199,19 @@ def test_visibility_problems(spark, tmp_path):
     (tmp_path / "none.vis").write_bytes(b"junk")
     rows = spark.read.format("visibility_blocks").load(str(tmp_path)).collect()
     assert len(rows) == 2 and all(r.problem for r in rows)
+
+
+def test_planes_are_rewritten_in_place(spark, tmp_path):
+    values = np.arange(5 * 4 * 3, dtype=">i2").reshape(5, 4, 3)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.fits").write_bytes(fits.encode_image(values, {"BLANK": -9, "BSCALE": 2.0}) + fits.encode_image(np.ones((2, 2), ">f4"), primary=False))
+    before = (tmp_path / "b.fits").read_bytes()
+    a, b = (str(tmp_path / f"{name}.fits") for name in "ab")
+    rows = [(a, 2, [2.0 * i for i in range(12)]), (a, 5, [None] * 12), (b, 1, [1.0] * 12), (b, 6, [1.0] * 12), (str(tmp_path / "none.fits"), 1, [1.0])]
+    out = {r.path: r.problem for r in fits_source.rewrite_planes(spark, spark.createDataFrame(rows, "path string, plane int, values array<double>")).collect()}
+    assert out[a] is None and "no planes [6]" in out[b] and out[str(tmp_path / "none.fits")] and (tmp_path / "b.fits").read_bytes() == before
+    want = values.astype(float) * 2
+    want[1], want[4] = np.arange(12).reshape(4, 3) * 2, np.nan
+    got = {(r.plane, r.y, r.x): r.value for r in fits.read_image(spark, a).collect()}
+    assert all(got[p + 1, y + 1, x + 1] == (None if np.isnan(want[p, y, x]) else want[p, y, x]) for p in range(5) for y in range(4) for x in range(3))
+    assert fits.read_image(spark, a, 1).count() == 4 and sorted(x.name for x in tmp_path.iterdir()) == ["a.fits", "b.fits"]
