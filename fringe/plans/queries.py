@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fringe.functions import bits, masked_bits, nulls, sky, strings, vectors
 from fringe.operators import checksum, gridding, groups, headers, histogram, images, intervals, ordered, quantiles, regions, rows
-from fringe.sources import container, container_source, fits, fits_source
+from fringe.sources import container, container_source, fits, fits_source, region_files
 from fringe.streaming import blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -749,24 +749,47 @@ def region_more_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGION_SHAPES = """select o_orderkey as n, o_orderkey % 4 as kind, (o_custkey % 500) * 1.0e0 as cx, (o_orderkey % 390) * 2.5e0 as cy, 1 + (o_custkey % 7) * 0.5e0 as r, o_orderkey % 5 <> 0 as include, 1 + o_orderkey % 3 as component from orders"""
 
 
-@query(f"""with s as ({_REGION_SHAPES}), p as (select distinct p_partkey, (p_partkey * 7 % 500) + p_size / 100.0e0 as x, p_retailprice / 2.0e0 as y from part),
+_REGION_TEXTS = """select n, kind, cx, cy, r, include, (n % 2) * 2 + case when n >= min(case when include then n end) over (partition by n % 2) then 1 else 0 end as component from (select *, o_orderkey as n, o_orderkey % 4 as kind, (o_custkey % 500) * 1.0e0 as cx, (o_orderkey % 390) * 2.5e0 as cy, 1 + (o_custkey % 7) * 0.5e0 as r, o_orderkey % 5 <> 3 as include from orders)"""
+
+
+def _in_region_sql(shapes: str) -> str:
+    """The parts in a region, by all pairs of parts and shapes."""
+    return f"""with s as ({shapes}), p as (select distinct p_partkey, (p_partkey * 7 % 500) + p_size / 100.0e0 as x, p_retailprice / 2.0e0 as y from part),
 h as (select p_partkey, component, arg_max(include, n) as held from p join s on case kind when 0 then (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r when 1 then abs(x - cx) <= r and abs(y - cy) <= r / 2
   when 2 then (x - cx) * (x - cx) / (r * r) + (y - cy) * (y - cy) / (4 * r * r) <= 1 else abs(2 * (x - cx) / (2 * r)) + abs(2 * (y - cy) / (3 * r)) <= 1 end group by 1, 2),
 o as (select component from s group by component having not arg_min(include, n)),
 v as (select p_partkey, bool_or(held) or count(*) filter (component in (select component from o)) < (select count(*) from o) as inside from h group by 1)
-select p_partkey from p left join v using (p_partkey) where coalesce(inside, (select count(*) from o) > 0)""")
-def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in a region of as many shapes as there are orders, in three components, of which some begin with an exclusion."""
-    o = table(spark, sf_dir, "orders")
+select p_partkey from p left join v using (p_partkey) where coalesce(inside, (select count(*) from o) > 0)"""
+
+
+def _order_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
     cx, cy, r = (F.col("o_custkey") % 500) * 1.0, (n % 390) * 2.5, 1 + (F.col("o_custkey") % 7) * 0.5
     sizes = F.when(kind == 0, F.array(r)).when(kind == 1, F.array(2 * r, r)).when(kind == 2, F.array(r, 2 * r)).otherwise(F.array(2 * r, 3 * r))
-    shapes = o.select(
+    return table(spark, sf_dir, "orders").select(
         n.alias("n"), F.element_at(F.array(*map(F.lit, ("circle", "box", "ellipse", "diamond"))), (kind + 1).cast("int")).alias("shape"), F.concat(F.array(cx, cy), sizes).alias("parameters"),
         (n % 5 != 0).alias("include"), (1 + n % 3).alias("component"),
     )
-    points = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7 % 500) + F.col("p_size") / 100.0).alias("x"), (F.col("p_retailprice") / 2.0).alias("y"))
-    return regions.in_region(points, shapes, F.col("x"), F.col("y")).select("p_partkey")
+
+
+def _region_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7 % 500) + F.col("p_size") / 100.0).alias("x"), (F.col("p_retailprice") / 2.0).alias("y"))
+
+
+@query(_in_region_sql(_REGION_SHAPES))
+def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in a region of as many shapes as there are orders, in three components, of which some begin with an exclusion."""
+    return regions.in_region(_region_points(spark, sf_dir), _order_shapes(spark, sf_dir), F.col("x"), F.col("y")).select("p_partkey")
+
+
+@query(_in_region_sql(_REGION_TEXTS))
+def region_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the region that two texts describe together, with a shape for each order."""
+    sign, numbers = F.when(F.col("include"), F.when(F.col("n") % 3 == 0, "+").otherwise("")).otherwise(" -"), F.array_join(F.transform("parameters", lambda v: v.cast("string")), ", ")
+    text = F.concat(F.when(F.col("n") % 7 == 0, "image;").otherwise(""), sign, F.initcap("shape"), F.lit("("), numbers, F.lit(") # color=red"))
+    shapes = _order_shapes(spark, sf_dir).withColumn("include", F.col("n") % 5 != 3)
+    lines = shapes.select((F.col("n") % 2).cast("string").alias("path"), F.col("n").alias("line"), text.alias("value"))
+    return regions.in_region(_region_points(spark, sf_dir), region_files.shapes_of_lines(lines), F.col("x"), F.col("y")).select("p_partkey")
 
 
 _SKY_POINTS = "select p_partkey, (p_size - 25.0e0) as x, p_retailprice / 100.0e0 as y from part"
@@ -1011,3 +1034,40 @@ def kernel_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a table of kernels that differ from their mirror."""
     k = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 8).cast("int").alias("w"), (F.col("p_size") % 9).cast("int").alias("y"), (F.col("p_partkey") % 7).cast("int").alias("x")).agg(F.avg("p_size").alias("re"), F.lit(0.0).alias("im"))
     return gridding.mirror_differences(k).withColumn("error", F.round("error", 9))
+
+
+@query("select vec_id, cast((i - 1) // 8 + 1 as int) as line, cast((i - 1) % 8 + 1 as int) as place, x as value from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as x from embeddings)")
+def fits_table_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of arrays as cells of tables, written and read with their dimensions."""
+    fits_source.register(spark)
+    path = _stream_path(spark, "nested")
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 8).cast("int")), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    table(spark, sf_dir, "embeddings").select("vec_id", lines.alias("cell")).write.format("fits_table").option("max_bytes", 1 << 18).mode("append").save(path)
+    cells = spark.read.format("fits_table").option("split_bytes", 1 << 17).load(path)
+    return cells.select("vec_id", F.posexplode("cell").alias("line", "values")).select("vec_id", (F.col("line") + 1).alias("line"), F.posexplode("values").alias("place", "value")).withColumn("place", F.col("place") + 1)
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts in tables of bounded size, read with their files' names, and the files' cards."""
+    fits_source.register(spark)
+    path = _stream_path(spark, "parts")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size"))
+    parts.repartition(4).write.format("fits_table").option("max_bytes", 1 << 13).mode("append").save(path)
+    return spark.read.format("fits_table").options(file="true", raw="true").load(path), spark.read.format("fits_header").load(path)
+
+
+@query("select p_partkey, cast(p_size * 12 as bigint) as scaled, 'p_size' as name, cast(null as double) as missing, lower(printf('%016x%08x', p_partkey, p_size)) as bytes from part")
+def keyword_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with keywords of their files in expressions, and with their own bytes."""
+    parts, cards = _part_files(spark, sf_dir)
+    keyed = headers.with_keywords(parts, cards.where("hdu = 1"), {"width": ("NAXIS1", "long"), "name": ("TTYPE2", "string"), "missing": ("EXPTIME", "double")})
+    return keyed.select("p_partkey", (F.col("p_size") * F.col("width")).alias("scaled"), "name", "missing", F.lower(F.hex("_raw")).alias("bytes"))
+
+
+@query("select 'ROWS' as key, cast(count(*) as double) as value from part union all select 'LARGEST', max(p_size) from part union all select 'NAXIS2', count(*) from part")
+def keyword_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates of each file's rows as its keywords, which are then put together over the files."""
+    parts, cards = _part_files(spark, sf_dir)
+    done = headers.calculate_keywords(cards, parts, {"ROWS": (F.count("*"), "long"), "LARGEST": (F.max("p_size").cast("double"), "double")}).where("hdu = 1")
+    number = headers.typed_value(F.col("value"), "double")
+    return done.where(F.col("key").isin("ROWS", "LARGEST", "NAXIS2")).groupBy("key").agg(F.when(F.col("key") == "LARGEST", F.max(number)).otherwise(F.sum(number)).alias("value"))

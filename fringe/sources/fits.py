@@ -35,7 +35,8 @@ SPARK_TYPES = {"L": "boolean", "X": "string", "B": "short", "I": "short", "J": "
 HEADER_SCHEMA = "path string, hdu int, pos int, key string, value string, comment string"
 PIXEL_SCHEMA = "path string, hdu int, plane int, y int, x int, value double, problem string"
 #: Columns of a table besides its own.
-ROW, PROBLEM = "_row", "_problem"
+ROW, PROBLEM, RAW, FILE = "_row", "_problem", "_raw", "_file"
+OWN = (ROW, PROBLEM, RAW, FILE)
 #: Values of a batch of rows.
 BATCH_VALUES = 1 << 20
 
@@ -256,7 +257,7 @@ def read_image(spark: SparkSession, path: str, hdu: int | str = 0) -> DataFrame:
 
 @dataclass(frozen=True)
 class TableColumn:
-    """A table's column: name, elements of a row, letter of its form, letter of its elements, scale, zero and null, and in a table of characters its place and width."""
+    """A table's column: name, elements of a row, letter of its form, letter of its elements, scale, zero and null, its place and width in a row, and its dimensions (the fastest first; one where it has no TDIM that fits)."""
 
     name: str
     repeat: int
@@ -267,6 +268,16 @@ class TableColumn:
     null: object
     at: int
     width: int
+    dims: tuple[int, ...] = ()
+
+    @property
+    def lists(self) -> tuple[int, ...]:
+        """Sizes of the arrays in a cell, the innermost first."""
+        if self.letter in "XPQ":
+            return ()
+        if self.letter == "A":  # the first dimension is that of the strings
+            return self.dims[1:]
+        return self.dims if len(self.dims) > 1 else () if self.repeat == 1 else (self.repeat,)
 
     @property
     def scaled(self) -> bool:
@@ -277,16 +288,13 @@ class TableColumn:
         """Whether scaled numbers stay whole, as unsigned ones do."""
         return self.scale == 1 and float(self.zero).is_integer() and self.element in "BIJK"
 
-    @property
-    def single(self) -> bool:
-        return self.letter in "AX" or (self.repeat == 1 and self.letter not in "PQ")
-
     @property
     def spark_type(self) -> str:
         kind = SPARK_TYPES[self.element]
         if self.scaled:
             kind = "long" if self.whole else "double"
-        return kind if self.single else f"array<{kind}>"
+        depth = 1 if self.letter in "PQ" else len(self.lists)
+        return "array<" * depth + kind + ">" * depth
 
 
 #: Element letters of a table of characters by the first of their form.
@@ -309,7 +317,8 @@ def table_columns(unit: Unit) -> list[TableColumn]:
         repeat = int(repeat or 1)
         element = more.lstrip("(")[:1] if letter in "PQ" else letter
         width = COLUMNS[letter][1] * (-(-repeat // 8) if letter == "X" else repeat)
-        out.append(TableColumn(name, repeat, letter, element, *rest, at, width))
+        dims = tuple(int(d) for d in re.findall(r"\d+", str(unit.get(f"TDIM{i}", ""))))
+        out.append(TableColumn(name, repeat, letter, element, *rest, at, width, dims if dims and repeat and int(np.prod(dims)) == repeat else ()))
         at += width
     return out
 
@@ -361,7 +370,7 @@ def table_arrays(unit: Unit, columns: Sequence[TableColumn], rows: np.ndarray, h
         if unit.kind == "ascii":
             out.append(_characters(own, c))
         elif c.letter == "A":
-            out.append(_texts(own))
+            out.append(_nested(_texts(own.reshape(-1, c.dims[0]) if c.lists else own), c.lists))
         elif c.letter == "X":
             out.append(_texts((np.unpackbits(own, axis=1)[:, : c.repeat] + 48).astype(np.uint8)))
         elif c.letter in "PQ":
@@ -373,13 +382,25 @@ def table_arrays(unit: Unit, columns: Sequence[TableColumn], rows: np.ndarray, h
             parts = [np.frombuffer(data, kind, m, at - low) for m, at in zip(counts.tolist(), places.tolist(), strict=True) if m]
             flat = np.concatenate(parts) if parts else np.zeros(0, kind)
             out.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), _numbers(flat, c)))
-        elif c.single:
-            out.append(_numbers(own.view(COLUMNS[c.letter][0]).ravel(), c))
+        elif not c.repeat:
+            out.append(pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), _numbers(np.zeros(0, COLUMNS[c.letter][0]), c)))
         else:
-            out.append(pa.ListArray.from_arrays((np.arange(n + 1) * c.repeat).astype(np.int32), _numbers(own.view(COLUMNS[c.letter][0]).ravel(), c)))
+            out.append(_nested(_numbers(own.view(COLUMNS[c.letter][0]).ravel(), c), c.lists))
     return out
 
 
+def _nested(values: pa.Array, sizes: Sequence[int]) -> pa.Array:
+    """Arrays of these sizes, the innermost first, of values one after the other."""
+    for size in sizes:
+        values = pa.ListArray.from_arrays((np.arange(len(values) // size + 1) * size).astype(np.int32), values)
+    return values
+
+
+def _raw_rows(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
 def table_schema(columns: Sequence[TableColumn]) -> str:
     """Schema of a table's rows."""
     return ", ".join(f"`{name}` {kind}" for name, kind in [(ROW, "long"), *((c.name, c.spark_type) for c in columns), (PROBLEM, "string")])
@@ -401,19 +422,23 @@ def arrow_of(ddl: str) -> pa.Schema:
     return pa.schema([(name.strip("`"), _arrow_type(kind)) for name, kind in re.findall(r"(`[^`]*`|\w+) ([^ ]+?)(?:, |$)", ddl)])
 
 
-def table_batch(schema: pa.Schema, unit: Unit, columns: Sequence[TableColumn], first: int, rows: np.ndarray, heap: Callable[[int, int], bytes]) -> pa.RecordBatch:
-    """Rows of ``schema``: row numbers from ``first`` on, and columns by their names."""
+def table_batch(schema: pa.Schema, unit: Unit, columns: Sequence[TableColumn], first: int, rows: np.ndarray, heap: Callable[[int, int], bytes], file: str | None = None) -> pa.RecordBatch:
+    """Rows of ``schema``: row numbers from ``first`` on, columns by their names, and where it asks for them the rows' bytes and the file's name."""
     by_name = {c.name: c for c in columns}
-    chosen = [by_name[f.name] for f in schema if f.name not in (ROW, PROBLEM)]
+    chosen = [by_name[f.name] for f in schema if f.name not in OWN]
     arrays = dict(zip([c.name for c in chosen], table_arrays(unit, chosen, rows, heap), strict=True))
     arrays |= {ROW: pa.array(np.arange(first, first + len(rows))), PROBLEM: pa.nulls(len(rows), pa.string())}
+    if RAW in schema.names:
+        arrays[RAW] = _raw_rows(rows)
+    if FILE in schema.names:
+        arrays[FILE] = pa.repeat(pa.scalar(file, pa.string()), len(rows))
     return pa.RecordBatch.from_arrays([arrays[f.name].cast(f.type) for f in schema], schema=schema)
 
 
 def differing(schema: pa.Schema, columns: Sequence[TableColumn]) -> str | None:
     """What a file's columns lack of ``schema``."""
     own = {f.name: f.type for f in arrow_of(table_schema(columns))}
-    lacking = [f.name for f in schema if f.name not in (ROW, PROBLEM) and own.get(f.name) != f.type]
+    lacking = [f.name for f in schema if f.name not in OWN and own.get(f.name) != f.type]
     return f"no columns {lacking} of the types of the first file" if lacking else None
 
 

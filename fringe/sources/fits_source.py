@@ -1,10 +1,14 @@
 """FITS images and tables by byte ranges, and a sink for tables, as data sources.
 
-``register(spark)`` makes three formats known:
+``register(spark)`` makes four formats known:
 
 - ``fits_image``: pixels (``fits.PIXEL_SCHEMA``). Options ``hdu``, ``section``, ``split_bytes``.
 - ``fits_table``: rows with ``_row`` and ``_problem``. Options ``hdu``, ``columns`` (names between commas),
-  ``rows`` (ranges such as ``1-100,500-``), ``split_bytes``. Writing makes files of at most ``max_bytes`` each.
+  ``rows`` (ranges such as ``1-100,500-``), ``raw`` (``true`` adds ``_raw``, a row's bytes), ``file`` (``true`` adds
+  ``_file``, where a row is from), ``split_bytes``. Cells with TDIM are nested arrays. Writing makes files of at most ``max_bytes`` each.
+- ``fits_header``: cards (``fits.HEADER_SCHEMA``). A file costs its header blocks alone; one that can't be read has no card but one of the key ``problem``.
+- ``raw_image``: pixels of files without a header. Options ``pixels`` (``u1 i2 u2 i4 f4 f8``, with ``>`` or ``<`` in
+  front for the bytes' order; without the smallest comes first), ``shape`` (pixels of a line, lines, planes ...), ``offset`` in bytes, and ``section`` and ``split_bytes``.
 
 A read is planned from a listing alone: each task has a file and a range of its bytes, and reads the lines or
 rows that begin in it. Headers are read by the tasks, each skipping over data, so a file of any size costs
@@ -159,6 +163,10 @@ class _Reader(DataSourceReader):
         return pieces(self.root, self.split_bytes)
 
 
+def _data_problem(schema: pa.Schema, path: str, problem: Exception) -> pa.RecordBatch:
+    return fits.problem_batch(schema, **({"path": path, "problem": str(problem)} if "path" in schema.names else {fits.PROBLEM: f"{path}: {problem}", fits.FILE: path}))
+
+
 class ImageReader(_Reader):
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options, ("plane", "y", "x"))
@@ -168,18 +176,29 @@ class ImageReader(_Reader):
         if piece is None:  # there are no files
             return
         schema = fits.arrow_of(fits.PIXEL_SCHEMA)
+        began = False
         try:
             with Ranges(self.root, piece.path) as file:
-                for batch in self.batches(file, piece):
+                unit, kind = self.image(file)
+                began = True
+                for batch in self.lines(file, piece, unit, kind):
                     yield pa.RecordBatch.from_arrays(batch.columns, schema=schema)
         except _ERRORS as problem:
-            if piece.start == 0:
-                yield fits.problem_batch(schema, path=piece.path, problem=str(problem))
+            # What is wrong with the header every range meets, and the first one says it; what is wrong with the data says each that meets it.
+            if began or piece.start == 0:
+                yield _data_problem(schema, piece.path, problem)
 
-    def batches(self, file: Ranges, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def image(self, file: Ranges) -> tuple[fits.Unit, np.dtype]:
+        """The image, and its pixels as they are stored."""
         unit = fits.choose(fits.scan(file), self.hdu or "image")
+        fits.image_shape(unit)
+        return unit, np.dtype(fits.PIXELS[int(unit.get("BITPIX"))])
+
+    def batches(self, file: Ranges, piece: Piece) -> Iterator[pa.RecordBatch]:
+        yield from self.lines(file, piece, *self.image(file))
+
+    def lines(self, file: Ranges, piece: Piece, unit: fits.Unit, kind: np.dtype) -> Iterator[pa.RecordBatch]:
         width, height = fits.image_shape(unit)
-        kind = np.dtype(fits.PIXELS[int(unit.get("BITPIX"))])
         xs, ys, planes = (self.limits.keep(name, span.within(size)) for name, span, size in zip(("x", "y", "plane"), self.section, (width, height, int(np.prod(unit.axes[2:], dtype=np.int64))), strict=True))
         if not len(xs):
             return
@@ -196,6 +215,48 @@ class ImageReader(_Reader):
                 yield fits.image_batch(piece.path, unit, raw[((run - run[0]) * width)[:, None] + (xs - low)[None, :]], run, xs)
 
 
+class RawImageReader(ImageReader):
+    """Images whose shape is told and not read."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        found = re.fullmatch(r"([<>]?)(u1|i2|u2|i4|f4|f8)", options.get("pixels", ""))
+        if not found:
+            raise ValueError(f"no pixels {options.get('pixels')!r}")
+        self.kind = np.dtype((found[1] or "<") + found[2])
+        self.axes = [int(n) for n in options.get("shape", "").split(",") if n.strip()]
+        self.offset = int(options.get("offset", 0))
+        if not self.axes or min(self.axes) < 1 or self.offset < 0:
+            raise ValueError(f"no shape {options.get('shape')!r}")
+
+    def image(self, file: Ranges) -> tuple[fits.Unit, np.dtype]:
+        bits = 8 * self.kind.itemsize
+        cards = [("BITPIX", str(-bits if self.kind.kind == "f" else bits), ""), ("NAXIS", str(len(self.axes)), ""), *((f"NAXIS{i}", str(n), "") for i, n in enumerate(self.axes, 1))]
+        return fits.Unit(cards, b"", 0, self.offset, int(np.prod(self.axes, dtype=np.int64)) * self.kind.itemsize), self.kind
+
+
+class HeaderReader(_Reader):
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options, ())
+
+    def partitions(self) -> Sequence[Piece]:
+        return [Piece(path, 0, 1 << 62) for path, _ in files_of(self.root)]
+
+    def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
+        if piece is None:
+            return
+        schema = fits.arrow_of(fits.HEADER_SCHEMA)
+        try:
+            with Ranges(self.root, piece.path) as file:
+                for unit in fits.scan(file):
+                    cards = [*zip(*unit.cards, strict=True)] if unit.cards else [(), (), ()]
+                    n = len(unit.cards)
+                    columns = [[piece.path] * n, [unit.number] * n, range(1, n + 1), *cards]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        except _ERRORS as problem:
+            yield fits.problem_batch(schema, path=piece.path, key="problem", value=str(problem))
+
+
 class TableReader(_Reader):
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
         super().__init__(options, (fits.ROW,))
@@ -205,18 +266,27 @@ class TableReader(_Reader):
     def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
         if piece is None:
             return
+        began = False
         try:
             with Ranges(self.root, piece.path) as file:
-                yield from self.batches(file, piece, self.arrow)
+                unit, columns = self.table(file, self.arrow)
+                began = True
+                yield from self.lines(file, piece, self.arrow, unit, columns)
         except _ERRORS as problem:
-            if piece.start == 0:
-                yield fits.problem_batch(self.arrow, **{fits.PROBLEM: f"{piece.path}: {problem}"})
+            if began or piece.start == 0:
+                yield _data_problem(self.arrow, piece.path, problem)
 
-    def batches(self, file: Ranges, piece: Piece, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def table(self, file: Ranges, schema: pa.Schema) -> tuple[fits.Unit, Sequence[fits.TableColumn]]:
         unit = fits.choose(fits.scan(file), self.hdu or "table")
         columns = fits.table_columns(unit)
         if problem := fits.differing(schema, columns):
             raise ValueError(problem)
+        return unit, columns
+
+    def batches(self, file: Ranges, piece: Piece, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        yield from self.lines(file, piece, schema, *self.table(file, schema))
+
+    def lines(self, file: Ranges, piece: Piece, schema: pa.Schema, unit: fits.Unit, columns: Sequence[fits.TableColumn]) -> Iterator[pa.RecordBatch]:
         width, n = unit.axes
         first, stop = _begin_in(piece, unit.start, max(1, width), n)
         heap_at = unit.start + int(unit.get("THEAP", width * n))
@@ -226,7 +296,7 @@ class TableReader(_Reader):
             for run in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
                 if len(run):
                     raw = np.frombuffer(file.at(unit.start + int(run[0]) * width, len(run) * width), np.uint8).reshape(len(run), width)
-                    yield fits.table_batch(schema, unit, columns, int(run[0]) + 1, raw, lambda place, size: file.at(heap_at + place, size))
+                    yield fits.table_batch(schema, unit, columns, int(run[0]) + 1, raw, lambda place, size: file.at(heap_at + place, size), piece.path)
 
 
 #: Forms of a column by its Spark type.
@@ -245,15 +315,18 @@ class TableWriter(DataSourceArrowWriter):
 
     Whole numbers that are null are written as the smallest of their type, which is then TNULL (such a
     number itself is refused), other nulls as NaN, zero bytes and empty strings and arrays. Strings take the
-    width of the longest in the file, arrays that of the longest, filled up with nulls.
+    width of the longest in the file, arrays that of the longest, filled up with nulls; arrays of arrays do so on
+    each level and say it as TDIM.
     """
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool) -> None:
         self.output = Output(options["path"], overwrite)
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
-        self.fields = [f for f in schema if f.name not in (fits.ROW, fits.PROBLEM)]
+        self.fields = [f for f in schema if f.name not in fits.OWN]
         for f in self.fields:
-            kind = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
+            kind = f.dataType
+            while isinstance(kind, ArrayType):
+                kind = kind.elementType
             if type(kind) not in _FORMS and not (isinstance(kind, StringType) and kind is f.dataType):
                 raise ValueError(f"{f.name}: no form for {f.dataType.simpleString()}")
 
@@ -278,10 +351,12 @@ class TableWriter(DataSourceArrowWriter):
         kinds, header, columns = [], {}, []
         for i, f in enumerate(self.fields, 1):
             column = table.column(f.name).chunk(0) if table.num_rows else table.column(f.name)
-            form, kind, values, null = _cells(column, f)
+            form, kind, values, null, sizes = _cells(column, f)
             kinds.append((f"c{i}", kind))
             columns.append(values)
             header |= {f"TTYPE{i}": f.name, f"TFORM{i}": form} | ({f"TNULL{i}": null} if null is not None else {})
+            if len(sizes) > 1:
+                header[f"TDIM{i}"] = f"({','.join(map(str, reversed(sizes)))})"
         rows = np.zeros(table.num_rows, kinds)
         for (name, _), values in zip(kinds, columns, strict=True):
             rows[name] = values
@@ -297,20 +372,23 @@ class TableWriter(DataSourceArrowWriter):
         self.output.abort()
 
 
-def _cells(column: pa.Array, field) -> tuple[str, object, np.ndarray, int | None]:
-    """A column's form, its numpy type, its cells, and what stands for null."""
+def _cells(column: pa.Array, field) -> tuple[str, object, np.ndarray, int | None, list[int]]:
+    """A column's form, its numpy type, its cells, what stands for null, and the sizes of its arrays from the outermost on."""
     if isinstance(field.dataType, StringType):
         texts = [(t or "").encode("ascii", "replace") for t in column.to_pylist()]
         width = max([1, *map(len, texts)])
-        return f"{width}A", f"S{width}", np.array(texts, f"S{width}"), None
-    listed = isinstance(field.dataType, ArrayType)
-    letter, kind = _FORMS[type(field.dataType.elementType if listed else field.dataType)]
-    counts = np.ones(len(column), np.int64)
-    if listed:
-        counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        column = column.flatten()
+        return f"{width}A", f"S{width}", np.array(texts, f"S{width}"), None, []
+    n, kind, sizes = len(column), field.dataType, []
+    places = np.arange(n)  # of each element, in cells that are as long as the longest
+    while isinstance(kind, ArrayType):
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes.append(max([1, *counts.tolist()]))
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        places = np.repeat(places, counts) * sizes[-1] + within
+        column, kind = column.flatten(), kind.elementType
+    letter, form = _FORMS[type(kind)]
     bad = column.is_null().to_numpy(zero_copy_only=False)
-    dtype = np.dtype(kind)
+    dtype = np.dtype(form)
     null = int(np.iinfo(dtype).min) if dtype.kind == "i" else None
     values = column.fill_null(False if letter == "L" else 0).to_numpy(zero_copy_only=False)
     if letter == "L":
@@ -320,14 +398,13 @@ def _cells(column: pa.Array, field) -> tuple[str, object, np.ndarray, int | None
         if null is not None and (flat[~bad] == null).any():
             raise ValueError(f"{field.name}: {null} stands for null in a file")
         flat = np.where(bad, null if null is not None else np.nan, flat)
-    repeat = max([1, *counts.tolist()]) if listed else 1
-    short = listed and bool((counts < repeat).any())
-    null_there = null if null is not None and (bad.any() or short) else None
-    if not listed:
-        return f"1{letter}", kind, flat, null_there
-    cells = np.full((len(counts), repeat), b"" if letter == "L" else null if null is not None else np.nan, "S1" if letter == "L" else dtype)
-    cells[np.arange(repeat)[None, :] < counts[:, None]] = flat
-    return f"{repeat}{letter}", (kind, (repeat,)), cells, null_there
+    repeat = int(np.prod(sizes, dtype=np.int64))
+    null_there = null if null is not None and (bad.any() or len(flat) < n * repeat) else None
+    if not sizes:
+        return f"1{letter}", form, flat, null_there, sizes
+    cells = np.full(n * repeat, b"" if letter == "L" else null if null is not None else np.nan, "S1" if letter == "L" else dtype)
+    cells[places] = flat
+    return f"{repeat}{letter}", (form, (repeat,)), cells.reshape(n, repeat), null_there, sizes
 
 
 class FitsImage(DataSource):
@@ -342,6 +419,30 @@ class FitsImage(DataSource):
         return ImageReader(self.options)
 
 
+class RawImage(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "raw_image"
+
+    def schema(self) -> str:
+        return fits.PIXEL_SCHEMA
+
+    def reader(self, schema: StructType) -> RawImageReader:
+        return RawImageReader(self.options)
+
+
+class FitsHeader(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fits_header"
+
+    def schema(self) -> str:
+        return fits.HEADER_SCHEMA
+
+    def reader(self, schema: StructType) -> HeaderReader:
+        return HeaderReader(self.options)
+
+
 class FitsTable(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -359,8 +460,15 @@ class FitsTable(DataSource):
             if wanted is not None:
                 by_name = {c.name.lower(): c for c in columns}
                 columns = [by_name[w.lower()] for w in wanted]
-            return fits.table_schema(columns)
-        return fits.table_schema([])
+            return self._with_own(fits.table_schema(columns))
+        return self._with_own(fits.table_schema([]))
+
+    def _with_own(self, schema: str) -> str:
+        """``schema`` with the columns that options ask for."""
+        for option, column in (("raw", f"`{fits.RAW}` binary"), ("file", f"`{fits.FILE}` string")):
+            if str(self.options.get(option, "")).lower() == "true":
+                schema = schema.replace(f"`{fits.PROBLEM}`", f"{column}, `{fits.PROBLEM}`")
+        return schema
 
     def reader(self, schema: StructType) -> TableReader:
         return TableReader(self.options, schema)
@@ -370,7 +478,7 @@ class FitsTable(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (FitsImage, FitsTable):
+    for source in (FitsImage, FitsTable, FitsHeader, RawImage):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
