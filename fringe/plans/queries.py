@@ -1071,3 +1071,16 @@ def keyword_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = headers.calculate_keywords(cards, parts, {"ROWS": (F.count("*"), "long"), "LARGEST": (F.max("p_size").cast("double"), "double")}).where("hdu = 1")
     number = headers.typed_value(F.col("value"), "double")
     return done.where(F.col("key").isin("ROWS", "LARGEST", "NAXIS2")).groupBy("key").agg(F.when(F.col("key") == "LARGEST", F.max(number)).otherwise(F.sum(number)).alias("value"))
+
+
+@query("""with a as (select p_partkey % 7 + 1 as plane, p_size as y, p_partkey % 30 + 1 as x, max(p_retailprice)::double as value from part group by 1, 2, 3)
+select cast(f.plane as int) as plane, cast(g.y as int) as y, cast(h.x as int) as x, a.value from range(1, 8) f(plane), range(1, 51) g(y), range(1, 31) h(x) left join a on a.plane = f.plane and a.y = g.y and a.x = h.x""")
+def fits_cube_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube of the dearest parts in files of two planes, written as sorted streams and read with their planes' numbers."""
+    fits_source.register(spark)
+    path = _stream_path(spark, "cube")
+    pixels = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7 + 1).alias("plane"), F.col("p_size").alias("y"), (F.col("p_partkey") % 30 + 1).alias("x"), F.col("p_retailprice").alias("value"))
+    fits_source.write_images(pixels, path, 30, 50, 7, "f8", max_bytes=2 * 30 * 50 * 8)
+    cards = spark.read.format("fits_header").load(path)
+    read = headers.with_keywords(spark.read.format("fits_image").load(path), cards, {"first": ("CRVAL3", "long")}, file="path")
+    return read.select((F.col("plane") + F.col("first") - 1).cast("int").alias("plane"), "y", "x", "value")

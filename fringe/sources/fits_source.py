@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes four formats known:
 
-- ``fits_image``: pixels (``fits.PIXEL_SCHEMA``). Options ``hdu``, ``section``, ``split_bytes``.
+- ``fits_image``: pixels (``fits.PIXEL_SCHEMA``). Options ``hdu``, ``section``, ``split_bytes``. ``write_images`` writes them.
 - ``fits_table``: rows with ``_row`` and ``_problem``. Options ``hdu``, ``columns`` (names between commas),
   ``rows`` (ranges such as ``1-100,500-``), ``raw`` (``true`` adds ``_raw``, a row's bytes), ``file`` (``true`` adds
   ``_file``, where a row is from), ``split_bytes``. Cells with TDIM are nested arrays. Writing makes files of at most ``max_bytes`` each.
@@ -22,6 +22,8 @@ Paths are those that ``pyarrow.fs`` opens; stores that only Spark reads are for
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -407,6 +409,123 @@ def _cells(column: pa.Array, field) -> tuple[str, object, np.ndarray, int | None
     return f"{repeat}{letter}", (form, (repeat,)), cells.reshape(n, repeat), null_there, sizes
 
 
+#: What is written for an undefined pixel, by the type of pixels.
+_UNDEFINED = {"i2": -(1 << 15), "i4": -(1 << 31), "i8": -(1 << 63), "f4": np.nan, "f8": np.nan}
+
+
+class ImageWriter(DataSourceArrowWriter):
+    """Sorted pixels (file, plane, y, x, value) as images, each as a stream: a task holds a batch and ``READ_BYTES``, whatever the image's size.
+
+    Rows of a file have to be in one task, sorted as ``write_images`` does. Pixels without a row are undefined.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
+        self.output = Output(options["path"], overwrite)
+        self.width, self.height, self.planes = _shape(options["shape"])
+        self.per_file = int(options["planes_per_file"])
+        self.pixels = options["pixels"]
+        self.kind = np.dtype(f">{self.pixels}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names: list[str] = []
+        with contextlib.ExitStack() as open_file:
+            file, at = None, 0
+            stream = None
+            for batch in iterator:
+                columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "plane", "y", "x", "value")}
+                bounds = [0, *(np.flatnonzero(np.diff(columns["file"])) + 1).tolist(), batch.num_rows]
+                for low, high in itertools.pairwise(bounds):
+                    if low == high:
+                        continue
+                    run = {c: v[low:high] for c, v in columns.items()}
+                    if run["file"][0] != file:
+                        if stream is not None:
+                            self._end(stream, file, at)
+                            open_file.pop_all().close()
+                        file, at = int(run["file"][0]), 0
+                        name, stream = open_file.enter_context(self.output.create(".fits"))
+                        names.append(name)
+                        stream.write(fits.encode(self._header(file)))
+                    at = self._pixels(stream, file, at, run)
+            if stream is not None:
+                self._end(stream, file, at)
+        return Written(names)
+
+    def _held(self, file: int) -> int:
+        """Planes of a file."""
+        return min(self.per_file, self.planes - file * self.per_file)
+
+    def _header(self, file: int) -> dict[str, object]:
+        whole = self.kind.kind == "i"
+        first = file * self.per_file + 1
+        return {"BITPIX": 8 * self.kind.itemsize * (1 if whole else -1), "NAXIS": 3, "NAXIS1": self.width, "NAXIS2": self.height, "NAXIS3": self._held(file), "CRPIX3": 1, "CRVAL3": first, "CDELT3": 1} | ({"BLANK": _UNDEFINED[self.pixels]} if whole else {})
+
+    def _pixels(self, stream, file: int, at: int, run: dict[str, np.ndarray]) -> int:
+        """Writes up to the run's last pixel, and returns the place behind it."""
+        x, y, plane = (np.asarray(run[c], np.int64) for c in ("x", "y", "plane"))
+        wrong = (x < 1) | (x > self.width) | (y < 1) | (y > self.height) | (plane < 1) | (plane > self.planes)
+        if wrong.any():
+            raise ValueError(f"a pixel at {x[wrong][0]}, {y[wrong][0]}, {plane[wrong][0]} of {self.width}, {self.height}, {self.planes}")
+        places = ((plane - 1 - file * self.per_file) * self.height + y - 1) * self.width + x - 1
+        if (np.diff(places) < 0).any() or places[0] < at - 1:
+            raise ValueError("pixels aren't sorted")
+        new = np.concatenate(([places[0] >= at], np.diff(places) > 0))  # of several values for a pixel the first counts
+        places, values = places[new], np.asarray(run["value"], float)[new]
+        if not len(places):
+            return at
+        if self.kind.kind == "i":
+            bounds, given = np.iinfo(self.kind), np.round(values[~np.isnan(values)])
+            if ((given <= bounds.min) | (given > bounds.max)).any():
+                raise ValueError(f"pixels beyond those of {self.pixels}, of which the smallest is undefined")
+            values = np.where(np.isnan(values), _UNDEFINED[self.pixels], np.round(values))
+        end = int(places[-1]) + 1
+        for low in range(at, end, READ_BYTES // self.kind.itemsize):
+            high = min(end, low + READ_BYTES // self.kind.itemsize)
+            own = slice(*np.searchsorted(places, (low, high)))
+            stretch = np.full(high - low, _UNDEFINED[self.pixels], self.kind)
+            stretch[places[own] - low] = values[own]
+            stream.write(stretch.tobytes())
+        return end
+
+    def _end(self, stream, file: int, at: int) -> None:
+        """The rest of the image, and what fills its last block."""
+        size = self._held(file) * self.height * self.width
+        step = READ_BYTES // self.kind.itemsize
+        for low in range(at, size, step):
+            stream.write(np.full(min(step, size - low), _UNDEFINED[self.pixels], self.kind).tobytes())
+        stream.write(bytes(-size * self.kind.itemsize % fits.BLOCK))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        self.output.commit([name for m in messages if m for name in m.names])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self.output.abort()
+
+
+def _shape(text: str) -> tuple[int, int, int]:
+    width, height, planes = (int(n) for n in text.split(","))
+    return width, height, planes
+
+
+def write_images(pixels: DataFrame, path: str, width: int, height: int, planes: int = 1, kind: str = "f4", max_bytes: int = MAX_BYTES, overwrite: bool = False) -> None:
+    """Pixels (plane, y, x from 1, value) as images of whole planes and about ``max_bytes`` at most, at least a plane each.
+
+    ``kind`` is ``i2 i4 i8 f4`` or ``f8``; whole numbers are rounded. CRVAL3 of a file is its first plane. Pixels without a row or
+    with a null or NaN are undefined; of several values for one pixel the largest counts; planes without any row have no
+    file where none of that file's has one. A place beyond the shape, a null one, or a number that the type can't hold
+    fails the job, which then leaves nothing behind. Rows are shuffled once, by file.
+    """
+    if kind not in _UNDEFINED or min(width, height, planes) < 1:
+        raise ValueError(f"no image of {width}, {height}, {planes} pixels of {kind}")
+    per_file = max(1, min(planes, max_bytes // (width * height * int(kind[1]))))
+    places = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("plane", "y", "x")]
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")).alias("value")
+    rows = pixels.select(*places, value).withColumn("file", F.floor((F.col("plane") - 1) / per_file).cast("long")).repartition("file")
+    ordered = rows.sortWithinPartitions("file", "plane", "y", "x", F.desc_nulls_last("value"))
+    writer = ordered.write.format("fits_image").options(shape=f"{width},{height},{planes}", planes_per_file=per_file, pixels=kind)
+    writer.mode("overwrite" if overwrite else "append").save(path)
+
+
 class FitsImage(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -418,6 +537,9 @@ class FitsImage(DataSource):
     def reader(self, schema: StructType) -> ImageReader:
         return ImageReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> ImageWriter:
+        return ImageWriter(self.options, overwrite)
+
 
 class RawImage(DataSource):
     @classmethod

@@ -126,3 +126,56 @@ def test_keywords_in_rows_and_from_rows(spark):
     assert cards["a", 0, 1] == ("GAIN", "2.0", "") and cards["c", 1, 4] == ("GAIN", "9", "") and cards["c", 1, 5] == ("GAIN", "8", "")
     assert cards["b", 1, 1] == ("GAIN", "30", "") and cards["b", 1, 2] == ("NEW", "'3       '", "")
     assert ("NEW", "'2       '", "") in [v for k, v in cards.items() if k[:2] == ("a", 1)]
+
+
+@pytest.mark.parametrize("kind", ["f4", "i2", "i8"])
+def test_images_written_as_streams(spark, tmp_path, kind, monkeypatch):
+    """Gaps, nulls, repeated pixels, planes without rows, and files that share a task."""
+    width, height, planes = 40, 30, 9
+    rng = np.random.default_rng(3)
+    cells = {(int(p), int(y), int(x)): float(v) for p, y, x, v in zip(rng.choice([1, 2, 3, 6, 9], 3000), rng.integers(1, height + 1, 3000), rng.integers(1, width + 1, 3000), rng.integers(-99, 99, 3000), strict=True)}
+    rows = [(*k, v) for k, v in cells.items()] + [(*k, v - 5) for k, v in list(cells.items())[:50]] + [(3, 1, 1, None), (3, 1, 2, float("nan"))]
+    cells[3, 1, 1], cells[3, 1, 2] = cells.get((3, 1, 1)), cells.get((3, 1, 2))
+    df = spark.createDataFrame(rows, "plane int, y int, x int, value double").repartition(5)
+    path = str(tmp_path / "cube")
+    fits_source.write_images(df, path, width, height, planes, kind, max_bytes=2 * width * height * int(kind[1]))
+    cards = spark.read.format("fits_header").load(path)
+    assert sorted((r.key, r.value) for r in cards.where("key in ('NAXIS3', 'CRVAL3')").collect()) == [("CRVAL3", "1"), ("CRVAL3", "3"), ("CRVAL3", "5"), ("CRVAL3", "9"), ("NAXIS3", "1")] + [("NAXIS3", "2")] * 3
+    read = headers.with_keywords(spark.read.format("fits_image").load(path), cards, {"first": ("CRVAL3", "long")}, file="path").where("problem is null")
+    got = {(r.plane + r.first - 1, r.y, r.x): r.value for r in read.collect()}
+    assert got == {(p, y, x): cells.get((p, y, x)) for p in (1, 2, 3, 4, 5, 6, 9) for y in range(1, height + 1) for x in range(1, width + 1)}
+    assert all(len(data) % fits.BLOCK == 0 for data in (f.read_bytes() for f in (tmp_path / "cube").glob("*.fits")))
+
+
+def test_images_in_small_stretches(tmp_path, monkeypatch):
+    """A writer that holds little at a time writes the same bytes."""
+    import pyarrow as pa
+
+    places = sorted(np.random.default_rng(1).choice(2000, 300, replace=False).tolist())
+    cells = pa.table({"file": [0] * 300, "plane": [1 + i // 1000 for i in places], "y": [1 + i % 1000 // 50 for i in places], "x": [1 + i % 50 for i in places], "value": [float(i) for i in places]})
+    out = []
+    for stretch, rows in ((8 << 20, 300), (64, 7)):
+        monkeypatch.setattr(fits_source, "READ_BYTES", stretch)
+        writer = fits_source.ImageWriter({"path": str(tmp_path / str(stretch)), "shape": "50,20,2", "planes_per_file": "2", "pixels": "f4"}, False)
+        writer.commit([writer.write(iter(cells.to_batches(max_chunksize=rows)))])
+        (file,) = (tmp_path / str(stretch)).glob("*.fits")
+        out.append(file.read_bytes())
+    assert out[0] == out[1] and len(out[0]) == 2880 + 8640
+    (unit,) = fits.units(out[0])
+    pixels = np.frombuffer(unit.data, ">f4")
+    assert [i for i in range(2000) if not np.isnan(pixels[i])] == places
+
+
+def test_images_that_cannot_be_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 1, 2.0), (1, 3, 1, 4.0)], "plane int, y int, x int, value double")
+    for args in ((1, 2, 1, "f4"), (5, 5, 1, "u1"), (0, 5, 1, "f4")):
+        with pytest.raises(Exception):
+            fits_source.write_images(df, str(tmp_path / "no"), *args)
+    with pytest.raises(Exception, match="beyond"):
+        fits_source.write_images(df.withColumn("value", F.col("value") * 1e6), str(tmp_path / "no"), 5, 5, 1, "i2")
+    assert not list((tmp_path / "no").rglob("*.fits"))
+    fits_source.write_images(df.limit(0), str(tmp_path / "empty"), 5, 5)
+    assert spark.read.format("fits_image").load(str(tmp_path / "empty")).count() == 0
+    fits_source.write_images(df, str(tmp_path / "yes"), 5, 5)
+    fits_source.write_images(df.where("y = 1"), str(tmp_path / "yes"), 5, 5, overwrite=True)
+    assert spark.read.format("fits_image").load(str(tmp_path / "yes")).where("value is not null").count() == 1
