@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from fringe.session import spread
 
+from .bitmap import Bitmap
 from .components import connected_components
 from .rows import take
 from .scratch import discard, materialize
@@ -98,7 +100,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
                 found = {n: s for n, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist(), width), strict=True) if n == _node(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _lists(list(found.values()), pa.int64())], ["node", "hashes"])
 
+    asked = Bitmap(wanted.select(F.col("text_key").alias("hash")))
+
+    @F.pandas_udf("boolean")
+    def may_be_asked(keys: pd.Series) -> pd.Series:
+        return pd.Series(asked.holds(keys.to_numpy()))
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = texts.where(may_be_asked("text_key"))  # few of all texts: the others are not shuffled
     wanted = wanted.select("node", F.col("id").alias("want_id"), F.col("text_key").alias("want_key"))
     met = texts.join(wanted, (F.col("text_key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
     return met.select("node", "text").mapInArrow(run, "node binary, hashes array<bigint>").dropDuplicates(["node"])
@@ -189,10 +198,11 @@ def _components(
     likely = materialize(_compare(_both(pairs, sketches, "sketch"), estimate), "likely")
     residue_nodes = long_lists.select("node").distinct()
     ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).unionByName(residue_nodes).distinct()
-    sets = materialize(full_sets(docs, ends.join(nodes.select("node", "id", "text_key"), "node"), id_col, text_col, width), "sets")
+    ends = materialize(ends.join(nodes.select("node", "id", "text_key"), "node"), "ends")
+    sets = materialize(full_sets(docs, ends, id_col, text_col, width), "sets")
     links = materialize(_compare(_both(likely, sets, "hashes"), exact), "linked")
     roots = materialize(connected_components(links), "roots")
-    discard(df, lists, count, small, likely, links)
+    discard(df, lists, count, small, ends, likely, links)
 
     roots = _settle(long_lists, sets, roots, percent, exact)
 
@@ -229,10 +239,19 @@ def deduplicate(
 
 
 def _grow(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` with the components joined by ``links`` (a, b)."""
-    own = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
-    grown = materialize(connected_components(own.unionByName(links)), "roots")
-    discard(roots)
+    """``roots`` with the components joined by ``links`` (a, b): only links between different roots are followed, as links of roots."""
+    known = roots.select(F.col("node").alias("end"), F.col("root").alias("known"))
+    for end in ("a", "b"):
+        links = links.join(known, F.col(end) == F.col("end"), "left").withColumn(end, F.coalesce("known", end)).drop("end", "known")
+    between = materialize(links.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        discard(between)
+        return roots
+    joined = materialize(connected_components(between), "joined")
+    moved = roots.join(joined.select(F.col("node").alias("was"), F.col("root").alias("is")), F.col("root") == F.col("was"), "left")
+    new = joined.join(roots.select("node"), "node", "left_anti")
+    grown = materialize(moved.select("node", F.coalesce("is", "root").alias("root")).unionByName(new), "roots")
+    discard(roots, between, joined)
     return grown
 
 

@@ -94,3 +94,31 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6), (None, None, 7, 8, 9)], "doc_id long, text string, take_text int, take_id int, node int")
     out = deduplicate(df)
     assert out.columns == df.columns and sorted(out.collect(), key=str) == sorted([r for r in df.collect() if r.doc_id != 2], key=str)
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    from fringe.llm import components
+
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(300):03}", f"n{rng.randrange(300):03}") for _ in range(200)] + [("n001", None), ("n002", "n002")]
+    table = spark.createDataFrame(links, "a string, b string")
+    tracker = spark.sparkContext.statusTracker()
+    results, jobs = [], []
+    for few in (50_000, -1):
+        monkeypatch.setattr(components, "FEW_LINKS", few)
+        before = len(tracker.getJobIdsForGroup(None))
+        results.append(sorted(map(tuple, components.connected_components(table).collect())))
+        jobs.append(len(tracker.getJobIdsForGroup(None)) - before)
+        assert components.connected_components(table.where("a = 'none'")).count() == 0
+    assert results[0] == results[1] and results[0]
+    assert jobs[0] < jobs[1] / 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from fringe.llm.scratch import materialize
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    before = set(re.findall(r"shuffle_\d+", files()))
+    assert materialize(spark.range(1000).groupBy("id").count(), "counts").count() == 1000
+    after = set(re.findall(r"shuffle_\d+", files())) - before
+    assert len(after) <= 1  # that of the count
