@@ -39,6 +39,8 @@ _NUMBER = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*([\"'d]?
 _DEGREES = {'"': 1 / 3600, "'": 1 / 60, "d": 1.0}
 PLACE, PIXELS, DEGREES, ANGLE = range(4)
 
+#: Texts whose starts (three numbers each) go to every task.
+BROADCAST_TEXTS = 10_000
 _PARSED = "path string, line long, item int, sky boolean, shape string, include boolean, numbers array<double>, kinds array<int>, problem string"
 
 
@@ -156,7 +158,10 @@ def shapes_of_lines(lines: DataFrame, projection: Projection | None = None) -> D
     )
     starts = shapes.groupBy("path").agg(F.min("n").alias("first"), F.min(F.when(F.col("include"), F.col("n"))).alias("first_include"))
     component = 2 * F.col("first") + F.coalesce(F.col("n") >= F.col("first_include"), F.lit(False)).cast("long")
-    made = checkpointed(shapes.withColumn("parameters", parameters).withColumn("problem", problem).join(starts, "path").withColumn("component", component))
+    # A text may hold nearly all shapes: the starts of few texts are broadcast. Those of many are joined by plain shuffles of written tables, whose large texts Spark splits.
+    shapes, starts = checkpointed(shapes.withColumn("parameters", parameters).withColumn("problem", problem)), checkpointed(starts)
+    few = starts.count() <= BROADCAST_TEXTS
+    made = shapes.join(F.broadcast(starts) if few else starts, "path").withColumn("component", component)
     good = F.col("problem").isNull()
     return made.select("path", F.col("n").cast("long").alias("n"), F.when(good, F.col("shape")).alias("shape"), F.when(good, F.col("parameters")).alias("parameters"), "include", F.col("component").cast("long").alias("component"), "problem")
 

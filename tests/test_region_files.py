@@ -107,3 +107,11 @@ def test_region_tables(spark):
     assert list(region_files.shapes_of_table(scalar).first().parameters) == [1, 2, 3]
     with pytest.raises(ValueError):
         region_files.shapes_of_table(spark.range(1))
+
+
+def test_shapes_of_one_text_are_not_gathered(spark):
+    lines = spark.range(2000).select(F.lit("one").alias("path"), F.col("id").alias("line"), F.format_string("circle(%d, 2, 3)", "id").alias("value"))
+    shapes = region_files.shapes_of_lines(lines)
+    assert shapes.count() == 2000
+    plan = shapes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
