@@ -29,6 +29,8 @@ from fringe.session import checkpointed, spread
 BROADCAST_CELLS = 4_000_000
 #: Cells of a batch's dense window in the ``partial`` engine; wider batches are summed cell by cell.
 WINDOW_CELLS = 4_000_000
+#: Stations of a block, and pairs of blocks for each task, in making all pairs. Spark holds the rows that a pair of blocks makes (26 MB or so) at once.
+BLOCK_STATIONS, BLOCK_PAIRS = 512, 256
 #: Contributions that are computed at a time.
 CHUNK = 200_000
 
@@ -417,8 +419,24 @@ def compare_grids(a: DataFrame, b: DataFrame, tolerance: float = 1e-9, small: fl
 
 
 def baselines(stations: DataFrame, id_col: str = "station") -> DataFrame:
-    """All pairs of stations, each once: n(n-1)/2 rows, as an array has hundreds of stations."""
-    return stations.select(F.col(id_col).alias("a")).join(stations.select(F.col(id_col).alias("b")), F.col("a") < F.col("b"))
+    """All pairs of stations, each once: n(n-1)/2 rows, ``a`` below ``b``; equal stations make none.
+
+    Stations are dealt into blocks of about ``BLOCK_STATIONS`` and written, as they must not be dealt anew; each pair
+    of blocks meets in one task, which holds these two blocks only.
+    """
+    ids = stations.select(F.col(id_col).alias("x")).where("x is not null")
+    count = -(-ids.count() // BLOCK_STATIONS)
+    if not count:
+        return ids.select(F.col("x").alias("a"), F.col("x").alias("b"))
+    dealt = ids.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
+    blocks = checkpointed(dealt.groupBy("block").agg(F.collect_list("x").alias("xs")))
+    # A block meets itself and all later ones; tasks are many, since bytes don't tell how many pairs they make.
+    tasks = max(2 * stations.sparkSession.sparkContext.defaultParallelism, count * (count + 1) // 2 // BLOCK_PAIRS)
+    first = blocks.select(F.col("block").alias("i"), F.col("xs").alias("firsts"), F.explode(F.sequence("block", F.lit(count - 1))).alias("j"))
+    second = blocks.select(F.col("block").alias("j"), F.col("xs").alias("seconds"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    met = first.repartition(tasks, "i", "j").join(second.repartition(tasks, "i", "j"), ["i", "j"])
+    pairs = met.select("i", "j", F.explode("firsts").alias("x"), "seconds").select("i", "j", "x", F.explode("seconds").alias("y"))
+    return pairs.where("x < y or (i < j and x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def dirty_image(grid_cells: DataFrame, grid: Grid) -> DataFrame:

@@ -173,3 +173,13 @@ def test_large_kernels_join_by_cell(spark, monkeypatch, cells):
     want = sorted(map(tuple, gridding.grid_samples(samples, kernel, support, GRID, "join", 1e-6).collect()))
     monkeypatch.setattr(gridding, "BROADCAST_CELLS", cells)
     assert sorted(map(tuple, gridding.grid_samples(samples, kernel, support, GRID, "join", 1e-6).collect())) == want
+
+
+def test_baselines_of_many_blocks_are_all_pairs_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(gridding, "BLOCK_STATIONS", 7)
+    ids = [*range(60), 5, 5, None]
+    found = gridding.baselines(spark.createDataFrame([(i,) for i in ids], "station long").coalesce(1))
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in ids[:-1] for b in ids[:-1] if a < b)
+    full = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert full > 4  # one file of stations is no longer one task
+    assert gridding.baselines(spark.createDataFrame([(None,)], "station long")).count() == 0
