@@ -37,12 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that go to a Python worker at a time where they hold whole texts.
+BATCH_ROWS = 1000
+
+
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What runs within leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -52,6 +54,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs within leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def short_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs within gives texts to Python some megabytes at a time: the executor holds a batch outside its heap, and so does each worker."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the shuffles that made it are dropped."""
     path = new_path(df.sparkSession, name)

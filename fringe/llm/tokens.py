@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .near_dup import text_slices
-from .scratch import new_path
+from .scratch import new_path, short_batches
 from .textset import IS_SPACE, lowered, span_hashes
 
 END_ID = 1
@@ -279,16 +279,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spread = slim.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     encoded = spread.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, token_ids array<int>")
-    encoded.write.options(**FORMAT_OPTIONS).parquet(path)
+    with short_batches(docs.sparkSession):
+        encoded.write.options(**FORMAT_OPTIONS).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a written folder: doc_id, start (in the whole stream), n_tokens, token_ids."""
     rows = spark.read.parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    # One row for each written part.
+    # One row for each written part, so it is sent to all tasks, and the ids stay where they are read.
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(parts.select("part", before.alias("before")), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "token_ids")
+    return rows.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "token_ids")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -305,7 +306,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     digests = rows.mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return digests.join(parts.select("part", before.alias("before")), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return digests.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> str:

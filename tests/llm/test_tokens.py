@@ -58,3 +58,17 @@ def test_round_trip_through_files(spark, encoder):
 def test_empty_table(spark):
     path = tokens.tokenized(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path())
     assert tokens.read_tokens(spark, path).count() == 0
+
+
+def test_token_ids_are_not_shuffled_by_part(spark):
+    """A part's place is sent to the tasks that read it: the ids of a part don't meet in one task, whatever the threshold for broadcasts."""
+    path = tokens.tokenized(spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string"), tokenizer_path())
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for read in (tokens.read_tokens, tokens.token_digests):
+            plan = read(spark, path)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(key, before)
