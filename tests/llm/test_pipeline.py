@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from fringe.llm import lang_id
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards box in the rain near an old stone bridge"
@@ -68,3 +69,25 @@ def test_null_ids_ties_long_texts_and_clashing_names(spark, tmp_path):
         if name == "near_dedup":
             assert out.count() == 41
     assert out.count() == docs.count() > 30
+
+
+def test_language_stage_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows beyond the sample of the first network, in letters that it never met: they are learned from, and partitions don't matter."""
+    rng = random.Random(6)
+    text = lambda own, n: " ".join(rng.choice(own.split()) for _ in range(n))
+    rows = [(i, text("the and tion house with", 20) if i % 2 else text("der und keit haus mit", 20), "ab"[i % 2], "s", 1) for i in range(400)]
+    rare = [(1000 + i, text("кошка спит стуле девочка окна", 20), "a", "s", 1) for i in range(60)]
+    monkeypatch.setattr(lang_id, "DOCS_PER_LANGUAGE", 40)
+    monkeypatch.setattr(lang_id, "SHARD_BYTES", 8_000)
+    monkeypatch.setattr(lang_id.labelled_sample, "__defaults__", (*lang_id.labelled_sample.__defaults__[:-1], 40))
+    monkeypatch.setattr(lang_id.fit, "__defaults__", (*lang_id.fit.__defaults__[:4], 40, *lang_id.fit.__defaults__[5:]))
+    docs = spark.createDataFrame(rows + rare, DOCS)
+    sampled = {int(r.id) for r in lang_id.labelled_sample(docs, docs_per_language=60).collect()}
+    rare = [r for r in rare if r[0] not in sampled]
+    docs = spark.createDataFrame(rows + rare, DOCS)
+    net = lang_id.fit_whole(docs)
+    assert net.learned == sum(len(r[1].encode()) for r in rows + rare) and net.seen["к".encode()[0]]
+    again = lang_id.fit_whole(docs.repartition(7))
+    assert all((getattr(net, n) == getattr(again, n)).all() for n in lang_id.WEIGHTS)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert len(kept & {r[0] for r in rare}) > 0.9 * len(rare) and len(kept & set(range(400))) > 390
