@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from fringe.session import spread
 
 from .near_dup import text_slices
-from .scratch import materialize
+from .scratch import materialize, short_batches
 from .textset import mix, word_hashes
 
 WIDTH = 5
@@ -372,7 +372,8 @@ def _find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), id_kind, pa.string(), *_LIST.values())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    found = materialize(spread(docs).mapInArrow(hits, f"doc long, id {id_type}, form string, {_LIST_SCHEMA}"), "hits")
+    with short_batches(docs.sparkSession):
+        found = materialize(spread(docs).mapInArrow(hits, f"doc long, id {id_type}, form string, {_LIST_SCHEMA}"), "hits")
     probes = found.select("doc", "form", F.explode(F.array_distinct("hashes")).alias("hash"))
     pairs = probes.join(lists, ["form", "hash"]).select("doc", "node").distinct()
     of_class = classes.select("node", F.col("form"), *[F.col(c).alias(f"item_{c}") for c in _LIST])

@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -41,11 +40,11 @@ from fringe.session import spread
 from .bitmap import Bitmap
 from .components import connected_components
 from .rows import take
-from .scratch import discard, materialize
+from .scratch import discard, materialize, short_batches
 from .textset import shingle_sets
 
-#: With their separators such slices stay below 2 MB, a power of two.
-SLICE_BYTES = 1_900_000
+#: With their separators such slices stay below 1 MB, a power of two.
+SLICE_BYTES = 950_000
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -92,25 +91,22 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> D
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The whole sets (node, hashes) of the ``wanted`` nodes, made again from their first document."""
+    """The whole sets (node, hashes) of the ``wanted`` nodes, made again from their first document.
+
+    Each text goes to one Python function, which leaves out those that aren't asked for: with a filter of its own
+    before it, a stage would hold two Python workers for each core, and all of them stay in memory.
+    """
+    asked = Bitmap(wanted.select(F.xxhash64("id", "text_key").alias("hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
-                found = {n: s for n, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist(), width), strict=True) if n == _node(s)}
+            for batch in text_slices(whole.filter(pa.array(asked.holds(whole.column("place").to_numpy()))), "text"):
+                found = {_node(s): s for s in shingle_sets(batch.column("text").to_pylist(), width) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _lists(list(found.values()), pa.int64())], ["node", "hashes"])
 
-    asked = Bitmap(wanted.select(F.col("text_key").alias("hash")))
-
-    @F.pandas_udf("boolean")
-    def may_be_asked(keys: pd.Series) -> pd.Series:
-        return pd.Series(asked.holds(keys.to_numpy()))
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    texts = texts.where(may_be_asked("text_key"))  # few of all texts: the others are not shuffled
-    wanted = wanted.select("node", F.col("id").alias("want_id"), F.col("text_key").alias("want_key"))
-    met = texts.join(wanted, (F.col("text_key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
-    return met.select("node", "text").mapInArrow(run, "node binary, hashes array<bigint>").dropDuplicates(["node"])
+    texts = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("place"), F.col(text_col).alias("text"))
+    sets = texts.mapInArrow(run, "node binary, hashes array<bigint>").dropDuplicates(["node"])
+    return sets.join(wanted.select("node"), "node", "left_semi")  # a bitmap may hold more than it was given
 
 
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -165,7 +161,8 @@ def _components(
         shared = _shared(x, y)
         return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    rows = materialize(sketch(docs, id_col, text_col, width, k), "sketch")
+    with short_batches(docs.sparkSession):
+        rows = materialize(sketch(docs, id_col, text_col, width, k), "sketch")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "text_key")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "first_id", "at.id", "at.text_key", "n", "sketch"), "nodes")
 
@@ -199,12 +196,14 @@ def _components(
     residue_nodes = long_lists.select("node").distinct()
     ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).unionByName(residue_nodes).distinct()
     ends = materialize(ends.join(nodes.select("node", "id", "text_key"), "node"), "ends")
-    sets = materialize(full_sets(docs, ends, id_col, text_col, width), "sets")
-    links = materialize(_compare(_both(likely, sets, "hashes"), exact), "linked")
+    with short_batches(docs.sparkSession):
+        sets = materialize(full_sets(docs, ends, id_col, text_col, width), "sets")
+        links = materialize(_compare(_both(likely, sets, "hashes"), exact), "linked")
     roots = materialize(connected_components(links), "roots")
     discard(df, lists, count, small, ends, likely, links)
 
-    roots = _settle(long_lists, sets, roots, percent, exact)
+    with short_batches(docs.sparkSession):
+        roots = _settle(long_lists, sets, roots, percent, exact)
 
     # Written as the counts are: the members of one very large component are then split.
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")

@@ -37,8 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Rows that go to a Python worker at a time where they hold whole texts.
-BATCH_ROWS = 1000
+#: Rows that go to a Python worker at a time where they hold whole texts, and about how many bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 @contextlib.contextmanager
@@ -59,9 +59,11 @@ def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager[N
     return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def short_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
     """What runs within gives texts to Python some megabytes at a time: the executor holds a batch outside its heap, and so does each worker."""
-    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        yield
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

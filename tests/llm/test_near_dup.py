@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from fringe.llm import near_dup, scratch
 from fringe.llm.near_dup import deduplicate, near_duplicates
 from fringe.llm.textset import shingle_sets
 
@@ -122,3 +123,38 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert materialize(spark.range(1000).groupBy("id").count(), "counts").count() == 1000
     after = set(re.findall(r"shuffle_\d+", files())) - before
     assert len(after) <= 1  # that of the count
+
+
+def test_full_sets_keep_one_python_worker_for_a_core(spark):
+    """The stage that makes full sets has one Python node even where the wanted nodes are broadcast: workers of a second one stay in memory."""
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (3, None), (4, "m n"), (5, "not asked for")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dup.sketch(docs, "doc_id", "text", 5, 32).where("node is not null and not id <=> 5")
+    wanted = scratch.materialize(nodes.groupBy("node").agg(near_dup.F.min(near_dup.F.struct("id", "text_key")).alias("at")).select("node", "at.id", "at.text_key"), "wanted")
+    sets = near_dup.full_sets(docs, wanted, "doc_id", "text", 5)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("EvalPython") == 1
+    want = sorted(sorted(s.view("int64").tolist()) for s in shingle_sets(["a b c d e f", "g h i j k l", "m n"], 5))
+    assert sorted(sorted(r.hashes) for r in sets.collect()) == want
+    assert {bytes(r.node) for r in sets.collect()} == {bytes(r.node) for r in wanted.collect()}
+
+
+def test_texts_and_full_sets_go_to_python_in_short_batches(spark, monkeypatch):
+    """Steps that hand whole texts or sets to Python do so some megabytes at a time, whatever the rows' length."""
+    rows_at = {}
+
+    def noted(df, name):
+        rows_at[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return scratch.materialize(df, name)
+
+    monkeypatch.setattr(near_dup, "materialize", noted)
+    deduplicate(spark.createDataFrame([(i, f"a b c d e f g h i j {i // 2}") for i in range(8)], "doc_id long, text string")).collect()
+    assert {rows_at[n] for n in ("sketch", "sets", "linked")} == {scratch.BATCH_ROWS}
+
+    def sizes(batches):
+        for b in batches:
+            yield near_dup.pa.RecordBatch.from_arrays([near_dup.pa.array([b.nbytes])], ["n"])
+
+    with scratch.short_batches(spark):
+        most = max(r.n for r in spark.range(2000).coalesce(1).selectExpr("repeat('x', 20000) as text").mapInArrow(sizes, "n long").collect())
+    assert most < 1.5 * scratch.BATCH_BYTES
